@@ -12,7 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricon.operators import agree, prepare
+import numpy as np
+
+from rubricon.operators import agree, batch, ordinal, pool, prepare, profile, track
+from rubricon.sources.sinks import OrdinalHead
 from rubricon.sources import fixtures as fx
 from rubricon.sources.answers import load_answers
 from rubricon.sources.calibration import union_calibration
@@ -24,6 +27,10 @@ PAD_LEN = 32
 BATCH_SIZE = 16
 EPOCHS = 2
 RATE_TOLERANCE = 2.0
+VALIDATE_TOLERANCE = 1.0
+SCORE_BATCH = 16
+LOG_EVERY = 10
+DEEP_SIZES = (16, 8)
 
 
 def _r(c, digits: int = ROUND):
@@ -115,6 +122,173 @@ def q_tolerance_qwk(spark, sf):
     return q.select("l_returnflag", _r("tolerance_qwk").alias("tolerance_qwk"))
 
 
+# ---------------------------------------------------------------- ordinal
+
+def rule_linear_head(dim: int = 65, thresholds: int = fx.PROB_THRESHOLDS) -> OrdinalHead:
+    """Fixed weights by rule: W[k][d] = ((7k + 3d) mod 11 - 5) / 10, b[k] = (k - 4) / 4."""
+    coef = np.array([[float((7 * k + 3 * d) % 11 - 5) / 10.0 for d in range(dim)] for k in range(thresholds)])
+    intercept = np.array([float(k - 4) / 4.0 for k in range(thresholds)])
+    return OrdinalHead(coef=coef, intercept=intercept, score_points=fx.prob_score_points())
+
+
+def rule_deep_head(dim: int = 64, sizes=DEEP_SIZES, thresholds: int = fx.PROB_THRESHOLDS) -> OrdinalHead:
+    """Residual MLP head with rule weights (identity LayerNorm affine)."""
+    blocks, a = [], dim
+    for i, h in enumerate(sizes):
+        w = np.array([[float((r * 5 + c * 3 + i) % 7 - 3) / 20.0 for c in range(a)] for r in range(h)])
+        b = np.array([float(r % 3 - 1) / 10.0 for r in range(h)])
+        pw = np.array([[float((r + 2 * c) % 5 - 2) / 10.0 for c in range(a)] for r in range(h)]) if a != h else None
+        pb = np.zeros(h) if a != h else None
+        blocks.append((np.ones(a), np.zeros(a), w, b, pw, pb))
+        a = h
+    coef = np.array([[float((k + 2 * c) % 5 - 2) / 4.0 for c in range(a)] for k in range(thresholds)])
+    intercept = np.array([float(k - 4) / 8.0 for k in range(thresholds)])
+    return OrdinalHead(coef=coef, intercept=intercept, score_points=fx.prob_score_points(), blocks=blocks)
+
+
+def _vectors(spark, sf):
+    e = fx.table(spark, sf, "embeddings")
+    return e.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"),
+                    F.col("label").cast("int").alias("label_idx"),
+                    F.array((F.col("vec_id") % 5).cast("double")).alias("feat"))
+
+
+def _long_logits(df, key="vec_id", col="logits"):
+    return df.select(key, F.posexplode(col).alias("k", "logit")).select(
+        key, F.col("k").cast("int").alias("k"), _r("logit").alias("logit"))
+
+
+def q_ordinal_decode(spark, sf):
+    p = ordinal.decode(fx.ordinal_probs(spark, sf), fx.prob_score_points(), probs="probs")
+    return p.select("vec_id", "label", "score")
+
+
+def q_ordinal_loss(spark, sf):
+    l = ordinal.ordinal_loss(fx.ordinal_probs(spark, sf), "logits", "label_idx")
+    return l.select(_r("loss").alias("loss"), F.col("n_rows").cast("long").alias("n_rows"), "n_terms")
+
+
+def q_linear_head(spark, sf):
+    v = ordinal.linear_head(_vectors(spark, sf), rule_linear_head(), vec="vec", features="feat")
+    return _long_logits(v)
+
+
+def q_deep_head(spark, sf):
+    v = ordinal.deep_head(_vectors(spark, sf), rule_deep_head(), vec="vec")
+    return _long_logits(v)
+
+
+def q_fit_thresholds(spark, sf):
+    head = ordinal.fit_thresholds(_vectors(spark, sf), vec="vec", label_idx="label_idx",
+                                  n_classes=fx.PROB_THRESHOLDS + 1, reg_param=1e-3, max_iter=50)
+    return ordinal.head_table(spark, head)
+
+
+def q_validate_summary(spark, sf):
+    v = ordinal.validate(fx.ordinal_probs(spark, sf), fx.prob_score_points(), tolerance=VALIDATE_TOLERANCE)
+    return v.select("metric", _r("value").alias("value"))
+
+
+# ---------------------------------------------------------------- pool
+
+def _pooled_long(df):
+    return pool.explode_vector(df, ["seq_id"]).select("seq_id", "dim", _r("value").alias("value"))
+
+
+def q_pool_mean(spark, sf):
+    return _pooled_long(pool.pool_mean(fx.token_vectors(spark, sf)))
+
+
+def q_pool_last(spark, sf):
+    return _pooled_long(pool.pool_last(fx.token_vectors(spark, sf)))
+
+
+def q_pool_attention(spark, sf):
+    return _pooled_long(pool.pool_attention(fx.token_vectors(spark, sf), fx.attention_query(64)))
+
+
+# ---------------------------------------------------------------- batch scoring
+
+def scored(spark, sf):
+    raw = fx.raw_answers(spark, sf).withColumn(
+        "batch", F.floor(F.col("BMH").cast("long") / SCORE_BATCH).cast("long"))
+    out = batch.batch_score(raw, batch.toy_factory(fx.TOY_MARKER), "text", SCORE_BATCH,
+                            batch_col="batch", order_cols=["BMH"])
+    return out.drop("batch")
+
+
+def q_batch_score(spark, sf):
+    return scored(spark, sf).select("BMH", "text", "lang", "pred_score", "status", "error")
+
+
+def q_status_counts(spark, sf):
+    return batch.status_counts(scored(spark, sf))
+
+
+# ---------------------------------------------------------------- profile
+
+def _round_cols(df, cols):
+    return df.select(*[_r(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+DESCRIBE_DOUBLES = ["mean", "std", "min", "p25", "p50", "p75", "p90", "p95", "p99", "max"]
+
+
+def q_length_describe(spark, sf):
+    d, _ = profile.length_profile(fx.raw_answers(spark, sf), "text")
+    return _round_cols(d, DESCRIBE_DOUBLES)
+
+
+def q_length_hist(spark, sf):
+    _, h = profile.length_profile(fx.raw_answers(spark, sf), "text")
+    return _round_cols(h, ["lo", "hi"])
+
+
+def q_score_profile(spark, sf):
+    d, _ = profile.score_profile(fx.ratings(spark, sf), "pred")
+    return _round_cols(d, DESCRIBE_DOUBLES)
+
+
+def q_score_hist(spark, sf):
+    _, h = profile.score_profile(fx.ratings(spark, sf), "pred")
+    return _round_cols(profile.nonempty_bins(h), ["lo", "hi"])
+
+
+def q_length_vs_score(spark, sf):
+    j = fx.raw_answers(spark, sf).join(calibration(spark, sf), "BMH", "left")
+    return profile.length_vs_score(j, "text", "label", keys=["BMH"])
+
+
+# ---------------------------------------------------------------- track
+
+def q_improvement_events(spark, sf):
+    e = track.improvement_events(fx.eval_log(spark, sf))
+    return e.select("run", "step", "metric", "prev_best")
+
+
+def q_best_checkpoint(spark, sf):
+    return track.best_checkpoint(fx.eval_log(spark, sf)).select("run", "step", "metric")
+
+
+def q_epoch_loss(spark, sf):
+    e = track.epoch_loss(fx.eval_log(spark, sf))
+    return e.select("run", "epoch", "n_steps", _r("train_loss").alias("train_loss"),
+                    _r("weighted_loss").alias("weighted_loss"))
+
+
+def q_logged_steps(spark, sf):
+    return track.logged_steps(fx.eval_log(spark, sf), LOG_EVERY).select("run", "step", "metric")
+
+
+# ---------------------------------------------------------------- flagship
+
+def q_flagship_agreement(spark, sf):
+    s = scored(spark, sf).select("BMH", "lang", "pred_score")
+    j = s.join(calibration(spark, sf), "BMH")
+    m = agree.compute_metrics(j, "pred_score", "label", group_cols=["lang"])
+    return m.select("lang", "metric", _r("value").alias("value"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "answers_clean": q_answers_clean,
     "calibration_union": q_calibration_union,
@@ -129,8 +303,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "agreement_metrics": q_agreement_metrics,
     "tolerance_curve": q_tolerance_curve,
     "tolerance_qwk": q_tolerance_qwk,
+    "ordinal_decode": q_ordinal_decode,
+    "ordinal_loss": q_ordinal_loss,
+    "linear_head": q_linear_head,
+    "deep_head": q_deep_head,
+    "fit_thresholds": q_fit_thresholds,
+    "validate_summary": q_validate_summary,
+    "pool_mean": q_pool_mean,
+    "pool_last": q_pool_last,
+    "pool_attention": q_pool_attention,
+    "batch_score": q_batch_score,
+    "status_counts": q_status_counts,
+    "length_describe": q_length_describe,
+    "length_hist": q_length_hist,
+    "score_profile": q_score_profile,
+    "score_hist": q_score_hist,
+    "length_vs_score": q_length_vs_score,
+    "improvement_events": q_improvement_events,
+    "best_checkpoint": q_best_checkpoint,
+    "epoch_loss": q_epoch_loss,
+    "logged_steps": q_logged_steps,
+    "flagship_agreement": q_flagship_agreement,
 }
 
 
 def flagship(spark, sf):
-    return q_agreement_metrics(spark, sf)
+    return q_flagship_agreement(spark, sf)

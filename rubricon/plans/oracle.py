@@ -220,3 +220,145 @@ SQL["tolerance_qwk"] = with_(RATE, """
 snapped AS (SELECT l_returnflag AS g, CASE WHEN abs(pred - label) <= 2.0 THEN label ELSE pred END AS spred, label FROM rate)""",
                              _qwk_sql("snapped", "g", "spred", "tq")) + """
 SELECT g AS l_returnflag, round(tq, 6) AS tolerance_qwk FROM tq"""
+
+# ------------------------------------------------------------------ ordinal
+
+SQL["ordinal_decode"] = with_(PROB, """
+d AS (SELECT vec_id, label, k, sum(abs(p - CASE WHEN k > j THEN 1.0 ELSE 0.0 END)) AS dist
+      FROM prob, range(10) c(k) GROUP BY vec_id, label, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, k) AS rn FROM d)""") + """
+SELECT vec_id, label, CAST(k AS DOUBLE) AS score FROM r WHERE rn = 1"""
+
+SQL["ordinal_loss"] = with_(PROB) + """
+SELECT round(avg(greatest(logit, 0.0) - logit * CASE WHEN label_idx > j THEN 1.0 ELSE 0.0 END
+                 + ln(1 + exp(-abs(logit)))), 6) AS loss,
+       CAST(count(DISTINCT vec_id) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_terms
+FROM prob"""
+
+SQL["linear_head"] = with_("""
+x AS (SELECT vec_id, CAST(d.i AS INTEGER) AS dim,
+             CASE WHEN d.i < 64 THEN CAST(embedding[d.i + 1] AS DOUBLE) ELSE CAST(vec_id % 5 AS DOUBLE) END AS v
+      FROM embeddings, range(65) d(i))""") + """
+SELECT vec_id, CAST(k AS INTEGER) AS k,
+       round(CAST(k - 4 AS DOUBLE) / CAST(4 AS DOUBLE)
+             + sum(v * (CAST(((7 * k + 3 * dim) % 11) - 5 AS DOUBLE) / CAST(10 AS DOUBLE))), 6) AS logit
+FROM x, range(9) t(k) GROUP BY vec_id, k"""
+
+_VAL_SRC = """
+dec AS (SELECT vec_id, label, CAST(k AS DOUBLE) AS pred FROM (
+          SELECT vec_id, label, k, row_number() OVER (PARTITION BY vec_id ORDER BY dist, k) AS rn FROM (
+            SELECT vec_id, label, k, sum(abs(p - CASE WHEN k > j THEN 1.0 ELSE 0.0 END)) AS dist
+            FROM prob, range(10) c(k) GROUP BY vec_id, label, k)) WHERE rn = 1),
+src AS (SELECT 1 AS g, pred, label FROM dec)"""
+
+SQL["validate_summary"] = with_(PROB, _VAL_SRC, _metrics_sql("src", "g", 1.0)) + """,
+lng AS (""" + _metrics_long("g", 1.0) + """),
+vl AS (SELECT 'val_loss' AS metric,
+              round(avg(greatest(logit, 0.0) - logit * CASE WHEN label_idx > j THEN 1.0 ELSE 0.0 END
+                        + ln(1 + exp(-abs(logit)))), 6) AS value FROM prob)
+SELECT metric, value FROM lng UNION ALL SELECT metric, value FROM vl"""
+
+# ------------------------------------------------------------------ pool
+
+SQL["pool_mean"] = with_(TOK) + """
+SELECT seq_id, dim, round(sum(v * mask) / greatest(sum(mask), 1), 6) AS value FROM tokd GROUP BY seq_id, dim"""
+
+SQL["pool_last"] = with_(TOK, """
+t AS (SELECT seq_id, sum(mask) AS s, max(pos) AS last FROM tokm GROUP BY seq_id)""") + """
+SELECT tokd.seq_id, tokd.dim, round(tokd.v, 6) AS value
+FROM tokd JOIN t ON tokd.seq_id = t.seq_id AND tokd.pos = CASE WHEN t.s = 0 THEN t.last ELSE t.s - 1 END"""
+
+SQL["pool_attention"] = with_(TOK, """
+sc AS (SELECT seq_id, pos, mask, sum(v * (1.0 / CAST(dim + 1 AS DOUBLE))) AS s FROM tokd GROUP BY seq_id, pos, mask),
+st AS (SELECT seq_id, max(CASE WHEN mask = 1 THEN s END) AS mx, sum(mask) AS cnt FROM sc GROUP BY seq_id),
+w AS (SELECT sc.seq_id, sc.pos,
+             CASE WHEN st.cnt = 0 THEN 1.0 WHEN sc.mask = 1 THEN exp(sc.s - st.mx) ELSE 0.0 END AS w
+      FROM sc JOIN st ON sc.seq_id = st.seq_id)""") + """
+SELECT tokd.seq_id, tokd.dim, round(sum(w.w * tokd.v) / sum(w.w), 6) AS value
+FROM tokd JOIN w ON tokd.seq_id = w.seq_id AND tokd.pos = w.pos GROUP BY tokd.seq_id, tokd.dim"""
+
+# ------------------------------------------------------------------ batch scoring
+
+SCORED = """
+s AS (SELECT BMH, text, lang,
+             (text IS NULL OR regexp_full_match(text, '[\\t\\n\\x0b\\f\\r \\x1c-\\x1f\\x{85}\\p{Z}]*')) AS skip,
+             CAST(floor(CAST(BMH AS BIGINT) / 16) AS BIGINT) AS batch
+      FROM ans_raw),
+bad AS (SELECT batch, bool_or(NOT skip AND contains(text, '@')) AS bad FROM s GROUP BY batch),
+scored AS (
+  SELECT s.BMH, s.text, s.lang,
+         CASE WHEN skip OR bad THEN NULL ELSE CAST(length(text) % 9 AS DOUBLE) / 2 END AS pred_score,
+         CASE WHEN skip THEN 'skipped' WHEN bad THEN 'failed' ELSE 'success' END AS status,
+         CASE WHEN NOT skip AND bad THEN 'marker @ found in text' END AS error
+  FROM s JOIN bad ON s.batch = bad.batch)"""
+
+SQL["batch_score"] = with_(ANS, SCORED) + "\nSELECT BMH, text, lang, pred_score, status, error FROM scored"
+
+SQL["status_counts"] = with_(ANS, SCORED) + "\nSELECT status, count(*) AS n FROM scored GROUP BY status"
+
+SQL["flagship_agreement"] = with_(ANS, SCORED, CAL, """
+src AS (SELECT scored.lang AS g, scored.pred_score AS pred, cal.label
+        FROM scored JOIN cal ON scored.BMH = cal.BMH WHERE scored.pred_score IS NOT NULL)""",
+                                  _metrics_sql("src", "g")) + \
+    _metrics_long("g").replace("SELECT w.g,", "SELECT w.g AS lang,")
+
+# ------------------------------------------------------------------ profile
+
+
+def _describe_sql(src: str, x: str = "x") -> str:
+    qs = ", ".join(f"round(quantile_cont({x}, {p}), 6) AS p{n}" for p, n in
+                   [(0.25, 25), (0.5, 50), (0.75, 75), (0.9, 90), (0.95, 95), (0.99, 99)])
+    return f"""
+SELECT count(*) AS count, round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std,
+       round(min({x}), 6) AS min, {qs}, round(max({x}), 6) AS max
+FROM {src}"""
+
+
+def _hist_sql(src: str, bins: int, x: str = "x") -> str:
+    return f"""
+r AS (SELECT min({x}) AS mn, max({x}) AS mx FROM {src}),
+rr AS (SELECT CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo, CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi FROM r),
+b AS (SELECT CAST(least(floor(({x} - lo) * CAST({bins} AS DOUBLE) / (hi - lo)), {bins - 1}) AS INTEGER) AS bin FROM {src}, rr),
+c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin),
+hist AS (SELECT CAST(t.bin AS INTEGER) AS bin,
+                round(rr.lo + t.bin * ((rr.hi - rr.lo) / CAST({bins} AS DOUBLE)), 6) AS lo,
+                round(rr.lo + (t.bin + 1) * ((rr.hi - rr.lo) / CAST({bins} AS DOUBLE)), 6) AS hi,
+                CAST(coalesce(c.n, 0) AS BIGINT) AS n
+         FROM range({bins}) t(bin) CROSS JOIN rr LEFT JOIN c ON c.bin = t.bin)"""
+
+
+_LEN = "lens AS (SELECT CAST(length(coalesce(text, '')) AS DOUBLE) AS x FROM ans_raw)"
+
+SQL["length_describe"] = with_(ANS, _LEN) + \
+    _describe_sql("lens").replace("FROM lens", ", CAST(count_if(x = 0) AS BIGINT) AS n_zero\nFROM lens")
+
+SQL["length_hist"] = with_(ANS, _LEN, _hist_sql("lens", 80)) + "\nSELECT bin, lo, hi, n FROM hist"
+
+_PRED = "preds AS (SELECT pred AS x FROM rate WHERE pred IS NOT NULL)"
+
+SQL["score_profile"] = with_(RATE, _PRED) + _describe_sql("preds")
+
+SQL["score_hist"] = with_(RATE, _PRED, _hist_sql("preds", 50)) + "\nSELECT bin, lo, hi, n FROM hist WHERE n > 0"
+
+SQL["length_vs_score"] = with_(ANS, CAL) + """
+SELECT a.BMH, CAST(length(coalesce(a.text, '')) AS BIGINT) AS length, cal.label AS score
+FROM ans_raw a LEFT JOIN cal ON a.BMH = cal.BMH WHERE cal.label IS NOT NULL"""
+
+# ------------------------------------------------------------------ track
+
+SQL["improvement_events"] = with_(LOG, """
+r AS (SELECT run, step, metric,
+             greatest(0.0, coalesce(max(metric) OVER (PARTITION BY run ORDER BY step
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS prev_best
+      FROM logx)""") + "\nSELECT run, step, metric, prev_best FROM r WHERE metric > prev_best"
+
+SQL["best_checkpoint"] = with_(LOG, """
+r AS (SELECT run, step, metric, row_number() OVER (PARTITION BY run ORDER BY metric DESC, step) AS rn FROM logx)""") + \
+    "\nSELECT run, step, metric FROM r WHERE rn = 1 AND metric > 0"
+
+SQL["epoch_loss"] = with_(LOG) + """
+SELECT run, epoch, count(*) AS n_steps, round(avg(batch_loss), 6) AS train_loss,
+       round(sum(batch_loss * batch_size) / sum(batch_size), 6) AS weighted_loss
+FROM logx GROUP BY run, epoch"""
+
+SQL["logged_steps"] = with_(LOG) + "\nSELECT run, step, metric FROM logx WHERE step % 10 = 0"
