@@ -13,6 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+TIE_EPS = 1e-9
+
+
 def _c(x):
     return F.col(x) if isinstance(x, str) else x
 
@@ -36,9 +39,11 @@ def decode_index(probs: Column | str) -> Column:
     """0-based class index whose target pattern is nearest in L1 to ``probs``.
 
     Distances follow the prefix recurrence d_0 = sum(p), d_{k+1} = d_k + 1 - 2 p_k
-    (valid for p in [0, 1]), one pass over the array.  The comparison is strict,
-    so the lowest index wins a tie.  Any NaN makes every distance NaN, in which
-    case index 0 is returned; a null array gives null.
+    (valid for p in [0, 1]), one pass over the array.  A later index must be
+    better by more than ``TIE_EPS``, so exact ties — which saturated 0/1 and 0.5
+    probabilities produce — go to the lowest index whatever the summation order.
+    Any NaN makes every distance NaN, in which case index 0 is returned; a null
+    array gives null.
     """
     p = _c(probs).cast("array<double>")
     total = F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x)
@@ -47,7 +52,7 @@ def decode_index(probs: Column | str) -> Column:
 
     def step(acc, x):
         nd = acc["d"] + F.lit(1.0) - F.lit(2.0) * x
-        better = nd < acc["best_d"]
+        better = nd < acc["best_d"] - F.lit(TIE_EPS)
         return F.struct(
             (acc["k"] + 1).alias("k"), nd.alias("d"),
             F.when(better, nd).otherwise(acc["best_d"]).alias("best_d"),
@@ -61,7 +66,8 @@ def decode_index(probs: Column | str) -> Column:
 def decode_scores(probs: Column | str, score_points: Column | str | Sequence[float]) -> Column:
     """Score point of the nearest threshold pattern (see :func:`decode_index`)."""
     pts = _points_column(score_points)
-    return F.element_at(pts, decode_index(probs) + 1)
+    idx = decode_index(probs)
+    return F.when(idx.isNotNull(), F.element_at(pts, idx + 1))
 
 
 def cumulative_targets(label_idx: Column | str, n_thresholds: int | Column) -> Column:
