@@ -64,104 +64,6 @@ def dense_index(values: DataFrame, value_col: str, keys: Sequence[str], out: str
     return values.withColumn(out, (F.dense_rank().over(w) - 1).cast("int"))
 
 
-def _value_index(ct: DataFrame, keys: list[str]) -> DataFrame:
-    """Dense index over the union of observed pred and label values."""
-    vals = (ct.select(*keys, F.col("pred").alias("v"))
-              .union(ct.select(*keys, F.col("label").alias("v"))).distinct())
-    return dense_index(vals, "v", keys, "idx")
-
-
-def _qwk_from(ct: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Quadratic weighted kappa on dense indices of observed values.
-
-    QWK = 1 - E[(a-b)^2] / (Var a + Var b + (E a - E b)^2), n-weighted, which equals the
-    observed/expected matrix form.
-    """
-    idx = _value_index(ct, keys)
-    a = idx.select(*keys, F.col("v").alias("pred"), F.col("idx").alias("a"))
-    b = idx.select(*keys, F.col("v").alias("label"), F.col("idx").alias("b"))
-    t = ct.join(a, [*keys, "pred"]).join(b, [*keys, "label"])
-    n = F.col("n").cast("double")
-    s = t.groupBy(*keys).agg(
-        F.sum(n).alias("N"), F.sum(n * F.col("a")).alias("sa"), F.sum(n * F.col("b")).alias("sb"),
-        F.sum(n * F.col("a") * F.col("a")).alias("saa"), F.sum(n * F.col("b") * F.col("b")).alias("sbb"),
-        F.sum(n * (F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))).alias("sdd"))
-    ea, eb = F.col("sa") / F.col("N"), F.col("sb") / F.col("N")
-    va = F.col("saa") / F.col("N") - ea * ea
-    vb = F.col("sbb") / F.col("N") - eb * eb
-    den = va + vb + (ea - eb) * (ea - eb)
-    return s.select(*keys, (F.lit(1.0) - _div(F.col("sdd") / F.col("N"), F.when(den != 0, den))).alias(out))
-
-
-def _kappa_from(ct: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Unweighted Cohen's kappa (D5): (po - pe) / (1 - pe)."""
-    n = F.col("n").cast("double")
-    tot = ct.groupBy(*keys).agg(F.sum(n).alias("N"),
-                                F.sum(F.when(F.col("pred") == F.col("label"), n).otherwise(0.0)).alias("agree"))
-    mp = ct.groupBy(*keys, F.col("pred").alias("v")).agg(F.sum(n).alias("np"))
-    ml = ct.groupBy(*keys, F.col("label").alias("v")).agg(F.sum(n).alias("nl"))
-    pe = mp.join(ml, [*keys, "v"]).groupBy(*keys).agg(F.sum(F.col("np") * F.col("nl")).alias("pp"))
-    j = tot.join(pe, keys, "left")
-    po = F.col("agree") / F.col("N")
-    pe_ = F.coalesce(F.col("pp"), F.lit(0.0)) / (F.col("N") * F.col("N"))
-    den = F.lit(1.0) - pe_
-    return j.select(*keys, _div(po - pe_, F.when(den != 0, den)).alias(out))
-
-
-def _weighted_pearson(t: DataFrame, keys: list[str], x: str, y: str, out: str) -> DataFrame:
-    """n-weighted Pearson r in the centred two-pass form."""
-    n = F.col("n").cast("double")
-    w = Window.partitionBy(*keys)
-    mx = F.sum(n * F.col(x)).over(w) / F.sum(n).over(w)
-    my = F.sum(n * F.col(y)).over(w) / F.sum(n).over(w)
-    c = t.select(*keys, "n", (F.col(x) - mx).alias("dx"), (F.col(y) - my).alias("dy"))
-    s = c.groupBy(*keys).agg(
-        F.sum(n * F.col("dx") * F.col("dy")).alias("sxy"),
-        F.sum(n * F.col("dx") * F.col("dx")).alias("sxx"),
-        F.sum(n * F.col("dy") * F.col("dy")).alias("syy"))
-    den = F.sqrt(F.col("sxx") * F.col("syy"))
-    return s.select(*keys, _div(F.col("sxy"), F.when(den != 0, den)).alias(out))
-
-
-def _avg_ranks(ct: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
-    """Tie-averaged 1-based ranks of each distinct value from marginal counts."""
-    m = ct.groupBy(*keys, col).agg(F.sum("n").alias("m"))
-    w = Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    cum = F.sum("m").over(w)
-    return m.select(*keys, col, (cum - (F.col("m") - 1) / 2.0).alias(out))
-
-
-def _spearman_from(ct: DataFrame, keys: list[str], out: str) -> DataFrame:
-    rp = _avg_ranks(ct, keys, "pred", "rp")
-    rl = _avg_ranks(ct, keys, "label", "rl")
-    t = ct.join(rp, [*keys, "pred"]).join(rl, [*keys, "label"])
-    return _weighted_pearson(t, keys, "rp", "rl", out)
-
-
-def _base_from(ct: DataFrame, keys: list[str], tolerance: float | None) -> DataFrame:
-    n = F.col("n").cast("double")
-    err = F.abs(F.col("pred") - F.col("label"))
-    aggs = [
-        F.sum(n).alias("N"),
-        F.sum(F.when(F.col("pred") == F.col("label"), n).otherwise(0.0)).alias("s_exact"),
-        F.sum(n * err).alias("s_abs"),
-        F.sum(n * err * err).alias("s_sq"),
-        F.sum(F.when(err <= WITHIN_HALF, n).otherwise(0.0)).alias("s_half"),
-    ]
-    if tolerance is not None:
-        aggs.append(F.sum(F.when(err <= float(tolerance), n).otherwise(0.0)).alias("s_tol"))
-    s = ct.groupBy(*keys).agg(*aggs)
-    cols = [
-        (F.col("s_exact") / F.col("N")).alias("exact_accuracy"),
-        (F.col("s_abs") / F.col("N")).alias("mae"),
-        F.sqrt(F.col("s_sq") / F.col("N")).alias("rmse"),
-        (F.col("s_half") / F.col("N")).alias("acc_0.5"),
-    ]
-    if tolerance is not None:
-        cols.append((F.col("s_tol") / F.col("N")).alias("tol_acc"))
-    return s.select(*keys, *cols)
-
-
 def snap_within(ct: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """Contingency after replacing each pred within ``tolerance`` of its label by the label."""
     adj = F.when(F.abs(F.col("pred") - F.col("label")) <= float(tolerance), F.col("label")) \
@@ -176,20 +78,105 @@ def metric_names(tolerance: float | None) -> list[str]:
     return names
 
 
+def _value_table(ct: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and observed value (union of preds and labels): dense index and both marginals."""
+    zero = F.lit(0).cast("long")
+    ex = ct.select(*keys, F.inline(F.array(
+        F.struct(F.col("pred").alias("v"), F.col("n").alias("np"), zero.alias("nl")),
+        F.struct(F.col("label").alias("v"), zero.alias("np"), F.col("n").alias("nl")))))
+    vt = ex.groupBy(*keys, "v").agg(F.sum("np").alias("mp"), F.sum("nl").alias("ml"))
+    return dense_index(vt, "v", keys, "idx")
+
+
+def _indexed(ct: DataFrame, keys: list[str]) -> DataFrame:
+    """Contingency cells with dense indices a (pred), b (label) and the label marginal at pred."""
+    vt = _value_table(ct, keys)
+    a = vt.select(*keys, F.col("v").alias("pred"), F.col("idx").alias("a"), F.col("ml").alias("ml_at_pred"))
+    b = vt.select(*keys, F.col("v").alias("label"), F.col("idx").alias("b"))
+    return ct.join(a, [*keys, "pred"]).join(b, [*keys, "label"])
+
+
+def _qwk_expr(N, sa, sb, saa, sbb, sdd) -> Column:
+    ea, eb = sa / N, sb / N
+    den = (saa / N - ea * ea) + (sbb / N - eb * eb) + (ea - eb) * (ea - eb)
+    return F.lit(1.0) - _div(sdd / N, F.when(den != 0, den))
+
+
+def _qwk_moments(t: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    n = F.col("n").cast("double")
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    return t.groupBy(*keys).agg(
+        F.sum(n).alias(f"{prefix}N"), F.sum(n * a).alias(f"{prefix}sa"), F.sum(n * b).alias(f"{prefix}sb"),
+        F.sum(n * a * a).alias(f"{prefix}saa"), F.sum(n * b * b).alias(f"{prefix}sbb"),
+        F.sum(n * (a - b) * (a - b)).alias(f"{prefix}sdd"))
+
+
 def metrics_wide(ct: DataFrame, group_cols: Sequence[str] = (),
                  tolerance: float | None = None) -> DataFrame:
-    """One row per group with every metric as a column (names as in :func:`metric_names`)."""
+    """One row per group with every metric as a column (names as in :func:`metric_names`).
+
+    Plan: the value table (distinct values with marginals and dense index) is
+    joined to the cells twice; one window pass partitioned by group adds the
+    means and the tie-averaged ranks (RANGE frames over the marginal counts);
+    one aggregation then yields every sum the metrics need.
+    """
     keys = _keys(group_cols)
     ct = _ensure_key(ct, group_cols)
-    out = (_base_from(ct, keys, tolerance)
-           .join(_qwk_from(ct, keys, "qwk"), keys, "left")
-           .join(_kappa_from(ct, keys, "kappa"), keys, "left")
-           .join(_weighted_pearson(ct, keys, "pred", "label", "pearson"), keys, "left")
-           .join(_spearman_from(ct, keys, "spearman"), keys, "left"))
+    t = _indexed(ct, keys)
+    n = F.col("n").cast("double")
+    part = Window.partitionBy(*keys)
+    tot = F.sum(n).over(part)
+
+    def avg_rank(c):
+        upto = F.sum(n).over(part.orderBy(c).rangeBetween(Window.unboundedPreceding, 0))
+        same = F.sum(n).over(part.orderBy(c).rangeBetween(0, 0))
+        return upto - (same - 1.0) / 2.0
+
+    mid = (tot + 1.0) / 2.0                      # mean of average ranks is (N+1)/2
+    t = t.select(*keys, "pred", "label", "n", "a", "b", "ml_at_pred",
+                 (F.col("pred") - F.sum(n * F.col("pred")).over(part) / tot).alias("dp"),
+                 (F.col("label") - F.sum(n * F.col("label")).over(part) / tot).alias("dl"),
+                 (avg_rank("pred") - mid).alias("rp"), (avg_rank("label") - mid).alias("rl"))
+    err = F.abs(F.col("pred") - F.col("label"))
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    aggs = [
+        F.sum(n).alias("N"),
+        F.sum(F.when(F.col("pred") == F.col("label"), n).otherwise(0.0)).alias("s_exact"),
+        F.sum(n * err).alias("s_abs"), F.sum(n * err * err).alias("s_sq"),
+        F.sum(F.when(err <= WITHIN_HALF, n).otherwise(0.0)).alias("s_half"),
+        F.sum(n * a).alias("sa"), F.sum(n * b).alias("sb"), F.sum(n * a * a).alias("saa"),
+        F.sum(n * b * b).alias("sbb"), F.sum(n * (a - b) * (a - b)).alias("sdd"),
+        F.sum(n * F.col("ml_at_pred")).alias("s_pe"),
+        F.sum(n * F.col("dp") * F.col("dl")).alias("sxy"), F.sum(n * F.col("dp") * F.col("dp")).alias("sxx"),
+        F.sum(n * F.col("dl") * F.col("dl")).alias("syy"),
+        F.sum(n * F.col("rp") * F.col("rl")).alias("rxy"), F.sum(n * F.col("rp") * F.col("rp")).alias("rxx"),
+        F.sum(n * F.col("rl") * F.col("rl")).alias("ryy"),
+    ]
+    if tolerance is not None:
+        aggs.append(F.sum(F.when(err <= float(tolerance), n).otherwise(0.0)).alias("s_tol"))
+    s = t.groupBy(*keys).agg(*aggs)
+    N = F.col("N")
+    po, pe = F.col("s_exact") / N, F.col("s_pe") / (N * N)
+    den_p = F.sqrt(F.col("sxx") * F.col("syy"))
+    den_r = F.sqrt(F.col("rxx") * F.col("ryy"))
+    cols = [
+        (F.col("s_exact") / N).alias("exact_accuracy"),
+        (F.col("s_abs") / N).alias("mae"),
+        F.sqrt(F.col("s_sq") / N).alias("rmse"),
+        _qwk_expr(N, F.col("sa"), F.col("sb"), F.col("saa"), F.col("sbb"), F.col("sdd")).alias("qwk"),
+        _div(po - pe, F.when(F.lit(1.0) - pe != 0, F.lit(1.0) - pe)).alias("kappa"),
+        _div(F.col("sxy"), F.when(den_p != 0, den_p)).alias("pearson"),
+        _div(F.col("rxy"), F.when(den_r != 0, den_r)).alias("spearman"),
+        (F.col("s_half") / N).alias("acc_0.5"),
+    ]
+    out = s.select(*keys, *cols, *([(F.col("s_tol") / N).alias("_tol_acc")] if tolerance is not None else []))
     if tolerance is not None:
-        out = (out.join(_qwk_from(snap_within(ct, keys, tolerance), keys, "tol_qwk"), keys, "left")
-                  .withColumnRenamed("tol_acc", f"tolerance_acc({tolerance})")
-                  .withColumnRenamed("tol_qwk", f"tolerance_qwk({tolerance})"))
+        tq = _qwk_moments(_indexed(snap_within(ct, keys, tolerance), keys), keys, "t_")
+        tq = tq.select(*keys, _qwk_expr(F.col("t_N"), F.col("t_sa"), F.col("t_sb"), F.col("t_saa"),
+                                        F.col("t_sbb"), F.col("t_sdd")).alias("_tol_qwk"))
+        out = (out.join(tq, keys, "left")
+                  .withColumnRenamed("_tol_acc", f"tolerance_acc({tolerance})")
+                  .withColumnRenamed("_tol_qwk", f"tolerance_qwk({tolerance})"))
     names = metric_names(tolerance)
     return _drop_key(out.select(*keys, *[F.col(f"`{m}`") for m in names]), group_cols)
 
@@ -215,40 +202,44 @@ def compute_metrics(df: DataFrame, pred: str = "pred", label: str = "label",
     return to_long(wide, group_cols, metric_names(tolerance))
 
 
-def _single(df, pred, label, group_cols, fn, name):
-    keys = _keys(group_cols)
-    ct = _ensure_key(contingency(df, pred, label, group_cols), group_cols)
-    return _drop_key(fn(ct, keys, name), group_cols)
+def _one(df, pred, label, group_cols, name):
+    wide = metrics_wide(contingency(df, pred, label, group_cols), group_cols)
+    return wide.select(*group_cols, F.col(f"`{name}`"))
 
 
 def exact_accuracy(df, pred="pred", label="label", group_cols=()):
-    return metrics_wide(contingency(df, pred, label, group_cols), group_cols).select(
-        *group_cols, "exact_accuracy")
+    return _one(df, pred, label, group_cols, "exact_accuracy")
 
 
 def mae(df, pred="pred", label="label", group_cols=()):
-    return metrics_wide(contingency(df, pred, label, group_cols), group_cols).select(*group_cols, "mae")
+    return _one(df, pred, label, group_cols, "mae")
 
 
 def rmse(df, pred="pred", label="label", group_cols=()):
-    return metrics_wide(contingency(df, pred, label, group_cols), group_cols).select(*group_cols, "rmse")
+    return _one(df, pred, label, group_cols, "rmse")
 
 
 def qwk(df, pred="pred", label="label", group_cols=()):
-    return _single(df, pred, label, group_cols, _qwk_from, "qwk")
+    """Quadratic weighted kappa on dense indices of the observed values.
+
+    QWK = 1 - E[(a-b)^2] / (Var a + Var b + (E a - E b)^2), n-weighted — equal to the
+    observed/expected matrix form.
+    """
+    return _one(df, pred, label, group_cols, "qwk")
 
 
 def kappa(df, pred="pred", label="label", group_cols=()):
-    return _single(df, pred, label, group_cols, _kappa_from, "kappa")
+    """Unweighted Cohen's kappa (po - pe) / (1 - pe)."""
+    return _one(df, pred, label, group_cols, "kappa")
 
 
 def pearson(df, pred="pred", label="label", group_cols=()):
-    return _single(df, pred, label, group_cols,
-                   lambda ct, k, o: _weighted_pearson(ct, k, "pred", "label", o), "pearson")
+    return _one(df, pred, label, group_cols, "pearson")
 
 
 def spearman(df, pred="pred", label="label", group_cols=()):
-    return _single(df, pred, label, group_cols, _spearman_from, "spearman")
+    """Pearson r of tie-averaged ranks."""
+    return _one(df, pred, label, group_cols, "spearman")
 
 
 def acc_within(df, threshold: float, pred="pred", label="label", group_cols=()):
@@ -267,7 +258,10 @@ def tolerance_qwk(df, tolerance: float, pred="pred", label="label", group_cols=(
     keys = _keys(group_cols)
     ct = df if from_contingency else contingency(df, pred, label, group_cols)
     ct = _ensure_key(ct, group_cols)
-    return _drop_key(_qwk_from(snap_within(ct, keys, tolerance), keys, "tolerance_qwk"), group_cols)
+    m = _qwk_moments(_indexed(snap_within(ct, keys, tolerance), keys), keys, "")
+    out = m.select(*keys, _qwk_expr(F.col("N"), F.col("sa"), F.col("sb"), F.col("saa"), F.col("sbb"),
+                                    F.col("sdd")).alias("tolerance_qwk"))
+    return _drop_key(out, group_cols)
 
 
 def tolerance_curve(df, pred="pred", label="label", group_cols=(),

@@ -174,17 +174,25 @@ def validate(df: DataFrame, score_points: Sequence[float], logits: str = "logits
 
 def fit_thresholds(df: DataFrame, vec: str = "pooled", label_idx: str = "label_idx",
                    n_classes: int | None = None, reg_param: float = 1e-3, max_iter: int = 100,
-                   score_points: Sequence[float] | None = None) -> OrdinalHead:
-    """Fit a linear ordinal head on frozen vectors.
+                   score_points: Sequence[float] | None = None, parallelism: int = 4) -> OrdinalHead:
+    """Fit a linear ordinal head on frozen vectors.
 
     Each threshold k has its own weight row and the loss is a plain mean over
     (row, threshold), so the fit splits into K-1 independent logistic
-    regressions of ``label_idx > k`` — one distributed ``LogisticRegression`` per
-    threshold over the same checkpointed vectors.  A threshold whose side holds
-    a single class gets zero weights and a smoothed log-odds intercept.
+    regressions of ``label_idx > k``.  The vectors are checkpointed once to the
+    shared checkpoint folder (lineage cut, survives executor loss) and cached;
+    the K-1 distributed ``LogisticRegression`` fits run ``parallelism`` at a time
+    from driver threads, like ``OneVsRest(parallelism=...)``.  A threshold whose
+    side holds a single class gets zero weights and a smoothed log-odds intercept.
+    The optimiser is L-BFGS with L2 ``reg_param`` (the reference trains with
+    AdamW weight decay: same model family, different optimiser).
     """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import StorageLevel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
+    from pyspark.util import inheritable_thread_target
 
     from rubricon.session import checkpoint_dir
 
@@ -192,25 +200,33 @@ def fit_thresholds(df: DataFrame, vec: str = "pooled", label_idx: str = "label_i
     checkpoint_dir(spark)
     data = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"),
                      F.col(label_idx).cast("int").alias("_y")).filter(F.col("_y").isNotNull())
-    data = data.checkpoint(eager=True)     # reliable, cuts lineage for the K-1 fits
-    counts = {r["_y"]: r["n"] for r in data.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if n_classes is None:
-        n_classes = max(counts) + 1
-    dim = data.first()["features"].size
-    total = sum(counts.values())
-    coef = np.zeros((n_classes - 1, dim))
-    intercept = np.zeros(n_classes - 1)
-    for k in range(n_classes - 1):
-        pos = sum(n for c, n in counts.items() if c > k)
-        if pos == 0 or pos == total:
-            intercept[k] = math.log((pos + 0.5) / (total - pos + 0.5))
-            continue
-        lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg_param,
-                                elasticNetParam=0.0, standardization=False, maxIter=max_iter,
-                                family="binomial")
-        model = lr.fit(data.withColumn("label", (F.col("_y") > k).cast("double")))
-        coef[k] = model.coefficients.toArray()
-        intercept[k] = model.intercept
+    data = data.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = {r["_y"]: r["n"] for r in data.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if n_classes is None:
+            n_classes = max(counts) + 1
+        dim = data.first()["features"].size
+        total = sum(counts.values())
+        coef = np.zeros((n_classes - 1, dim))
+        intercept = np.zeros(n_classes - 1)
+
+        def fit(k: int) -> None:
+            pos = sum(n for c, n in counts.items() if c > k)
+            if pos == 0 or pos == total:
+                intercept[k] = math.log((pos + 0.5) / (total - pos + 0.5))
+                return
+            lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg_param,
+                                    elasticNetParam=0.0, standardization=False, maxIter=max_iter,
+                                    family="binomial")
+            model = lr.fit(data.withColumn("label", (F.col("_y") > k).cast("double")))
+            coef[k] = model.coefficients.toArray()
+            intercept[k] = model.intercept
+
+        workers = max(1, min(parallelism, n_classes - 1))
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            list(pool.map(inheritable_thread_target(fit), range(n_classes - 1)))
+    finally:
+        data.unpersist()
     pts = list(score_points) if score_points is not None else [float(i) for i in range(n_classes)]
     return OrdinalHead(coef=coef, intercept=intercept, score_points=pts)
 
