@@ -201,12 +201,21 @@ def pad_truncate(df: DataFrame, tokens: str, max_length: int, pad_id: int = 0,
 
 def prepare_labelled(answers: DataFrame, calibration: DataFrame, test_size: float = 0.2,
                      seed: int = 42, group_cols: Sequence[str] = (),
-                     key_cols: Sequence[str] = ("BMH",)) -> tuple[DataFrame, list]:
+                     key_cols: Sequence[str] = ("BMH",), materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """Whole prepare step (K5): join, ordinal-encode, split.
 
-    Returns ``(labelled_with_split, points_rows)``.  Filter ``split`` for the two sides.
+    Returns ``(labelled_with_split, points)``; filter ``split`` for the two sides.
+    With ``materialize`` the joined table is checkpointed once to the shared
+    checkpoint folder, so the score-point action and the split's three narrow
+    scans (bucket counts, whole buckets, boundary bucket) read it instead of
+    recomputing the join; none of them shuffles the facts.
     """
+    from rubricon.session import checkpoint_dir
+
     joined = join_labels(answers, calibration)
+    if materialize:
+        checkpoint_dir(joined.sparkSession)
+        joined = joined.checkpoint(eager=True)
     labelled, pts = encode_ordinal(joined, "label", group_cols)
     out = split_exact(labelled, key_cols, test_size, seed, group_cols,
                       tiebreak_cols=[c for c in ("text", "label") if c in labelled.columns])

@@ -71,8 +71,8 @@ def q_score_points(spark, sf):
 
 
 def _split(spark, sf):
-    lab = labelled(spark, sf, group_cols=())
-    return prepare.split_exact(lab, ["BMH"], TEST_SIZE, SEED, tiebreak_cols=["text", "label"])
+    out, _ = prepare.prepare_labelled(answers(spark, sf), calibration(spark, sf), TEST_SIZE, SEED)
+    return out
 
 
 def q_split_members(spark, sf):
