@@ -220,3 +220,14 @@ def prepare_labelled(answers: DataFrame, calibration: DataFrame, test_size: floa
     out = split_exact(labelled, key_cols, test_size, seed, group_cols,
                       tiebreak_cols=[c for c in ("text", "label") if c in labelled.columns])
     return out, pts
+
+
+def encode_examples(labelled: DataFrame, tokens: str, max_length: int, pad_id: int = 0,
+                    side: str = "right") -> DataFrame:
+    """Training examples ``(input_ids, attention_mask, label, label_idx, text)`` (K4).
+
+    Written with ``df.write.parquet`` they are the sharded dataset a trainer reads.
+    """
+    out = pad_truncate(labelled, tokens, max_length, pad_id, side)
+    keep = [c for c in ("BMH", "input_ids", "attention_mask", "label", "label_idx", "text") if c in out.columns]
+    return out.select(*keep)

@@ -47,3 +47,23 @@ def load_answers(df: DataFrame, id_col: str = ANSWER_ID_COL, text_col: str = ANS
     return (df.select(F.col(id_col).cast("string").alias("BMH"),
                       F.col(text_col).cast("string").alias("text"), *keep)
               .filter(F.col("text").isNotNull()))
+
+
+def read_question(spark: SparkSession, path: str, subject_id: str | None = None,
+                  question_id: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """Read one (subject, question) from a ``subject_id=/question_id=`` partitioned layout (A4).
+
+    The choice is a filter on partition columns, so the scan only lists the
+    matching folders (partition pruning) instead of opening every file.
+    """
+    df = spark.read.format(fmt).option("basePath", path).load(path)
+    if subject_id is not None:
+        df = df.filter(F.col("subject_id") == str(subject_id))
+    if question_id is not None:
+        df = df.filter(F.col("question_id") == str(question_id))
+    return df
+
+
+def write_by_question(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """Write a table partitioned by ``subject_id`` and ``question_id``."""
+    df.write.mode(mode).format(fmt).partitionBy("subject_id", "question_id").save(path)
