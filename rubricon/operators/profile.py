@@ -91,7 +91,9 @@ def histogram(df: DataFrame, col: str, bins: int, group_cols: Sequence[str] = ()
                        F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi")))
     b = F.least(F.floor((F.col("_x") - F.col("_lo")) * F.lit(float(bins)) / (F.col("_hi") - F.col("_lo"))),
                 F.lit(bins - 1)).cast("int")
-    counts = base.join(rng, gk).groupBy(*gk, b.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per group; with no grouping it is a single row, broadcast by construction
+    rng_side = rng if g else F.broadcast(rng)
+    counts = base.join(rng_side, gk).groupBy(*gk, b.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
     spark = df.sparkSession
     all_bins = rng.crossJoin(F.broadcast(spark.range(bins).select(F.col("id").cast("int").alias("bin"))))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))

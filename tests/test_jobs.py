@@ -72,3 +72,13 @@ def test_encode_examples(spark):
     df = spark.createDataFrame([("1", "ab c", 1.0, 1)], "BMH string, text string, label double, label_idx int")
     ex = prepare.encode_examples(df.withColumn("tok", prepare.word_lengths("text")), "tok", 4).first()
     assert ex["input_ids"] == [2, 1, 0, 0] and ex["attention_mask"] == [1, 1, 0, 0] and ex["label_idx"] == 1
+
+
+def test_write_scored_restores_order(spark, tmp_path):
+    from rubricon.sources.sinks import write_scored
+    df = spark.createDataFrame([(i, str(i)) for i in (5, 3, 9, 1)], "row_id int, BMH string").coalesce(1)
+    write_scored(df, str(tmp_path / "o"), order_col="row_id")
+    import glob
+    import pandas as pd
+    files = sorted(glob.glob(str(tmp_path / "o" / "*.parquet")))
+    assert pd.read_parquet(files[0])["row_id"].tolist() == [1, 3, 5, 9]

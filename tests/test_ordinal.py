@@ -158,3 +158,9 @@ def test_validate_tolerance_off_when_zero(spark):
                                "logits array<double>, label_idx int, label double")
     names = [r["metric"] for r in ordinal.validate(df, [0.0, 1.0, 2.0], tolerance=0.0).collect()]
     assert "val_loss" in names and not any(n.startswith("tolerance") for n in names)
+
+
+def test_cumulative_targets(spark):
+    from rubricon.functions.ordinal import cumulative_targets
+    r = spark.range(1).select(cumulative_targets(F.lit(2), 4).alias("t")).first()
+    assert r["t"] == [1.0, 1.0, 0.0, 0.0]
