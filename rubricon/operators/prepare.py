@@ -22,6 +22,8 @@ from rubricon.operators.agree import dense_index
 
 HASH_BUCKET_HEX = 4                 # 16-bit buckets
 MAX_BROADCAST_POINTS = 100_000      # score-point rows collected for a broadcast lookup
+MAX_WINDOW_ROWS = 4_000_000         # a hash bucket above this is ranked by a range-partitioned sort
+MAX_HOT_BUCKETS = 10_000            # hot buckets collected to the driver (bounded list)
 
 
 def join_labels(answers: DataFrame, calibration: DataFrame, on: str | Sequence[str] = "BMH") -> DataFrame:
@@ -91,16 +93,66 @@ def _bucket(h: Column) -> Column:
     return F.conv(F.substring(h, 1, HASH_BUCKET_HEX), 16, 10).cast("int")
 
 
+def _orderable(df: DataFrame, exclude: Sequence[str]) -> list[str]:
+    """Columns usable as a final tiebreak (every type but maps), in name order."""
+    from pyspark.sql.types import MapType
+    return sorted(f.name for f in df.schema.fields
+                  if f.name not in exclude and not isinstance(f.dataType, MapType))
+
+
+def exact_rank(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str],
+               out: str = "_rank", n_parts: int | None = None) -> DataFrame:
+    """1-based rank within ``partition_cols`` by ``order_cols``, balanced whatever the skew.
+
+    The rows are range-partitioned and sorted on (partition, order, unique id):
+    the unique id splits even exact copies over many tasks (copies that tie on
+    every column are interchangeable, so which copy takes which rank does not
+    change the result).  The sorted rows are checkpointed so partition ids and
+    positions are stable; a small table of per-partition counts gives each
+    partition its offset.
+    """
+    from rubricon.session import checkpoint_dir
+
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    p, o = list(partition_cols), list(order_cols)
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    srt = (df.withColumn("_uid", F.monotonically_increasing_id())
+             .repartitionByRange(n, *p, *o, "_uid").sortWithinPartitions(*p, *o, "_uid")
+             .checkpoint(eager=True))
+    pos = srt.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
+    stats = pos.groupBy("_pid", *p).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
+    before = Window.partitionBy(*p).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    if not p:   # at most n_parts rows
+        stats = F.broadcast(stats)
+    ranked = pos.join(stats, ["_pid", *p])
+    return (ranked.withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_p0") + 1).cast("long"))
+                  .drop("_uid", "_pid", "_pos", "_p0", "_off"))
+
+
+def _hot(table: DataFrame, cond: Column, cols: Sequence[str]) -> list:
+    """Collect the (bounded) list of hot bucket keys."""
+    rows = table.filter(cond).select(*cols).limit(MAX_HOT_BUCKETS + 1).collect()
+    if len(rows) > MAX_HOT_BUCKETS:
+        raise ValueError(f"more than {MAX_HOT_BUCKETS} hot buckets; raise MAX_WINDOW_ROWS")
+    return rows
+
+
 def split_exact(df: DataFrame, key_cols: Sequence[str] = ("BMH",), test_size: float = 0.2,
                 seed: int = 42, group_cols: Sequence[str] = (),
-                tiebreak_cols: Sequence[str] = ()) -> DataFrame:
+                tiebreak_cols: Sequence[str] = (), max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
     """Seeded train/test split with exactly ``ceil(n * test_size)`` test rows per group (K1).
 
     Rows are ordered by ``md5("seed:key")`` then the key and ``tiebreak_cols``; the
     first ``ceil(n * test_size)`` are test.  Computed without a global sort:
     counts per 16-bit hash bucket are cumulated on the small bucket table, whole
     buckets fall on one side, and only the single boundary bucket is ranked.
-    The result does not depend on partitioning and is repeatable for a seed.
+    If that bucket holds more than ``max_window_rows`` rows (a hot key or a
+    group of copies) it is ranked by :func:`exact_rank` instead of one window.
+    Remaining columns break ties after ``tiebreak_cols``, so the result does not
+    depend on partitioning and is repeatable for a seed.  One bounded action
+    collects the hot boundary buckets (usually none).
     """
     g = list(group_cols)
     gk = g if g else ["_k"]
@@ -110,21 +162,34 @@ def split_exact(df: DataFrame, key_cols: Sequence[str] = ("BMH",), test_size: fl
     counts = h.groupBy(*gk, "_b").agg(F.count(F.lit(1)).alias("_m"))
     w = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     n_all = F.sum("_m").over(Window.partitionBy(*gk))
-    buckets = (counts.withColumn("_cum", F.sum("_m").over(w))
-                     .withColumn("_ntest", F.ceil(n_all.cast("double") * F.lit(float(test_size))))
-                     .withColumn("_before", F.col("_cum") - F.col("_m"))
-                     .select(*gk, "_b", "_cum", "_before", "_ntest"))
+    buckets_all = (counts.withColumn("_cum", F.sum("_m").over(w))
+                         .withColumn("_ntest", F.ceil(n_all.cast("double") * F.lit(float(test_size))))
+                         .withColumn("_before", F.col("_cum") - F.col("_m"))
+                         .select(*gk, "_b", "_m", "_cum", "_before", "_ntest")).persist()
+    buckets = buckets_all.drop("_m")
     if not g:  # at most 65,536 rows: bounded by construction
         buckets = F.broadcast(buckets)
     j = h.join(buckets, [*gk, "_b"])
     whole = j.filter((F.col("_cum") <= F.col("_ntest")) | (F.col("_before") >= F.col("_ntest"))) \
              .withColumn("split", F.when(F.col("_cum") <= F.col("_ntest"), "test").otherwise("train"))
-    order = [F.col("_h"), *[F.col(c) for c in key_cols], *[F.col(c) for c in tiebreak_cols]]
+    tb = list(tiebreak_cols) + [c for c in _orderable(df, [*key_cols, *tiebreak_cols, *g])]
+    order = ["_h", *key_cols, *tb]
+    is_cut = (F.col("_before") < F.col("_ntest")) & (F.col("_cum") > F.col("_ntest"))
+    cut = j.filter(is_cut)
+    hot = _hot(buckets_all, is_cut & (F.col("_m") > max_window_rows), [*gk, "_b"])
+    if hot:
+        hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, buckets_all.select(*gk, "_b").schema))
+        big = exact_rank(cut.join(hot_df, [*gk, "_b"], "left_semi"), [*gk, "_b"], order, "_rn")
+        cut = cut.join(hot_df, [*gk, "_b"], "left_anti")
     rn = F.row_number().over(Window.partitionBy(*gk, "_b").orderBy(*order))
-    cut = (j.filter((F.col("_before") < F.col("_ntest")) & (F.col("_cum") > F.col("_ntest")))
-            .withColumn("split", F.when(F.col("_before") + rn <= F.col("_ntest"), "test").otherwise("train")))
-    drop = ["_h", "_b", "_cum", "_before", "_ntest"] + ([] if g else ["_k"])
-    return whole.unionByName(cut).drop(*drop)
+    parts = [cut.withColumn("_rn", rn)] + ([big] if hot else [])
+    drop = ["_h", "_b", "_cum", "_before", "_ntest", "_m", "_rn"] + ([] if g else ["_k"])
+    out = whole.drop("_m") if "_m" in whole.columns else whole
+    for part in parts:
+        lab = part.withColumn("split", F.when(F.col("_before") + F.col("_rn") <= F.col("_ntest"), "test")
+                                         .otherwise("train"))
+        out = out.unionByName(lab.drop(*[c for c in drop if c in lab.columns]), allowMissingColumns=True)
+    return out.drop(*[c for c in drop if c in out.columns])
 
 
 def split_hash(df: DataFrame, key_cols: Sequence[str] = ("BMH",), test_size: float = 0.2,
@@ -149,29 +214,50 @@ def split_counts(split_df: DataFrame, label: str = "label", group_cols: Sequence
 
 
 def global_rank(df: DataFrame, key_cols: Sequence[str], seed: int, salt: Column | None = None,
-                partition_cols: Sequence[str] = (), out: str = "rank") -> DataFrame:
+                partition_cols: Sequence[str] = (), out: str = "rank",
+                max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
     """1-based rank of every row in ``md5("seed:salt:key")`` order within ``partition_cols``.
 
     Bucket offsets are cumulated on the (bounded) bucket-count table and joined
-    back; the row number runs inside each hash bucket only.
+    back; the row number runs inside each hash bucket only.  Buckets above
+    ``max_window_rows`` (hot keys, groups of copies) are ranked by
+    :func:`exact_rank` so no task receives a whole hot bucket; finding them is
+    one bounded action over the cached bucket table.  Remaining columns break
+    ties, so ranks do not depend on partitioning.
     """
     p = list(partition_cols)
     pk = p if p else ["_k"]
     extra = [salt] if salt is not None else []
+    tb = _orderable(df, [*key_cols, *p])
     h = df.withColumn("_h", _hash(seed, key_cols, *extra)).withColumn("_b", _bucket(F.col("_h")))
     if not p:
         h = h.withColumn("_k", F.lit(0))
     counts = h.groupBy(*pk, "_b").agg(F.count(F.lit(1)).alias("_m"))
     w = Window.partitionBy(*pk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_m").over(w), F.lit(0))).drop("_m")
-    rn = F.row_number().over(Window.partitionBy(*pk, "_b").orderBy("_h", *key_cols))
-    out_df = (h.withColumn("_rn", rn).join(offs, [*pk, "_b"])
-               .withColumn(out, (F.col("_rn") + F.col("_off")).cast("long")))
-    return out_df.drop("_h", "_b", "_rn", "_off", *([] if p else ["_k"]))
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_m").over(w), F.lit(0))).persist()
+    hot = _hot(offs, F.col("_m") > max_window_rows, [*pk, "_b"])
+    order = ["_h", *key_cols, *tb]
+    lookup = offs.drop("_m")
+    if not p:   # at most 65,536 rows
+        lookup = F.broadcast(lookup)
+    normal = h
+    parts = []
+    if hot:
+        hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, offs.select(*pk, "_b").schema))
+        parts.append(exact_rank(h.join(hot_df, [*pk, "_b"], "left_semi"), [*pk, "_b"], order, "_rn"))
+        normal = h.join(hot_df, [*pk, "_b"], "left_anti")
+    rn = F.row_number().over(Window.partitionBy(*pk, "_b").orderBy(*order))
+    parts.insert(0, normal.withColumn("_rn", rn))
+    out_df = None
+    for part in parts:
+        r = (part.join(lookup, [*pk, "_b"]).withColumn(out, (F.col("_rn") + F.col("_off")).cast("long"))
+                 .drop("_h", "_b", "_rn", "_off", *([] if p else ["_k"])))
+        out_df = r if out_df is None else out_df.unionByName(r)
+    return out_df
 
 
 def shuffled_batches(df: DataFrame, key_cols: Sequence[str] = ("BMH",), batch_size: int = 16,
-                     epochs: int = 1, seed: int = 42) -> DataFrame:
+                     epochs: int = 1, seed: int = 42, max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
     """Seeded per-epoch shuffle cut into fixed-size batches, last batch partial (K2, K3).
 
     Output adds ``epoch``, ``batch_id`` and ``batch_pos``; row order inside an epoch is
@@ -180,7 +266,8 @@ def shuffled_batches(df: DataFrame, key_cols: Sequence[str] = ("BMH",), batch_si
     spark = df.sparkSession
     ep = spark.range(epochs).select(F.col("id").cast("int").alias("epoch"))
     crossed = df.crossJoin(F.broadcast(ep))   # `epochs` rows: bounded by the argument
-    ranked = global_rank(crossed, key_cols, seed, salt=F.col("epoch"), partition_cols=["epoch"])
+    ranked = global_rank(crossed, key_cols, seed, salt=F.col("epoch"), partition_cols=["epoch"],
+                         max_window_rows=max_window_rows)
     r0 = F.col("rank") - 1
     return (ranked.withColumn("batch_id", F.floor(r0 / batch_size).cast("long"))
                   .withColumn("batch_pos", (r0 % batch_size).cast("int")).drop("rank"))

@@ -119,3 +119,34 @@ def test_pad_truncate_sides(spark):
     assert r[1]["input_ids"] == [1, 2, 3, 4] and r[1]["attention_mask"] == [1, 1, 1, 1]
     left = prepare.pad_truncate(df, "t", 4, pad_id=9, side="left").collect()
     assert left[0]["input_ids"] == [9, 5, 6, 7] and left[0]["attention_mask"] == [0, 1, 1, 1]
+
+
+def _skewed(spark):
+    """One key with 400 exact copies plus 300 copies differing in text, and 500 distinct keys."""
+    rows = [("hot", "same", 1.0)] * 400 + [("hot", f"t{i}", 2.0) for i in range(300)]
+    rows += [(str(i), f"x{i}", float(i % 4)) for i in range(500)]
+    return spark.createDataFrame(rows, "BMH string, text string, label double").repartition(6)
+
+
+def test_split_hot_bucket_path_equals_window_path(spark):
+    df = _skewed(spark)
+    for ts in (0.2, 0.5, 0.7):
+        a = sorted(tuple(r) for r in prepare.split_exact(df, ["BMH"], ts, 42, tiebreak_cols=["text"]).collect())
+        b = sorted(tuple(r) for r in prepare.split_exact(df, ["BMH"], ts, 42, tiebreak_cols=["text"],
+                                                        max_window_rows=0).collect())
+        assert a == b
+        assert sum(1 for r in a if r[-1] == "test") == math.ceil(1200 * ts)
+
+
+def test_global_rank_hot_path_equals_window_path(spark):
+    df = _skewed(spark)
+    a = prepare.global_rank(df, ["BMH"], 42).collect()
+    b = prepare.global_rank(df, ["BMH"], 42, max_window_rows=0).collect()
+    assert sorted(r["rank"] for r in b) == list(range(1, 1201))
+    assert sorted(tuple(r) for r in a) == sorted(tuple(r) for r in b)
+
+
+def test_exact_rank_spreads_copies(spark):
+    df = spark.createDataFrame([("k", 1)] * 1000, "k string, v int")
+    r = prepare.exact_rank(df, [], ["k", "v"], "rk", n_parts=4)
+    assert sorted(x["rk"] for x in r.collect()) == list(range(1, 1001))
