@@ -13,8 +13,10 @@ Batch membership
 ----------------
 By default a batch is ``batch_size`` consecutive non-blank rows of one Spark
 partition — no shuffle, but which rows share a batch depends on partitioning.
-Pass ``batch_col`` to fix membership by a column (rows with equal values form
-one batch); rows are then clustered by that column first (one shuffle).
+Pass ``batch_col`` to fix membership by a column: rows with equal values form
+one batch (cut into ``batch_size`` chunks if larger); rows are clustered by that
+column first (one shuffle), so its values should identify small groups such as
+``floor(row_id / batch_size)``.
 ``isolate_failures=True`` re-scores a failed chunk row by row so only the
 offending rows fail.
 """
@@ -111,26 +113,37 @@ def batch_score(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]]
     clustered = d.repartition(F.col(batch_col)).sortWithinPartitions(batch_col, *order)
 
     def run_keyed(batches):
+        # Rows of one batch value are contiguous.  Only the still-open tail (last
+        # value, fewer than batch_size live rows) is carried to the next Arrow
+        # batch, so memory stays bounded even for a large value.
         carry = None
         for pdf in batches:
             pdf = pdf.reset_index(drop=True) if carry is None else \
                 pd.concat([carry, pdf], ignore_index=True)
             if len(pdf) == 0:
                 continue
-            last = pdf[batch_col].iloc[-1]
-            done = pdf[batch_col] != last
-            head, carry = pdf[done].reset_index(drop=True), pdf[~done].reset_index(drop=True)
+            tail = (pdf[batch_col] == pdf[batch_col].iloc[-1]).to_numpy()
+            start = int(tail.argmax())
+            live = [start + i for i, s in enumerate(pdf["_skip"].iloc[start:].tolist()) if not s]
+            full = len(live) - len(live) % batch_size
+            cut = live[full] if full < len(live) else len(pdf)
+            head, carry = pdf.iloc[:cut], pdf.iloc[cut:].reset_index(drop=True)
             if len(head):
-                yield label_rows(head, _keyed_groups(head, batch_col))
+                yield label_rows(head, _keyed_groups(head, batch_col, batch_size))
         if carry is not None and len(carry):
-            yield label_rows(carry, _keyed_groups(carry, batch_col))
+            yield label_rows(carry, _keyed_groups(carry, batch_col, batch_size))
 
     return clustered.mapInPandas(run_keyed, schema)
 
 
-def _keyed_groups(pdf: pd.DataFrame, batch_col: str):
+def _keyed_groups(pdf: pd.DataFrame, batch_col: str, batch_size: int):
+    """Live row positions grouped by batch value, each group cut into chunks of batch_size."""
     live = pdf.index[~pdf["_skip"].astype(bool)]
-    return [list(ix) for _, ix in pdf.loc[live].groupby(batch_col, sort=False).groups.items()]
+    out = []
+    for _, ix in pdf.loc[live].groupby(batch_col, sort=False).groups.items():
+        ix = list(ix)
+        out += [ix[i:i + batch_size] for i in range(0, len(ix), batch_size)]
+    return out
 
 
 def status_counts(scored: DataFrame) -> DataFrame:

@@ -91,3 +91,17 @@ def test_batch_score_default_keeps_every_row(spark):
 
 def test_score_one():
     assert batch.score_one("abcdefghij", batch.toy_factory()) == 0.5
+
+
+def test_batch_score_keyed_large_group_is_chunked(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(50).select(F.col("id").cast("string").alias("BMH"), F.lit(1).alias("b"),
+                                    F.when(F.col("id") == 20, F.lit("x@")).otherwise(F.lit("abc")).alias("text"))
+        out = {int(r["BMH"]): r["status"] for r in
+               batch.batch_score(df, batch.toy_factory(), "text", 16, batch_col="b", order_cols=["BMH"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == 50
+    failed = sorted(k for k, v in out.items() if v == "failed")
+    assert len(failed) == 16 and 20 in failed      # only the 16-row chunk holding the marker fails
