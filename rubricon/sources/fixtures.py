@@ -20,8 +20,26 @@ LOG_EPOCH_STEPS = 5
 TOY_MARKER = "@"             # the toy scorer raises on texts containing it
 
 
+_HANDLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Lazy read handle of a driver table, reused within a session.
+
+    Only the DataFrame object is reused (file listing and footer schema); no
+    data is cached.  The tables are read-only; :func:`clear_handles` drops them.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    key = (id(spark), path)
+    df = _HANDLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _HANDLES[key] = df
+    return df
+
+
+def clear_handles() -> None:
+    _HANDLES.clear()
 
 
 def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
