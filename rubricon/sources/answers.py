@@ -37,15 +37,20 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def load_answers(df: DataFrame, id_col: str = ANSWER_ID_COL, text_col: str = ANSWER_TEXT_COL,
-                 keep: Iterable[str] = ()) -> DataFrame:
+                 keep: Iterable[str] = (), na_tokens: Iterable[str] | None = None) -> DataFrame:
     """Answer table ``(BMH string, text string)``: project, rename, drop null text.
 
     Only *null* text is dropped here; blank text is kept (training semantics).
     ``keep`` carries extra columns such as group keys (subject, question).
+    ``na_tokens`` reproduces spreadsheet/CSV readers that turn strings such as
+    ``"None"`` or ``"NA"`` into missing values (pass ``PANDAS_NA_TOKENS``); by
+    default text is kept as stored, since Parquet has real nulls.
     """
     require_columns(df, [id_col, text_col, *keep], "answer table")
-    return (df.select(F.col(id_col).cast("string").alias("BMH"),
-                      F.col(text_col).cast("string").alias("text"), *keep)
+    text = F.col(text_col).cast("string")
+    if na_tokens is not None:
+        text = F.when(text.isin(list(na_tokens)), F.lit(None).cast("string")).otherwise(text)
+    return (df.select(F.col(id_col).cast("string").alias("BMH"), text.alias("text"), *keep)
               .filter(F.col("text").isNotNull()))
 
 

@@ -150,3 +150,11 @@ def test_exact_rank_spreads_copies(spark):
     df = spark.createDataFrame([("k", 1)] * 1000, "k string, v int")
     r = prepare.exact_rank(df, [], ["k", "v"], "rk", n_parts=4)
     assert sorted(x["rk"] for x in r.collect()) == list(range(1, 1001))
+
+
+def test_answers_na_tokens(spark):
+    from rubricon.sources.calibration import PANDAS_NA_TOKENS
+    raw = spark.createDataFrame([(1, "None"), (2, "fine"), (3, "NA")], "BMH int, text string")
+    assert load_answers(raw, text_col="text").count() == 3
+    got = [r["BMH"] for r in load_answers(raw, text_col="text", na_tokens=PANDAS_NA_TOKENS).collect()]
+    assert got == ["2"]
