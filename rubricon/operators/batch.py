@@ -37,13 +37,17 @@ from rubricon.functions.text import is_blank
 SUCCESS, SKIPPED, FAILED = "success", "skipped", "failed"
 
 _SCORERS: dict[str, Callable] = {}
+_KEEP_SCORERS = 2          # scorers kept per Python worker (most recent calls)
 
 
 def _scorer(factory: Callable, key: str) -> Callable:
-    s = _SCORERS.get(key)
+    """Build the scorer once per Python worker and call; older ones are released."""
+    s = _SCORERS.pop(key, None)
     if s is None:
         s = factory()
-        _SCORERS[key] = s
+    _SCORERS[key] = s
+    while len(_SCORERS) > _KEEP_SCORERS:
+        _SCORERS.pop(next(iter(_SCORERS)))
     return s
 
 

@@ -28,13 +28,34 @@ LAYER_NORM_EPS = 1e-5
 
 # ------------------------------------------------------------------ numpy kernels
 
-_erf = np.frompyfunc(math.erf, 1, 1)
+_ERF_STEP = 1e-3
+_ERF_MAX = 6.0              # erf(6) = 1 - 2e-17: exactly 1 in double precision
+_ERF_GRID = np.array([math.erf(i * _ERF_STEP) for i in range(int(_ERF_MAX / _ERF_STEP) + 2)])
+_ERF_SLOPE = (2.0 / math.sqrt(math.pi)) * np.exp(-(np.arange(_ERF_GRID.size) * _ERF_STEP) ** 2) * _ERF_STEP
+
+
+def erf(x: np.ndarray) -> np.ndarray:
+    """Vectorised error function, absolute error below 1e-13.
+
+    Cubic Hermite interpolation on a 0.001 grid of exact values and exact
+    derivatives (2/sqrt(pi) exp(-x^2)); beyond |x| = 6 the value is +/-1.
+    """
+    x = np.asarray(x, dtype=float)
+    a = np.minimum(np.abs(x), _ERF_MAX)
+    u = a / _ERF_STEP
+    i = np.minimum(u.astype(np.int64), _ERF_GRID.size - 2)
+    t = u - i
+    t2 = t * t
+    t3 = t2 * t
+    val = ((2 * t3 - 3 * t2 + 1) * _ERF_GRID[i] + (t3 - 2 * t2 + t) * _ERF_SLOPE[i]
+           + (3 * t2 - 2 * t3) * _ERF_GRID[i + 1] + (t3 - t2) * _ERF_SLOPE[i + 1])
+    return np.sign(x) * val
 
 
 def gelu(x: np.ndarray) -> np.ndarray:
     """Exact GELU ``x * Phi(x)`` with the error function."""
     x = np.asarray(x, dtype=float)
-    return 0.5 * x * (1.0 + _erf(x / math.sqrt(2.0)).astype(float))
+    return 0.5 * x * (1.0 + erf(x / math.sqrt(2.0)))
 
 
 def layer_norm(x: np.ndarray, gamma: np.ndarray, beta: np.ndarray, eps: float = LAYER_NORM_EPS) -> np.ndarray:

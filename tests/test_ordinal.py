@@ -164,3 +164,10 @@ def test_cumulative_targets(spark):
     from rubricon.functions.ordinal import cumulative_targets
     r = spark.range(1).select(cumulative_targets(F.lit(2), 4).alias("t")).first()
     assert r["t"] == [1.0, 1.0, 0.0, 0.0]
+
+
+def test_vectorised_erf_matches_math():
+    xs = np.concatenate([np.linspace(-8, 8, 20001), [0.0, 2.4999999, 2.5, -2.5, 1e-300, 30.0, -30.0]])
+    got = ordinal.erf(xs)
+    want = np.array([math.erf(v) for v in xs])
+    assert np.max(np.abs(got - want)) < 1e-13
