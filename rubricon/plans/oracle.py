@@ -362,3 +362,40 @@ SELECT run, epoch, count(*) AS n_steps, round(avg(batch_loss), 6) AS train_loss,
 FROM logx GROUP BY run, epoch"""
 
 SQL["logged_steps"] = with_(LOG) + "\nSELECT run, step, metric FROM logx WHERE step % 10 = 0"
+
+# ------------------------------------------------------------------ deep head
+# The rule weights of catalog.rule_deep_head, written out in SQL.  DuckDB has no
+# erf, so GELU uses the Maclaurin series of erf (60 terms; accurate to ~1e-14
+# for |q| <= 5, and erf = sign(q) beyond).
+
+
+def _deep_block(i: int, src: str, a: int, h: int, out: str) -> str:
+    w = f"CAST(((r * 5 + c * 3 + {i}) % 7) - 3 AS DOUBLE) / CAST(20 AS DOUBLE)"
+    b = "CAST((r % 3) - 1 AS DOUBLE) / CAST(10 AS DOUBLE)"
+    p = "CAST(((r + 2 * c) % 5) - 2 AS DOUBLE) / CAST(10 AS DOUBLE)"
+    res = f"sum(v * {p})" if a != h else "sum(CASE WHEN c = r THEN v ELSE 0.0 END)"
+    return f"""
+n{i} AS (SELECT vec_id, c, v,
+               (v - avg(v) OVER (PARTITION BY vec_id)) / sqrt(var_pop(v) OVER (PARTITION BY vec_id) + 1e-5) AS z
+        FROM {src}),
+a{i} AS (SELECT vec_id, r, sum(z * {w}) + {b} AS u, {res} AS res
+        FROM n{i}, range({h}) s(r) GROUP BY vec_id, r),
+f{i} AS (SELECT vec_id, r, any_value(u) AS u, any_value(res) AS res, any_value(u / sqrt(2.0)) AS q,
+               sum(CASE WHEN k % 2 = 0 THEN 1.0 ELSE -1.0 END * pow(u / sqrt(2.0), 2 * k + 1)
+                   / (exp(lgamma(k + 1)) * (2 * k + 1))) AS ser
+        FROM a{i}, range(60) t(k) GROUP BY vec_id, r),
+{out} AS (SELECT vec_id, r AS c,
+                0.5 * u * (1 + CASE WHEN abs(q) > 5 THEN sign(q) ELSE 2 / sqrt(pi()) * ser END) + res AS v
+         FROM f{i})"""
+
+
+SQL["deep_head"] = with_(
+    """
+x0 AS (SELECT vec_id, CAST(t.i AS BIGINT) AS c, CAST(embedding[t.i + 1] AS DOUBLE) AS v
+       FROM embeddings, range(64) t(i))""",
+    _deep_block(0, "x0", 64, 16, "x1"),
+    _deep_block(1, "x1", 16, 8, "x2")) + """
+SELECT vec_id, CAST(k AS INTEGER) AS k,
+       round(sum(v * (CAST(((k + 2 * c) % 5) - 2 AS DOUBLE) / CAST(4 AS DOUBLE)))
+             + CAST(k - 4 AS DOUBLE) / CAST(8 AS DOUBLE), 6) AS logit
+FROM x2, range(9) o(k) GROUP BY vec_id, k"""
