@@ -2,8 +2,9 @@
 
 Design: the facts are aggregated once into the contingency table
 ``(group..., pred, label, n)`` — one shuffle with map-side partial aggregation,
-at most (#pred values x #label values) rows per group — and every metric is
-computed from that small table.  Undefined statistics (zero variance, empty
+at most (#pred values x #label values) rows per group — which is checkpointed
+once (one eager, bounded action), and every metric is computed from that small
+table, so the facts and anything upstream of them are processed once.  Undefined statistics (zero variance, empty
 denominators) come out as null, never as an ANSI error.
 """
 
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rubricon.session import broadcast_if_small, materialize_small
+
 _G = "_grp"
 
 # Error thresholds of the cumulative tolerance curve.
@@ -88,14 +91,29 @@ def _value_table(ct: DataFrame, keys: list[str]) -> DataFrame:
     return dense_index(vt, "v", keys, "idx")
 
 
-def _indexed(ct: DataFrame, keys: list[str]) -> DataFrame:
-    """Contingency cells with dense indices a (pred), b (label) and the label marginal at pred."""
+def _indexed(ct: DataFrame, keys: list[str], n_cells: int | None = None) -> DataFrame:
+    """Contingency cells with dense indices a (pred), b (label) and the label marginal at pred.
+
+    The value table has at most 2 x ``n_cells`` rows; it is broadcast when that
+    counted size is within the limit.
+    """
     vt = _value_table(ct, keys)
     a = vt.select(*keys, F.col("v").alias("pred"), F.col("idx").alias("a"), F.col("ml").alias("ml_at_pred"))
     b = vt.select(*keys, F.col("v").alias("label"), F.col("idx").alias("b"))
+    if n_cells is not None:
+        a, b = broadcast_if_small(a, 2 * n_cells), broadcast_if_small(b, 2 * n_cells)
     return ct.join(a, [*keys, "pred"]).join(b, [*keys, "label"])
 
 
+def materialize_contingency(ct: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpoint the contingency table once (bounded: #pred values x #label values per group).
+
+    The metrics read it several times; materialising it means everything
+    upstream (scans, joins, model scoring) runs once.  Returns ``(ct, n_cells)``.
+    """
+    return materialize_small(ct)
+
+
 def _qwk_expr(N, sa, sb, saa, sbb, sdd) -> Column:
     ea, eb = sa / N, sb / N
     den = (saa / N - ea * ea) + (sbb / N - eb * eb) + (ea - eb) * (ea - eb)
@@ -121,8 +139,8 @@ def metrics_wide(ct: DataFrame, group_cols: Sequence[str] = (),
     one aggregation then yields every sum the metrics need.
     """
     keys = _keys(group_cols)
-    ct = _ensure_key(ct, group_cols)
-    t = _indexed(ct, keys)
+    ct, n_cells = materialize_contingency(_ensure_key(ct, group_cols))
+    t = _indexed(ct, keys, n_cells)
     n = F.col("n").cast("double")
     part = Window.partitionBy(*keys)
     tot = F.sum(n).over(part)
@@ -171,10 +189,10 @@ def metrics_wide(ct: DataFrame, group_cols: Sequence[str] = (),
     ]
     out = s.select(*keys, *cols, *([(F.col("s_tol") / N).alias("_tol_acc")] if tolerance is not None else []))
     if tolerance is not None:
-        tq = _qwk_moments(_indexed(snap_within(ct, keys, tolerance), keys), keys, "t_")
+        tq = _qwk_moments(_indexed(snap_within(ct, keys, tolerance), keys, n_cells), keys, "t_")
         tq = tq.select(*keys, _qwk_expr(F.col("t_N"), F.col("t_sa"), F.col("t_sb"), F.col("t_saa"),
                                         F.col("t_sbb"), F.col("t_sdd")).alias("_tol_qwk"))
-        out = (out.join(tq, keys, "left")
+        out = (out.join(broadcast_if_small(tq, n_cells), keys, "left")
                   .withColumnRenamed("_tol_acc", f"tolerance_acc({tolerance})")
                   .withColumnRenamed("_tol_qwk", f"tolerance_qwk({tolerance})"))
     names = metric_names(tolerance)
@@ -257,8 +275,8 @@ def tolerance_qwk(df, tolerance: float, pred="pred", label="label", group_cols=(
     """QWK after snapping preds within ``tolerance`` to the label."""
     keys = _keys(group_cols)
     ct = df if from_contingency else contingency(df, pred, label, group_cols)
-    ct = _ensure_key(ct, group_cols)
-    m = _qwk_moments(_indexed(snap_within(ct, keys, tolerance), keys), keys, "")
+    ct, n_cells = materialize_contingency(_ensure_key(ct, group_cols))
+    m = _qwk_moments(_indexed(snap_within(ct, keys, tolerance), keys, n_cells), keys, "")
     out = m.select(*keys, _qwk_expr(F.col("N"), F.col("sa"), F.col("sb"), F.col("saa"), F.col("sbb"),
                                     F.col("sdd")).alias("tolerance_qwk"))
     return _drop_key(out, group_cols)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from rubricon.functions.arrays import pad_truncate as _pad_truncate
 from rubricon.operators.agree import dense_index
+from rubricon.session import broadcast_if_small, materialize_small
 
 HASH_BUCKET_HEX = 4                 # 16-bit buckets
 MAX_BROADCAST_POINTS = 100_000      # score-point rows collected for a broadcast lookup
@@ -131,17 +132,6 @@ def exact_rank(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequenc
                   .drop("_uid", "_pid", "_pos", "_p0", "_off"))
 
 
-def _small_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise a small derived table (bucket counts) once, reliably.
-
-    The hot-bucket check reads it and the final plan reuses it, so the facts
-    are not scanned again for it; a reliable checkpoint survives executor loss.
-    """
-    from rubricon.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _hot(table: DataFrame, cond: Column, cols: Sequence[str]) -> list:
     """Collect the (bounded) list of hot bucket keys."""
     rows = table.filter(cond).select(*cols).limit(MAX_HOT_BUCKETS + 1).collect()
@@ -177,10 +167,8 @@ def split_exact(df: DataFrame, key_cols: Sequence[str] = ("BMH",), test_size: fl
                          .withColumn("_ntest", F.ceil(n_all.cast("double") * F.lit(float(test_size))))
                          .withColumn("_before", F.col("_cum") - F.col("_m"))
                          .select(*gk, "_b", "_m", "_cum", "_before", "_ntest"))
-    buckets_all = _small_checkpoint(buckets_all)
-    buckets = buckets_all.drop("_m")
-    if not g:  # at most 65,536 rows: bounded by construction
-        buckets = F.broadcast(buckets)
+    buckets_all, n_buckets = materialize_small(buckets_all)
+    buckets = broadcast_if_small(buckets_all.drop("_m"), n_buckets)
     j = h.join(buckets, [*gk, "_b"])
     whole = j.filter((F.col("_cum") <= F.col("_ntest")) | (F.col("_before") >= F.col("_ntest"))) \
              .withColumn("split", F.when(F.col("_cum") <= F.col("_ntest"), "test").otherwise("train"))
@@ -246,12 +234,10 @@ def global_rank(df: DataFrame, key_cols: Sequence[str], seed: int, salt: Column
         h = h.withColumn("_k", F.lit(0))
     counts = h.groupBy(*pk, "_b").agg(F.count(F.lit(1)).alias("_m"))
     w = Window.partitionBy(*pk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = _small_checkpoint(counts.withColumn("_off", F.coalesce(F.sum("_m").over(w), F.lit(0))))
+    offs, n_buckets = materialize_small(counts.withColumn("_off", F.coalesce(F.sum("_m").over(w), F.lit(0))))
     hot = _hot(offs, F.col("_m") > max_window_rows, [*pk, "_b"])
     order = ["_h", *key_cols, *tb]
-    lookup = offs.drop("_m")
-    if not p:   # at most 65,536 rows
-        lookup = F.broadcast(lookup)
+    lookup = broadcast_if_small(offs.drop("_m"), n_buckets)
     normal = h
     parts = []
     if hot:

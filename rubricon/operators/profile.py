@@ -97,6 +97,8 @@ def histogram(df: DataFrame, col: str, bins: int, group_cols: Sequence[str] = ()
     spark = df.sparkSession
     all_bins = rng.crossJoin(F.broadcast(spark.range(bins).select(F.col("id").cast("int").alias("bin"))))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+    if not g:   # at most `bins` rows
+        counts = F.broadcast(counts)
     out = (all_bins.join(counts, [*gk, "bin"], "left")
                    .select(*g, "bin", (F.col("_lo") + F.col("bin") * width).alias("lo"),
                            (F.col("_lo") + (F.col("bin") + 1) * width).alias("hi"),

@@ -52,3 +52,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="rubricon-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
+
+
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def materialize_small(df):
+    """Checkpoint a small derived table (contingency cells, bucket counts) once.
+
+    Every later branch reads the checkpoint, so the work upstream of it —
+    scans, joins, model scoring in ``mapInPandas`` — runs exactly once even
+    when the plan uses the table several times; a reliable checkpoint also
+    survives executor loss.  Returns ``(checkpointed, n_rows)``; the count reads
+    the checkpoint only and is the size check behind later broadcasts.
+    """
+    checkpoint_dir(df.sparkSession)
+    ck = df.checkpoint(eager=True)
+    return ck, ck.count()
+
+
+def broadcast_if_small(df, n_rows: int, limit: int = MAX_BROADCAST_ROWS):
+    """Broadcast hint only when the counted size is within ``limit``; otherwise a normal join."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if n_rows <= limit else df
