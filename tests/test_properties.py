@@ -48,3 +48,22 @@ def test_no_global_window_on_facts(spark):
     for line in plan.splitlines():
         if "row_number()" in line and "Window" in line:
             assert "_b" in line          # partitioned by the hash bucket
+
+
+def test_scoring_runs_once_under_metrics(spark):
+    """The metric bundle reads a checkpointed contingency table, so the scorer is not re-run
+    per metric branch (self-joins defeat exchange reuse)."""
+    df = E.queries()["flagship_agreement"](spark, SF)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "Scan ExistingRDD" in plan
+
+
+def test_counted_broadcast_helper(spark):
+    from rubricon.session import broadcast_if_small, materialize_small
+    small, n = materialize_small(spark.range(10))
+    assert n == 10
+    j = spark.range(1000).join(broadcast_if_small(small, n), "id")
+    assert "BroadcastHashJoin" in j._jdf.queryExecution().executedPlan().toString()
+    j2 = spark.range(1000).join(broadcast_if_small(small, n, limit=5), "id")
+    assert j2.count() == 10
