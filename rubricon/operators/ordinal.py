@@ -1,9 +1,9 @@
 """Ordinal head: logits, probabilities, decode, loss, fitting, validation.
 
 Small heads are evaluated as JVM expressions with the weights inlined; wide
-heads (and every deep head) run as Arrow-batched numpy matrix products inside
-``mapInPandas`` with the weights shipped once per executor as a broadcast
-variable whose size is checked first.
+heads (and every deep head) run as numpy matrix products over Arrow record
+batches (``mapInArrow``) with the weights shipped once per executor as a
+broadcast variable whose size is checked first.
 """
 
 from __future__ import annotations
@@ -112,29 +112,43 @@ def head_logits(df: DataFrame, head: OrdinalHead, vec: str = "pooled", features:
 
 
 def _numpy_logits(df: DataFrame, head: OrdinalHead, out: str) -> DataFrame:
+    """Head forward pass over Arrow record batches (``mapInArrow``).
+
+    The ``_x`` list column is viewed as one (rows, D) matrix straight from the
+    Arrow buffers — no per-row Python — multiplied in numpy, and the logits are
+    returned as a list column built from the flat result.  Null vectors give
+    null logits.  Weights arrive once per executor as a broadcast variable.
+    """
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(head)
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-    names = df.columns
+    keep = [c for c in df.columns if c != "_x"]
+    schema = T.StructType([f for f in df.schema.fields if f.name != "_x"]
+                          + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    k_out = head.n_thresholds
+    dim = head.in_dim
 
     def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         h = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            xs = pdf["_x"]
-            ok = xs.notna().to_numpy()
-            res = [None] * len(pdf)
-            if ok.any():
-                mat = np.stack([np.asarray(v, dtype=float) for v in xs[ok]])
-                logits = head_forward(mat, h)
-                for i, row in zip(np.flatnonzero(ok), logits):
-                    res[i] = row.tolist()
-            pdf = pdf[names].copy()
-            pdf[out] = res
-            yield pdf
-
-    return df.mapInPandas(run, schema).drop("_x")
+        for rb in batches:
+            n = rb.num_rows
+            col = rb.column(rb.schema.get_field_index("_x"))
+            valid = col.is_valid().to_numpy(zero_copy_only=False)
+            lengths = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+            if np.any(valid & (lengths != dim)):
+                raise ValueError(f"vector length differs from the head input size {dim}")
+            mat = np.zeros((n, dim))
+            if valid.any():
+                mat[valid] = col.filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            logits = head_forward(mat, h)
+            offsets = pa.array(np.arange(0, (n + 1) * k_out, k_out, dtype=np.int32))
+            arr = pa.ListArray.from_arrays(offsets, pa.array(logits.ravel()), mask=pa.array(~valid))
+            cols = [rb.column(rb.schema.get_field_index(c)) for c in keep] + [arr]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, out])
+
+    return df.mapInArrow(run, schema)
 
 
 def linear_head(df, head: OrdinalHead, vec="pooled", features=None, out="logits", method="auto"):

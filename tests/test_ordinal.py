@@ -171,3 +171,10 @@ def test_vectorised_erf_matches_math():
     got = ordinal.erf(xs)
     want = np.array([math.erf(v) for v in xs])
     assert np.max(np.abs(got - want)) < 1e-13
+
+
+def test_numpy_head_null_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [0.0, 1.0])], "id int, vec array<double>")
+    head = OrdinalHead(coef=np.array([[1.0, 1.0], [2.0, 0.0]]), intercept=np.array([0.0, 1.0]), score_points=[0, 1, 2])
+    got = {r["id"]: r["logits"] for r in ordinal.linear_head(df, head, vec="vec", method="numpy").collect()}
+    assert got == {0: [3.0, 3.0], 1: None, 2: [1.0, 1.0]}
