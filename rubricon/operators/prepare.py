@@ -182,14 +182,14 @@ def split_exact(df: DataFrame, key_cols: Sequence[str] = ("BMH",), test_size: fl
         big = exact_rank(cut.join(hot_df, [*gk, "_b"], "left_semi"), [*gk, "_b"], order, "_rn")
         cut = cut.join(hot_df, [*gk, "_b"], "left_anti")
     rn = F.row_number().over(Window.partitionBy(*gk, "_b").orderBy(*order))
-    parts = [cut.withColumn("_rn", rn)] + ([big] if hot else [])
-    drop = ["_h", "_b", "_cum", "_before", "_ntest", "_m", "_rn"] + ([] if g else ["_k"])
-    out = whole.drop("_m") if "_m" in whole.columns else whole
-    for part in parts:
-        lab = part.withColumn("split", F.when(F.col("_before") + F.col("_rn") <= F.col("_ntest"), "test")
-                                         .otherwise("train"))
-        out = out.unionByName(lab.drop(*[c for c in drop if c in lab.columns]), allowMissingColumns=True)
-    return out.drop(*[c for c in drop if c in out.columns])
+    ranked = [cut.withColumn("_rn", rn)] + ([big] if hot else [])
+    helper = ["_h", "_b", "_cum", "_before", "_ntest", "_rn"] + ([] if g else ["_k"])
+    out = whole.drop(*[c for c in helper if c in whole.columns])
+    for part in ranked:
+        labelled = part.withColumn(
+            "split", F.when(F.col("_before") + F.col("_rn") <= F.col("_ntest"), "test").otherwise("train"))
+        out = out.unionByName(labelled.drop(*helper))
+    return out
 
 
 def split_hash(df: DataFrame, key_cols: Sequence[str] = ("BMH",), test_size: float = 0.2,
