@@ -22,8 +22,14 @@ MAX_HEAD_VALUES = 32 * 1024 * 1024
 
 def write_scored(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                  partition_by: list[str] | None = None, order_col: str | None = None) -> None:
-    """Write a scored table; ``order_col`` restores input order inside each output file."""
-    out = df.sortWithinPartitions(order_col) if order_col else df
+    """Write a scored table.
+
+    ``order_col`` restores input order (F4) with a global sort: Spark samples the
+    column, range-partitions and sorts each range, so file ``part-00000`` holds the
+    first rows and the work stays spread over all tasks.  Without it nothing is
+    reordered.
+    """
+    out = df.orderBy(order_col) if order_col else df
     w = out.write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.option("header", "true")

@@ -76,9 +76,10 @@ def test_encode_examples(spark):
 
 def test_write_scored_restores_order(spark, tmp_path):
     from rubricon.sources.sinks import write_scored
-    df = spark.createDataFrame([(i, str(i)) for i in (5, 3, 9, 1)], "row_id int, BMH string").coalesce(1)
-    write_scored(df, str(tmp_path / "o"), order_col="row_id")
     import glob
     import pandas as pd
+    df = spark.createDataFrame([(i, str(i)) for i in (5, 3, 9, 1, 7, 2, 8)], "row_id int, BMH string").repartition(3)
+    write_scored(df, str(tmp_path / "o"), order_col="row_id")
     files = sorted(glob.glob(str(tmp_path / "o" / "*.parquet")))
-    assert pd.read_parquet(files[0])["row_id"].tolist() == [1, 3, 5, 9]
+    got = [v for f in files for v in pd.read_parquet(f)["row_id"].tolist()]
+    assert got == [1, 2, 3, 5, 7, 8, 9]
