@@ -102,7 +102,7 @@ def _orderable(df: DataFrame, exclude: Sequence[str]) -> list[str]:
 
 
 def exact_rank(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str],
-               out: str = "_rank", n_parts: int | None = None) -> DataFrame:
+               out: str = "_rank", n_parts: int | None = None, weight_col: str | None = None) -> DataFrame:
     """1-based rank within ``partition_cols`` by ``order_cols``, balanced whatever the skew.
 
     The rows are range-partitioned and sorted on (partition, order, unique id):
@@ -110,7 +110,9 @@ def exact_rank(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequenc
     every column are interchangeable, so which copy takes which rank does not
     change the result).  The sorted rows are checkpointed so partition ids and
     positions are stable; a small table of per-partition counts gives each
-    partition its offset.
+    partition its offset.  With ``weight_col`` the result is the running sum of
+    the weights (inclusive) instead of the row rank; the in-partition running
+    sum is a window over one sorted range partition.
     """
     from rubricon.session import checkpoint_dir
 
@@ -122,13 +124,19 @@ def exact_rank(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequenc
              .repartitionByRange(n, *p, *o, "_uid").sortWithinPartitions(*p, *o, "_uid")
              .checkpoint(eager=True))
     pos = srt.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
-    stats = pos.groupBy("_pid", *p).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
+    w = F.lit(1) if weight_col is None else F.col(weight_col)
+    stats = pos.groupBy("_pid", *p).agg(F.sum(w).alias("_n"), F.min("_pos").alias("_p0"))
     before = Window.partitionBy(*p).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     if not p:   # at most n_parts rows
         stats = F.broadcast(stats)
     ranked = pos.join(stats, ["_pid", *p])
-    return (ranked.withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_p0") + 1).cast("long"))
+    if weight_col is None:
+        local = F.col("_pos") - F.col("_p0") + 1
+    else:
+        local = F.sum(w).over(Window.partitionBy("_pid", *p).orderBy("_pos")
+                              .rowsBetween(Window.unboundedPreceding, 0))
+    return (ranked.withColumn(out, F.col("_off") + local)
                   .drop("_uid", "_pid", "_pos", "_p0", "_off"))
 
 

@@ -5,7 +5,8 @@ percentiles (the pandas/numpy definition) from the table of *distinct values
 with counts*: one shuffle with partial aggregation, then a running count over
 the distinct values only.  That table is small for integer lengths and score
 points; for continuous data with unbounded distinct values use
-``method="approx"`` (``percentile_approx``), which never gathers a group.
+``method="approx"`` (``percentile_approx``); above ``MAX_WINDOW_ROWS`` distinct
+values the exact method switches to a range-partitioned running count.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubricon.functions.text import text_length
+from rubricon.operators.prepare import MAX_WINDOW_ROWS, exact_rank
+from rubricon.session import broadcast_if_small, materialize_small
 
 # Percentiles of the reference's describe call and its bin counts.
 PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -29,8 +32,15 @@ def pct_name(p: float) -> str:
 
 def describe(df: DataFrame, col: str, group_cols: Sequence[str] = (),
              percentiles: Sequence[float] = PERCENTILES, method: str = "exact",
-             accuracy: int = 10000) -> DataFrame:
-    """count, mean, std (n-1), min, percentiles, max of non-null ``col`` per group."""
+             accuracy: int = 10000, max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+    """count, mean, std (n-1), min, percentiles, max of non-null ``col`` per group.
+
+    ``exact``: the distinct values with counts are checkpointed once (one
+    eager action); running counts come from a window over them when there are at
+    most ``max_window_rows`` of them, else from a range-partitioned sort
+    (:func:`exact_rank` with weights), so no task receives all distinct values.
+    ``approx``: ``percentile_approx``.
+    """
     g = list(group_cols)
     x = F.col(col).cast("double")
     if method == "approx":
@@ -45,13 +55,16 @@ def describe(df: DataFrame, col: str, group_cols: Sequence[str] = (),
     base = df.select(*g, x.alias("_x")).filter(F.col("_x").isNotNull())
     if not g:
         base = base.withColumn("_k", F.lit(0))
-    freq = base.groupBy(*gk, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    part = Window.partitionBy(*gk)
-    run = part.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    # distinct values with counts, materialised once; its size picks the running-count method
+    freq, n_freq = materialize_small(base.groupBy(*gk, "_x").agg(F.count(F.lit(1)).alias("_c")))
     c = F.col("_c").cast("double")
-    freq = (freq.withColumn("_cum", F.sum("_c").over(run))
-                .withColumn("_n", F.sum("_c").over(part))
-                .withColumn("_mean", F.sum(c * F.col("_x")).over(part) / F.sum(c).over(part)))
+    totals = freq.groupBy(*gk).agg(F.sum("_c").alias("_n"), (F.sum(c * F.col("_x")) / F.sum(c)).alias("_mean"))
+    if n_freq <= max_window_rows:
+        run = Window.partitionBy(*gk).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+        freq = freq.withColumn("_cum", F.sum("_c").over(run))
+    else:
+        freq = exact_rank(freq, gk, ["_x"], "_cum", weight_col="_c")
+    freq = freq.join(broadcast_if_small(totals, n_freq), gk)
     aggs = [F.first("_n").alias("count"), F.first("_mean").alias("mean"),
             F.sqrt(F.try_divide(F.sum(c * (F.col("_x") - F.col("_mean")) * (F.col("_x") - F.col("_mean"))),
                                 F.when(F.first("_n") > 1, F.first("_n") - 1).cast("double"))).alias("std"),

@@ -62,3 +62,22 @@ def test_length_profile_counts_null_as_zero(spark):
 
 def test_score_profile_absent_column(spark):
     assert profile.score_profile(spark.createDataFrame([("a",)], "text string")) is None
+
+
+def test_describe_sorted_path_equals_window_path(spark):
+    import random
+    rnd = random.Random(4)
+    rows = [(g, round(rnd.gauss(0, 10), 3)) for g in ("a", "b") for _ in range(500)] + [("a", 1.0)] * 50
+    df = spark.createDataFrame(rows, "g string, x double")
+    a = {r["g"]: r.asDict() for r in profile.describe(df, "x", ["g"]).collect()}
+    b = {r["g"]: r.asDict() for r in profile.describe(df, "x", ["g"], max_window_rows=0).collect()}
+    for g in a:
+        for k, v in a[g].items():
+            if isinstance(v, float):
+                assert b[g][k] == pytest.approx(v, rel=1e-12, abs=1e-12), (g, k)
+            else:
+                assert b[g][k] == v
+    import numpy as np
+    xs = np.array([x for gg, x in rows if gg == "a"])
+    for p, name in [(0.25, "p25"), (0.5, "p50"), (0.99, "p99")]:
+        assert a["a"][name] == pytest.approx(float(np.quantile(xs, p)), abs=1e-9)
