@@ -81,25 +81,48 @@ def metric_names(tolerance: float | None) -> list[str]:
     return names
 
 
-def _value_table(ct: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group and observed value (union of preds and labels): dense index and both marginals."""
+def _value_table(ct: DataFrame, keys: list[str], n_cells: int | None = None) -> DataFrame:
+    """Per group and observed value (union of preds and labels): ``idx`` (dense index),
+    marginals ``mp``/``ml`` and tie-averaged ranks ``rp``/``rl`` of the value among
+    preds and among labels.
+
+    The table has at most 2 x ``n_cells`` rows.  Index and running counts come
+    from windows over it when that is within ``MAX_WINDOW_ROWS`` (always, for
+    score points), otherwise from range-partitioned ranks (:func:`exact_rank`), so
+    continuous predictions never put all values of a group in one task.
+    """
+    from rubricon.operators.prepare import MAX_WINDOW_ROWS, exact_rank
+
     zero = F.lit(0).cast("long")
     ex = ct.select(*keys, F.inline(F.array(
         F.struct(F.col("pred").alias("v"), F.col("n").alias("np"), zero.alias("nl")),
         F.struct(F.col("label").alias("v"), zero.alias("np"), F.col("n").alias("nl")))))
     vt = ex.groupBy(*keys, "v").agg(F.sum("np").alias("mp"), F.sum("nl").alias("ml"))
-    return dense_index(vt, "v", keys, "idx")
+    if n_cells is None or 2 * n_cells <= MAX_WINDOW_ROWS:
+        upto = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        vt = (vt.withColumn("idx", (F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1).cast("int"))
+                .withColumn("cp", F.sum("mp").over(upto)).withColumn("cl", F.sum("ml").over(upto)))
+    else:
+        vt = exact_rank(vt, keys, ["v"], "_r").withColumn("idx", (F.col("_r") - 1).cast("int")).drop("_r")
+        vt = exact_rank(vt, keys, ["v"], "cp", weight_col="mp")
+        vt = exact_rank(vt, keys, ["v"], "cl", weight_col="ml")
+    # average 1-based rank of tied values: running count minus half of the ties beyond the first
+    return vt.select(*keys, "v", "idx", "mp", "ml",
+                     (F.col("cp") - (F.col("mp") - 1) / 2.0).alias("rp"),
+                     (F.col("cl") - (F.col("ml") - 1) / 2.0).alias("rl"))
 
 
 def _indexed(ct: DataFrame, keys: list[str], n_cells: int | None = None) -> DataFrame:
-    """Contingency cells with dense indices a (pred), b (label) and the label marginal at pred.
+    """Contingency cells with dense indices a (pred), b (label), the label marginal at
+    pred and the average ranks of pred and label.
 
     The value table has at most 2 x ``n_cells`` rows; it is broadcast when that
     counted size is within the limit.
     """
-    vt = _value_table(ct, keys)
-    a = vt.select(*keys, F.col("v").alias("pred"), F.col("idx").alias("a"), F.col("ml").alias("ml_at_pred"))
-    b = vt.select(*keys, F.col("v").alias("label"), F.col("idx").alias("b"))
+    vt = _value_table(ct, keys, n_cells)
+    a = vt.select(*keys, F.col("v").alias("pred"), F.col("idx").alias("a"), F.col("ml").alias("ml_at_pred"),
+                  "rp")
+    b = vt.select(*keys, F.col("v").alias("label"), F.col("idx").alias("b"), "rl")
     if n_cells is not None:
         a, b = broadcast_if_small(a, 2 * n_cells), broadcast_if_small(b, 2 * n_cells)
     return ct.join(a, [*keys, "pred"]).join(b, [*keys, "label"])
@@ -133,28 +156,22 @@ def metrics_wide(ct: DataFrame, group_cols: Sequence[str] = (),
                  tolerance: float | None = None) -> DataFrame:
     """One row per group with every metric as a column (names as in :func:`metric_names`).
 
-    Plan: the value table (distinct values with marginals and dense index) is
-    joined to the cells twice; one window pass partitioned by group adds the
-    means and the tie-averaged ranks (RANGE frames over the marginal counts);
-    one aggregation then yields every sum the metrics need.
+    Plan: the value table (distinct values with marginals, dense index and
+    tie-averaged ranks) is joined to the cells twice and the per-group totals
+    once; one aggregation then yields every sum the metrics need.  No window runs
+    over the cells.
     """
     keys = _keys(group_cols)
     ct, n_cells = materialize_contingency(_ensure_key(ct, group_cols))
-    t = _indexed(ct, keys, n_cells)
     n = F.col("n").cast("double")
-    part = Window.partitionBy(*keys)
-    tot = F.sum(n).over(part)
-
-    def avg_rank(c):
-        upto = F.sum(n).over(part.orderBy(c).rangeBetween(Window.unboundedPreceding, 0))
-        same = F.sum(n).over(part.orderBy(c).rangeBetween(0, 0))
-        return upto - (same - 1.0) / 2.0
-
-    mid = (tot + 1.0) / 2.0                      # mean of average ranks is (N+1)/2
+    totals = ct.groupBy(*keys).agg(
+        F.sum(n).alias("_tot"), (F.sum(n * F.col("pred")) / F.sum(n)).alias("_mp"),
+        (F.sum(n * F.col("label")) / F.sum(n)).alias("_ml"))
+    t = _indexed(ct, keys, n_cells).join(broadcast_if_small(totals, n_cells), keys)
+    mid = (F.col("_tot") + 1.0) / 2.0             # mean of average ranks is (N+1)/2
     t = t.select(*keys, "pred", "label", "n", "a", "b", "ml_at_pred",
-                 (F.col("pred") - F.sum(n * F.col("pred")).over(part) / tot).alias("dp"),
-                 (F.col("label") - F.sum(n * F.col("label")).over(part) / tot).alias("dl"),
-                 (avg_rank("pred") - mid).alias("rp"), (avg_rank("label") - mid).alias("rl"))
+                 (F.col("pred") - F.col("_mp")).alias("dp"), (F.col("label") - F.col("_ml")).alias("dl"),
+                 (F.col("rp") - mid).alias("rp"), (F.col("rl") - mid).alias("rl"))
     err = F.abs(F.col("pred") - F.col("label"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     aggs = [

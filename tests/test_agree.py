@@ -97,3 +97,18 @@ def test_tolerance_curve(spark):
             agree.tolerance_curve(_df(spark, preds, labels)).collect()}
     assert rows[("le", 0.0)] == 0.75 and rows[("gt", 7.0)] == 0.25 and rows[("gt", 10.0)] == 0.25
     assert len(rows) == 16
+
+
+def test_large_value_table_path_matches(spark, monkeypatch):
+    """Continuous predictions: value-table ranks from range-partitioned sorts equal the window path."""
+    from rubricon.operators import prepare
+    rows = []
+    for g, (preds, labels, _, _) in SETS.items():
+        rows += [(g, float(p), float(l)) for p, l in zip(preds, labels)]
+    df = spark.createDataFrame(rows, "g string, pred double, label double")
+    want = {(r["g"], r["metric"]): r["value"] for r in agree.compute_metrics(df, group_cols=["g"], tolerance=1.0).collect()}
+    monkeypatch.setattr(prepare, "MAX_WINDOW_ROWS", 0)
+    got = {(r["g"], r["metric"]): r["value"] for r in agree.compute_metrics(df, group_cols=["g"], tolerance=1.0).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-12), k
