@@ -40,12 +40,17 @@ def _vector_sum(df: DataFrame, seq: str, weighted_vec: Column, extra: Sequence[C
 
 
 def with_positions(df: DataFrame, seq: str = "seq_id", order: str = "token_order",
-                   out: str = "pos") -> DataFrame:
+                   out: str = "pos", chunk: Column | None = None) -> DataFrame:
     """0-based position inside each sequence when it is not stored (E5).
 
-    The window is partitioned by sequence, so it is bounded by the sequence length.
+    The window is partitioned by sequence (bounded by the maximum sequence
+    length); for very long sequences pass ``chunk``, a key non-decreasing in
+    ``order``, and positions are numbered chunk by chunk with offsets.
     """
-    return df.withColumn(out, (F.row_number().over(Window.partitionBy(seq).orderBy(order)) - 1).cast("int"))
+    if chunk is None:
+        return df.withColumn(out, (F.row_number().over(Window.partitionBy(seq).orderBy(order)) - 1).cast("int"))
+    from rubricon.operators.track import chunked_row_number
+    return chunked_row_number(df, [seq], [order], chunk, out).withColumn(out, (F.col(out) - 1).cast("int"))
 
 
 def pool_mean(df: DataFrame, seq: str = "seq_id", vec: str = "vec", mask: str | None = "mask",

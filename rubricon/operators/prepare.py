@@ -67,16 +67,19 @@ def encode_ordinal(df: DataFrame, label: str = "label", group_cols: Sequence[str
 
     Runs one small action: the distinct score-point table (bounded by the rubric,
     at most ``max_broadcast_rows`` rows) is collected and joined back as a
-    broadcast lookup.  Past that bound the lookup stays a regular join and AQE
-    picks the strategy at run time.
+    broadcast lookup.  Past that bound the index comes from a range-partitioned
+    rank (:func:`exact_rank`) and the lookup stays a regular join that AQE plans
+    at run time.
     """
     g = list(group_cols)
     pts = score_points(df, label, g)
     rows = pts.limit(max_broadcast_rows + 1).collect()
     if len(rows) <= max_broadcast_rows:
         lookup = F.broadcast(df.sparkSession.createDataFrame(rows, pts.schema))
-    else:
-        lookup = pts
+    else:   # continuous labels: index by a range-partitioned rank, join without a hint
+        vals = df.select(*g, F.col(label).cast("double").alias("label")).filter(F.col("label").isNotNull()).distinct()
+        pts = lookup = (exact_rank(vals, g, ["label"], "_r")
+                        .withColumn("label_idx", (F.col("_r") - 1).cast("int")).drop("_r"))
     keyed = df.withColumn("_lbl", F.col(label).cast("double"))
     lk = lookup.withColumnRenamed("label", "_lbl")
     out = keyed.join(lk, [*g, "_lbl"], "left").drop("_lbl")

@@ -29,14 +29,14 @@ def chunked_row_number(df: DataFrame, by: Sequence[str], order: Sequence[str], c
     cumulated over the chunk table; rows are numbered inside their chunk.
     """
     b = list(by)
-    d = df.withColumn("_chunk", chunk)
-    counts = d.groupBy(*b, "_chunk").agg(F.count(F.lit(1)).alias("_cn"))
-    prev = Window.partitionBy(*b).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_cn").over(prev), F.lit(0))).drop("_cn")
-    local = F.row_number().over(Window.partitionBy(*b, "_chunk").orderBy(*order))
-    return (d.withColumn("_rn", local).join(offs, [*b, "_chunk"])
-             .withColumn(out, (F.col("_rn") + F.col("_off")).cast("long"))
-             .drop("_chunk", "_rn", "_off"))
+    d = df.withColumn("_crn_chunk", chunk)
+    counts = d.groupBy(*b, "_crn_chunk").agg(F.count(F.lit(1)).alias("_crn_n"))
+    prev = Window.partitionBy(*b).orderBy("_crn_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_crn_off", F.coalesce(F.sum("_crn_n").over(prev), F.lit(0))).drop("_crn_n")
+    local = F.row_number().over(Window.partitionBy(*b, "_crn_chunk").orderBy(*order))
+    return (d.withColumn("_crn_local", local).join(offs, [*b, "_crn_chunk"])
+             .withColumn(out, (F.col("_crn_local") + F.col("_crn_off")).cast("long"))
+             .drop("_crn_chunk", "_crn_local", "_crn_off"))
 
 
 def improvement_events(log: DataFrame, run: str = "run", step: str = "step", metric: str = "metric",

@@ -7,7 +7,7 @@ so the Parquet scans are pruned.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the fixture definitions.
@@ -16,6 +16,7 @@ PROB_THRESHOLDS = 9          # K-1 logits taken from the first 9 embedding value
 PROB_LOGIT_SCALE = 4.0
 TOK_MASK_LEN = 40            # positions < 40 are real tokens
 TOK_ALL_MASKED_SEQ = 9       # this sequence has no real token
+TOK_POS_CHUNK = 65_536       # vec_id range numbered by one window partition
 LOG_EPOCH_STEPS = 5
 TOY_MARKER = "@"             # the toy scorer raises on texts containing it
 
@@ -91,10 +92,14 @@ def prob_score_points() -> list[float]:
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-TOK: long token table ``(seq_id, pos, mask, vec)``."""
+    from rubricon.operators.track import chunked_row_number
+
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    pos = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return (e.select(F.col("label").cast("long").alias("seq_id"), pos.cast("int").alias("pos"),
-                     F.col("embedding").cast("array<double>").alias("vec"))
+    # a sequence here is a whole label class, so positions are numbered in vec_id chunks
+    numbered = chunked_row_number(e, by=["label"], order=["vec_id"],
+                                  chunk=F.floor(F.col("vec_id") / TOK_POS_CHUNK), out="_rn")
+    return (numbered.select(F.col("label").cast("long").alias("seq_id"), (F.col("_rn") - 1).cast("int").alias("pos"),
+                            F.col("embedding").cast("array<double>").alias("vec"))
              .withColumn("mask", F.when(F.col("seq_id") == TOK_ALL_MASKED_SEQ, F.lit(0))
                                   .when(F.col("pos") < TOK_MASK_LEN, F.lit(1)).otherwise(F.lit(0))))
 

@@ -59,3 +59,11 @@ def test_unknown_strategy_raises(spark):
     t = _tokens(spark, [[1, 1, 1, 1]])
     with pytest.raises(ValueError):
         pool.pool(t, "max")
+
+
+def test_with_positions_chunked(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(s, t) for s in range(3) for t in range(0, 200, 3)], "seq_id long, token_order long")
+    a = pool.with_positions(df)
+    b = pool.with_positions(df, chunk=F.floor(F.col("token_order") / 10))
+    assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())

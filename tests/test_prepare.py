@@ -158,3 +158,12 @@ def test_answers_na_tokens(spark):
     assert load_answers(raw, text_col="text").count() == 3
     got = [r["BMH"] for r in load_answers(raw, text_col="text", na_tokens=PANDAS_NA_TOKENS).collect()]
     assert got == ["2"]
+
+
+def test_encode_many_points_uses_ranked_lookup(spark):
+    df = spark.createDataFrame([(str(i), float(i % 37) / 3) for i in range(300)], "BMH string, label double")
+    small, _ = prepare.encode_ordinal(df)
+    big, _ = prepare.encode_ordinal(df, max_broadcast_rows=5)
+    a = sorted((r["BMH"], r["label_idx"]) for r in small.collect())
+    b = sorted((r["BMH"], r["label_idx"]) for r in big.collect())
+    assert a == b and max(x[1] for x in a) == 36
