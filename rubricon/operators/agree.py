@@ -305,19 +305,20 @@ def tolerance_curve(df, pred="pred", label="label", group_cols=(),
     """Cumulative error curve ``(group..., op, threshold, share)``.
 
     ``op='le'`` rows hold the share with |pred-label| <= threshold, ``op='gt'`` rows
-    the share above it.  The threshold list is a fixed literal table (16 rows),
-    so broadcasting it is bounded by construction.
+    the share above it.  One aggregation computes every threshold as a column,
+    then the columns are unpivoted; no join.
     """
     keys = _keys(group_cols)
     ct = df if from_contingency else contingency(df, pred, label, group_cols)
     ct = _ensure_key(ct, group_cols)
-    spark = ct.sparkSession
-    th = spark.createDataFrame([("le", float(t)) for t in le] + [("gt", float(t)) for t in gt],
-                               "op string, threshold double")
     err = F.abs(F.col("pred") - F.col("label"))
     n = F.col("n").cast("double")
-    hit = F.when(F.col("op") == "le", err <= F.col("threshold")).otherwise(err > F.col("threshold"))
-    out = (ct.crossJoin(F.broadcast(th))
-             .groupBy(*keys, "op", "threshold")
-             .agg((F.sum(F.when(hit, n).otherwise(0.0)) / F.sum(n)).alias("share")))
-    return _drop_key(out, group_cols)
+    spec = [("le", float(t)) for t in le] + [("gt", float(t)) for t in gt]
+    aggs = [F.sum(n).alias("_N")]
+    for i, (op, t) in enumerate(spec):
+        hit = err <= F.lit(t) if op == "le" else err > F.lit(t)
+        aggs.append(F.sum(F.when(hit, n).otherwise(0.0)).alias(f"_s{i}"))
+    s = ct.groupBy(*keys).agg(*aggs)
+    rows = [F.struct(F.lit(op).alias("op"), F.lit(t).alias("threshold"),
+                     (F.col(f"_s{i}") / F.col("_N")).alias("share")) for i, (op, t) in enumerate(spec)]
+    return _drop_key(s.select(*keys, F.inline(F.array(*rows))), group_cols)

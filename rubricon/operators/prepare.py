@@ -272,10 +272,8 @@ def shuffled_batches(df: DataFrame, key_cols: Sequence[str] = ("BMH",), batch_si
     Output adds ``epoch``, ``batch_id`` and ``batch_pos``; row order inside an epoch is
     ``md5("seed:epoch:key")``.
     """
-    spark = df.sparkSession
-    ep = spark.range(epochs).select(F.col("id").cast("int").alias("epoch"))
-    crossed = df.crossJoin(F.broadcast(ep))   # `epochs` rows: bounded by the argument
-    ranked = global_rank(crossed, key_cols, seed, salt=F.col("epoch"), partition_cols=["epoch"],
+    per_epoch = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    ranked = global_rank(per_epoch, key_cols, seed, salt=F.col("epoch"), partition_cols=["epoch"],
                          max_window_rows=max_window_rows)
     r0 = F.col("rank") - 1
     return (ranked.withColumn("batch_id", F.floor(r0 / batch_size).cast("long"))

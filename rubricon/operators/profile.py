@@ -107,8 +107,7 @@ def histogram(df: DataFrame, col: str, bins: int, group_cols: Sequence[str] = ()
     # one row per group; with no grouping it is a single row, broadcast by construction
     rng_side = rng if g else F.broadcast(rng)
     counts = base.join(rng_side, gk).groupBy(*gk, b.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
-    spark = df.sparkSession
-    all_bins = rng.crossJoin(F.broadcast(spark.range(bins).select(F.col("id").cast("int").alias("bin"))))
+    all_bins = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     if not g:   # at most `bins` rows
         counts = F.broadcast(counts)
@@ -134,8 +133,12 @@ def length_profile(df: DataFrame, text: str = "text", group_cols: Sequence[str]
     """L1: ``(describe + n_zero, histogram)`` of text lengths."""
     lens = with_length(df, text)
     d = describe(lens, "length", group_cols)
-    zeros = lens.groupBy(*group_cols).agg(F.count_if(F.col("length") == 0).cast("long").alias("n_zero"))
-    d = d.join(zeros, list(group_cols)) if group_cols else d.crossJoin(zeros)
+    g = list(group_cols)
+    gk = g if g else ["_k"]
+    zeros = lens.groupBy(*g).agg(F.count_if(F.col("length") == 0).cast("long").alias("n_zero"))
+    if not g:   # single-row tables: join on a constant key
+        d, zeros = d.withColumn("_k", F.lit(0)), zeros.withColumn("_k", F.lit(0))
+    d = d.join(zeros, gk).drop(*([] if g else ["_k"]))
     return d, histogram(lens, "length", bins, group_cols)
 
 
@@ -156,10 +159,15 @@ def length_vs_score(df: DataFrame, text: str = "text", score: str = "pred_score"
 
 
 def length_score_bins(df: DataFrame, length_bins: int = LENGTH_BINS, score: str = "score") -> DataFrame:
-    """2-D counts ``(bin, score, n)`` of a length-vs-score table — the scalable scatter."""
-    rng = df.agg(F.min("length").alias("_mn"), F.max("length").alias("_mx"))
+    """2-D counts ``(bin, score, n)`` of a length-vs-score table — the scalable scatter.
+
+    Length bins follow :func:`histogram` (equal width over [min, max], last bin closed).
+    """
+    d = df.withColumn("_k", F.lit(0))
+    rng = d.groupBy("_k").agg(F.min("length").alias("_mn"), F.max("length").alias("_mx"))
     lo = F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn"))
     hi = F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx"))
     b = F.least(F.floor((F.col("length") - lo) * F.lit(float(length_bins)) / (hi - lo)), F.lit(length_bins - 1))
-    return (df.crossJoin(rng).groupBy(b.cast("int").alias("bin"), F.col(score).alias("score"))
+    return (d.join(F.broadcast(rng), "_k")      # one row
+              .groupBy(b.cast("int").alias("bin"), F.col(score).alias("score"))
               .agg(F.count(F.lit(1)).alias("n")))
