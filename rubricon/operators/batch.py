@@ -72,6 +72,9 @@ def batch_score(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]]
                 text_col: str = "text", batch_size: int = 16, batch_col: str | None = None,
                 order_cols: list[str] | None = None, isolate_failures: bool = False) -> DataFrame:
     """Score every row; see the module docstring for batching and failure semantics."""
+    from rubricon.session import ship_package
+
+    ship_package(df.sparkSession)
     key = uuid.uuid4().hex          # one scorer per Python worker and call
     d = df.withColumn("_skip", is_blank(text_col))
     out_fields = df.schema.fields + [

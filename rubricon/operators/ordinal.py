@@ -119,7 +119,10 @@ def _numpy_logits(df: DataFrame, head: OrdinalHead, out: str) -> DataFrame:
     returned as a list column built from the flat result.  Null vectors give
     null logits.  Weights arrive once per executor as a broadcast variable.
     """
+    from rubricon.session import ship_package
+
     spark = df.sparkSession
+    ship_package(spark)
     bc = spark.sparkContext.broadcast(head)
     keep = [c for c in df.columns if c != "_x"]
     schema = T.StructType([f for f in df.schema.fields if f.name != "_x"]
@@ -259,7 +262,7 @@ def fit_thresholds(df: DataFrame, vec: str = "pooled", label_idx: str = "label_i
 
         workers = max(1, min(parallelism, n_classes - 1))
         with ThreadPoolExecutor(max_workers=workers) as pool:
-            list(pool.map(inheritable_thread_target(fit), range(n_classes - 1)))
+            list(pool.map(inheritable_thread_target(spark)(fit), range(n_classes - 1)))
     finally:
         data.unpersist()
     pts = list(score_points) if score_points is not None else [float(i) for i in range(n_classes)]

@@ -75,3 +75,34 @@ def broadcast_if_small(df, n_rows: int, limit: int = MAX_BROADCAST_ROWS):
     """Broadcast hint only when the counted size is within ``limit``; otherwise a normal join."""
     from pyspark.sql import functions as F
     return F.broadcast(df) if n_rows <= limit else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rubricon`` importable in Python workers (mapInPandas / mapInArrow).
+
+    Installed deployments ship it with ``spark-submit --py-files`` or the executor
+    image.  In local mode the driver may import it from a source folder the
+    workers do not see, so the package is zipped once per context and added
+    with ``addPyFile``, Spark's own way to distribute Python code.
+    """
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED or not sc.master.startswith("local"):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="rubricon-pyfiles-"), "rubricon.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
