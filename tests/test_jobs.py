@@ -83,3 +83,28 @@ def test_write_scored_restores_order(spark, tmp_path):
     files = sorted(glob.glob(str(tmp_path / "o" / "*.parquet")))
     got = [v for f in files for v in pd.read_parquet(f)["row_id"].tolist()]
     assert got == [1, 2, 3, 5, 7, 8, 9]
+
+
+def test_cli_agree_and_score(spark, tmp_path):
+    from rubricon import cli
+    df = spark.createDataFrame([(0.0, 0.0), (2.0, 2.0), (4.0, 3.0), (4.0, 4.0), (1.0, 1.0)], "pred double, label double")
+    df.write.parquet(str(tmp_path / "in"))
+    assert cli.main(["agree", "--input", str(tmp_path / "in"), "--output", str(tmp_path / "m")]) == 0
+    m = {r["metric"]: r["value"] for r in spark.read.json(str(tmp_path / "m")).collect()}
+    assert m["exact_accuracy"] == 0.8
+    a = spark.createDataFrame([("1", "abc"), ("2", None)], "BMH string, text string")
+    a.write.parquet(str(tmp_path / "ans"))
+    assert cli.main(["score", "--input", str(tmp_path / "ans"), "--output", str(tmp_path / "out"),
+                     "--scorer", "rubricon.operators.batch:ToyScorer", "--text-col", "text"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_cli_fit(spark, tmp_path):
+    from rubricon import cli
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select(
+        F.col("vec_id").cast("string").alias("BMH"), F.col("embedding").cast("array<double>").alias("pooled"),
+        F.col("label").cast("double").alias("label"))
+    e.write.parquet(str(tmp_path / "v"))
+    assert cli.main(["fit", "--vectors", str(tmp_path / "v"), "--output", str(tmp_path / "o"),
+                     "--max-iter", "20", "--tolerance", "1.0"]) == 0
+    assert spark.read.parquet(str(tmp_path / "o/model/weights")).count() == 9
