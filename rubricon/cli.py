@@ -1,9 +1,9 @@
 """Command line for the three programs of the reference (M4-M6), for ``spark-submit``.
 
-    spark-submit --py-files rubricon.zip -m rubricon.cli score   --input A --output B --scorer pkg.mod:factory
-    spark-submit ... -m rubricon.cli profile --input A --output-dir D [--score-col pred_score]
-    spark-submit ... -m rubricon.cli fit     --vectors V --output D [--tolerance 1.0] [--test-size 0.2]
-    spark-submit ... -m rubricon.cli agree   --input A --output D [--pred pred --label label --group g]
+    spark-submit --py-files rubricon.zip rubricon/cli.py score   --input A --output B --scorer pkg.mod:factory
+    spark-submit ... rubricon/cli.py profile --input A --output-dir D [--score-col pred_score]
+    spark-submit ... rubricon/cli.py fit     --vectors V --output D [--tolerance 1.0] [--test-size 0.2]
+    spark-submit ... rubricon/cli.py agree   --input A --output D [--pred pred --label label --group g]
 
 Inputs are Parquet unless ``--format`` says otherwise; the session comes from
 ``spark-submit`` (``getOrCreate``), so cluster settings, including
