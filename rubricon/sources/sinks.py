@@ -16,6 +16,13 @@ WEIGHTS_SCHEMA = T.StructType([
     T.StructField("intercept", T.DoubleType(), True),
 ])
 
+# Output column names and status texts of the reference's scored file.
+REFERENCE_SCORE_COL = "预测分数"
+REFERENCE_STATUS_COL = "处理状态"
+REFERENCE_SUCCESS = "成功"
+REFERENCE_SKIPPED = "跳过(空文本)"
+REFERENCE_FAILED_PREFIX = "失败: "
+
 # Refuse to broadcast heads larger than this many doubles (~256 MiB).
 MAX_HEAD_VALUES = 32 * 1024 * 1024
 
@@ -38,6 +45,19 @@ def write_scored(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
     w.save(path)
 
 
+def to_reference_layout(scored: DataFrame) -> DataFrame:
+    """Scored table in the reference's layout: input columns + score + status text.
+
+    ``failed`` rows carry the error message after the failure prefix, as the
+    reference writes them; ``error`` is folded into the status column.
+    """
+    status = (F.when(F.col("status") == "success", F.lit(REFERENCE_SUCCESS))
+               .when(F.col("status") == "skipped", F.lit(REFERENCE_SKIPPED))
+               .otherwise(F.concat(F.lit(REFERENCE_FAILED_PREFIX), F.coalesce(F.col("error"), F.lit("")))))
+    keep = [c for c in scored.columns if c not in ("pred_score", "status", "error")]
+    return scored.select(*keep, F.col("pred_score").alias(REFERENCE_SCORE_COL), status.alias(REFERENCE_STATUS_COL))
+
+
 def write_metrics_json(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Long-form metrics ``(group..., metric, value)`` as JSON lines."""
     metrics.write.mode(mode).json(path)

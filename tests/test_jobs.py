@@ -108,3 +108,14 @@ def test_cli_fit(spark, tmp_path):
     assert cli.main(["fit", "--vectors", str(tmp_path / "v"), "--output", str(tmp_path / "o"),
                      "--max-iter", "20", "--tolerance", "1.0"]) == 0
     assert spark.read.parquet(str(tmp_path / "o/model/weights")).count() == 9
+
+
+def test_reference_layout(spark):
+    from rubricon.sources.sinks import to_reference_layout
+    df = spark.createDataFrame([("1", "a", 1.0, "success", None), ("2", None, None, "skipped", None),
+                                ("3", "x", None, "failed", "boom")],
+                               "BMH string, text string, pred_score double, status string, error string")
+    out = {r["BMH"]: r for r in to_reference_layout(df).collect()}
+    assert out["1"]["处理状态"] == "成功" and out["1"]["预测分数"] == 1.0
+    assert out["2"]["处理状态"] == "跳过(空文本)"
+    assert out["3"]["处理状态"] == "失败: boom"
