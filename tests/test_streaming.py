@@ -31,3 +31,19 @@ def test_stream_decode_equals_batch(spark, tmp_path):
     from rubricon.streaming import score_vector_stream as s
     want = {r["vec_id"]: r["score"] for r in s(batch, head).select("vec_id", "score").collect()}
     assert got == want and len(got) == 500
+
+
+def test_clean_answer_stream(spark, tmp_path):
+    from rubricon.streaming import clean_answer_stream
+    src = tmp_path / "ans"
+    spark.createDataFrame([(1, "a"), (2, None), (3, "  ")], "BMH int, text string").write.parquet(str(src))
+    schema = spark.read.parquet(str(src)).schema
+    q = (clean_answer_stream(spark.readStream.schema(schema).parquet(str(src))).writeStream
+         .format("memory").queryName("clean_stream").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ck")).start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {r["BMH"]: r["blank"] for r in spark.sql("SELECT * FROM clean_stream").collect()}
+    assert got == {"1": False, "3": True}
