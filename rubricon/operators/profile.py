@@ -130,7 +130,11 @@ def with_length(df: DataFrame, text: str = "text", out: str = "length") -> DataF
 
 def length_profile(df: DataFrame, text: str = "text", group_cols: Sequence[str] = (),
                    bins: int = LENGTH_BINS) -> tuple[DataFrame, DataFrame]:
-    """L1: ``(describe + n_zero, histogram)`` of text lengths."""
+    """L1: ``(describe + n_zero, histogram)`` of text lengths.
+
+    Building the describe table runs its one bounded action (see :func:`describe`);
+    use :func:`histogram` on :func:`with_length` alone when only the bins are needed.
+    """
     lens = with_length(df, text)
     d = describe(lens, "length", group_cols)
     g = list(group_cols)

@@ -240,8 +240,8 @@ def q_length_describe(spark, sf):
 
 
 def q_length_hist(spark, sf):
-    _, h = profile.length_profile(fx.raw_answers(spark, sf), "text")
-    return _round_cols(h, ["lo", "hi"])
+    lens = profile.with_length(fx.raw_answers(spark, sf), "text")
+    return _round_cols(profile.histogram(lens, "length", profile.LENGTH_BINS), ["lo", "hi"])
 
 
 def q_score_profile(spark, sf):
@@ -250,8 +250,8 @@ def q_score_profile(spark, sf):
 
 
 def q_score_hist(spark, sf):
-    _, h = profile.score_profile(fx.ratings(spark, sf), "pred")
-    return _round_cols(profile.nonempty_bins(h), ["lo", "hi"])
+    scores = fx.ratings(spark, sf).filter(F.col("pred").isNotNull())
+    return _round_cols(profile.nonempty_bins(profile.histogram(scores, "pred", profile.SCORE_BINS)), ["lo", "hi"])
 
 
 def q_length_vs_score(spark, sf):
