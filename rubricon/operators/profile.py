@@ -90,8 +90,9 @@ def histogram(df: DataFrame, col: str, bins: int, group_cols: Sequence[str] = ()
     """Equal-width histogram with every bin present ``(group..., bin, lo, hi, n)``.
 
     Bins span [min, max]; the last bin is closed on the right; when min = max
-    the range widens to min +/- 0.5.  Empty bins get ``n = 0`` from a join with
-    the (bins-row) bin table.
+    the range widens to min +/- 0.5.  The facts are read once: they are reduced
+    to distinct values with counts (partial aggregation), and range, bin and
+    totals are computed on that table.  Empty bins get ``n = 0``.
     """
     g = list(group_cols)
     gk = g if g else ["_k"]
@@ -99,23 +100,23 @@ def histogram(df: DataFrame, col: str, bins: int, group_cols: Sequence[str] = ()
     base = df.select(*g, x.alias("_x")).filter(F.col("_x").isNotNull())
     if not g:
         base = base.withColumn("_k", F.lit(0))
-    rng = (base.groupBy(*gk).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
+    freq = base.groupBy(*gk, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    rng = (freq.groupBy(*gk).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
                .select(*gk, F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
                        F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi")))
     b = F.least(F.floor((F.col("_x") - F.col("_lo")) * F.lit(float(bins)) / (F.col("_hi") - F.col("_lo"))),
                 F.lit(bins - 1)).cast("int")
     # one row per group; with no grouping it is a single row, broadcast by construction
     rng_side = rng if g else F.broadcast(rng)
-    counts = base.join(rng_side, gk).groupBy(*gk, b.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = freq.join(rng_side, gk).groupBy(*gk, b.alias("bin")).agg(F.sum("_c").alias("_n"))
     all_bins = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     if not g:   # at most `bins` rows
         counts = F.broadcast(counts)
-    out = (all_bins.join(counts, [*gk, "bin"], "left")
-                   .select(*g, "bin", (F.col("_lo") + F.col("bin") * width).alias("lo"),
-                           (F.col("_lo") + (F.col("bin") + 1) * width).alias("hi"),
-                           F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n")))
-    return out
+    return (all_bins.join(counts, [*gk, "bin"], "left")
+                    .select(*g, "bin", (F.col("_lo") + F.col("bin") * width).alias("lo"),
+                            (F.col("_lo") + (F.col("bin") + 1) * width).alias("hi"),
+                            F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n")))
 
 
 def nonempty_bins(hist: DataFrame) -> DataFrame:
