@@ -164,15 +164,19 @@ def length_vs_score(df: DataFrame, text: str = "text", score: str = "pred_score"
 
 
 def length_score_bins(df: DataFrame, length_bins: int = LENGTH_BINS, score: str = "score") -> DataFrame:
-    """2-D counts ``(bin, score, n)`` of a length-vs-score table — the scalable scatter.
+    """2-D counts ``(bin, score, n)`` of a length-vs-score table — the scalable scatter (L3).
 
-    Length bins follow :func:`histogram` (equal width over [min, max], last bin closed).
+    Length bins follow :func:`histogram` (equal width over [min, max], last bin
+    closed).  The facts are reduced once to ``(length, score, count)``; range and
+    bins are computed on that table.
     """
-    d = df.withColumn("_k", F.lit(0))
-    rng = d.groupBy("_k").agg(F.min("length").alias("_mn"), F.max("length").alias("_mx"))
+    cells = (df.filter(F.col(score).isNotNull())
+               .groupBy(F.col("length").cast("double").alias("_x"), F.col(score).cast("double").alias("score"))
+               .agg(F.count(F.lit(1)).alias("_c")).withColumn("_k", F.lit(0)))
+    rng = cells.groupBy("_k").agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
     lo = F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn"))
     hi = F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx"))
-    b = F.least(F.floor((F.col("length") - lo) * F.lit(float(length_bins)) / (hi - lo)), F.lit(length_bins - 1))
-    return (d.join(F.broadcast(rng), "_k")      # one row
-              .groupBy(b.cast("int").alias("bin"), F.col(score).alias("score"))
-              .agg(F.count(F.lit(1)).alias("n")))
+    b = F.least(F.floor((F.col("_x") - lo) * F.lit(float(length_bins)) / (hi - lo)), F.lit(length_bins - 1))
+    return (cells.join(F.broadcast(rng), "_k")      # one row
+                 .groupBy(b.cast("int").alias("bin"), "score")
+                 .agg(F.sum("_c").cast("long").alias("n")))

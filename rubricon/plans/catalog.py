@@ -259,6 +259,10 @@ def q_length_vs_score(spark, sf):
     return profile.length_vs_score(j, "text", "label", keys=["BMH"])
 
 
+def q_length_score_bins(spark, sf):
+    return profile.length_score_bins(q_length_vs_score(spark, sf))
+
+
 # ---------------------------------------------------------------- track
 
 def q_improvement_events(spark, sf):
@@ -319,6 +323,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_profile": q_score_profile,
     "score_hist": q_score_hist,
     "length_vs_score": q_length_vs_score,
+    "length_score_bins": q_length_score_bins,
     "improvement_events": q_improvement_events,
     "best_checkpoint": q_best_checkpoint,
     "epoch_loss": q_epoch_loss,

@@ -399,3 +399,11 @@ SELECT vec_id, CAST(k AS INTEGER) AS k,
        round(sum(v * (CAST(((k + 2 * c) % 5) - 2 AS DOUBLE) / CAST(4 AS DOUBLE)))
              + CAST(k - 4 AS DOUBLE) / CAST(8 AS DOUBLE), 6) AS logit
 FROM x2, range(9) o(k) GROUP BY vec_id, k"""
+
+SQL["length_score_bins"] = with_(ANS, CAL, """
+p AS (SELECT CAST(length(coalesce(a.text, '')) AS DOUBLE) AS x, cal.label AS score
+      FROM ans_raw a JOIN cal ON a.BMH = cal.BMH),
+r AS (SELECT min(x) AS mn, max(x) AS mx FROM p),
+rr AS (SELECT CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo, CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi FROM r)""") + """
+SELECT CAST(least(floor((x - lo) * CAST(80 AS DOUBLE) / (hi - lo)), 79) AS INTEGER) AS bin, score, count(*) AS n
+FROM p, rr GROUP BY ALL"""
