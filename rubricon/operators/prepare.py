@@ -123,7 +123,10 @@ def exact_rank(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequenc
     checkpoint_dir(spark)
     p, o = list(partition_cols), list(order_cols)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    srt = (df.withColumn("_uid", F.monotonically_increasing_id())
+    # Each input partition is sorted before ids are drawn, so a retried map task
+    # hands out the same ids to the same rows (only identical rows can swap);
+    # the range shuffle then neither duplicates nor loses rows after executor loss.
+    srt = (df.sortWithinPartitions(*p, *o).withColumn("_uid", F.monotonically_increasing_id())
              .repartitionByRange(n, *p, *o, "_uid").sortWithinPartitions(*p, *o, "_uid")
              .checkpoint(eager=True))
     pos = srt.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
