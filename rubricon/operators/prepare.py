@@ -146,12 +146,12 @@ def exact_rank(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequenc
                   .drop("_uid", "_pid", "_pos", "_p0", "_off"))
 
 
-def _hot(table: DataFrame, cond: Column, cols: Sequence[str]) -> list:
-    """Collect the (bounded) list of hot bucket keys."""
+def _hot(table: DataFrame, cond: Column, cols: Sequence[str]) -> list | None:
+    """Collect the (bounded) list of hot bucket keys; ``None`` when there are more
+    than ``MAX_HOT_BUCKETS`` — the data is then simply large and is ranked whole
+    by :func:`exact_rank`."""
     rows = table.filter(cond).select(*cols).limit(MAX_HOT_BUCKETS + 1).collect()
-    if len(rows) > MAX_HOT_BUCKETS:
-        raise ValueError(f"more than {MAX_HOT_BUCKETS} hot buckets; raise MAX_WINDOW_ROWS")
-    return rows
+    return None if len(rows) > MAX_HOT_BUCKETS else rows
 
 
 def split_exact(df: DataFrame, key_cols: Sequence[str] = ("BMH",), test_size: float = 0.2,
@@ -191,12 +191,15 @@ def split_exact(df: DataFrame, key_cols: Sequence[str] = ("BMH",), test_size: fl
     is_cut = (F.col("_before") < F.col("_ntest")) & (F.col("_cum") > F.col("_ntest"))
     cut = j.filter(is_cut)
     hot = _hot(buckets_all, is_cut & (F.col("_m") > max_window_rows), [*gk, "_b"])
-    if hot:
-        hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, buckets_all.select(*gk, "_b").schema))
-        big = exact_rank(cut.join(hot_df, [*gk, "_b"], "left_semi"), [*gk, "_b"], order, "_rn")
-        cut = cut.join(hot_df, [*gk, "_b"], "left_anti")
     rn = F.row_number().over(Window.partitionBy(*gk, "_b").orderBy(*order))
-    ranked = [cut.withColumn("_rn", rn)] + ([big] if hot else [])
+    if hot is None:             # many large boundary buckets: one balanced sort of them all
+        ranked = [exact_rank(cut, [*gk, "_b"], order, "_rn")]
+    elif hot:
+        hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, buckets_all.select(*gk, "_b").schema))
+        ranked = [cut.join(hot_df, [*gk, "_b"], "left_anti").withColumn("_rn", rn),
+                  exact_rank(cut.join(hot_df, [*gk, "_b"], "left_semi"), [*gk, "_b"], order, "_rn")]
+    else:
+        ranked = [cut.withColumn("_rn", rn)]
     helper = ["_h", "_b", "_cum", "_before", "_ntest", "_rn"] + ([] if g else ["_k"])
     out = whole.drop(*[c for c in helper if c in whole.columns])
     for part in ranked:
@@ -251,6 +254,9 @@ def global_rank(df: DataFrame, key_cols: Sequence[str], seed: int, salt: Column
     offs, n_buckets = materialize_small(counts.withColumn("_off", F.coalesce(F.sum("_m").over(w), F.lit(0))))
     hot = _hot(offs, F.col("_m") > max_window_rows, [*pk, "_b"])
     order = ["_h", *key_cols, *tb]
+    if hot is None:             # the data is large everywhere: rank it whole with a balanced sort
+        r = exact_rank(h, pk, order, out)
+        return r.drop("_h", "_b", *([] if p else ["_k"]))
     lookup = broadcast_if_small(offs.drop("_m"), n_buckets)
     normal = h
     parts = []

@@ -167,3 +167,18 @@ def test_encode_many_points_uses_ranked_lookup(spark):
     a = sorted((r["BMH"], r["label_idx"]) for r in small.collect())
     b = sorted((r["BMH"], r["label_idx"]) for r in big.collect())
     assert a == b and max(x[1] for x in a) == 36
+
+
+def test_rank_paths_when_every_bucket_is_large(spark, monkeypatch):
+    """More hot buckets than the collect cap: everything is ranked by one balanced sort."""
+    monkeypatch.setattr(prepare, "MAX_HOT_BUCKETS", 2)
+    df = _skewed(spark)
+    a = sorted(tuple(r) for r in prepare.global_rank(df, ["BMH"], 42).collect())
+    b = sorted(tuple(r) for r in prepare.global_rank(df, ["BMH"], 42, max_window_rows=0).collect())
+    assert a == b
+    rows = [("g%d" % (i % 5), str(i), float(i % 3)) for i in range(400)]
+    g = spark.createDataFrame(rows, "grp string, BMH string, label double")
+    x = sorted(tuple(r) for r in prepare.split_exact(g, ["BMH"], 0.3, 42, group_cols=["grp"]).collect())
+    y = sorted(tuple(r) for r in prepare.split_exact(g, ["BMH"], 0.3, 42, group_cols=["grp"],
+                                                    max_window_rows=0).collect())
+    assert x == y
