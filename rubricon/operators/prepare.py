@@ -41,45 +41,55 @@ def duplicate_keys(calibration: DataFrame, on: str = "BMH") -> DataFrame:
     return calibration.groupBy(on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
-def score_points(df: DataFrame, label: str = "label", group_cols: Sequence[str] = ()) -> DataFrame:
-    """Sorted distinct labels with their 0-based index ``(group..., label, label_idx)``."""
+def _score_points_counted(df: DataFrame, label: str, group_cols: Sequence[str]) -> tuple[DataFrame, int]:
     g = list(group_cols)
-    vals = df.select(*g, F.col(label).cast("double").alias("label")).filter(F.col("label").isNotNull()).distinct()
-    if g:
-        return dense_index(vals, "label", g, "label_idx")
-    vals = vals.withColumn("_k", F.lit(0))
-    return dense_index(vals, "label", ["_k"], "label_idx").drop("_k")
+    vals = (df.select(*g, F.col(label).cast("double").alias("label"))
+              .filter(F.col("label").isNotNull()).distinct())
+    vals, n = materialize_small(vals)
+    if n <= MAX_WINDOW_ROWS:
+        keys = g if g else ["_k"]
+        v = vals if g else vals.withColumn("_k", F.lit(0))
+        pts = dense_index(v, "label", keys, "label_idx")
+        pts = pts if g else pts.drop("_k")
+    else:       # continuous labels: range-partitioned rank instead of one window
+        pts = exact_rank(vals, g, ["label"], "_r").withColumn("label_idx", (F.col("_r") - 1).cast("int")).drop("_r")
+    return pts, n
+
+
+def score_points(df: DataFrame, label: str = "label", group_cols: Sequence[str] = ()) -> DataFrame:
+    """Sorted distinct labels with their 0-based index ``(group..., label, label_idx)``.
+
+    The distinct labels are checkpointed once (one bounded action) and indexed by
+    a window per group when there are at most ``MAX_WINDOW_ROWS`` of them (score
+    points always are), else by a range-partitioned rank.
+    """
+    return _score_points_counted(df, label, group_cols)[0]
 
 
 def score_points_preview(points: DataFrame, group_cols: Sequence[str] = (), head: int = 5,
                          tail: int = 3) -> DataFrame:
     """Flag the first ``head`` and last ``tail`` score points of each group (F2)."""
     g = list(group_cols)
-    k = F.max("label_idx").over(Window.partitionBy(*g)) + 1 if g else \
-        F.max("label_idx").over(Window.partitionBy(F.lit(0))) + 1
-    return points.withColumn("K", k.cast("int")).withColumn(
-        "preview", (F.col("label_idx") < head) | (F.col("label_idx") >= F.col("K") - tail))
+    keys = g if g else ["_k"]
+    p = points if g else points.withColumn("_k", F.lit(0))
+    k = p.groupBy(*keys).agg((F.max("label_idx") + 1).cast("int").alias("K"))
+    out = p.join(k if g else F.broadcast(k), keys)      # one row per group
+    out = out.withColumn("preview", (F.col("label_idx") < head) | (F.col("label_idx") >= F.col("K") - tail))
+    return out if g else out.drop("_k")
 
 
 def encode_ordinal(df: DataFrame, label: str = "label", group_cols: Sequence[str] = (),
                    max_broadcast_rows: int = MAX_BROADCAST_POINTS) -> tuple[DataFrame, DataFrame]:
     """Add ``label_idx`` (I1, C2).  Returns ``(labelled, points)``.
 
-    Runs one small action: the distinct score-point table (bounded by the rubric,
-    at most ``max_broadcast_rows`` rows) is collected and joined back as a
-    broadcast lookup.  Past that bound the index comes from a range-partitioned
-    rank (:func:`exact_rank`) and the lookup stays a regular join that AQE plans
-    at run time.
+    The distinct score points are materialised and counted once (a bounded
+    action, see :func:`score_points`); the lookup is broadcast when that count is
+    within ``max_broadcast_rows`` and otherwise stays a regular join that AQE
+    plans at run time.
     """
     g = list(group_cols)
-    pts = score_points(df, label, g)
-    rows = pts.limit(max_broadcast_rows + 1).collect()
-    if len(rows) <= max_broadcast_rows:
-        lookup = F.broadcast(df.sparkSession.createDataFrame(rows, pts.schema))
-    else:   # continuous labels: index by a range-partitioned rank, join without a hint
-        vals = df.select(*g, F.col(label).cast("double").alias("label")).filter(F.col("label").isNotNull()).distinct()
-        pts = lookup = (exact_rank(vals, g, ["label"], "_r")
-                        .withColumn("label_idx", (F.col("_r") - 1).cast("int")).drop("_r"))
+    pts, n = _score_points_counted(df, label, g)
+    lookup = broadcast_if_small(pts, n, max_broadcast_rows)
     keyed = df.withColumn("_lbl", F.col(label).cast("double"))
     lk = lookup.withColumnRenamed("label", "_lbl")
     out = keyed.join(lk, [*g, "_lbl"], "left").drop("_lbl")
