@@ -153,6 +153,25 @@ def _keyed_groups(pdf: pd.DataFrame, batch_col: str, batch_size: int):
     return out
 
 
+def input_order_batches(df: DataFrame, order_cols: list[str], text_col: str = "text",
+                        batch_size: int = 16, out: str = "batch") -> DataFrame:
+    """Batch ids formed as the reference forms them: blank rows are set aside and the
+    remaining rows, in input order, are cut into consecutive batches of ``batch_size``.
+
+    The input order (``order_cols``, e.g. a row number of the source file) is
+    ranked by :func:`rubricon.operators.prepare.exact_rank`, a balanced
+    range-partitioned sort; blank rows get a null batch.  Pass the result to
+    :func:`batch_score` with ``batch_col=out`` for batch membership identical to
+    the reference's.
+    """
+    from rubricon.operators.prepare import exact_rank
+
+    blank = is_blank(text_col)
+    live = exact_rank(df.filter(~blank), [], order_cols, "_ord")
+    live = live.withColumn(out, F.floor((F.col("_ord") - 1) / batch_size).cast("long")).drop("_ord")
+    return live.unionByName(df.filter(blank).withColumn(out, F.lit(None).cast("long")))
+
+
 def status_counts(scored: DataFrame) -> DataFrame:
     """Rows per status."""
     return scored.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

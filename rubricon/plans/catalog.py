@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import numpy as np
-
 from rubricon.operators import agree, batch, ordinal, pool, prepare, profile, track
 from rubricon.sources.sinks import OrdinalHead
 from rubricon.sources import fixtures as fx
@@ -210,11 +209,12 @@ def q_pool_attention(spark, sf):
 # ---------------------------------------------------------------- batch scoring
 
 def scored(spark, sf):
-    raw = fx.raw_answers(spark, sf).withColumn(
-        "batch", F.floor(F.col("BMH").cast("long") / SCORE_BATCH).cast("long"))
-    out = batch.batch_score(raw, batch.toy_factory(fx.TOY_MARKER), "text", SCORE_BATCH,
-                            batch_col="batch", order_cols=["BMH"])
-    return out.drop("batch")
+    # input order = document id; batches are consecutive non-blank rows, as in the reference
+    raw = fx.raw_answers(spark, sf).withColumn("row_id", F.col("BMH").cast("long"))
+    batched = batch.input_order_batches(raw, ["row_id"], "text", SCORE_BATCH)
+    out = batch.batch_score(batched, batch.toy_factory(fx.TOY_MARKER), "text", SCORE_BATCH,
+                            batch_col="batch", order_cols=["row_id"])
+    return out.drop("batch", "row_id")
 
 
 def q_batch_score(spark, sf):

@@ -281,16 +281,18 @@ FROM tokd JOIN w ON tokd.seq_id = w.seq_id AND tokd.pos = w.pos GROUP BY tokd.se
 
 SCORED = """
 s AS (SELECT BMH, text, lang,
-             (text IS NULL OR regexp_full_match(text, '[\\t\\n\\x0b\\f\\r \\x1c-\\x1f\\x{85}\\p{Z}]*')) AS skip,
-             CAST(floor(CAST(BMH AS BIGINT) / 16) AS BIGINT) AS batch
+             (text IS NULL OR regexp_full_match(text, '[\\t\\n\\x0b\\f\\r \\x1c-\\x1f\\x{85}\\p{Z}]*')) AS skip
       FROM ans_raw),
-bad AS (SELECT batch, bool_or(NOT skip AND contains(text, '@')) AS bad FROM s GROUP BY batch),
+nb AS (SELECT BMH, CAST(floor((row_number() OVER (ORDER BY CAST(BMH AS BIGINT)) - 1) / 16) AS BIGINT) AS batch
+       FROM s WHERE NOT skip),
+sb AS (SELECT s.*, nb.batch FROM s LEFT JOIN nb ON s.BMH = nb.BMH),
+bad AS (SELECT batch, bool_or(contains(text, '@')) AS bad FROM sb WHERE NOT skip GROUP BY batch),
 scored AS (
-  SELECT s.BMH, s.text, s.lang,
+  SELECT sb.BMH, sb.text, sb.lang,
          CASE WHEN skip OR bad THEN NULL ELSE CAST(length(text) % 9 AS DOUBLE) / 2 END AS pred_score,
          CASE WHEN skip THEN 'skipped' WHEN bad THEN 'failed' ELSE 'success' END AS status,
          CASE WHEN NOT skip AND bad THEN 'marker @ found in text' END AS error
-  FROM s JOIN bad ON s.batch = bad.batch)"""
+  FROM sb LEFT JOIN bad ON sb.batch = bad.batch)"""
 
 SQL["batch_score"] = with_(ANS, SCORED) + "\nSELECT BMH, text, lang, pred_score, status, error FROM scored"
 

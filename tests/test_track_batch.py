@@ -105,3 +105,11 @@ def test_batch_score_keyed_large_group_is_chunked(spark):
     assert len(out) == 50
     failed = sorted(k for k, v in out.items() if v == "failed")
     assert len(failed) == 16 and 20 in failed      # only the 16-row chunk holding the marker fails
+
+
+def test_input_order_batches_like_reference(spark):
+    texts = ["a", "", "b", None, "c", "d", "  ", "e", "f", "g"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id long, text string").repartition(3)
+    got = {r["row_id"]: r["batch"] for r in batch.input_order_batches(df, ["row_id"], "text", 3).collect()}
+    # non-blank rows in input order: 0,2,4,5,7,8,9 -> batches of 3
+    assert got == {0: 0, 2: 0, 4: 0, 5: 1, 7: 1, 8: 1, 9: 2, 1: None, 3: None, 6: None}
