@@ -21,22 +21,46 @@ STEP_CHUNK = 65_536
 
 
 def chunked_row_number(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Column,
-                       out: str = "rn") -> DataFrame:
+                       out: str = "rn", max_window_rows: int | None = None) -> DataFrame:
     """1-based row number within ``by`` in ``order``, split by a chunk key.
 
     ``chunk`` must be non-decreasing along ``order`` (for example a time bucket
     of a timestamp that leads the order).  Counts per ``(by, chunk)`` are
-    cumulated over the chunk table; rows are numbered inside their chunk.
+    cumulated over the chunk table, which is checkpointed and counted once (one
+    bounded action); rows are numbered inside their chunk.  A chunk above
+    ``max_window_rows`` (a hot run in a short time span) is numbered by a
+    range-partitioned sort (:func:`rubricon.operators.prepare.exact_rank`); if
+    there are too many such chunks the whole input is ranked that way.
     """
+    from rubricon.operators import prepare
+    from rubricon.session import broadcast_if_small, materialize_small
+
+    limit = prepare.MAX_WINDOW_ROWS if max_window_rows is None else max_window_rows
     b = list(by)
     d = df.withColumn("_crn_chunk", chunk)
     counts = d.groupBy(*b, "_crn_chunk").agg(F.count(F.lit(1)).alias("_crn_n"))
     prev = Window.partitionBy(*b).orderBy("_crn_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_crn_off", F.coalesce(F.sum("_crn_n").over(prev), F.lit(0))).drop("_crn_n")
+    offs, n_chunks = materialize_small(
+        counts.withColumn("_crn_off", F.coalesce(F.sum("_crn_n").over(prev), F.lit(0))))
+    hot = prepare._hot(offs, F.col("_crn_n") > limit, [*b, "_crn_chunk"])
+    if hot is None:
+        return prepare.exact_rank(df, b, order, out)
+    lookup = broadcast_if_small(offs.drop("_crn_n"), n_chunks)
     local = F.row_number().over(Window.partitionBy(*b, "_crn_chunk").orderBy(*order))
-    return (d.withColumn("_crn_local", local).join(offs, [*b, "_crn_chunk"])
-             .withColumn(out, (F.col("_crn_local") + F.col("_crn_off")).cast("long"))
-             .drop("_crn_chunk", "_crn_local", "_crn_off"))
+    if hot:
+        hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, offs.select(*b, "_crn_chunk").schema))
+        parts = [d.join(hot_df, [*b, "_crn_chunk"], "left_anti").withColumn("_crn_local", local),
+                 prepare.exact_rank(d.join(hot_df, [*b, "_crn_chunk"], "left_semi"), [*b, "_crn_chunk"],
+                                    list(order), "_crn_local")]
+    else:
+        parts = [d.withColumn("_crn_local", local)]
+    out_df = None
+    for part in parts:
+        r = (part.join(lookup, [*b, "_crn_chunk"])
+                 .withColumn(out, (F.col("_crn_local") + F.col("_crn_off")).cast("long"))
+                 .drop("_crn_chunk", "_crn_local", "_crn_off"))
+        out_df = r if out_df is None else out_df.unionByName(r)
+    return out_df
 
 
 def improvement_events(log: DataFrame, run: str = "run", step: str = "step", metric: str = "metric",

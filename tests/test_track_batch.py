@@ -113,3 +113,13 @@ def test_input_order_batches_like_reference(spark):
     got = {r["row_id"]: r["batch"] for r in batch.input_order_batches(df, ["row_id"], "text", 3).collect()}
     # non-blank rows in input order: 0,2,4,5,7,8,9 -> batches of 3
     assert got == {0: 0, 2: 0, 4: 0, 5: 1, 7: 1, 8: 1, 9: 2, 1: None, 3: None, 6: None}
+
+
+@pytest.mark.parametrize("limit", [0, 25])
+def test_chunked_row_number_hot_chunks(spark, limit):
+    rnd = random.Random(2)
+    rows = [(0 if i % 3 else rnd.randint(1, 3), rnd.randint(0, 5), i) for i in range(400)]   # run 0 is hot
+    df = spark.createDataFrame(rows, "run long, t long, id long")
+    a = track.chunked_row_number(df, ["run"], ["t", "id"], F.col("t"), out="rn", max_window_rows=limit)
+    b = df.withColumn("rn", F.row_number().over(Window.partitionBy("run").orderBy("t", "id")))
+    assert {tuple(r) for r in a.select("id", "rn").collect()} == {tuple(r) for r in b.select("id", "rn").collect()}
