@@ -42,10 +42,14 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def pair(preds: DataFrame, labels: DataFrame, on: str | Sequence[str],
-         pred_col: str = "pred", label_col: str = "label") -> DataFrame:
-    """Pair predictions with labels by key (the reference pairs lists by position)."""
-    return preds.select(*([on] if isinstance(on, str) else on), pred_col).join(
-        labels.select(*([on] if isinstance(on, str) else on), label_col), on, "inner")
+         pred_col: str = "pred", label_col: str = "label", keep: Sequence[str] = ()) -> DataFrame:
+    """Pair predictions with labels by key (C5); the reference pairs two lists by position.
+
+    ``keep`` carries extra prediction-side columns (group keys).  Inner join:
+    rows without a partner are not scored against anything.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    return preds.select(*keys, *keep, pred_col).join(labels.select(*keys, label_col), keys, "inner")
 
 
 def contingency(df: DataFrame, pred: str = "pred", label: str = "label",

@@ -287,8 +287,7 @@ def q_logged_steps(spark, sf):
 # ---------------------------------------------------------------- flagship
 
 def q_flagship_agreement(spark, sf):
-    s = scored(spark, sf).select("BMH", "lang", "pred_score")
-    j = s.join(calibration(spark, sf), "BMH")
+    j = agree.pair(scored(spark, sf), calibration(spark, sf), "BMH", "pred_score", "label", keep=["lang"])
     m = agree.compute_metrics(j, "pred_score", "label", group_cols=["lang"])
     return m.select("lang", "metric", _r("value").alias("value"))
 

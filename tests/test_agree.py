@@ -112,3 +112,24 @@ def test_large_value_table_path_matches(spark, monkeypatch):
     assert got.keys() == want.keys()
     for k, v in want.items():
         assert got[k] == pytest.approx(v, abs=1e-12), k
+
+
+def test_single_metric_functions(spark):
+    preds, labels, _, exp = SETS["A"]
+    df = _df(spark, preds, labels)
+    assert agree.exact_accuracy(df).first()[0] == pytest.approx(exp["exact_accuracy"])
+    assert agree.mae(df).first()[0] == pytest.approx(exp["mae"])
+    assert round(agree.rmse(df).first()[0], 6) == exp["rmse"]
+    assert round(agree.qwk(df).first()[0], 6) == exp["qwk"]
+    assert round(agree.kappa(df).first()[0], 6) == exp["kappa"]
+    assert round(agree.pearson(df).first()[0], 6) == exp["pearson"]
+    assert round(agree.spearman(df).first()[0], 6) == exp["spearman"]
+    assert agree.acc_within(df, 0.5).first()[0] == exp["acc_05"]
+    assert round(agree.tolerance_qwk(df, 1.0).first()[0], 6) == exp["tol_qwk"]
+
+
+def test_pair_by_key(spark):
+    p = spark.createDataFrame([("1", "x", 1.0), ("2", "y", 2.0), ("3", "x", 0.0)], "id string, g string, pred double")
+    l = spark.createDataFrame([("1", 1.0), ("2", 3.0)], "id string, label double")
+    got = sorted(tuple(r) for r in agree.pair(p, l, "id", keep=["g"]).collect())
+    assert got == [("1", "x", 1.0, 1.0), ("2", "y", 2.0, 3.0)]
