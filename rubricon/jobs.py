@@ -30,6 +30,31 @@ def score_sequences(tokens: DataFrame, head: OrdinalHead, strategy: str = "mean"
     return ordinal.decode(ordinal.probabilities(logits), head.score_points)
 
 
+def ordinal_text_scorer(embed_factory: Callable[[], Callable[[list[str]], "np.ndarray"]],
+                        head: OrdinalHead) -> Callable[[], Callable[[list[str]], list[float]]]:
+    """Scorer factory for :func:`rubricon.operators.batch.batch_score`.
+
+    ``embed_factory()`` builds the user's backbone once per Python worker: a
+    callable mapping a list of texts to a (batch, D) array of pooled vectors.
+    The returned scorer applies the ordinal head, the sigmoid and the decode to
+    score points in numpy, so one exception from the backbone fails the batch,
+    as in the reference.
+    """
+    import numpy as np
+
+    from rubricon.operators.ordinal import decode_numpy, head_forward
+
+    def make():
+        embed = embed_factory()
+
+        def score(texts: list[str]) -> list[float]:
+            vecs = np.asarray(embed(texts), dtype=float)
+            probs = 1.0 / (1.0 + np.exp(-head_forward(vecs, head)))
+            return decode_numpy(probs, head.score_points).tolist()
+        return score
+    return make
+
+
 def fit_and_validate(vectors: DataFrame, score_points: Sequence[float], vec: str = "pooled",
                      tolerance: float = 0.0, reg_param: float = 1e-3, max_iter: int = 100,
                      output: str | None = None) -> tuple[OrdinalHead, DataFrame]:

@@ -77,6 +77,21 @@ def head_forward(x: np.ndarray, head: OrdinalHead) -> np.ndarray:
     return h @ head.coef.T + head.intercept
 
 
+def decode_numpy(probs: np.ndarray, score_points, tie_eps: float = 1e-9) -> np.ndarray:
+    """Numpy twin of :func:`rubricon.functions.ordinal.decode_scores` for in-task scoring.
+
+    Prefix distances d_0 = sum(p), d_{k+1} = d_k + 1 - 2 p_k; the lowest index within
+    ``tie_eps`` of the minimum wins; a row containing NaN decodes to the first point.
+    """
+    p = np.atleast_2d(np.asarray(probs, dtype=float))
+    d = np.concatenate([p.sum(axis=1, keepdims=True),
+                        p.sum(axis=1, keepdims=True) + np.cumsum(1.0 - 2.0 * p, axis=1)], axis=1)
+    best = d.min(axis=1, keepdims=True)
+    idx = np.argmax(d <= best + tie_eps, axis=1)
+    idx[np.isnan(p).any(axis=1)] = 0
+    return np.asarray(score_points, dtype=float)[idx]
+
+
 # ------------------------------------------------------------------ logits
 
 def _features(df: DataFrame, vec: str, features: str | None) -> F.Column:

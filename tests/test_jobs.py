@@ -119,3 +119,20 @@ def test_reference_layout(spark):
     assert out["1"]["处理状态"] == "成功" and out["1"]["预测分数"] == 1.0
     assert out["2"]["处理状态"] == "跳过(空文本)"
     assert out["3"]["处理状态"] == "失败: boom"
+
+
+def test_ordinal_text_scorer_in_batch_score(spark):
+    def embed_factory():
+        def embed(texts):
+            if any("@" in t for t in texts):
+                raise ValueError("backbone failed")
+            return np.array([[len(t), t.count("a")] for t in texts], dtype=float)
+        return embed
+    head = OrdinalHead(coef=np.array([[1.0, 0.0], [1.0, 0.0]]), intercept=np.array([-2.5, -4.5]),
+                       score_points=[0.0, 1.0, 2.0])
+    factory = jobs.ordinal_text_scorer(embed_factory, head)
+    assert batch.score_one("abcdef", factory) == 2.0 and batch.score_one("a", factory) == 0.0
+    df = spark.createDataFrame([("1", "abc"), ("2", "x@"), ("3", None)], "BMH string, text string").coalesce(1)
+    out = {r["BMH"]: (r["pred_score"], r["status"]) for r in
+           batch.batch_score(df, factory, "text", 1).collect()}
+    assert out == {"1": (1.0, "success"), "2": (None, "failed"), "3": (None, "skipped")}

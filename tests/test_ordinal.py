@@ -178,3 +178,16 @@ def test_numpy_head_null_vectors(spark):
     head = OrdinalHead(coef=np.array([[1.0, 1.0], [2.0, 0.0]]), intercept=np.array([0.0, 1.0]), score_points=[0, 1, 2])
     got = {r["id"]: r["logits"] for r in ordinal.linear_head(df, head, vec="vec", method="numpy").collect()}
     assert got == {0: [3.0, 3.0], 1: None, 2: [1.0, 1.0]}
+
+
+def test_decode_numpy_matches_spark(spark):
+    rnd = np.random.default_rng(9)
+    probs = rnd.random((200, 6))
+    probs[::7, 2] = 0.5
+    probs[::11, :] = [1.0, 0.0, 1.0, 0.0, 0.0, 0.0]
+    probs[5, 3] = float("nan")
+    pts = [float(v) / 2 for v in range(7)]
+    df = spark.createDataFrame([(i, probs[i].tolist()) for i in range(200)], "i int, p array<double>")
+    got = {r["i"]: r["s"] for r in df.select("i", decode_scores("p", pts).alias("s")).collect()}
+    want = ordinal.decode_numpy(probs, pts)
+    assert all(got[i] == want[i] for i in range(200))
