@@ -1,6 +1,6 @@
 """Command line for the three programs of the reference (M4-M6), for ``spark-submit``.
 
-    spark-submit --py-files rubricon.zip rubricon/cli.py score   --input A --output B --scorer pkg.mod:factory
+    spark-submit --py-files rubricon.zip rubricon/cli.py score   --input A --output B --scorer pkg.mod:factory [--head D/model]
     spark-submit ... rubricon/cli.py profile --input A --output-dir D [--score-col pred_score]
     spark-submit ... rubricon/cli.py fit     --vectors V --output D [--tolerance 1.0] [--test-size 0.2]
     spark-submit ... rubricon/cli.py agree   --input A --output D [--pred pred --label label --group g]
@@ -40,7 +40,10 @@ def main(argv: list[str] | None = None) -> int:
     s = sub.add_parser("score", help="score every row of an answer table (status per row)")
     s.add_argument("--input", required=True)
     s.add_argument("--output", required=True)
-    s.add_argument("--scorer", required=True, help="package.module:factory returning scorer(texts)->scores")
+    s.add_argument("--scorer", required=True,
+                   help="package.module:factory returning scorer(texts)->scores; with --head, a factory "
+                        "returning embed(texts)->(batch, D) vectors")
+    s.add_argument("--head", default=None, help="fitted head written by `fit` (its model/ folder)")
     s.add_argument("--id-col", default="BMH")
     s.add_argument("--text-col", default="OCR文字结果")
     s.add_argument("--batch-size", type=int, default=16)
@@ -85,7 +88,11 @@ def main(argv: list[str] | None = None) -> int:
     if args.cmd == "score":
         df = _read(spark, args.input, args.format)
         require_columns(df, [args.id_col, args.text_col], "input table")
-        scored, counts = jobs.score_table(df, _factory(args.scorer), args.output, args.id_col,
+        factory = _factory(args.scorer)
+        if args.head:
+            from rubricon.sources.sinks import load_head
+            factory = jobs.ordinal_text_scorer(factory, load_head(spark, args.head))
+        scored, counts = jobs.score_table(df, factory, args.output, args.id_col,
                                           args.text_col, args.batch_size, args.format)
         for r in counts.collect():
             print(f"{r['status']}={r['n']}")

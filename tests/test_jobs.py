@@ -136,3 +136,20 @@ def test_ordinal_text_scorer_in_batch_score(spark):
     out = {r["BMH"]: (r["pred_score"], r["status"]) for r in
            batch.batch_score(df, factory, "text", 1).collect()}
     assert out == {"1": (1.0, "success"), "2": (None, "failed"), "3": (None, "skipped")}
+
+
+def embed_lengths():
+    """Toy backbone for the CLI test: one feature, the text length."""
+    return lambda texts: np.array([[float(len(t))] for t in texts])
+
+
+def test_cli_score_with_head(spark, tmp_path):
+    from rubricon import cli
+    from rubricon.sources.sinks import save_head
+    head = OrdinalHead(coef=np.array([[1.0], [1.0]]), intercept=np.array([-2.5, -4.5]), score_points=[0.0, 1.0, 2.0])
+    save_head(spark, head, str(tmp_path / "h"))
+    spark.createDataFrame([("1", "abcdef"), ("2", "a")], "BMH string, text string").write.parquet(str(tmp_path / "a"))
+    assert cli.main(["score", "--input", str(tmp_path / "a"), "--output", str(tmp_path / "o"), "--text-col", "text",
+                     "--scorer", "tests.test_jobs:embed_lengths", "--head", str(tmp_path / "h")]) == 0
+    got = {r["BMH"]: r["pred_score"] for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    assert got == {"1": 2.0, "2": 0.0}
