@@ -157,7 +157,7 @@ def _qwk_moments(t: DataFrame, keys: list[str], prefix: str) -> DataFrame:
 
 
 def metrics_wide(ct: DataFrame, group_cols: Sequence[str] = (),
-                 tolerance: float | None = None) -> DataFrame:
+                 tolerance: float | None = None, n_cells: int | None = None) -> DataFrame:
     """One row per group with every metric as a column (names as in :func:`metric_names`).
 
     Plan: the value table (distinct values with marginals, dense index and
@@ -166,7 +166,10 @@ def metrics_wide(ct: DataFrame, group_cols: Sequence[str] = (),
     over the cells.
     """
     keys = _keys(group_cols)
-    ct, n_cells = materialize_contingency(_ensure_key(ct, group_cols))
+    if n_cells is None:     # otherwise the caller passes an already materialised table and its size
+        ct, n_cells = materialize_contingency(_ensure_key(ct, group_cols))
+    else:
+        ct = _ensure_key(ct, group_cols)
     n = F.col("n").cast("double")
     totals = ct.groupBy(*keys).agg(
         F.sum(n).alias("_tot"), (F.sum(n * F.col("pred")) / F.sum(n)).alias("_mp"),
@@ -230,14 +233,14 @@ def to_long(wide: DataFrame, group_cols: Sequence[str], names: Sequence[str],
 
 def compute_metrics(df: DataFrame, pred: str = "pred", label: str = "label",
                     group_cols: Sequence[str] = (), tolerance: float | None = None,
-                    from_contingency: bool = False) -> DataFrame:
+                    from_contingency: bool = False, n_cells: int | None = None) -> DataFrame:
     """Metric bundle in long form ``(group..., metric, value)``.
 
     The tolerance pair is present only when ``tolerance`` is given (``None`` = off).
     A group without rows yields no output row.
     """
     ct = df if from_contingency else contingency(df, pred, label, group_cols)
-    wide = metrics_wide(ct, group_cols, tolerance)
+    wide = metrics_wide(ct, group_cols, tolerance, n_cells if from_contingency else None)
     return to_long(wide, group_cols, metric_names(tolerance))
 
 

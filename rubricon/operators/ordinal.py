@@ -213,14 +213,27 @@ def validate(df: DataFrame, score_points: Sequence[float], logits: str = "logits
              group_cols: Sequence[str] = ()) -> DataFrame:
     """Validation summary (D14): metric bundle of decoded scores vs labels plus ``val_loss``.
 
-    The tolerance pair is reported only when ``tolerance > 0``.
+    One pass over the facts: the contingency cells carry the summed row losses
+    and threshold counts, the cell table is checkpointed once, and both the
+    metrics and ``val_loss`` (row-weighted, as the reference's) are read from it —
+    so an expensive upstream (a deep head, a model) runs once.  The tolerance
+    pair is reported only when ``tolerance > 0``.
     """
+    from rubricon.session import materialize_small
+
+    g = list(group_cols)
     tol = tolerance if tolerance and tolerance > 0 else None
     scored = decode(probabilities(df, logits), score_points)
-    m = agree.compute_metrics(scored, "score", label, group_cols, tol)
-    loss = ordinal_loss(df, logits, label_idx, group_cols).select(
-        *group_cols, F.lit("val_loss").alias("metric"), F.col("loss").alias("value"))
-    return m.unionByName(loss)
+    cells = scored.groupBy(*g, F.col("score").cast("double").alias("pred"),
+                           F.col(label).cast("double").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(bce_with_logits_sum(logits, label_idx)).alias("_loss"),
+        F.sum(F.size(logits)).alias("_terms"))
+    cells, n_cells = materialize_small(cells)
+    ct = cells.filter(F.col("pred").isNotNull() & F.col("label").isNotNull()).select(*g, "pred", "label", "n")
+    m = agree.compute_metrics(ct, group_cols=g, tolerance=tol, from_contingency=True, n_cells=n_cells)
+    loss = cells.groupBy(*g).agg(F.try_divide(F.sum("_loss"), F.sum("_terms").cast("double")).alias("value"))
+    return m.unionByName(loss.select(*g, F.lit("val_loss").alias("metric"), "value"))
 
 
 # ------------------------------------------------------------------ fitting

@@ -67,3 +67,18 @@ def test_counted_broadcast_helper(spark):
     assert "BroadcastHashJoin" in j._jdf.queryExecution().executedPlan().toString()
     j2 = spark.range(1000).join(broadcast_if_small(small, n, limit=5), "id")
     assert j2.count() == 10
+
+
+def test_validate_runs_the_head_once(spark):
+    from rubricon.operators import ordinal
+    from rubricon.plans.catalog import rule_deep_head
+    from rubricon.sources import fixtures as fx
+    v = fx.ordinal_probs(spark, SF).drop("logits").withColumn(
+        "vec", F.col("probs"))                               # any 9-wide vector
+    head = rule_deep_head(dim=9)
+    scored = ordinal.deep_head(v, head, vec="vec")
+    out = ordinal.validate(scored, fx.prob_score_points(), tolerance=1.0)
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "PythonMapInArrow" not in plan
+    assert {r["metric"] for r in out.collect()} >= {"qwk", "val_loss", "tolerance_qwk(1.0)"}
