@@ -107,10 +107,17 @@ def profile_table(df: DataFrame, text_col: str = "text", score_col: str = "pred_
 
 def agreement_report(df: DataFrame, pred: str = "pred", label: str = "label",
                      group_cols: Sequence[str] = (), tolerance: float | None = None) -> dict[str, DataFrame]:
-    """Metrics bundle, tolerance curve and contingency table from one cached contingency."""
-    ct = agree.contingency(df, pred, label, group_cols).cache()
+    """Metrics bundle, tolerance curve and contingency table from one contingency pass.
+
+    The contingency table is checkpointed once (bounded), so the facts and
+    anything upstream of them are processed once for all three outputs.
+    """
+    from rubricon.session import materialize_small
+
+    ct, n_cells = materialize_small(agree.contingency(df, pred, label, group_cols))
     return {
         "contingency": ct,
-        "metrics": agree.compute_metrics(ct, group_cols=group_cols, tolerance=tolerance, from_contingency=True),
+        "metrics": agree.compute_metrics(ct, group_cols=group_cols, tolerance=tolerance, from_contingency=True,
+                                         n_cells=n_cells),
         "tolerance_curve": agree.tolerance_curve(ct, group_cols=group_cols, from_contingency=True),
     }
