@@ -36,6 +36,8 @@ from rubricon.functions.text import is_blank
 # Row statuses.
 SUCCESS, SKIPPED, FAILED = "success", "skipped", "failed"
 
+ORDER_CHUNK = 65_536        # row-index range numbered by one window partition
+
 _SCORERS: dict[str, Callable] = {}
 _KEEP_SCORERS = 2          # scorers kept per Python worker (most recent calls)
 
@@ -159,15 +161,25 @@ def input_order_batches(df: DataFrame, order_cols: list[str], text_col: str = "t
     remaining rows, in input order, are cut into consecutive batches of ``batch_size``.
 
     The input order (``order_cols``, e.g. a row number of the source file) is
-    ranked by :func:`rubricon.operators.prepare.exact_rank`, a balanced
-    range-partitioned sort; blank rows get a null batch.  Pass the result to
+    ranked with :func:`rubricon.operators.track.chunked_row_number` over index
+    ranges when it is one integer column, else by
+    :func:`rubricon.operators.prepare.exact_rank`, a balanced range-partitioned
+    sort; blank rows get a null batch.  Pass the result to
     :func:`batch_score` with ``batch_col=out`` for batch membership identical to
     the reference's.
     """
+    from pyspark.sql.types import IntegralType
+
     from rubricon.operators.prepare import exact_rank
+    from rubricon.operators.track import chunked_row_number
 
     blank = is_blank(text_col)
-    live = exact_rank(df.filter(~blank), [], order_cols, "_ord")
+    integral = len(order_cols) == 1 and isinstance(df.schema[order_cols[0]].dataType, IntegralType)
+    if integral:    # a row index: number 65,536-wide index ranges, offsets from their counts
+        live = chunked_row_number(df.filter(~blank), [], order_cols,
+                                  F.floor(F.col(order_cols[0]) / ORDER_CHUNK), "_ord")
+    else:
+        live = exact_rank(df.filter(~blank), [], order_cols, "_ord")
     live = live.withColumn(out, F.floor((F.col("_ord") - 1) / batch_size).cast("long")).drop("_ord")
     return live.unionByName(df.filter(blank).withColumn(out, F.lit(None).cast("long")))
 

@@ -26,8 +26,9 @@ def chunked_row_number(df: DataFrame, by: Sequence[str], order: Sequence[str], c
 
     ``chunk`` must be non-decreasing along ``order`` (for example a time bucket
     of a timestamp that leads the order).  Counts per ``(by, chunk)`` are
-    cumulated over the chunk table, which is checkpointed and counted once (one
-    bounded action); rows are numbered inside their chunk.  A chunk above
+    checkpointed and counted once (one bounded action) and cumulated over the
+    chunk table — by a window, or by a range-partitioned sort when there are
+    millions of chunks; rows are numbered inside their chunk.  A chunk above
     ``max_window_rows`` (a hot run in a short time span) is numbered by a
     range-partitioned sort (:func:`rubricon.operators.prepare.exact_rank`); if
     there are too many such chunks the whole input is ranked that way.
@@ -38,10 +39,13 @@ def chunked_row_number(df: DataFrame, by: Sequence[str], order: Sequence[str], c
     limit = prepare.MAX_WINDOW_ROWS if max_window_rows is None else max_window_rows
     b = list(by)
     d = df.withColumn("_crn_chunk", chunk)
-    counts = d.groupBy(*b, "_crn_chunk").agg(F.count(F.lit(1)).alias("_crn_n"))
-    prev = Window.partitionBy(*b).orderBy("_crn_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs, n_chunks = materialize_small(
-        counts.withColumn("_crn_off", F.coalesce(F.sum("_crn_n").over(prev), F.lit(0))))
+    counts, n_chunks = materialize_small(d.groupBy(*b, "_crn_chunk").agg(F.count(F.lit(1)).alias("_crn_n")))
+    if n_chunks <= prepare.MAX_WINDOW_ROWS:
+        prev = Window.partitionBy(*b).orderBy("_crn_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        offs = counts.withColumn("_crn_off", F.coalesce(F.sum("_crn_n").over(prev), F.lit(0)))
+    else:       # very many chunks: running counts by a range-partitioned sort of the chunk table
+        offs = (prepare.exact_rank(counts, b, ["_crn_chunk"], "_crn_cum", weight_col="_crn_n")
+                       .withColumn("_crn_off", F.col("_crn_cum") - F.col("_crn_n")).drop("_crn_cum"))
     hot = prepare._hot(offs, F.col("_crn_n") > limit, [*b, "_crn_chunk"])
     if hot is None:
         return prepare.exact_rank(df, b, order, out)

@@ -123,3 +123,18 @@ def test_chunked_row_number_hot_chunks(spark, limit):
     a = track.chunked_row_number(df, ["run"], ["t", "id"], F.col("t"), out="rn", max_window_rows=limit)
     b = df.withColumn("rn", F.row_number().over(Window.partitionBy("run").orderBy("t", "id")))
     assert {tuple(r) for r in a.select("id", "rn").collect()} == {tuple(r) for r in b.select("id", "rn").collect()}
+
+
+def test_input_order_batches_string_order(spark):
+    texts = ["a", "", "b", "c"]
+    df = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(texts)], "k string, text string")
+    got = {r["k"]: r["batch"] for r in batch.input_order_batches(df, ["k"], "text", 2).collect()}
+    assert got == {"r0": 0, "r2": 0, "r3": 1, "r1": None}
+
+
+def test_chunked_row_number_many_chunks(spark, monkeypatch):
+    from rubricon.operators import prepare
+    df = spark.range(300).select((F.col("id") * 7 % 300).alias("t"), F.col("id"))
+    monkeypatch.setattr(prepare, "MAX_WINDOW_ROWS", 5)
+    a = track.chunked_row_number(df, [], ["t"], F.floor(F.col("t") / 4), out="rn", max_window_rows=1000)
+    assert sorted((r["t"], r["rn"]) for r in a.collect()) == [(t, t + 1) for t in range(300)]
