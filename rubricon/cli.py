@@ -91,7 +91,7 @@ def main(argv: list[str] | None = None) -> int:
         factory = _factory(args.scorer)
         if args.head:
             from rubricon.sources.sinks import load_head
-            factory = jobs.ordinal_text_scorer(factory, load_head(spark, args.head))
+            factory = jobs.ordinal_text_scorer(factory, load_head(spark, args.head), spark)
         scored, counts = jobs.score_table(df, factory, args.output, args.id_col,
                                           args.text_col, args.batch_size, args.format)
         for r in counts.collect():

@@ -31,26 +31,31 @@ def score_sequences(tokens: DataFrame, head: OrdinalHead, strategy: str = "mean"
 
 
 def ordinal_text_scorer(embed_factory: Callable[[], Callable[[list[str]], "np.ndarray"]],
-                        head: OrdinalHead) -> Callable[[], Callable[[list[str]], list[float]]]:
+                        head: OrdinalHead, spark=None) -> Callable[[], Callable[[list[str]], list[float]]]:
     """Scorer factory for :func:`rubricon.operators.batch.batch_score`.
 
     ``embed_factory()`` builds the user's backbone once per Python worker: a
     callable mapping a list of texts to a (batch, D) array of pooled vectors.
     The returned scorer applies the ordinal head, the sigmoid and the decode to
     score points in numpy, so one exception from the backbone fails the batch,
-    as in the reference.
+    as in the reference.  With ``spark`` the head (size-checked) ships once per
+    executor as a broadcast variable instead of inside every task's closure.
     """
     import numpy as np
 
-    from rubricon.operators.ordinal import decode_numpy, head_forward
+    from rubricon.operators.ordinal import _check_size, decode_numpy, head_forward
+
+    _check_size(head)
+    shipped = spark.sparkContext.broadcast(head) if spark is not None else None
 
     def make():
         embed = embed_factory()
+        h = shipped.value if shipped is not None else head
 
         def score(texts: list[str]) -> list[float]:
             vecs = np.asarray(embed(texts), dtype=float)
-            probs = 1.0 / (1.0 + np.exp(-head_forward(vecs, head)))
-            return decode_numpy(probs, head.score_points).tolist()
+            probs = 1.0 / (1.0 + np.exp(-head_forward(vecs, h)))
+            return decode_numpy(probs, h.score_points).tolist()
         return score
     return make
 

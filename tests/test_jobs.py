@@ -130,8 +130,9 @@ def test_ordinal_text_scorer_in_batch_score(spark):
         return embed
     head = OrdinalHead(coef=np.array([[1.0, 0.0], [1.0, 0.0]]), intercept=np.array([-2.5, -4.5]),
                        score_points=[0.0, 1.0, 2.0])
-    factory = jobs.ordinal_text_scorer(embed_factory, head)
-    assert batch.score_one("abcdef", factory) == 2.0 and batch.score_one("a", factory) == 0.0
+    assert batch.score_one("abcdef", jobs.ordinal_text_scorer(embed_factory, head)) == 2.0
+    factory = jobs.ordinal_text_scorer(embed_factory, head, spark)
+    assert batch.score_one("a", factory) == 0.0
     df = spark.createDataFrame([("1", "abc"), ("2", "x@"), ("3", None)], "BMH string, text string").coalesce(1)
     out = {r["BMH"]: (r["pred_score"], r["status"]) for r in
            batch.batch_score(df, factory, "text", 1).collect()}
