@@ -305,7 +305,7 @@ def word_lengths(text: Column | str) -> Column:
     return F.transform(F.split(c, " "), lambda w: F.length(w))
 
 
-def pad_truncate(df: DataFrame, tokens: str, max_length: int, pad_id: int = 0,
+def pad_truncate(df: DataFrame, tokens: str, max_length: int = 1024, pad_id: int = 0,
                  side: str = "right") -> DataFrame:
     """Add ``input_ids`` and ``attention_mask`` of exactly ``max_length``."""
     ids, mask = _pad_truncate(F.col(tokens), max_length, pad_id, side)
@@ -335,7 +335,7 @@ def prepare_labelled(answers: DataFrame, calibration: DataFrame, test_size: floa
     return out, pts
 
 
-def encode_examples(labelled: DataFrame, tokens: str, max_length: int, pad_id: int = 0,
+def encode_examples(labelled: DataFrame, tokens: str, max_length: int = 1024, pad_id: int = 0,
                     side: str = "right") -> DataFrame:
     """Training examples ``(input_ids, attention_mask, label, label_idx, text)`` (K4).
 
