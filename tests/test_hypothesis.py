@@ -92,3 +92,24 @@ def test_describe_matches_numpy(spark, data):
         assert (r["std"] is None) if len(vs) == 1 else r["std"] == pytest.approx(x.std(ddof=1), abs=1e-9)
         for p, name in [(0.25, "p25"), (0.5, "p50"), (0.9, "p90"), (0.99, "p99")]:
             assert r[name] == pytest.approx(float(np.percentile(x, p * 100)), abs=1e-9), (name, vs)
+
+
+groups = st.lists(st.lists(st.integers(0, 10_000), min_size=1, max_size=60, unique=True), min_size=1, max_size=8)
+
+
+@SETTINGS
+@given(groups, st.sampled_from([0.1, 0.2, 0.25, 0.5, 0.9]), st.integers(0, 99))
+def test_split_exact_matches_md5_order(spark, data, test_size, seed):
+    import hashlib
+
+    from rubricon.operators import prepare
+    rows = [(g, str(k)) for g, keys in enumerate(data) for k in keys]
+    df = spark.createDataFrame(rows, "g int, BMH string")
+    got = {(r["g"], r["BMH"]): r["split"] for r in
+           prepare.split_exact(df, ["BMH"], test_size, seed, group_cols=["g"]).collect()}
+    assert len(got) == len(rows)
+    for g, keys in enumerate(data):
+        order = sorted((hashlib.md5(f"{seed}:{k}".encode()).hexdigest(), str(k)) for k in keys)
+        n_test = math.ceil(len(keys) * test_size)
+        want_test = {k for _, k in order[:n_test]}
+        assert {k for (gg, k), sp in got.items() if gg == g and sp == "test"} == want_test
