@@ -113,3 +113,19 @@ def test_split_exact_matches_md5_order(spark, data, test_size, seed):
         n_test = math.ceil(len(keys) * test_size)
         want_test = {k for _, k in order[:n_test]}
         assert {k for (gg, k), sp in got.items() if gg == g and sp == "test"} == want_test
+
+
+@SETTINGS
+@given(st.lists(st.integers(0, 10_000), min_size=1, max_size=80, unique=True), st.integers(1, 7),
+       st.integers(1, 3), st.integers(0, 99))
+def test_shuffled_batches_match_md5_order(spark, keys, batch_size, epochs, seed):
+    import hashlib
+
+    from rubricon.operators import prepare
+    df = spark.createDataFrame([(str(k),) for k in keys], "BMH string")
+    got = {(r["epoch"], r["BMH"]): (r["batch_id"], r["batch_pos"]) for r in
+           prepare.shuffled_batches(df, ["BMH"], batch_size, epochs, seed).collect()}
+    for e in range(epochs):
+        order = sorted((hashlib.md5(f"{seed}:{e}:{k}".encode()).hexdigest(), str(k)) for k in keys)
+        for r, (_, k) in enumerate(order):
+            assert got[(e, k)] == (r // batch_size, r % batch_size)
