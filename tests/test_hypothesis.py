@@ -129,3 +129,33 @@ def test_shuffled_batches_match_md5_order(spark, keys, batch_size, epochs, seed)
         order = sorted((hashlib.md5(f"{seed}:{e}:{k}".encode()).hexdigest(), str(k)) for k in keys)
         for r, (_, k) in enumerate(order):
             assert got[(e, k)] == (r // batch_size, r % batch_size)
+
+
+seqs = st.lists(st.tuples(st.integers(1, 6), st.integers(0, 2 ** 16)), min_size=1, max_size=6)
+
+
+@SETTINGS
+@given(seqs)
+def test_pooling_matches_tensor_semantics(spark, spec):
+    from rubricon.operators import pool
+    dim, q = 3, np.array([0.5, -1.0, 0.25])
+    rows, tensors = [], {}
+    for s, (length, seed) in enumerate(spec):
+        rnd = np.random.default_rng(seed)
+        h = rnd.normal(size=(length, dim))
+        m = (rnd.random(length) < 0.6).astype(int)
+        tensors[s] = (h, m)
+        rows += [(s, p, int(m[p]), h[p].tolist()) for p in range(length)]
+    t = spark.createDataFrame(rows, "seq_id long, pos int, mask int, vec array<double>")
+    got = {name: {r["seq_id"]: np.array(r["pooled"]) for r in df.collect()} for name, df in
+           [("mean", pool.pool_mean(t)), ("last", pool.pool_last(t)), ("att", pool.pool_attention(t, q.tolist()))]}
+    lowest = np.finfo(np.float64).min
+    for s, (h, m) in tensors.items():
+        mean = (h * m[:, None]).sum(0) / max(m.sum(), 1)
+        last = h[int(m.sum()) - 1]
+        sc = np.where(m == 1, h @ q, lowest)
+        w = np.exp(sc - sc.max())
+        att = (h * (w / w.sum())[:, None]).sum(0)
+        assert np.allclose(got["mean"][s], mean, atol=1e-12)
+        assert np.allclose(got["last"][s], last, atol=1e-12)
+        assert np.allclose(got["att"][s], att, atol=1e-12)
