@@ -10,7 +10,15 @@ from rubricon.session import build_session
 import __spark_entry__ as E
 
 
+def final_part(plan: str) -> str:
+    """The ``== Final Plan ==`` section of an executed adaptive plan (the whole text otherwise)."""
+    if "== Final Plan ==" in plan:
+        plan = plan.split("== Final Plan ==", 1)[1].split("== Initial Plan ==", 1)[0]
+    return plan
+
+
 def summarize(plan: str) -> dict:
+    plan = final_part(plan)
     scans = []
     for line in plan.splitlines():
         if "FileScan parquet" in line or "Scan parquet" in line:
@@ -38,7 +46,7 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = build_session()
     print(f"# Physical plans of the registered queries ({sf.rstrip('/').split('/')[-1]}, local[8], AQE on)\n")
-    print("Generated by `explain_report.py` from the final adaptive plans of the last action. `shuffles`")
+    print("Generated by `explain_report.py` from the final adaptive plans (`== Final Plan ==` of each query's own execution). `shuffles`")
     print("counts exchange nodes (reused ones excluded) over *all* inputs, most of which are small derived")
     print("tables (contingency cells, bucket counts, per-sequence targets). `checkpoint reads` are scans of")
     print("tables materialised earlier by the query's bounded action (contingency, bucket counts); the work")
@@ -47,12 +55,22 @@ def main():
     print("|---|---|---|---|---|---|---|---|")
     for k, f in E.queries().items():
         df = f(spark, sf)
-        df.write.format("noop").mode("overwrite").save()
+        df.collect()                 # runs this DataFrame's own plan, so the adaptive plan is final
         s = summarize(df._jdf.queryExecution().executedPlan().toString())
         print(f"| {k} | {s['shuffles']} | {s['bhj']} | {s['smj']} | {s['windows']} | {s['python']} | {s['ckpt']} | "
               f"{'; '.join(s['scans'])} |")
+    print("\n## Appendix: final physical plans of three representative queries\n")
+    for k in APPENDIX:
+        df = E.queries()[k](spark, sf)
+        df.collect()
+        tree = final_part(df._jdf.queryExecution().executedPlan().toString())
+        lines = [re.sub(r"#\d+L?", "", ln)[:160] for ln in tree.splitlines() if ln.strip(" +-")]
+        print(f"### {k}\n\n```\n" + "\n".join(lines) + "\n```\n")
     spark.stop()
 
 
+APPENDIX = ["contingency", "agreement_metrics", "batch_score"]
+
+
 if __name__ == "__main__":
     main()
