@@ -154,3 +154,15 @@ def test_cli_score_with_head(spark, tmp_path):
                      "--scorer", "tests.test_jobs:embed_lengths", "--head", str(tmp_path / "h")]) == 0
     got = {r["BMH"]: r["pred_score"] for r in spark.read.parquet(str(tmp_path / "o")).collect()}
     assert got == {"1": 2.0, "2": 0.0}
+
+
+def test_cli_profile(spark, tmp_path):
+    from rubricon import cli
+    df = spark.createDataFrame([("ab", 1.0), ("", None), (None, 2.0), ("abcd", 1.5)], "text string, pred_score double")
+    df.write.parquet(str(tmp_path / "in"))
+    assert cli.main(["profile", "--input", str(tmp_path / "in"), "--output-dir", str(tmp_path / "p"),
+                     "--text-col", "text"]) == 0
+    d = spark.read.json(str(tmp_path / "p/length_describe")).first()
+    assert d["count"] == 4 and d["n_zero"] == 2 and d["max"] == 4.0
+    assert spark.read.json(str(tmp_path / "p/score_describe")).first()["count"] == 3
+    assert spark.read.json(str(tmp_path / "p/length_vs_score")).count() == 3
