@@ -23,6 +23,7 @@ from rubricon.operators import agree
 from rubricon.sources.sinks import MAX_HEAD_VALUES, OrdinalHead
 
 EXPR_HEAD_MAX_VALUES = 4096      # inline the head as an expression up to this many weights
+MAX_CLASSES = 1000               # an ordinal head fits K-1 thresholds; K comes from a discrete rubric
 LAYER_NORM_EPS = 1e-5
 
 
@@ -271,6 +272,9 @@ def fit_thresholds(df: DataFrame, vec: str = "pooled", label_idx: str = "label_i
         counts = {r["_y"]: r["n"] for r in data.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
         if n_classes is None:
             n_classes = max(counts) + 1
+        if n_classes > MAX_CLASSES:
+            raise ValueError(f"{n_classes} classes: an ordinal head needs discrete score points "
+                             f"(at most {MAX_CLASSES}); round or bin the labels first")
         dim = data.first()["features"].size
         total = sum(counts.values())
         coef = np.zeros((n_classes - 1, dim))

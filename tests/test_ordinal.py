@@ -191,3 +191,10 @@ def test_decode_numpy_matches_spark(spark):
     got = {r["i"]: r["s"] for r in df.select("i", decode_scores("p", pts).alias("s")).collect()}
     want = ordinal.decode_numpy(probs, pts)
     assert all(got[i] == want[i] for i in range(200))
+
+
+def test_fit_refuses_unbounded_classes(spark, monkeypatch):
+    monkeypatch.setattr(ordinal, "MAX_CLASSES", 3)
+    df = spark.createDataFrame([([float(i)], i % 5) for i in range(20)], "vec array<double>, label_idx int")
+    with pytest.raises(ValueError):
+        ordinal.fit_thresholds(df, vec="vec")
