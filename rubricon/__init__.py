@@ -7,6 +7,8 @@ functions   column expressions (blank test, sigmoid, ordinal decode/loss, paddin
 operators   DataFrame operators: prepare, agree, pool, ordinal, profile, track, batch
 plans       the registered queries and their DuckDB oracle SQL
 streaming   stateless scoring operators applied to streaming DataFrames
+jobs        end-to-end fit/validate, table scoring, profiling; backbone + head scorer factory
+cli         spark-submit entry point (score, profile, fit, agree)
 """
 
 from rubricon.session import build_session, checkpoint_dir

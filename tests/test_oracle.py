@@ -25,3 +25,8 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert [f.name for f in df.schema.fields] == ["lang", "metric", "value"]
+
+
+def test_every_query_but_the_fit_has_oracle_sql():
+    assert set(E.queries()) - set(SQL) == {"fit_thresholds"}
+    assert set(SQL) <= set(E.queries())
