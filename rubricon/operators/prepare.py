@@ -306,9 +306,19 @@ def word_lengths(text: Column | str) -> Column:
 
 
 def pad_truncate(df: DataFrame, tokens: str, max_length: int = 1024, pad_id: int = 0,
-                 side: str = "right") -> DataFrame:
-    """Add ``input_ids`` and ``attention_mask`` of exactly ``max_length``."""
-    ids, mask = _pad_truncate(F.col(tokens), max_length, pad_id, side)
+                 side: str = "right", batch_col: str | None = None) -> DataFrame:
+    """Add ``input_ids`` and ``attention_mask``.
+
+    Without ``batch_col`` every row is padded to exactly ``max_length`` (training
+    and single-text scoring); with it, rows are padded to the longest sequence of
+    their batch, capped at ``max_length`` (batch scoring).  That window is
+    partitioned by batch, so it is bounded by the batch size.
+    """
+    target = F.lit(max_length)
+    if batch_col is not None:
+        longest = F.max(F.size(F.col(tokens))).over(Window.partitionBy(batch_col))
+        target = F.least(longest, F.lit(max_length))
+    ids, mask = _pad_truncate(F.col(tokens), target, pad_id, side)
     return df.withColumn("input_ids", ids).withColumn("attention_mask", mask)
 
 

@@ -185,3 +185,12 @@ def test_rank_paths_when_every_bucket_is_large(spark, monkeypatch):
     y = sorted(tuple(r) for r in prepare.split_exact(g, ["BMH"], 0.3, 42, group_cols=["grp"],
                                                     max_window_rows=0).collect())
     assert x == y
+
+
+def test_pad_to_longest_in_batch(spark):
+    df = spark.createDataFrame([(0, [1, 2]), (0, [1, 2, 3, 4, 5, 6]), (1, [7]), (1, [8, 9])],
+                               "b int, t array<int>")
+    r = sorted(((x["b"], x["input_ids"], x["attention_mask"]) for x in
+                prepare.pad_truncate(df, "t", 4, batch_col="b").collect()), key=lambda v: (v[0], v[1]))
+    assert r == [(0, [1, 2, 0, 0], [1, 1, 0, 0]), (0, [1, 2, 3, 4], [1, 1, 1, 1]),
+                 (1, [7, 0], [1, 0]), (1, [8, 9], [1, 1])]
