@@ -82,3 +82,12 @@ def test_validate_runs_the_head_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and "PythonMapInArrow" not in plan
     assert {r["metric"] for r in out.collect()} >= {"qwk", "val_loss", "tolerance_qwk(1.0)"}
+
+
+def test_metric_lookups_are_broadcast(spark):
+    """The value-table lookups of the metric bundle are broadcast hash joins."""
+    df = E.queries()["agreement_metrics"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Final Plan ==", 1)[-1].split("== Initial Plan ==", 1)[0]
+    assert final.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in final
