@@ -159,3 +159,24 @@ def test_pooling_matches_tensor_semantics(spark, spec):
         assert np.allclose(got["mean"][s], mean, atol=1e-12)
         assert np.allclose(got["last"][s], last, atol=1e-12)
         assert np.allclose(got["att"][s], att, atol=1e-12)
+
+
+probs = st.lists(st.lists(st.sampled_from([0.0, 0.5, 1.0, 0.25, 0.75, 0.1, 0.9, 0.3]), min_size=1, max_size=10),
+                 min_size=1, max_size=40)
+
+
+@SETTINGS
+@given(probs)
+def test_decode_matches_exact_brute_force(spark, rows):
+    from rubricon.functions.ordinal import decode_scores
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(rows)], "i int, p array<double>")
+    from pyspark.sql import functions as F
+    pts = F.transform(F.sequence(F.lit(0), F.size("p")), lambda x: x.cast("double"))
+    got = {r["i"]: r["s"] for r in df.select("i", decode_scores("p", pts).alias("s")).collect()}
+    for i, p in enumerate(rows):
+        best, bd = 0.0, None
+        for k in range(len(p) + 1):
+            d = sum(abs(Fraction(x) - (1 if k > j else 0)) for j, x in enumerate(p))
+            if bd is None or d < bd:
+                best, bd = float(k), d
+        assert got[i] == best, (p, got[i], best)
