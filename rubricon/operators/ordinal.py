@@ -241,7 +241,7 @@ def validate(df: DataFrame, score_points: Sequence[float], logits: str = "logits
 
 def fit_thresholds(df: DataFrame, vec: str = "pooled", label_idx: str = "label_idx",
                    n_classes: int | None = None, reg_param: float = 1e-3, max_iter: int = 100,
-                   score_points: Sequence[float] | None = None, parallelism: int = 4) -> OrdinalHead:
+                   score_points: Sequence[float] | None = None, parallelism: int = 8) -> OrdinalHead:
     """Fit a linear ordinal head on frozen vectors.
 
     Each threshold k has its own weight row and the loss is a plain mean over
