@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rubricon.llm.chunks import byte_characters, encoder, slices
+from rubricon.llm.chunks import byte_characters, encoder, text_stretches
 from rubricon.llm.common import id_and_text
 
 
@@ -69,9 +69,9 @@ def _per_document(docs: DataFrame, path: str, make, schema: str) -> DataFrame:
     def run(batches):
         enc, dec = encoder(path, True, True), decoder(path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in slices(texts):
-                ids = [np.frombuffer(x, "<u4") for x in enc.encode(texts[i:j])]
+            texts = b.column(1)
+            for i, j in text_stretches(texts):
+                ids = enc.encode(texts.slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *make(dec, ids)],
                                                  names=["doc_id", *[c.split()[0] for c in schema.split(", ")[1:]]])
 

@@ -1,25 +1,25 @@
 """Encoding with the tokenizers library, chunk by chunk.
 
-A text is cut where a stretch of blanks begins after a non-blank.  Neither of the two
+A text is cut where a stretch of ASCII blanks begins after a non-blank.  Neither of the two
 pre-tokenization patterns used here matches across such a cut, and neither looks behind, so the ids of a
-text are the ids of its chunks in order.  Most chunks repeat, so each worker remembers their ids
-in a bounded table; the library sees every new chunk once.  Texts with characters on which
-Python's and the library's ideas of a blank differ are encoded whole.
+text are the ids of its chunks in order.  Arrow finds the distinct chunks of a stretch of texts, the library sees
+each once, and a worker remembers the ids of a bounded number of chunks.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
 
-#: str.split and \\s count these as blanks, the library's patterns do not.
-ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-CHUNK = re.compile(r"\s+\S*|\S+")
 #: A line break, Latin letters, ASCII punctuation without the apostrophe: pre-tokens of their own
 #: in either pattern; NFC leaves such letters alone and each has one lower-case letter.
 PLAIN = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
+BLANKS = " \t\n\x0b\x0c\r"
+
 
 def byte_characters() -> list[str]:
     """The character that a byte-level vocabulary spells each byte with: printable Latin-1
@@ -40,15 +40,43 @@ def places_of_none(values: list) -> list[int]:
         return out
 
 
+def _after_wide_blank(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each position is a blank outside ASCII (a cut there would part a stretch of blanks)."""
+    b1, b2, b3 = (np.where(at >= k, data[np.maximum(at - k, 0)], 0) for k in (1, 2, 3))
+    two = (b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
+    three = (((b3 == 0xE1) & (b2 == 0x9A) & (b1 == 0x80)) | ((b3 == 0xE2) & (b2 == 0x81) & (b1 == 0x9F)) | ((b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80))
+             | ((b3 == 0xE2) & (b2 == 0x80) & (((b1 >= 0x80) & (b1 <= 0x8A)) | (b1 == 0xA8) | (b1 == 0xA9) | (b1 == 0xAF))))
+    return two | three
+
+
+def cut(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The chunks of all texts, one after the other, and where each text's chunks begin (and the last ends)."""
+    start, stop = texts.offset, texts.offset + len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[start:stop + 1]
+    low, high = int(offsets[0]), int(offsets[-1])
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[low:high]
+    edges = offsets - low
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    begins = blank.copy()
+    begins[1:] &= ~blank[:-1]
+    begins[:1] = False
+    wide = np.flatnonzero(begins[1:] & (data[:-1] >= 0x80)) + 1
+    begins[wide[_after_wide_blank(data, wide)]] = False
+    begins[edges[edges < len(data)]] = True
+    at = np.append(np.flatnonzero(begins), len(data)).astype(np.int32)
+    chunks = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes()))
+    return chunks, np.searchsorted(at, edges)
+
+
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids.
+    """Texts to token ids.
 
     ``keep_blanks``: blanks belong to the tokens (byte-level vocabulary); otherwise they are
     dropped and letters are lower-cased.  ``ordinary``: the special tokens' strings are ordinary text.
     ``remembered`` bounds the memory, not the result: a full table starts anew.
     """
 
-    def __init__(self, path: str, keep_blanks: bool, ordinary: bool, remembered: int = 400_000):
+    def __init__(self, path: str, keep_blanks: bool, ordinary: bool, remembered: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,73 +84,68 @@ class Encoder:
         self.model = self.tokenizer.model
         self.spelled = dict(enumerate(byte_characters()))
         self.keep_blanks, self.remembered = keep_blanks, remembered
-        self.seen: dict[str, bytes] = {}       # chunks
+        self.seen: dict[str, bytes] = {}           # chunks
         self.parts: dict[str, bytes] = {"": b""}   # letters or punctuation within plain chunks
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         """The whole tokenizer: normalizer, pre-tokenizer and model."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def _part(self, part: str) -> bytes:
         """The library's model alone, for one pre-token that needs no normalization."""
-        if part not in self.parts:
+        got = self.parts.get(part)
+        if got is None:
             if len(self.parts) >= self.remembered:
                 self.parts = {"": b""}
-            tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.spelled))
-            self.parts[part] = np.array([t.id for t in tokens], "<u4").tobytes()
-        return self.parts[part]
+            spelled = part if part.isalpha() and part.isascii() else part.encode().decode("latin-1").translate(self.spelled)
+            got = self.parts[part] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return got
 
     def _learn(self, chunks: list[str]) -> None:
         """Puts the ids of new chunks into ``seen``."""
-        rest = []
+        rest, plain, part, keep = [], PLAIN.fullmatch, self._part, self.keep_blanks
         for c in chunks:
-            m = PLAIN.fullmatch(c)
+            m = plain(c if keep else c.lstrip(BLANKS))
             if m is None:
                 rest.append(c)
             else:
                 line_break, letters, marks = m.groups()
-                letters = letters if self.keep_blanks else letters.lower()
-                self.seen[c] = self._part(line_break) + self._part(letters) + self._part(marks)
-        self.seen.update(zip(rest, self._ids(rest), strict=True))
-
-    def _cut(self, text: str) -> list[str]:
-        words = text.split()
-        if not self.keep_blanks:
-            return words
-        lines = text.count("\n")
-        blanks = text.count(" ") + lines
-        if len(words) != blanks + 1 or sum(map(len, words)) + blanks != len(text):
-            return CHUNK.findall(text)             # not only single spaces and line breaks between words
-        if not lines:
-            return [words[0], *[" " + w for w in words[1:]]]
-        out = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append("\n" + first)
-            out += [" " + w for w in rest]
-        out[0] = out[0][1:]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        out = []
-        for text in texts:
-            if any(c in text for c in ODD):
-                out.append(self._ids([text])[0])
-                continue
-            chunks = self._cut(text)
-            ids = list(map(self.seen.get, chunks))
-            missing = places_of_none(ids)
-            if missing:
-                new = {chunks[i] for i in missing}
-                if len(self.seen) + len(new) > self.remembered:
-                    self.seen = {}
-                self._learn(list(new))
-                for i in missing:
-                    ids[i] = self.seen[chunks[i]]
-            out.append(b"".join(ids))
-        return out
+                ids = part(letters if keep else letters.lower())
+                if marks:
+                    ids += part(marks)
+                self.seen[c] = part(line_break) + ids if line_break else ids
+        self.seen.update(zip(rest, self._whole(rest), strict=True))
+
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        ids = list(map(self.seen.get, chunks))
+        missing = places_of_none(ids)
+        if missing:
+            if len(self.seen) + len(missing) > self.remembered:
+                self.seen = {}
+            self._learn([chunks[i] for i in missing])
+            for i in missing:
+                ids[i] = self.seen[chunks[i]]
+        return ids
+
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """The ids of each text (no nulls), unsigned 32-bit little-endian."""
+        if not len(texts):
+            return []
+        chunks, first = cut(texts)
+        if not len(chunks):
+            return [np.zeros(0, "<u4")] * len(texts)
+        coded = chunks.dictionary_encode()
+        ids = self._ids_of(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy()
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        start = np.cumsum(length) - length
+        each = length[which]
+        ends = np.cumsum(each)
+        out = flat[np.repeat(start[which] - (ends - each), each) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], ends])[first]
+        return [out[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -141,11 +164,22 @@ def encoder(path: str, keep_blanks: bool, ordinary: bool) -> Encoder:
 
 def slices(texts: list[str], max_chars: int = 4_000_000):
     """``(start, stop)`` of stretches of texts with bounded total length (a longer text is alone)."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > max_chars:
+    return stretches(np.fromiter(map(len, texts), np.int64, len(texts)), max_chars)
+
+
+def stretches(sizes: np.ndarray, most: int):
+    """``(start, stop)`` of stretches of bounded total size (a larger item is alone)."""
+    start = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if total and total + n > most:
             yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def text_stretches(texts: pa.StringArray, most: int = 8_000_000):
+    """``(start, stop)`` of stretches of an Arrow string column of bounded total size in bytes."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    return stretches(np.diff(offsets), most) if len(texts) else iter(())

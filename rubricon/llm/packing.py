@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubricon.llm.chunks import encoder, slices
+from rubricon.llm.chunks import encoder, text_stretches
 from rubricon.llm.common import id_and_text, staged
 
 WINDOW = 2048
@@ -46,12 +46,11 @@ def cut_tokens(docs: DataFrame, vocabulary: str, window: int = WINDOW, unit: int
         enc = encoder(vocabulary, False, False)
         seen = np.zeros(-(-window // unit) + 1, np.int64)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            doc_ids = b.column(0).to_pylist()
-            for i, j in slices(texts):
+            texts, doc_ids = b.column(1), b.column(0).to_pylist()
+            for i, j in text_stretches(texts):
                 rows = []
-                for doc_id, ids in zip(doc_ids[i:j], enc.encode(texts[i:j]), strict=True):
-                    ids += end
+                for doc_id, found in zip(doc_ids[i:j], enc.encode(texts.slice(i, j - i)), strict=True):
+                    ids = found.tobytes() + end
                     total = len(ids) // 4
                     for start in range(0, total, window):
                         piece = ids[4 * start:4 * (start + window)]
