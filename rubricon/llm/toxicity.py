@@ -38,12 +38,15 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def features(words: list[bytes], scores: WordScores) -> np.ndarray:
-    x = np.array(scores.of(words))
-    if not len(x):
-        return np.zeros(3)
-    top = np.partition(x, len(x) - TOP)[-TOP:] if len(x) > TOP else x
-    return np.array([x.mean(), top.sum() / TOP, np.maximum(x - CLEAR, 0).mean()])
+def features(texts: list[str], scores: WordScores) -> np.ndarray:
+    """The three differences of each text."""
+    out = np.zeros((len(texts), 3))
+    for i, values in enumerate(scores.of([words_of(t) for t in texts])):
+        x = np.array(values)
+        if len(x):
+            top = np.partition(x, len(x) - TOP)[-TOP:] if len(x) > TOP else x
+            out[i] = x.mean(), top.sum() / TOP, np.maximum(x - CLEAR, 0).mean()
+    return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -84,11 +87,13 @@ class Toxicity:
         below = self.shared.prob(keys)
         return np.log(self.toxic.mix(keys, below)) - np.log(self.ordinary.mix(keys, below))
 
-    def words(self) -> WordScores:
-        return WordScores(ORDER, self.differences)
+    def words(self) -> WordScores | None:
+        return WordScores(ORDER, self.differences) if self.shared is not None else None
 
-    def score(self, words: list[bytes], scores: WordScores) -> float:
-        z = float(features(words, scores) @ self.weights[:-1] + self.weights[-1])
+    def score(self, texts: list[str], scores: WordScores | None) -> np.ndarray:
+        if scores is None:
+            return np.full(len(texts), self.share)
+        z = features(texts, scores) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
@@ -115,8 +120,10 @@ def train(docs: DataFrame, labels: DataFrame, learnable, max_rows: int = MAX_ROW
     def describe(batches):
         scores = shared().words()
         for b in batches:
-            got = [features(words_of(t), scores).tolist() for t in b.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(got, pa.list_(pa.float64())), b.column(1)], names=["x", "cls"])
+            texts = b.column(0).to_pylist()
+            for i, j in slices(texts):
+                got = features(texts[i:j], scores).tolist()
+                yield pa.record_batch([pa.array(got, pa.list_(pa.float64())), b.column(1).slice(i, j - i)], names=["x", "cls"])
 
     held = rows.where("fold = 0").select("text", "cls").mapInArrow(describe, "x array<double>, cls int").toPandas()
     if held["cls"].nunique() == 2:
@@ -134,11 +141,11 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
 
     def run(batches):
         model = shared()
-        scores = model.words() if model.weights is not None else None
+        scores = model.words()
         for b in batches:
             texts = b.column(1).to_pylist()
-            got = [model.share if scores is None else model.score(words_of(t), scores) for t in texts]
-            yield pa.record_batch([b.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
+            for i, j in slices(texts):
+                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(model.score(texts[i:j], scores))], names=["doc_id", "score"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, score double")
 
@@ -150,12 +157,11 @@ def keep_ordinary(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD
 
     def run(batches):
         model = shared()
-        scores = model.words() if model.weights is not None else None
+        scores = model.words()
         for b in batches:
-            texts = b.column(at).to_pylist()
-            for i, j in slices([t or "" for t in texts]):
-                got = [model.share if scores is None else model.score(words_of(t or ""), scores) for t in texts[i:j]]
-                yield b.slice(i, j - i).filter(pa.array([s < threshold for s in got], pa.bool_()))
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            for i, j in slices(texts):
+                yield b.slice(i, j - i).filter(pa.array(model.score(texts[i:j], scores) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

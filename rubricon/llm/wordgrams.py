@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rubricon.llm.chunks import places_of_none, slices
+
 
 def keys_of(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram keys of the words, one after the other, and where each word's keys begin."""
@@ -34,8 +36,6 @@ def count_grams(texts: DataFrame, order: int, words_of, classes: int = 1) -> Dat
     """
     from collections import Counter
 
-    from rubricon.llm.chunks import slices
-
     names = [f"c{k}" for k in range(classes)]
 
     def run(batches):
@@ -145,14 +145,9 @@ class WordScores:
     def __init__(self, order: int, score_keys, remembered: int = 400_000):
         self.order, self.score_keys, self.remembered, self.seen = order, score_keys, remembered, {}
 
-    def learn(self, words) -> None:
-        new = {w for w in words if w not in self.seen}
-        if not new:
-            return
+    def learn(self, new: list[bytes]) -> None:
         if len(self.seen) + len(new) > self.remembered:
             self.seen = {}
-            new = set(words)
-        new = list(new)
         for i in range(0, len(new), 200_000):
             part = new[i:i + 200_000]
             keys, first = keys_of(part, self.order)
@@ -160,9 +155,14 @@ class WordScores:
             value = self.score_keys(distinct)[at]
             self.seen.update(zip(part, np.add.reduceat(value, first).tolist(), strict=True))
 
-    def of(self, words: list[bytes]) -> list[float]:
-        got = list(map(self.seen.get, words))
-        if None in got:
-            self.learn(words)
-            got = [self.seen[w] for w in words]
+    def of(self, texts: list[list[bytes]]) -> list[list[float]]:
+        """The scores of the words of each text; words that are new to all of them are scored together."""
+        got = [list(map(self.seen.get, words)) for words in texts]
+        missing = [places_of_none(x) for x in got]
+        new = {words[i] for words, places in zip(texts, missing, strict=True) for i in places}
+        if new:
+            self.learn(list(new))
+            for words, x, places in zip(texts, got, missing, strict=True):
+                for i in places:
+                    x[i] = self.seen[words[i]]
         return got
