@@ -76,7 +76,9 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 2) -> DataFrame:
     if max_bits % 2 or max_bits < 0:
         raise ValueError("max_bits must be even")
     masks = flip_masks(segments, max_bits // 2)
-    probes = fps.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
+    # a few bytes for each fingerprint become a ball of keys: deal them over all tasks first
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probes = fps.repartition(n, "fp").select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
     keyed = probes.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
     # at most len(masks) distinct fingerprints lie around one key
     hits = keyed.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
