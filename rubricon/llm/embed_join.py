@@ -7,10 +7,11 @@ join finds all pairs within the share; the union of these candidates is verified
 precision.
 
 The range join uses a grid over the block's first two dimensions with cells twice as wide as the radius.  A vector lives in
-one cell and visits the neighbours within the radius (at most four cells).  Its links are counted where it lives, so each
-link counts once for either end, and only in the first block that finds the pair.  Cells are sent as packed
-arrays; a cell with more than ``tile`` vectors is split into tiles, every tile of residents against every tile of
-members, so no task holds a large cell.  Tasks return a count for each resident and a spanning forest of the tile's links, never pairs.
+one cell and visits those of the neighbours within the radius that come later in the grid's order, so two vectors
+within the radius meet in exactly one cell, where at least one of them lives.  A link counts for both ends, only in the
+first block that finds the pair.  Cells are sent as packed arrays; a cell with more than ``tile`` vectors is split
+into tiles, every tile of residents against every tile of members, so no task holds a large cell.  Tasks
+return a count for each vector and a spanning forest of the tile's links, never pairs.
 Equal vectors are joined once, as one vector with a weight.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own
@@ -52,7 +53,8 @@ class Space:
         return raw / np.linalg.norm(raw, axis=1, keepdims=True) @ self.turn
 
     def cells(self, turned: np.ndarray, k: int):
-        """``(row, cell x, cell y, lives there)`` of every cell of block ``k`` that a vector lives in or visits."""
+        """``(row, cell x, cell y, lives there)`` of every cell of block ``k`` that a vector lives in or visits: its own and
+        the later ones in reach."""
         radius = np.sqrt(self.share[k]) + SLACK
         dims = self.parts[k][:2]
         at = turned[:, dims] if len(dims) == 2 else np.c_[turned[:, dims], np.zeros(len(turned))]
@@ -62,8 +64,10 @@ class Space:
         for x in (low, high):
             for y in (low, high):
                 new = ((x is low) | (low[:, 0] != high[:, 0])) & ((y is low) | (low[:, 1] != high[:, 1]))
+                hx, hy = home[:, 0], home[:, 1]
+                new &= (x[:, 0] > hx) | ((x[:, 0] == hx) & (y[:, 1] >= hy))
                 cx, cy = x[new, 0], y[new, 1]
-                yield rows[new], cx, cy, (cx == home[new, 0]) & (cy == home[new, 1])
+                yield rows[new], cx, cy, (cx == hx[new]) & (cy == hy[new])
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -82,44 +86,49 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def verify_tile(space: Space, k: int, cosine: float, raw_a, raw_b, id_a, id_b, weight_b):
-    """Links between residents ``a`` and members ``b`` that block ``k`` is the first to find: ``(count for each a, nodes, labels)``."""
+def verify_tile(space: Space, k: int, cosine: float, a_side, b_side, visits: np.ndarray, same: bool):
+    """Links between residents ``a`` and members ``b`` that block ``k`` is the first to find.
+
+    A side is ``(nodes, weights, raw vectors)``.  With ``same``, ``b`` begins with all of ``a`` in the same order.  A pair of
+    residents is counted once, a resident and a visitor always.  Returns ``(nodes, counts, moved nodes, labels)``.
+    """
+    (id_a, weight_a, raw_a), (id_b, weight_b, raw_b) = a_side, b_side
     ta, tb = space.turned(raw_a), space.turned(raw_b)
     fa, fb = ta.astype(np.float32), tb.astype(np.float32)
-    dims, near = space.parts[k], 2e-6
-    nb = (fb[:, dims] ** 2).sum(1)
-    na_, nb_ = np.linalg.norm(raw_a, axis=1), np.linalg.norm(raw_b, axis=1)
-    count = np.zeros(len(raw_a), np.int64)
+    dims, near = space.parts[k], 1e-5
+    # squared distance as one product: (-2a, |a|^2, 1) . (b, 1, |b|^2)
+    left = np.c_[-2 * fa[:, dims], (fa[:, dims] ** 2).sum(1), np.ones(len(fa), np.float32)]
+    right = np.ascontiguousarray(np.c_[fb[:, dims], np.ones(len(fb), np.float32), (fb[:, dims] ** 2).sum(1)].T)
+    norm_a, norm_b = np.linalg.norm(raw_a, axis=1), np.linalg.norm(raw_b, axis=1)
     ids = np.unique(np.concatenate([id_a, id_b]))
     in_a, in_b = np.searchsorted(ids, id_a), np.searchsorted(ids, id_b)
-    label = np.arange(len(ids))
-    step = max(1, 4_000_000 // max(1, len(fb)))
+    count, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    step = max(1, 400_000 // max(1, len(fb)))
     for i in range(0, len(fa), step):
-        part = fa[i:i + step][:, dims]
-        d = (part ** 2).sum(1)[:, None] + nb[None, :] - 2 * (part @ fb[:, dims].T)
-        a, b = np.nonzero(d <= space.share[k] + near)
-        a += i
-        keep = id_a[a] != id_b[b]
+        begin = i if same else 0
+        close = np.flatnonzero((left[i:i + step] @ right[:, begin:]).ravel() <= space.share[k] + near)
+        a, b = close // (len(fb) - begin) + i, close % (len(fb) - begin) + begin
+        keep = visits[b] | (b > a if same else id_a[a] < id_b[b])
         a, b = a[keep], b[keep]
         for j in range(k):                              # pairs that an earlier block has found for certain
             other = space.parts[j]
-            keep = ((fa[np.ix_(np.arange(len(fa)), other)][a] - fb[:, other][b]) ** 2).sum(1) > space.share[j] - near
+            keep = ((fa[a][:, other] - fb[b][:, other]) ** 2).sum(1) > space.share[j] - near
             a, b = a[keep], b[keep]
         linked = []
         for s in range(0, len(a), 50_000):
             x, y = a[s:s + 50_000], b[s:s + 50_000]
             by_block = np.add.reduceat((ta[x] - tb[y]) ** 2, space.first, axis=1)
             first = np.argmax(by_block <= space.share, axis=1)
-            cos = np.einsum("ij,ij->i", raw_a[x], raw_b[y]) / (na_[x] * nb_[y])
+            cos = np.einsum("ij,ij->i", raw_a[x], raw_b[y]) / (norm_a[x] * norm_b[y])
             linked.append((first == k) & (by_block[:, k] <= space.share[k]) & (cos >= cosine))
         if linked:
             keep = np.concatenate(linked)
             a, b = a[keep], b[keep]
-            count += np.bincount(a, weight_b[b], len(count)).astype(np.int64)
-            if len(a):
-                label = forest(np.concatenate([in_a[a], np.arange(len(ids))]), np.concatenate([in_b[b], label]), len(ids))
-    moved = label != np.arange(len(ids))
-    return count, ids[moved], ids[label[moved]]
+        if len(a):
+            count += (np.bincount(in_a[a], weight_b[b], len(ids)) + np.bincount(in_b[b], weight_a[a], len(ids))).astype(np.int64)
+            label = forest(np.concatenate([in_a[a], np.arange(len(ids))]), np.concatenate([in_b[b], label]), len(ids))
+    has, moved = count > 0, label != np.arange(len(ids))
+    return ids[has], count[has], ids[moved], ids[label[moved]]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
@@ -167,38 +176,46 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, blocks: int = BL
                         x, y = int(part[0, 1]), int(part[0, 2])
                         n = tiles.get((dim, k, x, y), 1)
                         mine = node[at[part[:, 0]]] % n if n > 1 else np.zeros(len(part), np.int64)
-                        for lives in (True, False):            # residents, then all members
-                            for t in range(n):
-                                use = part[(mine == t) & (part[:, 3] == 1 if lives else True)][:, 0]
+                        for t in range(n):
+                            for lives in (1, 0):
+                                use = part[(mine == t) & (part[:, 3] == lives)][:, 0]
                                 if not len(use):
                                     continue
+                                packed = {"nodes": node[at[use]].astype("<i8").tobytes(), "weights": weight[at[use]].astype("<i8").tobytes(),
+                                          "raw": raw[use].astype(kind).tobytes()}
                                 for other in range(n):
-                                    pair = (t, other) if lives else (other, t)
-                                    yield pa.RecordBatch.from_pylist([{
-                                        "cell": f"{dim},{k},{x},{y},{pair[0]},{pair[1]}", "lives": lives, "nodes": node[at[use]].astype("<i8").tobytes(),
-                                        "weights": weight[at[use]].astype("<i8").tobytes(), "raw": raw[use].astype(kind).tobytes()}], sent)
+                                    if not lives:
+                                        places = [(other, t, "visitor")]
+                                    elif other == t:
+                                        places = [(t, t, "both")]
+                                    else:
+                                        places = [(t, other, "a"), (other, t, "b")]
+                                    yield pa.RecordBatch.from_pylist(
+                                        [{"cell": f"{dim},{k},{x},{y},{i},{j}", "side": side, **packed} for i, j, side in places], sent)
 
-    sent = pa.schema([("cell", pa.string()), ("lives", pa.bool_()), ("nodes", pa.binary()), ("weights", pa.binary()), ("raw", pa.binary())])
+    sent = pa.schema([("cell", pa.string()), ("side", pa.string()), ("nodes", pa.binary()), ("weights", pa.binary()), ("raw", pa.binary())])
 
     def join(group):
         import pandas as pd
 
         dim, k = (int(x) for x in group["cell"].iloc[0].split(",")[:2])
-        side = {}
-        for lives in (True, False):
-            g = group[group["lives"] == lives]
-            side[lives] = (np.frombuffer(b"".join(g["nodes"]), "<i8"), np.frombuffer(b"".join(g["weights"]), "<i8"),
-                           np.frombuffer(b"".join(g["raw"]), kind).reshape(-1, dim).astype(np.float64))
-        (na, _, ra), (nb, wb, rb) = side[True], side[False]
-        if not len(na) or not len(nb):
+
+        def side(*names):
+            g = pd.concat([group[group["side"] == x] for x in names])
+            ints = lambda col: np.frombuffer(b"".join(g[col]), "<i8")
+            return ints("nodes"), ints("weights"), np.frombuffer(b"".join(g["raw"]), kind).reshape(-1, dim).astype(np.float64)
+
+        same = bool((group["side"] == "both").any())
+        a, b = side("both", "a"), side("both", "b", "visitor")
+        if not len(a[0]) or not len(b[0]):
             return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-        count, nodes, labels = verify_tile(Space(dim, blocks, cosine), k, cosine, ra, rb, na, nb, wb)
-        has = count > 0
-        return pd.DataFrame({"a": np.concatenate([na[has], nodes]), "b": np.concatenate([na[has], labels]),
-                             "n": np.concatenate([count[has], np.zeros(len(nodes), np.int64)])})
+        visits = np.arange(len(b[0])) >= len(b[0]) - len(side("visitor")[0])
+        nodes, counts, moved, labels = verify_tile(Space(dim, blocks, cosine), k, cosine, a, b, visits, same)
+        return pd.DataFrame({"a": np.concatenate([nodes, moved]), "b": np.concatenate([nodes, labels]),
+                             "n": np.concatenate([counts, np.zeros(len(moved), np.int64)])})
 
     found = staged(distinct.select("v", "node", "weight")
-                   .mapInArrow(send, "cell string, lives boolean, nodes binary, weights binary, raw binary")
+                   .mapInArrow(send, "cell string, side string, nodes binary, weights binary, raw binary")
                    .groupBy("cell").applyInPandas(join, "a long, b long, n long"))
     links = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     label = components(found.where("n = 0").select("a", "b"))
