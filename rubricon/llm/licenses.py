@@ -1,7 +1,7 @@
 """License scan by conditional compression.
 
 A line with a license cue (or a run of such lines) is a candidate block; a long line is narrowed to the sentences
-around its cues.  Each block is compressed with every template as a raw zstandard dictionary: the more of a block a
+with cues and those that follow them.  Each block is compressed with every template as a raw zstandard dictionary: the more of a block a
 template explains, the smaller it gets.  Templates are ranked by the share of the block's own compressed size that they
 save, and winners are confirmed by exact wording: the words of the template and of the block are aligned, and the
 template counts as found when at most ``MAX_DIFFERENCE`` of its words were inserted, deleted or replaced.
@@ -116,8 +116,9 @@ def differing_words(a: list[str], b: list[str]) -> int:
     return sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in ops if tag != "equal")
 
 
-def candidate_blocks(text: str):
-    """``(start, end)`` of the sentences that hold a cue; neighbouring ones are one block."""
+def candidate_blocks(text: str, reach: int):
+    """``(start, end)`` of the sentences that hold a cue, with sentences of the same line that follow within ``reach``
+    words (a notice's later sentences may hold no cue); neighbouring ones are one block."""
     low = text.lower()
     if not any(c in low for c in CUES):
         return
@@ -128,19 +129,24 @@ def candidate_blocks(text: str):
     for m in SENTENCE_END.finditer(text):
         cuts.append(m.end())
     cuts.append(len(text))
+    room = 0
     for start, end in zip(cuts, cuts[1:], strict=False):
-        if CUE.search(low, start, end):
-            if spans and spans[-1][1] == start:
-                spans[-1][1] = end
-            else:
-                spans.append([start, end])
+        cue = CUE.search(low, start, end)
+        goes_on = bool(spans) and spans[-1][1] == start
+        if cue:
+            room = reach
+        if goes_on and (cue or (room > 0 and text[start - 1] != "\n")):
+            spans[-1][1] = end
+        elif cue:
+            spans.append([start, end])
+        room = room - text.count(" ", start, end) if text[end - 1:end] != "\n" else 0
     yield from map(tuple, spans)
 
 
-def scan_text(text: str, in_block) -> list[tuple]:
+def scan_text(text: str, reach: int, in_block) -> list[tuple]:
     """``(license, start, length, saving, differing words)`` by position; ``in_block`` gives a block's confirmed places."""
     rows = []
-    for start, end in candidate_blocks(text):
+    for start, end in candidate_blocks(text, reach):
         taken: list[tuple[int, int]] = []
         for saving, name, s, e, differing in in_block(text[start:end]):
             if any(s < t_end and t_start < e for t_start, t_end in taken):
@@ -177,7 +183,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
 
         for b in batches:
             rows = [(doc_id, *r) for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-                    for r in scan_text(text, in_block)]
+                    for r in scan_text(text, made.longest, in_block)]
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
