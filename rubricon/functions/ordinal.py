@@ -43,7 +43,7 @@ def decode_index(probs: Column | str) -> Column:
     better by more than ``TIE_EPS``, so exact ties — which saturated 0/1 and 0.5
     probabilities produce — go to the lowest index whatever the summation order.
     Any NaN makes every distance NaN, in which case index 0 is returned; a null
-    array gives null.
+    array, or one with a null element, gives null.
     """
     p = _c(probs).cast("array<double>")
     total = F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x)
@@ -60,7 +60,8 @@ def decode_index(probs: Column | str) -> Column:
 
     idx = F.aggregate(p, init, step, lambda acc: acc["best_k"])
     has_nan = F.exists(p, lambda x: F.isnan(x))
-    return F.when(p.isNull(), F.lit(None).cast("int")).when(has_nan, F.lit(0)).otherwise(idx)
+    missing = p.isNull() | F.exists(p, lambda x: x.isNull())
+    return F.when(missing, F.lit(None).cast("int")).when(has_nan, F.lit(0)).otherwise(idx)
 
 
 def decode_scores(probs: Column | str, score_points: Column | str | Sequence[float]) -> Column:

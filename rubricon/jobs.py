@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.operators import agree, batch, ordinal, pool, profile
-from rubricon.sources.answers import require_columns
+from rubricon.sources.answers import read_table, require_columns
 from rubricon.sources.sinks import OrdinalHead, save_head, write_metrics_json, write_scored
 
 
@@ -92,7 +92,7 @@ def score_table(answers: DataFrame, scorer_factory: Callable, output: str | None
     scored = batch.batch_score(answers, scorer_factory, text_col, batch_size)
     if output:
         write_scored(scored, output, fmt)
-        scored = answers.sparkSession.read.format(fmt).load(output)
+        scored = read_table(answers.sparkSession, output, fmt, schema=scored.schema)
     return scored, batch.status_counts(scored)
 
 

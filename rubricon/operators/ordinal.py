@@ -224,6 +224,7 @@ def validate(df: DataFrame, score_points: Sequence[float], logits: str = "logits
 
     g = list(group_cols)
     tol = tolerance if tolerance and tolerance > 0 else None
+    df = df.filter(F.col(label).isNotNull() & F.col(label_idx).isNotNull())     # unlabelled rows have no loss
     scored = decode(probabilities(df, logits), score_points)
     cells = scored.groupBy(*g, F.col("score").cast("double").alias("pred"),
                            F.col(label).cast("double").alias("label")).agg(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rubricon.functions.arrays import pad_truncate as _pad_truncate
 from rubricon.operators.agree import dense_index
-from rubricon.session import broadcast_if_small, materialize_small
+from rubricon.session import broadcast_if_small, join_keys, materialize_small
 
 HASH_BUCKET_HEX = 4                 # 16-bit buckets
 MAX_BROADCAST_POINTS = 100_000      # score-point rows collected for a broadcast lookup
@@ -92,7 +92,7 @@ def encode_ordinal(df: DataFrame, label: str = "label", group_cols: Sequence[str
     lookup = broadcast_if_small(pts, n, max_broadcast_rows)
     keyed = df.withColumn("_lbl", F.col(label).cast("double"))
     lk = lookup.withColumnRenamed("label", "_lbl")
-    out = keyed.join(lk, [*g, "_lbl"], "left").drop("_lbl")
+    out = join_keys(keyed, lk, [*g, "_lbl"], "left").drop("_lbl")
     return out, pts
 
 
@@ -193,7 +193,7 @@ def split_exact(df: DataFrame, key_cols: Sequence[str] = ("BMH",), test_size: fl
                          .select(*gk, "_b", "_m", "_cum", "_before", "_ntest"))
     buckets_all, n_buckets = materialize_small(buckets_all)
     buckets = broadcast_if_small(buckets_all.drop("_m"), n_buckets)
-    j = h.join(buckets, [*gk, "_b"])
+    j = join_keys(h, buckets, [*gk, "_b"])
     whole = j.filter((F.col("_cum") <= F.col("_ntest")) | (F.col("_before") >= F.col("_ntest"))) \
              .withColumn("split", F.when(F.col("_cum") <= F.col("_ntest"), "test").otherwise("train"))
     tb = list(tiebreak_cols) + [c for c in _orderable(df, [*key_cols, *tiebreak_cols, *g])]

@@ -52,7 +52,7 @@ def describe(df: DataFrame, col: str, group_cols: Sequence[str] = (),
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
     gk = g if g else ["_k"]
-    base = df.select(*g, x.alias("_x")).filter(F.col("_x").isNotNull())
+    base = df.select(*g, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     if not g:
         base = base.withColumn("_k", F.lit(0))
     # distinct values with counts, materialised once; its size picks the running-count method
@@ -97,7 +97,7 @@ def histogram(df: DataFrame, col: str, bins: int, group_cols: Sequence[str] = ()
     g = list(group_cols)
     gk = g if g else ["_k"]
     x = F.col(col).cast("double")
-    base = df.select(*g, x.alias("_x")).filter(F.col("_x").isNotNull())
+    base = df.select(*g, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     if not g:
         base = base.withColumn("_k", F.lit(0))
     freq = base.groupBy(*gk, "_x").agg(F.count(F.lit(1)).alias("_c"))

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rubricon.session import join_keys
+
 STEP_CHUNK = 65_536
 
 
@@ -60,20 +62,24 @@ def chunked_row_number(df: DataFrame, by: Sequence[str], order: Sequence[str], c
         parts = [d.withColumn("_crn_local", local)]
     out_df = None
     for part in parts:
-        r = (part.join(lookup, [*b, "_crn_chunk"])
+        r = (join_keys(part, lookup, [*b, "_crn_chunk"])
                  .withColumn(out, (F.col("_crn_local") + F.col("_crn_off")).cast("long"))
                  .drop("_crn_chunk", "_crn_local", "_crn_off"))
         out_df = r if out_df is None else out_df.unionByName(r)
     return out_df
 
 
+def _measured(log: DataFrame, metric: str) -> DataFrame:
+    return log.filter(F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double")))
+
+
 def improvement_events(log: DataFrame, run: str = "run", step: str = "step", metric: str = "metric",
                        baseline: float = 0.0, chunk_steps: int = STEP_CHUNK) -> DataFrame:
     """Rows whose metric is strictly above the best so far, which starts at ``baseline``.
 
-    Output ``(run, step, metric, prev_best)``.
+    Steps without a metric (null or NaN) are not measurements.  Output ``(run, step, metric, prev_best)``.
     """
-    d = log.select(run, step, metric).withColumn("_chunk", F.floor((F.col(step) - 1) / chunk_steps))
+    d = _measured(log, metric).select(run, step, metric).withColumn("_chunk", F.floor((F.col(step) - 1) / chunk_steps))
     cmax = d.groupBy(run, "_chunk").agg(F.max(metric).alias("_cmax"))
     prev = Window.partitionBy(run).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = cmax.withColumn("_carry", F.max("_cmax").over(prev)).drop("_cmax")
@@ -81,7 +87,7 @@ def improvement_events(log: DataFrame, run: str = "run", step: str = "step", met
     best_before = F.greatest(F.lit(float(baseline)),
                              F.coalesce(F.col("_carry"), F.lit(float(baseline))),
                              F.coalesce(F.max(metric).over(inner), F.lit(float(baseline))))
-    j = d.join(carry, [run, "_chunk"]).withColumn("prev_best", best_before)
+    j = join_keys(d, carry, [run, "_chunk"]).withColumn("prev_best", best_before)
     return j.filter(F.col(metric) > F.col("prev_best")).select(run, step, metric, "prev_best")
 
 
@@ -91,8 +97,9 @@ def best_checkpoint(log: DataFrame, run: str = "run", step: str = "step", metric
 
     One aggregation: the minimum of ``(-metric, step)`` picks the highest metric
     and, among equal metrics, the earliest step — deterministic, unlike ``max_by``.
+    Steps without a metric (null or NaN) are not measurements.
     """
-    best = log.groupBy(run).agg(
+    best = _measured(log, metric).groupBy(run).agg(
         F.min(F.struct((-F.col(metric)).alias("neg"), F.col(step).alias("s"))).alias("_b"))
     return (best.select(run, F.col("_b.s").alias(step), (-F.col("_b.neg")).alias(metric))
                 .filter(F.col(metric) > F.lit(float(baseline))))

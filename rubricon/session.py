@@ -48,7 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Local runs only: the cluster always names a shared folder.
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="rubricon-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -71,6 +72,16 @@ def materialize_small(df):
     return ck, ck.count()
 
 
+def join_keys(left, right, keys, how: str = "inner"):
+    """Equi-join on ``keys`` in which null keys match each other; the left side's keys remain."""
+    from functools import reduce
+
+    names = {k: f"__r_{k}" for k in keys}
+    other = right.select(*[right[f"`{c}`"].alias(names.get(c, c)) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(other[f"`{n}`"]) for k, n in names.items()])
+    return left.join(other, same, how).drop(*names.values())
+
+
 def broadcast_if_small(df, n_rows: int, limit: int = MAX_BROADCAST_ROWS):
     """Broadcast hint only when the counted size is within ``limit``; otherwise a normal join."""
     from pyspark.sql import functions as F

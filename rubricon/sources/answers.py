@@ -28,7 +28,8 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
     subject/question is a plain ``filter`` on a partitioned layout (A4)."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", "true")
+        # texts hold line breaks and quotes
+        reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)
     for k, v in options.items():

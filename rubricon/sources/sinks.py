@@ -39,7 +39,7 @@ def write_scored(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
     out = df.orderBy(order_col) if order_col else df
     w = out.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", "true")
+        w = w.option("header", "true").option("escape", '"')
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)

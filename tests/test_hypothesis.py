@@ -23,11 +23,9 @@ cases = st.lists(
 def _ref_metrics(pairs):
     p = np.array([a for a, _ in pairs])
     l = np.array([b for _, b in pairs])
-    vals = sorted(set(p) | set(l))
-    ix = {v: i for i, v in enumerate(vals)}
-    a = np.array([ix[v] for v in p])
-    b = np.array([ix[v] for v in l])
-    k = len(vals)
+    points, place = np.unique(np.stack([p, l]), return_inverse=True)
+    a, b = place.reshape(2, -1)
+    k = len(points)
     o = np.zeros((k, k))
     for i, j in zip(b, a):
         o[i, j] += 1
