@@ -3,7 +3,7 @@
 A text is cut where a stretch of ASCII blanks begins after a non-blank.  Neither of the two
 pre-tokenization patterns used here matches across such a cut, and neither looks behind, so the ids of a
 text are the ids of its chunks in order.  Arrow finds the distinct chunks of a stretch of texts, the library sees
-each once, and a worker remembers the ids of a bounded number of chunks.
+each once, and a worker remembers the ids of a bounded number of words.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ class Encoder:
     ``remembered`` bounds the memory, not the result: a full table starts anew.
     """
 
-    def __init__(self, path: str, keep_blanks: bool, ordinary: bool, remembered: int = 500_000):
+    def __init__(self, path: str, keep_blanks: bool, ordinary: bool, remembered: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -84,7 +84,6 @@ class Encoder:
         self.model = self.tokenizer.model
         self.spelled = dict(enumerate(byte_characters()))
         self.keep_blanks, self.remembered = keep_blanks, remembered
-        self.seen: dict[str, bytes] = {}           # chunks
         self.parts: dict[str, bytes] = {"": b""}   # letters or punctuation within plain chunks
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -102,31 +101,23 @@ class Encoder:
             got = self.parts[part] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return got
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Puts the ids of new chunks into ``seen``."""
-        rest, plain, part, keep = [], PLAIN.fullmatch, self._part, self.keep_blanks
-        for c in chunks:
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        out, rest, plain, part, keep = [], [], PLAIN.fullmatch, self._part, self.keep_blanks
+        for i, c in enumerate(chunks):
             m = plain(c if keep else c.lstrip(BLANKS))
             if m is None:
-                rest.append(c)
-            else:
-                line_break, letters, marks = m.groups()
-                ids = part(letters if keep else letters.lower())
-                if marks:
-                    ids += part(marks)
-                self.seen[c] = part(line_break) + ids if line_break else ids
-        self.seen.update(zip(rest, self._whole(rest), strict=True))
-
-    def _ids_of(self, chunks: list[str]) -> list[bytes]:
-        ids = list(map(self.seen.get, chunks))
-        missing = places_of_none(ids)
-        if missing:
-            if len(self.seen) + len(missing) > self.remembered:
-                self.seen = {}
-            self._learn([chunks[i] for i in missing])
-            for i in missing:
-                ids[i] = self.seen[chunks[i]]
-        return ids
+                rest.append(i)
+                out.append(b"")
+                continue
+            line_break, letters, marks = m.groups()
+            ids = part(letters if keep else letters.lower())
+            if marks:
+                ids += part(marks)
+            out.append(part(line_break) + ids if line_break else ids)
+        for i, ids in zip(rest, self._whole([chunks[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
 
     def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
         """The ids of each text (no nulls), unsigned 32-bit little-endian."""
@@ -179,7 +170,7 @@ def stretches(sizes: np.ndarray, most: int):
         yield start, len(sizes)
 
 
-def text_stretches(texts: pa.StringArray, most: int = 8_000_000):
+def text_stretches(texts: pa.StringArray, most: int = 6_000_000):
     """``(start, stop)`` of stretches of an Arrow string column of bounded total size in bytes."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
     return stretches(np.diff(offsets), most) if len(texts) else iter(())

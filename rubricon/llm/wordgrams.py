@@ -142,7 +142,7 @@ def fit(counts: DataFrame, col: str, order: int, modified: bool) -> Model:
 class WordScores:
     """Scores of words from ``score_keys(keys) -> value of each key``; a bounded table remembers them."""
 
-    def __init__(self, order: int, score_keys, remembered: int = 400_000):
+    def __init__(self, order: int, score_keys, remembered: int = 200_000):
         self.order, self.score_keys, self.remembered, self.seen = order, score_keys, remembered, {}
 
     def learn(self, new: list[bytes]) -> None:
