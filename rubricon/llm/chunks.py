@@ -172,5 +172,7 @@ def stretches(sizes: np.ndarray, most: int):
 
 def text_stretches(texts: pa.StringArray, most: int = 6_000_000):
     """``(start, stop)`` of stretches of an Arrow string column of bounded total size in bytes."""
+    if not len(texts):
+        return iter(())
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
-    return stretches(np.diff(offsets), most) if len(texts) else iter(())
+    return stretches(np.diff(offsets), most)

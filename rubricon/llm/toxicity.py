@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubricon.llm.chunks import slices
+from rubricon.llm.chunks import slices, text_stretches
 from rubricon.llm.common import crc_fold, id_and_text, shipped, staged
 from rubricon.llm.wordgrams import Level, WordScores, count_grams, fit, smoothed
 
@@ -32,6 +32,7 @@ TOP = 3
 CLEAR = 2.0
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
+STRETCH = 3_000_000             # bytes of text scored together
 
 
 def words_of(text: str) -> list[bytes]:
@@ -143,9 +144,9 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
         model = shared()
         scores = model.words()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in slices(texts):
-                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(model.score(texts[i:j], scores))], names=["doc_id", "score"])
+            for i, j in text_stretches(b.column(1), STRETCH):
+                texts = b.column(1).slice(i, j - i).to_pylist()
+                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(model.score(texts, scores))], names=["doc_id", "score"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, score double")
 
@@ -159,9 +160,9 @@ def keep_ordinary(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD
         model = shared()
         scores = model.words()
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            for i, j in slices(texts):
-                yield b.slice(i, j - i).filter(pa.array(model.score(texts[i:j], scores) < threshold))
+            for i, j in text_stretches(b.column(at), STRETCH):
+                texts = [t or "" for t in b.column(at).slice(i, j - i).to_pylist()]
+                yield b.slice(i, j - i).filter(pa.array(model.score(texts, scores) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
