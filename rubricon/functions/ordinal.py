@@ -81,7 +81,7 @@ def cumulative_targets(label_idx: Column | str, n_thresholds: int | Column) -> C
 
 def bce_with_logits_sum(logits: Column | str, label_idx: Column | str) -> Column:
     """Sum over thresholds of the numerically stable binary cross-entropy with logits,
-    ``max(x,0) - x*t + log1p(exp(-|x|))`` with target t = [label_idx > j]."""
+    ``max(x,0) - x*t + log1p(exp(-|x|))`` with target t = [label_idx > j]; null without a label."""
     x_arr = _c(logits).cast("array<double>")
     li = _c(label_idx)
     terms = F.transform(
@@ -89,7 +89,7 @@ def bce_with_logits_sum(logits: Column | str, label_idx: Column | str) -> Column
         lambda x, j: F.greatest(x, F.lit(0.0))
         - x * F.when(li > j, F.lit(1.0)).otherwise(F.lit(0.0))
         + F.log1p(F.exp(-F.abs(x))))
-    return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+    return F.when(li.isNotNull(), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -100,10 +100,14 @@ def linear_logits(vec: Column | str, coef: Sequence[Sequence[float]],
                   intercept: Sequence[float]) -> Column:
     """K-1 logits ``W @ vec + b`` as a JVM expression with the weights inlined.
 
-    Meant for small heads (the weights become literals of the plan); wide heads use
-    the Arrow-batched numpy path in :mod:`rubricon.operators.ordinal`.
+    For small heads (the weights become literals of the plan); the usual path is the
+    Arrow-batched numpy form in :mod:`rubricon.operators.ordinal`.  A null vector, or one with
+    a null element, has null logits; a vector of another length raises.
     """
     v = _c(vec).cast("array<double>")
+    dim = len(coef[0])
     rows = [F.lit(float(b)) + dot(v, F.array(*[F.lit(float(w)) for w in wrow]))
             for wrow, b in zip(coef, intercept)]
-    return F.array(*rows)
+    wrong = F.raise_error(F.lit(f"vector length differs from the head input size {dim}")).cast("array<double>")
+    whole = v.isNotNull() & ~F.exists(v, lambda x: x.isNull())
+    return F.when(v.isNotNull() & (F.size(v) != dim), wrong).when(whole, F.array(*rows))

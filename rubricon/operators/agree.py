@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubricon.session import broadcast_if_small, materialize_small
+from rubricon.session import broadcast_if_small, join_keys, materialize_small
 
 _G = "_grp"
 
@@ -129,7 +129,7 @@ def _indexed(ct: DataFrame, keys: list[str], n_cells: int | None = None) -> Data
     b = vt.select(*keys, F.col("v").alias("label"), F.col("idx").alias("b"), "rl")
     if n_cells is not None:
         a, b = broadcast_if_small(a, 2 * n_cells), broadcast_if_small(b, 2 * n_cells)
-    return ct.join(a, [*keys, "pred"]).join(b, [*keys, "label"])
+    return join_keys(join_keys(ct, a, [*keys, "pred"]), b, [*keys, "label"])
 
 
 def materialize_contingency(ct: DataFrame) -> tuple[DataFrame, int]:
@@ -174,7 +174,8 @@ def metrics_wide(ct: DataFrame, group_cols: Sequence[str] = (),
     totals = ct.groupBy(*keys).agg(
         F.sum(n).alias("_tot"), (F.sum(n * F.col("pred")) / F.sum(n)).alias("_mp"),
         (F.sum(n * F.col("label")) / F.sum(n)).alias("_ml"))
-    t = _indexed(ct, keys, n_cells).join(broadcast_if_small(totals, n_cells), keys)
+    n_groups = n_cells if group_cols else 1         # a group has at least one cell
+    t = join_keys(_indexed(ct, keys, n_cells), broadcast_if_small(totals, n_groups), keys)
     mid = (F.col("_tot") + 1.0) / 2.0             # mean of average ranks is (N+1)/2
     t = t.select(*keys, "pred", "label", "n", "a", "b", "ml_at_pred",
                  (F.col("pred") - F.col("_mp")).alias("dp"), (F.col("label") - F.col("_ml")).alias("dl"),
@@ -216,7 +217,7 @@ def metrics_wide(ct: DataFrame, group_cols: Sequence[str] = (),
         tq = _qwk_moments(_indexed(snap_within(ct, keys, tolerance), keys, n_cells), keys, "t_")
         tq = tq.select(*keys, _qwk_expr(F.col("t_N"), F.col("t_sa"), F.col("t_sb"), F.col("t_saa"),
                                         F.col("t_sbb"), F.col("t_sdd")).alias("_tol_qwk"))
-        out = (out.join(broadcast_if_small(tq, n_cells), keys, "left")
+        out = (join_keys(out, broadcast_if_small(tq, n_groups), keys, "left")
                   .withColumnRenamed("_tol_acc", f"tolerance_acc({tolerance})")
                   .withColumnRenamed("_tol_qwk", f"tolerance_qwk({tolerance})"))
     names = metric_names(tolerance)
@@ -234,7 +235,7 @@ def to_long(wide: DataFrame, group_cols: Sequence[str], names: Sequence[str],
 def compute_metrics(df: DataFrame, pred: str = "pred", label: str = "label",
                     group_cols: Sequence[str] = (), tolerance: float | None = None,
                     from_contingency: bool = False, n_cells: int | None = None) -> DataFrame:
-    """Metric bundle in long form ``(group..., metric, value)``.
+    """Metric bundle in long form ``(group..., metric, value)`` (D13); null group keys are a group.
 
     The tolerance pair is present only when ``tolerance`` is given (``None`` = off).
     A group without rows yields no output row.

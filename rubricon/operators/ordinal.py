@@ -1,9 +1,9 @@
 """Ordinal head: logits, probabilities, decode, loss, fitting, validation.
 
-Small heads are evaluated as JVM expressions with the weights inlined; wide
-heads (and every deep head) run as numpy matrix products over Arrow record
-batches (``mapInArrow``) with the weights shipped once per executor as a
-broadcast variable whose size is checked first.
+Heads of every size run as numpy matrix products over Arrow record batches
+(``mapInArrow``) with the weights shipped once per executor as a broadcast
+variable whose size is checked first.  ``method="expr"`` writes a linear head as a
+column expression with the same results, for callers that ask for it.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from rubricon.functions.ordinal import (
 from rubricon.operators import agree
 from rubricon.sources.sinks import MAX_HEAD_VALUES, OrdinalHead
 
-EXPR_HEAD_MAX_VALUES = 4096      # inline the head as an expression up to this many weights
-MAX_CLASSES = 1000               # an ordinal head fits K-1 thresholds; K comes from a discrete rubric
 LAYER_NORM_EPS = 1e-5
 
 
@@ -81,14 +79,17 @@ def head_forward(x: np.ndarray, head: OrdinalHead) -> np.ndarray:
 def decode_numpy(probs: np.ndarray, score_points, tie_eps: float = 1e-9) -> np.ndarray:
     """Numpy twin of :func:`rubricon.functions.ordinal.decode_scores` for in-task scoring.
 
-    Prefix distances d_0 = sum(p), d_{k+1} = d_k + 1 - 2 p_k; the lowest index within
-    ``tie_eps`` of the minimum wins; a row containing NaN decodes to the first point.
+    Prefix distances d_0 = sum(p), d_{k+1} = d_k + 1 - 2 p_k; a later index must be better
+    than the best so far by more than ``tie_eps``; a row containing NaN decodes to the
+    first point.
     """
     p = np.atleast_2d(np.asarray(probs, dtype=float))
-    d = np.concatenate([p.sum(axis=1, keepdims=True),
-                        p.sum(axis=1, keepdims=True) + np.cumsum(1.0 - 2.0 * p, axis=1)], axis=1)
-    best = d.min(axis=1, keepdims=True)
-    idx = np.argmax(d <= best + tie_eps, axis=1)
+    dist = p.sum(axis=1)
+    best, idx = dist.copy(), np.zeros(len(p), np.int64)
+    for k in range(p.shape[1]):
+        dist = dist + 1.0 - 2.0 * p[:, k]
+        better = dist < best - tie_eps
+        best[better], idx[better] = dist[better], k + 1
     idx[np.isnan(p).any(axis=1)] = 0
     return np.asarray(score_points, dtype=float)[idx]
 
@@ -108,16 +109,15 @@ def _check_size(head: OrdinalHead) -> None:
 
 
 def head_logits(df: DataFrame, head: OrdinalHead, vec: str = "pooled", features: str | None = None,
-                out: str = "logits", method: str = "auto") -> DataFrame:
+                out: str = "logits", method: str = "numpy") -> DataFrame:
     """Add the K-1 logits of ``head`` applied to ``vec`` (optionally ``concat(vec, features)``).
 
-    ``method``: ``"expr"`` (JVM expression, linear heads only), ``"numpy"``
-    (mapInPandas) or ``"auto"`` (expression for small linear heads).
+    ``method``: ``"numpy"`` (Arrow record batches) or ``"expr"`` (JVM expression, linear
+    heads only).  In both a null vector, or one with a null element, has null logits, and a
+    vector of another length than the head's input fails the job.
     """
     _check_size(head)
     x = _features(df, vec, features)
-    if method == "auto":
-        method = "expr" if (not head.blocks and head.coef.size <= EXPR_HEAD_MAX_VALUES) else "numpy"
     if method == "expr":
         if head.blocks:
             raise ValueError("expression form covers linear heads only")
@@ -132,8 +132,8 @@ def _numpy_logits(df: DataFrame, head: OrdinalHead, out: str) -> DataFrame:
 
     The ``_x`` list column is viewed as one (rows, D) matrix straight from the
     Arrow buffers — no per-row Python — multiplied in numpy, and the logits are
-    returned as a list column built from the flat result.  Null vectors give
-    null logits.  Weights arrive once per executor as a broadcast variable.
+    returned as a list column built from the flat result.  Null vectors and vectors
+    with a null element give null logits.  Weights arrive once per executor as a broadcast variable.
     """
     from rubricon.session import ship_package
 
@@ -160,7 +160,11 @@ def _numpy_logits(df: DataFrame, head: OrdinalHead, out: str) -> DataFrame:
                 raise ValueError(f"vector length differs from the head input size {dim}")
             mat = np.zeros((n, dim))
             if valid.any():
-                mat[valid] = col.filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                flat = col.filter(pa.array(valid)).flatten()
+                mat[valid] = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
+                if flat.null_count:
+                    holes = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, dim).any(axis=1)
+                    valid[np.flatnonzero(valid)[holes]] = False
             logits = head_forward(mat, h)
             offsets = pa.array(np.arange(0, (n + 1) * k_out, k_out, dtype=np.int32))
             arr = pa.ListArray.from_arrays(offsets, pa.array(logits.ravel()), mask=pa.array(~valid))
@@ -170,7 +174,7 @@ def _numpy_logits(df: DataFrame, head: OrdinalHead, out: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def linear_head(df, head: OrdinalHead, vec="pooled", features=None, out="logits", method="auto"):
+def linear_head(df, head: OrdinalHead, vec="pooled", features=None, out="logits", method="numpy"):
     """Linear ordinal head D -> K-1."""
     if head.blocks:
         raise ValueError("linear_head expects a head without hidden blocks")
@@ -199,9 +203,11 @@ def ordinal_loss(df: DataFrame, logits: str = "logits", label_idx: str = "label_
     """Mean binary cross-entropy over every (row, threshold).
 
     Output ``(group..., loss, n_rows, n_terms)``; rows contribute their whole
-    threshold vector, so the mean is ``sum of row sums / sum of sizes``.
+    threshold vector, so the mean is ``sum of row sums / sum of sizes``.  Rows without
+    a label or without logits have no loss and are not counted.
     """
-    return (df.groupBy(*group_cols).agg(
+    known = df.filter(F.col(label_idx).isNotNull() & F.col(logits).isNotNull())
+    return (known.groupBy(*group_cols).agg(
         F.sum(bce_with_logits_sum(logits, label_idx)).alias("_s"),
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(F.size(logits)).alias("n_terms"))
@@ -266,17 +272,16 @@ def fit_thresholds(df: DataFrame, vec: str = "pooled", label_idx: str = "label_i
 
     spark = df.sparkSession
     checkpoint_dir(spark)
-    data = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"),
-                     F.col(label_idx).cast("int").alias("_y")).filter(F.col("_y").isNotNull())
+    whole = F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull())
+    data = df.filter(F.col(label_idx).isNotNull() & whole).select(
+        array_to_vector(F.col(vec).cast("array<double>")).alias("features"), F.col(label_idx).cast("int").alias("_y"))
     data = data.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counts = {r["_y"]: r["n"] for r in data.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if n_classes is None:
-            n_classes = max(counts) + 1
-        if n_classes > MAX_CLASSES:
-            raise ValueError(f"{n_classes} classes: an ordinal head needs discrete score points "
-                             f"(at most {MAX_CLASSES}); round or bin the labels first")
         dim = data.first()["features"].size
+        if n_classes is None:
+            n_classes = data.agg(F.max("_y")).first()[0] + 1
+        # one row per class: as many as the head has thresholds
+        counts = {r["_y"]: r["n"] for r in data.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
         total = sum(counts.values())
         coef = np.zeros((n_classes - 1, dim))
         intercept = np.zeros(n_classes - 1)

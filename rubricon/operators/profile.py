@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubricon.functions.text import text_length
 from rubricon.operators.prepare import MAX_WINDOW_ROWS, exact_rank
-from rubricon.session import broadcast_if_small, materialize_small
+from rubricon.session import broadcast_if_small, join_keys, materialize_small
 
 # Percentiles of the reference's describe call and its bin counts.
 PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -32,8 +32,11 @@ def pct_name(p: float) -> str:
 
 def describe(df: DataFrame, col: str, group_cols: Sequence[str] = (),
              percentiles: Sequence[float] = PERCENTILES, method: str = "exact",
-             accuracy: int = 10000, max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
-    """count, mean, std (n-1), min, percentiles, max of non-null ``col`` per group.
+             accuracy: int = 10000, max_window_rows: int = MAX_WINDOW_ROWS, zeros: str | None = None) -> DataFrame:
+    """count, mean, std (n-1), min, percentiles, max of ``col`` per group.
+
+    Null and NaN values are missing; null group keys are a group; ``zeros`` names an
+    extra column with the number of values equal to zero.
 
     ``exact``: the distinct values with counts are checkpointed once (one
     eager action); running counts come from a window over them when there are at
@@ -46,8 +49,11 @@ def describe(df: DataFrame, col: str, group_cols: Sequence[str] = (),
     if method == "approx":
         aggs = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
                 F.min(x).alias("min")]
+        df = df.filter(x.isNotNull() & ~F.isnan(x))
         aggs += [F.percentile_approx(x, float(p), accuracy).cast("double").alias(pct_name(p)) for p in percentiles]
         aggs.append(F.max(x).alias("max"))
+        if zeros:
+            aggs.append(F.count_if(x == 0).cast("long").alias(zeros))
         return df.groupBy(*g).agg(*aggs)
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
@@ -64,7 +70,7 @@ def describe(df: DataFrame, col: str, group_cols: Sequence[str] = (),
         freq = freq.withColumn("_cum", F.sum("_c").over(run))
     else:
         freq = exact_rank(freq, gk, ["_x"], "_cum", weight_col="_c")
-    freq = freq.join(broadcast_if_small(totals, n_freq), gk)
+    freq = join_keys(freq, broadcast_if_small(totals, n_freq if g else 1), gk)
     aggs = [F.first("_n").alias("count"), F.first("_mean").alias("mean"),
             F.sqrt(F.try_divide(F.sum(c * (F.col("_x") - F.col("_mean")) * (F.col("_x") - F.col("_mean"))),
                                 F.when(F.first("_n") > 1, F.first("_n") - 1).cast("double"))).alias("std"),
@@ -76,47 +82,69 @@ def describe(df: DataFrame, col: str, group_cols: Sequence[str] = (),
                  F.min(F.when(F.col("_cum") > hi, F.col("_x"))).alias(f"_hi{pct_name(p)}"),
                  F.first(h - lo).alias(f"_fr{pct_name(p)}")]
     aggs.append(F.max("_x").alias("max"))
+    if zeros:
+        aggs.append(F.sum(F.when(F.col("_x") == 0, F.col("_c")).otherwise(0)).cast("long").alias(zeros))
     s = freq.groupBy(*gk).agg(*aggs)
     cols = [F.col("count").cast("long").alias("count"), "mean", "std", "min"]
     for p in percentiles:
         n = pct_name(p)
         lo, hi, fr = F.col(f"_lo{n}"), F.col(f"_hi{n}"), F.col(f"_fr{n}")
         cols.append((lo + (hi - lo) * fr).alias(n))
-    cols.append("max")
+    cols += ["max", *([zeros] if zeros else [])]
     return s.select(*g, *cols)
 
 
+def _edge(lo: Column, hi: Column, i: Column, bins: int) -> Column:
+    """Left edge of bin ``i``: ``lo + i * step``; the edge after the last bin is ``hi`` itself."""
+    return F.when(i >= bins, hi).otherwise(i * ((hi - lo) / F.lit(float(bins))) + lo)
+
+
+def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """Bin whose edges enclose ``x`` (closed on the left, the last one on both sides).
+
+    The quotient may miss the bin by one through rounding; the edges decide.
+    """
+    guess = F.least(F.floor((x - lo) / (hi - lo) * F.lit(float(bins))).cast("int"), F.lit(bins - 1))
+    return (F.when(x < _edge(lo, hi, guess, bins), guess - 1)
+            .when((guess < bins - 1) & (x >= _edge(lo, hi, guess + 1, bins)), guess + 1).otherwise(guess))
+
+
+def _range(low, high) -> tuple:
+    """Histogram range of the observed minimum and maximum; equal ones widen by 0.5 each way."""
+    return (F.when(low == high, low - 0.5).otherwise(low), F.when(low == high, high + 0.5).otherwise(high))
+
+
 def histogram(df: DataFrame, col: str, bins: int, group_cols: Sequence[str] = ()) -> DataFrame:
     """Equal-width histogram with every bin present ``(group..., bin, lo, hi, n)``.
 
     Bins span [min, max]; the last bin is closed on the right; when min = max
-    the range widens to min +/- 0.5.  The facts are read once: they are reduced
-    to distinct values with counts (partial aggregation), and range, bin and
-    totals are computed on that table.  Empty bins get ``n = 0``.
+    the range widens to min +/- 0.5.  A value belongs to the bin whose edges enclose
+    it.  Two passes read the one column: minimum and maximum (one eager row without
+    groups), then the bins, counted before the shuffle, so a task sends at most ``bins``
+    rows a group.  Null and NaN values are left out; null group keys are a group; a table
+    without values has no bins.
     """
     g = list(group_cols)
-    gk = g if g else ["_k"]
     x = F.col(col).cast("double")
     base = df.select(*g, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    if not g:
-        base = base.withColumn("_k", F.lit(0))
-    freq = base.groupBy(*gk, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    rng = (freq.groupBy(*gk).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
-               .select(*gk, F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
-                       F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi")))
-    b = F.least(F.floor((F.col("_x") - F.col("_lo")) * F.lit(float(bins)) / (F.col("_hi") - F.col("_lo"))),
-                F.lit(bins - 1)).cast("int")
-    # one row per group; with no grouping it is a single row, broadcast by construction
-    rng_side = rng if g else F.broadcast(rng)
-    counts = freq.join(rng_side, gk).groupBy(*gk, b.alias("bin")).agg(F.sum("_c").alias("_n"))
-    all_bins = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    if not g:   # at most `bins` rows
-        counts = F.broadcast(counts)
-    return (all_bins.join(counts, [*gk, "bin"], "left")
-                    .select(*g, "bin", (F.col("_lo") + F.col("bin") * width).alias("lo"),
-                            (F.col("_lo") + (F.col("bin") + 1) * width).alias("hi"),
-                            F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n")))
+    ends = [F.min("_x").alias("_mn"), F.max("_x").alias("_mx")]
+    every = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    if g:
+        ranges, n_groups = materialize_small(base.groupBy(*g).agg(*ends))
+        lo, hi = _range(F.col("_mn"), F.col("_mx"))
+        ranges = ranges.select(*g, lo.alias("_lo"), hi.alias("_hi"))
+        lo, hi = F.col("_lo"), F.col("_hi")
+        base = join_keys(base, broadcast_if_small(ranges, n_groups), g)
+        all_bins = ranges.select(*g, "_lo", "_hi", every)
+    else:
+        mn, mx = base.agg(*ends).first()
+        lo, hi = _range(F.lit(mn).cast("double"), F.lit(mx).cast("double"))
+        all_bins = df.sparkSession.range(0 if mn is None else 1).select(every)
+    counts = base.groupBy(*g, _bin(F.col("_x"), lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    i = F.col("bin")
+    return join_keys(all_bins, counts, [*g, "bin"], "left").select(
+        *g, "bin", _edge(lo, hi, i, bins).alias("lo"), _edge(lo, hi, i + 1, bins).alias("hi"),
+        F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n"))
 
 
 def nonempty_bins(hist: DataFrame) -> DataFrame:
@@ -133,18 +161,11 @@ def length_profile(df: DataFrame, text: str = "text", group_cols: Sequence[str]
                    bins: int = LENGTH_BINS) -> tuple[DataFrame, DataFrame]:
     """L1: ``(describe + n_zero, histogram)`` of text lengths.
 
-    Building the describe table runs its one bounded action (see :func:`describe`);
+    Building the tables runs their bounded actions (see :func:`describe`);
     use :func:`histogram` on :func:`with_length` alone when only the bins are needed.
     """
     lens = with_length(df, text)
-    d = describe(lens, "length", group_cols)
-    g = list(group_cols)
-    gk = g if g else ["_k"]
-    zeros = lens.groupBy(*g).agg(F.count_if(F.col("length") == 0).cast("long").alias("n_zero"))
-    if not g:   # single-row tables: join on a constant key
-        d, zeros = d.withColumn("_k", F.lit(0)), zeros.withColumn("_k", F.lit(0))
-    d = d.join(zeros, gk).drop(*([] if g else ["_k"]))
-    return d, histogram(lens, "length", bins, group_cols)
+    return describe(lens, "length", group_cols, zeros="n_zero"), histogram(lens, "length", bins, group_cols)
 
 
 def score_profile(df: DataFrame, score: str = "pred_score", group_cols: Sequence[str] = (),
@@ -166,17 +187,11 @@ def length_vs_score(df: DataFrame, text: str = "text", score: str = "pred_score"
 def length_score_bins(df: DataFrame, length_bins: int = LENGTH_BINS, score: str = "score") -> DataFrame:
     """2-D counts ``(bin, score, n)`` of a length-vs-score table — the scalable scatter (L3).
 
-    Length bins follow :func:`histogram` (equal width over [min, max], last bin
-    closed).  The facts are reduced once to ``(length, score, count)``; range and
-    bins are computed on that table.
+    Length bins follow :func:`histogram`: one pass for the range, one that counts
+    cells before the shuffle.
     """
-    cells = (df.filter(F.col(score).isNotNull())
-               .groupBy(F.col("length").cast("double").alias("_x"), F.col(score).cast("double").alias("score"))
-               .agg(F.count(F.lit(1)).alias("_c")).withColumn("_k", F.lit(0)))
-    rng = cells.groupBy("_k").agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
-    lo = F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn"))
-    hi = F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx"))
-    b = F.least(F.floor((F.col("_x") - lo) * F.lit(float(length_bins)) / (hi - lo)), F.lit(length_bins - 1))
-    return (cells.join(F.broadcast(rng), "_k")      # one row
-                 .groupBy(b.cast("int").alias("bin"), "score")
-                 .agg(F.sum("_c").cast("long").alias("n")))
+    pairs = df.select(F.col("length").cast("double").alias("_x"), F.col(score).cast("double").alias("score")).filter(
+        F.col("_x").isNotNull() & F.col("score").isNotNull())
+    mn, mx = pairs.agg(F.min("_x"), F.max("_x")).first()
+    lo, hi = _range(F.lit(mn).cast("double"), F.lit(mx).cast("double"))
+    return pairs.groupBy(_bin(F.col("_x"), lo, hi, length_bins).alias("bin"), "score").agg(F.count(F.lit(1)).alias("n"))

@@ -39,9 +39,9 @@ rate AS (
 PROB = """
 prob AS (
   SELECT e.vec_id, e.label AS label_idx, CAST(e.label AS DOUBLE) AS label, t.j,
-         4.0 * CAST(e.embedding[t.j + 1] AS DOUBLE) AS logit,
-         1.0 / (1.0 + exp(-4.0 * CAST(e.embedding[t.j + 1] AS DOUBLE))) AS p
-  FROM embeddings e, range(9) t(j))"""
+         4.0 * sum(CAST(e.embedding[d.i + 1] AS DOUBLE)) AS logit,
+         1.0 / (1.0 + exp(-4.0 * sum(CAST(e.embedding[d.i + 1] AS DOUBLE)))) AS p
+  FROM embeddings e, range(9) t(j), range(64) d(i) WHERE d.i % 9 = t.j GROUP BY ALL)"""
 
 TOK = """
 tok AS (
@@ -51,7 +51,7 @@ tok AS (
   FROM embeddings),
 tokm AS (
   SELECT seq_id, pos, embedding,
-         CASE WHEN seq_id = 9 THEN 0 WHEN pos < 40 THEN 1 ELSE 0 END AS mask
+         CASE WHEN seq_id = 9 THEN 0 WHEN pos % 4 < 3 THEN 1 ELSE 0 END AS mask
   FROM tok),
 tokd AS (
   SELECT seq_id, pos, mask, CAST(d.i AS INTEGER) AS dim, CAST(embedding[d.i + 1] AS DOUBLE) AS v
@@ -320,13 +320,14 @@ def _hist_sql(src: str, bins: int, x: str = "x") -> str:
     return f"""
 r AS (SELECT min({x}) AS mn, max({x}) AS mx FROM {src}),
 rr AS (SELECT CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo, CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi FROM r),
-b AS (SELECT CAST(least(floor(({x} - lo) * CAST({bins} AS DOUBLE) / (hi - lo)), {bins - 1}) AS INTEGER) AS bin FROM {src}, rr),
-c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin),
-hist AS (SELECT CAST(t.bin AS INTEGER) AS bin,
-                round(rr.lo + t.bin * ((rr.hi - rr.lo) / CAST({bins} AS DOUBLE)), 6) AS lo,
-                round(rr.lo + (t.bin + 1) * ((rr.hi - rr.lo) / CAST({bins} AS DOUBLE)), 6) AS hi,
-                CAST(coalesce(c.n, 0) AS BIGINT) AS n
-         FROM range({bins}) t(bin) CROSS JOIN rr LEFT JOIN c ON c.bin = t.bin)"""
+e AS (SELECT CAST(t.i AS INTEGER) AS bin,
+             t.i * ((hi - lo) / CAST({bins} AS DOUBLE)) + lo AS lo,
+             CASE WHEN t.i = {bins - 1} THEN hi ELSE (t.i + 1) * ((hi - lo) / CAST({bins} AS DOUBLE)) + lo END AS hi
+      FROM range({bins}) t(i), rr),
+v AS (SELECT {x} AS x, count(*) AS c FROM {src} GROUP BY ALL),
+hist AS (SELECT e.bin, round(e.lo, 6) AS lo, round(e.hi, 6) AS hi, CAST(coalesce(sum(v.c), 0) AS BIGINT) AS n
+         FROM e LEFT JOIN v ON v.x >= e.lo AND (v.x < e.hi OR (e.bin = {bins - 1} AND v.x <= e.hi))
+         GROUP BY e.bin, e.lo, e.hi)"""
 
 
 _LEN = "lens AS (SELECT CAST(length(coalesce(text, '')) AS DOUBLE) AS x FROM ans_raw)"
@@ -407,5 +408,8 @@ p AS (SELECT CAST(length(coalesce(a.text, '')) AS DOUBLE) AS x, cal.label AS sco
       FROM ans_raw a JOIN cal ON a.BMH = cal.BMH),
 r AS (SELECT min(x) AS mn, max(x) AS mx FROM p),
 rr AS (SELECT CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo, CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi FROM r)""") + """
-SELECT CAST(least(floor((x - lo) * CAST(80 AS DOUBLE) / (hi - lo)), 79) AS INTEGER) AS bin, score, count(*) AS n
-FROM p, rr GROUP BY ALL"""
+SELECT CAST(t.i AS INTEGER) AS bin, score, count(*) AS n
+FROM p, rr, range(80) t(i)
+WHERE x >= t.i * ((hi - lo) / CAST(80 AS DOUBLE)) + lo
+  AND CASE WHEN t.i = 79 THEN x <= hi ELSE x < (t.i + 1) * ((hi - lo) / CAST(80 AS DOUBLE)) + lo END
+GROUP BY ALL"""

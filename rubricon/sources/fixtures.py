@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 # Fixed values of the fixture definitions.
 ANS_NULL_MOD, ANS_SPACES_MOD, ANS_EMPTY_MOD = 17, 19, 23
-PROB_THRESHOLDS = 9          # K-1 logits taken from the first 9 embedding values
+PROB_THRESHOLDS = 9          # K-1 logits; logit j adds up the embedding values d with d % 9 = j
+VECTOR_DIM = 64
 PROB_LOGIT_SCALE = 4.0
-TOK_MASK_LEN = 40            # positions < 40 are real tokens
+TOK_MASK_PERIOD = 4          # every fourth position is padding
 TOK_ALL_MASKED_SEQ = 9       # this sequence has no real token
 TOK_POS_CHUNK = 65_536       # vec_id range numbered by one window partition
 LOG_EPOCH_STEPS = 5
@@ -72,15 +73,12 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_returnflag", pred.alias("pred"), label.alias("label"))
 
 
-def _first_values(n: int, scale: float) -> F.Column:
-    e = F.col("embedding").cast("array<double>")
-    return F.transform(F.slice(e, 1, n), lambda x: x * F.lit(scale))
-
-
 def ordinal_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-PROB: ``(vec_id, logits, probs, label_idx, label)`` with K = 10, score points 0..9."""
     e = table(spark, sf_dir, "embeddings")
-    logits = _first_values(PROB_THRESHOLDS, PROB_LOGIT_SCALE)
+    x = lambda d: F.element_at("embedding", d + 1).cast("double")
+    logits = F.array(*[F.lit(PROB_LOGIT_SCALE) * sum((x(d) for d in range(j, VECTOR_DIM, PROB_THRESHOLDS)), F.lit(0.0))
+                       for j in range(PROB_THRESHOLDS)])
     return (e.select("vec_id", logits.alias("logits"), F.col("label").cast("int").alias("label_idx"))
              .withColumn("probs", F.transform("logits", lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))))
              .withColumn("label", F.col("label_idx").cast("double")))
@@ -101,7 +99,7 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (numbered.select(F.col("label").cast("long").alias("seq_id"), (F.col("_rn") - 1).cast("int").alias("pos"),
                             F.col("embedding").cast("array<double>").alias("vec"))
              .withColumn("mask", F.when(F.col("seq_id") == TOK_ALL_MASKED_SEQ, F.lit(0))
-                                  .when(F.col("pos") < TOK_MASK_LEN, F.lit(1)).otherwise(F.lit(0))))
+                                  .when(F.col("pos") % TOK_MASK_PERIOD < TOK_MASK_PERIOD - 1, F.lit(1)).otherwise(F.lit(0))))
 
 
 def attention_query(dim: int = 64) -> list[float]:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rubricon import jobs
 from rubricon.functions.ordinal import decode_scores
-from rubricon.operators import ordinal, prepare, track
+from rubricon.operators import agree, ordinal, prepare, profile, track
 
 
 def test_split_and_encode_keep_null_groups(spark):
@@ -49,3 +49,19 @@ def test_score_table_csv(spark, tmp_path):
     back, counts = jobs.score_table(df, lambda: (lambda texts: [1.0] * len(texts)), str(tmp_path / "out"), fmt="csv")
     got = {r["BMH"]: r for r in back.collect()}
     assert got["1"]["text"] == 'a "quoted"\nline' and counts.count() == 2
+
+
+def test_null_groups_in_metrics_and_profiles(spark):
+    df = spark.range(40).select(F.when(F.col("id") % 2 == 0, "a").alias("g"), (F.col("id") % 5).cast("double").alias("pred"),
+                                (F.col("id") % 3).cast("double").alias("label"))
+    whole = {r["metric"]: r["value"] for r in agree.compute_metrics(df.where("g is null"), tolerance=1.0).collect()}
+    got = {r["metric"]: r["value"] for r in agree.compute_metrics(df, group_cols=["g"], tolerance=1.0).where("g is null").collect()}
+    assert got == pytest.approx(whole) and len(got) == 10
+    assert {r["g"]: r["count"] for r in profile.describe(df, "pred", ["g"]).collect()} == {"a": 20, None: 20}
+    hist = profile.histogram(df, "pred", 4, ["g"]).groupBy("g").agg(F.count("*").alias("bins"), F.sum("n").alias("n"))
+    assert {r["g"]: (r["bins"], r["n"]) for r in hist.collect()} == {"a": (4, 20), None: (4, 20)}
+
+
+def test_profiles_of_no_values(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),)], "x double")
+    assert profile.histogram(df, "x", 4).count() == 0 and profile.describe(df, "x").count() == 0

@@ -193,8 +193,29 @@ def test_decode_numpy_matches_spark(spark):
     assert all(got[i] == want[i] for i in range(200))
 
 
-def test_fit_refuses_unbounded_classes(spark, monkeypatch):
-    monkeypatch.setattr(ordinal, "MAX_CLASSES", 3)
-    df = spark.createDataFrame([([float(i)], i % 5) for i in range(20)], "vec array<double>, label_idx int")
-    with pytest.raises(ValueError):
-        ordinal.fit_thresholds(df, vec="vec")
+def test_fit_has_no_class_cap(spark):
+    df = spark.range(60).select(F.array(F.col("id").cast("double")).alias("vec"), (F.col("id") % 5).cast("int").alias("label_idx"))
+    assert ordinal.fit_thresholds(df, vec="vec", max_iter=2).n_thresholds == 4
+
+
+def test_head_forms_agree_on_nulls_and_reject_short_vectors(spark):
+    head = OrdinalHead(coef=np.ones((2, 3)), intercept=np.zeros(2), score_points=[0.0, 1.0, 2.0])
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, None), (2, [1.0, None, 3.0])], "id int, vec array<double>")
+    short = spark.createDataFrame([(0, [1.0, 2.0])], "id int, vec array<double>")
+    for method in ("numpy", "expr"):
+        out = ordinal.decode(ordinal.probabilities(ordinal.head_logits(df, head, "vec", method=method)), head.score_points)
+        assert {r["id"]: r["score"] for r in out.collect()} == {0: 2.0, 1: None, 2: None}
+        with pytest.raises(Exception, match="vector length"):
+            ordinal.head_logits(short, head, "vec", method=method).collect()
+
+
+def test_one_tie_rule(spark):
+    p = [0.5 + 4e-10, 0.5 + 4e-10]
+    df = spark.createDataFrame([(p,)], "p array<double>")
+    assert df.select(decode_scores("p", [0.0, 1.0, 2.0])).first()[0] == ordinal.decode_numpy([p], [0.0, 1.0, 2.0])[0]
+
+
+def test_loss_skips_unlabelled_rows(spark):
+    df = spark.createDataFrame([([5.0, -5.0], 1), ([5.0, -5.0], None), (None, 1)], "logits array<double>, label_idx int")
+    r = ordinal.ordinal_loss(df).first()
+    assert r["n_rows"] == 1 and r["n_terms"] == 2 and r["loss"] == pytest.approx(np.log1p(np.exp(-5.0)))

@@ -1,5 +1,6 @@
 """Profiles: describe, histogram, blank test and length semantics."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,12 @@ def test_describe_sorted_path_equals_window_path(spark):
     xs = np.array([x for gg, x in rows if gg == "a"])
     for p, name in [(0.25, "p25"), (0.5, "p50"), (0.99, "p99")]:
         assert a["a"][name] == pytest.approx(float(np.quantile(xs, p)), abs=1e-9)
+
+
+@pytest.mark.parametrize("values,bins", [(list(range(89)), 80), (list(range(561)), 80), ([0.1 * i for i in range(31)], 7)])
+def test_histogram_edges_are_numpys(spark, values, bins):
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    want, edges = np.histogram(np.array(values, dtype=float), bins)
+    got = profile.histogram(df, "x", bins).orderBy("bin").collect()
+    assert [r["n"] for r in got] == want.tolist()
+    assert [r["lo"] for r in got] + [got[-1]["hi"]] == edges.tolist()
