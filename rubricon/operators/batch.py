@@ -2,12 +2,14 @@
 
 The user's scorer is the one piece of Python in the hot path: a factory
 returning ``scorer(texts: list[str]) -> list[float]`` (for example a model
-wrapper).  It runs inside ``mapInPandas``: Arrow hands each task its rows in
-batches, the scorer is built once per Python worker and reused, blank rows are
-skipped, the rest are re-chunked to ``batch_size`` and scored chunk by chunk.
-If a chunk raises, every row of that chunk is marked failed with the message
-and the job carries on.  Every input row comes out exactly once, so the scored
-table is the input plus ``pred_score``, ``status`` and ``error``.
+wrapper).  Blank rows get their status in the JVM and never enter Python or a
+shuffle.  The others pass through ``mapInArrow``: the scorer is built once per Python
+worker and reused, rows are re-chunked to ``batch_size`` and scored chunk by chunk.
+Only the texts become Python objects; every input column is returned as the Arrow
+array it came in, so no value can change.  If a chunk raises, every row of that chunk
+is marked failed with the message and the job carries on.  Every input row comes out
+exactly once, so the scored table is the input plus ``pred_score``, ``status`` and
+``error``.
 
 Batch membership
 ----------------
@@ -16,7 +18,8 @@ partition — no shuffle, but which rows share a batch depends on partitioning.
 Pass ``batch_col`` to fix membership by a column: rows with equal values form
 one batch (cut into ``batch_size`` chunks if larger); rows are clustered by that
 column first (one shuffle), so its values should identify small groups such as
-``floor(row_id / batch_size)``.
+``floor(row_id / batch_size)``.  Rows with a null batch are scored too, spread over all
+tasks: which of them share a chunk is not fixed.
 ``isolate_failures=True`` re-scores a failed chunk row by row so only the
 offending rows fail.
 """
@@ -26,7 +29,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,11 +67,6 @@ def _score_chunk(scorer, texts: list[str], isolate: bool):
         return [r for t in texts for r in _score_chunk(scorer, [t], False)]
 
 
-def _chunks(idx: list[int], batch_size: int):
-    for s in range(0, len(idx), batch_size):
-        yield idx[s:s + batch_size]
-
-
 def batch_score(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]], list]],
                 text_col: str = "text", batch_size: int = 16, batch_col: str | None = None,
                 order_cols: list[str] | None = None, isolate_failures: bool = False) -> DataFrame:
@@ -78,81 +75,63 @@ def batch_score(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]]
 
     ship_package(df.sparkSession)
     key = uuid.uuid4().hex          # one scorer per Python worker and call
-    d = df.withColumn("_skip", is_blank(text_col))
-    out_fields = df.schema.fields + [
-        T.StructField("pred_score", T.DoubleType(), True),
-        T.StructField("status", T.StringType(), False),
-        T.StructField("error", T.StringType(), True),
-    ]
-    schema = T.StructType(out_fields)
+    results = [T.StructField("pred_score", T.DoubleType(), True), T.StructField("status", T.StringType(), False),
+               T.StructField("error", T.StringType(), True)]
+    schema = T.StructType(df.schema.fields + results)
     names = df.columns
 
-    def label_rows(pdf: pd.DataFrame, groups) -> pd.DataFrame:
+    def label(rows, stops):
+        """Rows of an Arrow table with the results of its chunks, which end at ``stops``."""
+        import pyarrow as pa
+
         scorer = _scorer(scorer_factory, key)
-        n = len(pdf)
-        score, status, err = [None] * n, [SKIPPED] * n, [None] * n
-        texts = pdf[text_col].tolist()
-        for chunk in groups:
-            for i, (s, st, e) in zip(chunk, _score_chunk(scorer, [texts[i] for i in chunk], isolate_failures)):
-                score[i], status[i], err[i] = s, st, e
-        out = pdf[names].copy()
-        out["pred_score"] = pd.array(score, dtype="Float64")
-        out["status"] = status
-        out["error"] = err
-        return out
-
-    if batch_col is None:
-        def run(batches):
-            carry = None
-            for pdf in batches:
-                pdf = pdf.reset_index(drop=True) if carry is None else \
-                    pd.concat([carry, pdf], ignore_index=True)
-                live = [i for i, s in enumerate(pdf["_skip"].tolist()) if not s]
-                full = len(live) - len(live) % batch_size
-                cut = live[full] if full < len(live) else len(pdf)
-                head, carry = pdf.iloc[:cut], pdf.iloc[cut:].reset_index(drop=True)
-                if len(head):
-                    yield label_rows(head, _chunks(live[:full], batch_size))
-            if carry is not None and len(carry):
-                live = [i for i, s in enumerate(carry["_skip"].tolist()) if not s]
-                yield label_rows(carry, _chunks(live, batch_size))
-        return d.mapInPandas(run, schema)
-
-    order = order_cols or []
-    clustered = d.repartition(F.col(batch_col)).sortWithinPartitions(batch_col, *order)
-
-    def run_keyed(batches):
-        # Rows of one batch value are contiguous.  Only the still-open tail (last
-        # value, fewer than batch_size live rows) is carried to the next Arrow
-        # batch, so memory stays bounded even for a large value.
+        texts, got, start = rows.column(text_col).to_pylist(), [], 0
+        for stop in stops:
+            got += _score_chunk(scorer, texts[start:stop], isolate_failures)
+            start = stop
+        score, status, error = zip(*got)
+        rows = rows.append_column("pred_score", pa.array(score, pa.float64()))
+        rows = rows.append_column("status", pa.array(status, pa.string())).append_column("error", pa.array(error, pa.string()))
+        return rows.to_batches()
+
+    def run(batches):
+        # rows of one batch value are contiguous; only the open chunk is carried on, so memory stays
+        # bounded even when one value has very many rows
+        import pyarrow as pa
+
         carry = None
-        for pdf in batches:
-            pdf = pdf.reset_index(drop=True) if carry is None else \
-                pd.concat([carry, pdf], ignore_index=True)
-            if len(pdf) == 0:
-                continue
-            tail = (pdf[batch_col] == pdf[batch_col].iloc[-1]).to_numpy()
-            start = int(tail.argmax())
-            live = [start + i for i, s in enumerate(pdf["_skip"].iloc[start:].tolist()) if not s]
-            full = len(live) - len(live) % batch_size
-            cut = live[full] if full < len(live) else len(pdf)
-            head, carry = pdf.iloc[:cut], pdf.iloc[cut:].reset_index(drop=True)
-            if len(head):
-                yield label_rows(head, _keyed_groups(head, batch_col, batch_size))
-        if carry is not None and len(carry):
-            yield label_rows(carry, _keyed_groups(carry, batch_col, batch_size))
-
-    return clustered.mapInPandas(run_keyed, schema)
-
-
-def _keyed_groups(pdf: pd.DataFrame, batch_col: str, batch_size: int):
-    """Live row positions grouped by batch value, each group cut into chunks of batch_size."""
-    live = pdf.index[~pdf["_skip"].astype(bool)]
-    out = []
-    for _, ix in pdf.loc[live].groupby(batch_col, sort=False).groups.items():
-        ix = list(ix)
-        out += [ix[i:i + batch_size] for i in range(0, len(ix), batch_size)]
-    return out
+        for rb in batches:
+            rows = pa.Table.from_batches([rb])
+            rows = rows if carry is None else pa.concat_tables([carry, rows])
+            stops = _stops(rows.column(batch_col) if batch_col else None, rows.num_rows, batch_size)
+            stops = stops[:-1] if stops and stops[-1] == rows.num_rows else stops       # may still grow
+            done = stops[-1] if stops else 0
+            if done:
+                yield from label(rows.slice(0, done), stops)
+            carry = rows.slice(done)
+        if carry is not None and carry.num_rows:
+            yield from label(carry, _stops(carry.column(batch_col) if batch_col else None, carry.num_rows, batch_size))
+
+    blank = is_blank(text_col)
+    live = df.filter(~blank)
+    if batch_col is not None:
+        spread = F.when(F.col(batch_col).isNull(), F.monotonically_increasing_id())
+        live = (live.withColumn("_spread", spread).repartition(F.col(batch_col), F.col("_spread"))
+                    .sortWithinPartitions(batch_col, *(order_cols or [])).select(*names))
+    skipped = df.filter(blank).select(*names, F.lit(None).cast("double").alias("pred_score"),
+                                      F.lit(SKIPPED).alias("status"), F.lit(None).cast("string").alias("error"))
+    return live.mapInArrow(run, schema).unionByName(skipped)
+
+
+def _stops(keys, n: int, batch_size: int) -> list[int]:
+    """Where chunks end: after ``batch_size`` rows, and wherever the batch value changes."""
+    import numpy as np
+
+    edges = [0, n]
+    if keys is not None and n:
+        codes = keys.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), n]
+    return [min(s + batch_size, b) for a, b in zip(edges, edges[1:]) for s in range(a, b, batch_size)]
 
 
 def input_order_batches(df: DataFrame, order_cols: list[str], text_col: str = "text",
@@ -180,6 +159,7 @@ def input_order_batches(df: DataFrame, order_cols: list[str], text_col: str = "t
                                   F.floor(F.col(order_cols[0]) / ORDER_CHUNK), "_ord")
     else:
         live = exact_rank(df.filter(~blank), [], order_cols, "_ord")
+    # rows without an order come first, as in an ascending sort
     live = live.withColumn(out, F.floor((F.col("_ord") - 1) / batch_size).cast("long")).drop("_ord")
     return live.unionByName(df.filter(blank).withColumn(out, F.lit(None).cast("long")))
 

@@ -39,7 +39,7 @@ def _r(c, digits: int = ROUND):
 # ---------------------------------------------------------------- prepare
 
 def answers(spark, sf):
-    return load_answers(fx.raw_answers(spark, sf), text_col="text", keep=["lang"])
+    return load_answers(fx.stored_answers(spark, sf), text_col="text", keep=["lang"])
 
 
 def calibration(spark, sf):
@@ -47,7 +47,7 @@ def calibration(spark, sf):
 
 
 def q_answers_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return answers(spark, sf).select("BMH", "text")
+    return load_answers(fx.raw_answers(spark, sf), text_col="text").select("BMH", "text")
 
 
 def q_calibration_union(spark, sf):
@@ -235,12 +235,12 @@ DESCRIBE_DOUBLES = ["mean", "std", "min", "p25", "p50", "p75", "p90", "p95", "p9
 
 
 def q_length_describe(spark, sf):
-    d, _ = profile.length_profile(fx.raw_answers(spark, sf), "text")
+    d, _ = profile.length_profile(fx.stored_answers(spark, sf), "text")
     return _round_cols(d, DESCRIBE_DOUBLES)
 
 
 def q_length_hist(spark, sf):
-    lens = profile.with_length(fx.raw_answers(spark, sf), "text")
+    lens = profile.with_length(fx.stored_answers(spark, sf), "text")
     return _round_cols(profile.histogram(lens, "length", profile.LENGTH_BINS), ["lo", "hi"])
 
 
@@ -255,7 +255,7 @@ def q_score_hist(spark, sf):
 
 
 def q_length_vs_score(spark, sf):
-    j = fx.raw_answers(spark, sf).join(calibration(spark, sf), "BMH", "left")
+    j = fx.stored_answers(spark, sf).join(calibration(spark, sf), "BMH", "left")
     return profile.length_vs_score(j, "text", "label", keys=["BMH"])
 
 

@@ -22,6 +22,10 @@ ans_raw AS (
   FROM documents),
 ans AS (SELECT BMH, text, lang FROM ans_raw WHERE text IS NOT NULL)"""
 
+STORED = """
+ans_raw AS (SELECT CAST(doc_id AS VARCHAR) AS BMH, text, lang FROM documents),
+ans AS (SELECT BMH, text, lang FROM ans_raw WHERE text IS NOT NULL)"""
+
 CAL = """
 cal_parts AS (
   SELECT CAST(doc_id AS VARCHAR) AS BMH, quality + 0.5 * toxic AS ZZCJ FROM labels WHERE doc_id % 2 = 0
@@ -154,7 +158,7 @@ SQL["answers_clean"] = with_(ANS) + "\nSELECT BMH, text FROM ans"
 
 SQL["calibration_union"] = with_(CAL) + "\nSELECT BMH, label FROM cal"
 
-SQL["labelled_join"] = with_(ANS, CAL, LABELLED, """
+SQL["labelled_join"] = with_(STORED, CAL, LABELLED, """
 pts AS (SELECT lang, label, CAST(dense_rank() OVER (PARTITION BY lang ORDER BY label) - 1 AS INTEGER) AS label_idx
         FROM (SELECT DISTINCT lang, label FROM j))""") + """
 SELECT j.lang, j.BMH, j.text, j.label, pts.label_idx FROM j JOIN pts ON j.lang = pts.lang AND j.label = pts.label"""
@@ -165,7 +169,7 @@ pts AS (SELECT CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_
         FROM (SELECT DISTINCT label FROM cal))""") + """
 SELECT label_idx, label, K, (label_idx < 5 OR label_idx >= K - 3) AS preview FROM pts"""
 
-_SPLIT = with_(ANS, CAL, LABELLED, """
+_SPLIT = with_(STORED, CAL, LABELLED, """
 lab AS (SELECT j.*, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx FROM j),
 ordered AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || BMH), BMH, text, label) AS rn,
                    count(*) OVER () AS n FROM lab),
@@ -180,20 +184,20 @@ SELECT item, CAST(n AS BIGINT) AS n FROM (
   UNION ALL SELECT 'test', count(*) FROM sp WHERE split = 'test'
   UNION ALL SELECT 'score_points', count(DISTINCT label) FROM sp)"""
 
-SQL["split_hash"] = with_(ANS) + """
+SQL["split_hash"] = with_(STORED) + """
 SELECT BMH,
        CASE WHEN CAST(CAST(('0x' || substr(md5('42:' || BMH), 1, 8)) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) < 0.2
             THEN 'test' ELSE 'train' END AS split
 FROM ans"""
 
-SQL["pad_truncate"] = with_(ANS, """
+SQL["pad_truncate"] = with_(STORED, """
 t AS (SELECT BMH, list_transform(string_split(text, ' '), lambda w: length(w)) AS tok FROM ans)""") + """
 SELECT BMH, CAST(p AS INTEGER) AS pos,
        CAST(CASE WHEN p < len(tok) THEN tok[p + 1] ELSE 0 END AS INTEGER) AS input_id,
        CAST(CASE WHEN p < len(tok) THEN 1 ELSE 0 END AS INTEGER) AS mask
 FROM t, range(32) r(p)"""
 
-SQL["shuffled_batches"] = with_(ANS, """
+SQL["shuffled_batches"] = with_(STORED, """
 r AS (SELECT CAST(e.epoch AS INTEGER) AS epoch, a.BMH,
              row_number() OVER (PARTITION BY e.epoch ORDER BY md5('42:' || e.epoch || ':' || a.BMH), a.BMH) - 1 AS r0
       FROM ans a, range(2) e(epoch))""") + """
@@ -332,10 +336,10 @@ hist AS (SELECT e.bin, round(e.lo, 6) AS lo, round(e.hi, 6) AS hi, CAST(coalesce
 
 _LEN = "lens AS (SELECT CAST(length(coalesce(text, '')) AS DOUBLE) AS x FROM ans_raw)"
 
-SQL["length_describe"] = with_(ANS, _LEN) + \
+SQL["length_describe"] = with_(STORED, _LEN) + \
     _describe_sql("lens").replace("FROM lens", ", CAST(count_if(x = 0) AS BIGINT) AS n_zero\nFROM lens")
 
-SQL["length_hist"] = with_(ANS, _LEN, _hist_sql("lens", 80)) + "\nSELECT bin, lo, hi, n FROM hist"
+SQL["length_hist"] = with_(STORED, _LEN, _hist_sql("lens", 80)) + "\nSELECT bin, lo, hi, n FROM hist"
 
 _PRED = "preds AS (SELECT pred AS x FROM rate WHERE pred IS NOT NULL)"
 
@@ -343,7 +347,7 @@ SQL["score_profile"] = with_(RATE, _PRED) + _describe_sql("preds")
 
 SQL["score_hist"] = with_(RATE, _PRED, _hist_sql("preds", 50)) + "\nSELECT bin, lo, hi, n FROM hist WHERE n > 0"
 
-SQL["length_vs_score"] = with_(ANS, CAL) + """
+SQL["length_vs_score"] = with_(STORED, CAL) + """
 SELECT a.BMH, CAST(length(coalesce(a.text, '')) AS BIGINT) AS length, cal.label AS score
 FROM ans_raw a LEFT JOIN cal ON a.BMH = cal.BMH WHERE cal.label IS NOT NULL"""
 
@@ -403,7 +407,7 @@ SELECT vec_id, CAST(k AS INTEGER) AS k,
              + CAST(k - 4 AS DOUBLE) / CAST(8 AS DOUBLE), 6) AS logit
 FROM x2, range(9) o(k) GROUP BY vec_id, k"""
 
-SQL["length_score_bins"] = with_(ANS, CAL, """
+SQL["length_score_bins"] = with_(STORED, CAL, """
 p AS (SELECT CAST(length(coalesce(a.text, '')) AS DOUBLE) AS x, cal.label AS score
       FROM ans_raw a JOIN cal ON a.BMH = cal.BMH),
 r AS (SELECT min(x) AS mn, max(x) AS mx FROM p),

@@ -54,6 +54,12 @@ def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("BMH"), text.alias("text"), "lang")
 
 
+def stored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(BMH, text, lang)`` with every text as stored."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("BMH"), "text", "lang")
+
+
 def calibration_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """F-CAL as two 'files' split by ``doc_id % 2``; the second lists its columns reversed."""
     lab = table(spark, sf_dir, "labels").select(

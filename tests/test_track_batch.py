@@ -138,3 +138,34 @@ def test_chunked_row_number_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(prepare, "MAX_WINDOW_ROWS", 5)
     a = track.chunked_row_number(df, [], ["t"], F.floor(F.col("t") / 4), out="rn", max_window_rows=1000)
     assert sorted((r["t"], r["rn"]) for r in a.collect()) == [(t, t + 1) for t in range(300)]
+
+
+def test_batch_score_returns_columns_untouched(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, "abc", [1, None]), (None, "de", None), (big + 2, " ", [3]), (4, None, [])],
+                               "id long, text string, more array<int>")
+    got = batch.batch_score(df, batch.toy_factory(), batch_size=2).collect()
+    assert sorted((str(r["id"]), r["text"], str(r["more"]), r["status"]) for r in got if r["text"]) == [
+        (str(big), "abc", "[1, None]", "success"), (str(big + 2), " ", "[3]", "skipped"), ("None", "de", "None", "success")]
+    assert len(got) == 4
+
+
+def test_batch_score_spreads_rows_without_batch(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, " ").otherwise("abc").alias("text"),
+                                  F.when(F.col("id") % 2 == 0, F.floor(F.col("id") / 8)).alias("batch"))
+    out = batch.batch_score(df, batch.toy_factory(), batch_size=16, batch_col="batch", order_cols=["id"])
+    assert {r["status"]: r["count"] for r in out.groupBy("status").count().collect()} == {"skipped": 1334, "success": 2666}
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")       # tiny partitions would be put together
+    try:
+        for part in (out.where("status = 'skipped'"), out.where("status = 'success' and batch is null")):
+            assert part.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.set(coalesce, before)
+
+
+def test_input_order_batches_keeps_rows_without_order(spark):
+    df = spark.createDataFrame([(None, "a"), (2, "b"), (1, "c"), (None, " ")], "row_id long, text string")
+    got = batch.input_order_batches(df, ["row_id"], "text", 2).collect()
+    assert sorted((r["text"], r["batch"]) for r in got if r["text"] != " ") == [("a", 0), ("b", 1), ("c", 0)] and len(got) == 4
