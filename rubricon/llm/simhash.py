@@ -10,8 +10,10 @@ is the probed segment together with the untouched other segments, so two
 fingerprints that differ in at most ``max_bits`` bits meet in at least one key (flip half
 of the differing bits of one, the rest of the other), also when the differing bits
 lie in different segments.  The number of fingerprints around one key is bounded by the
-ball, whatever the data: no hot bucket and no list of all pairs.  Every table match
-is verified by its complete distance before it becomes a link.
+ball, whatever the data: no hot bucket and no list of all pairs.  A key holds its smallest and
+largest fingerprint and their number; where there are more than two, the others are fetched by
+enumerating the key's own ball.  Every table match is verified by its complete distance
+before it becomes a link.
 
 Defined results: null text is the empty text; no words give fingerprint zero, linked
 like any other; repeated rows share fingerprint and component; an empty table gives an
@@ -77,14 +79,18 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 2) -> DataFrame:
     connect everything that is connected: within each table key, all to the smallest."""
     if max_bits % 2 or max_bits < 0:
         raise ValueError("max_bits must be even")
-    masks = flip_masks(segments, max_bits // 2)
-    # a few bytes for each fingerprint become a ball of keys: deal them over all tasks first
+    balls = F.array(*[F.lit(m).cast("long") for m in flip_masks(segments, max_bits // 2)])
+    # a few bytes for each fingerprint become a ball of keys: deal them over all tasks first (by another hash than
+    # the one that made them distinct, else Spark leaves the dealing out)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probes = fps.repartition(n, "fp").select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
-    keyed = probes.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key"))
-    # at most len(masks) distinct fingerprints lie around one key
-    hits = keyed.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    pairs = hits.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
+    probes = fps.repartition(n, F.xxhash64("fp")).select("fp", F.explode(balls).alias("mask"))
+    keyed = probes.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("key")).repartition("key")
+    table = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n"))
+    table = staged(table.where("n > 1"))
+    # the third and further fingerprints around a key are among its own ball
+    ball = table.where("n > 2").select("a", F.explode(balls).alias("mask"), "key").select("a", F.col("key").bitwiseXOR(F.col("mask")).alias("b"))
+    more = ball.where("a <> b").distinct().join(fps.select(F.col("fp").alias("b")), "b", "left_semi")
+    pairs = table.where("n = 2").select("a", "b").unionByName(more.select("a", "b"))
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct()
 
 
@@ -92,7 +98,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2)
     """``(doc_id, fp, component_id)`` for every row; ``component_id`` is the smallest
     ``doc_id`` reachable over links of at most ``max_bits`` differing bits."""
     marked = staged(fingerprints(docs, shingle_words))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     label = components(links(distinct.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     labelled = distinct.join(label, "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     labelled = staged(labelled)
