@@ -315,6 +315,26 @@ def test_pitman_yor_is_a_distribution():
         assert (own / (pitman_yor.STRENGTH + customers[u]) + back * parent).sum() + back * totals.unseen(1) == pytest.approx(1)
 
 
+def test_pitman_yor_context_is_the_whole_word(spark):
+    texts = ["redab left", "blueab right"] * 20 + ["other words here", "left or right"]
+    asked = ["redab left", "redab right", "redac left"]
+    known = sorted({w for t in texts for w in t.split()})
+    every = " ".join(f"redab {w}" for w in [*known, "never"]) + " redab"          # the last one stands before the end token
+    data = [(i, t, False) for i, t in enumerate(texts)] + [(100 + i, t, True) for i, t in enumerate([*asked, every])]
+    docs = spark.createDataFrame(data, "doc_id long, text string, held boolean").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, "held").collect()}
+    assert got[100] > got[101] + 0.3                # both contexts end alike, only one was ever followed by "left"
+    table = pitman_yor.blocks_of(docs, "held", 8).where("shard >= 0").cache()
+    shards = table.select("shard", "block", "words", "n_ctx", "ctx", "count").groupBy("shard").applyInPandas(pitman_yor.gather_shard, pitman_yor.SHARD_SCHEMA).cache()
+    answers = {(r["block"], r["shard"]): pitman_yor.unpack(r["p"], "<f4") for r in pitman_yor.answer(shards, *pitman_yor.fit(shards)).collect()}
+    key = pitman_yor.context_keys(np.array([xxhash.xxh64_intdigest(b"redab")], np.uint64), np.array([pitman_yor.class_of(b"redab")], np.uint64))[0]
+    p = {}
+    for r in table.collect():
+        words, ctx = np.repeat(pitman_yor.unpack(r["words"], "<u8"), pitman_yor.unpack(r["n_ctx"], "<u4")), pitman_yor.unpack(r["ctx"], "<u8")
+        p |= {w: v for w, c, v in zip(words.tolist(), ctx, answers[r["block"], r["shard"]].tolist(), strict=True) if c == key}
+    assert len(p) == len(known) + 2 and sum(p.values()) == pytest.approx(1, abs=1e-5)
+
+
 def brute_lines(data, least):
     windows = defaultdict(set)
     for key, text in data:
