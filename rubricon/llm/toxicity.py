@@ -1,11 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of the bytes within words, one fitted on toxic and one on ordinary labelled texts, share all their
+Two models of the bytes of words and of the bytes before them across the blank, one fitted on toxic and one on ordinary labelled texts, share all their
 backoff counts: each interpolates its own highest-order counts with one Kneser-Ney model of both classes
 together.  A rare expression that neither class has seen therefore gets the same probability from both.  A word's
-score is the difference of its two log-likelihoods.  A document is described by differences that are normalised
+score is the difference of its two log-likelihoods, once alone and once where it stands.  A document is described by differences that are normalised
 by length: the mean over all its words, the mean over its ``TOP`` most toxic words, and the
-mean of what exceeds ``CLEAR``; a logistic curve, fitted on labelled rows that no count has seen, turns
+mean of what exceeds ``CLEAR``, for both kinds of score; a logistic curve, fitted on labelled rows that no count has seen, turns
 them into a score between 0 and 1.
 
 The labelled sample is bounded: the ``max_rows`` learnable rows with the smallest hashed ids.  So the model
@@ -40,13 +40,15 @@ def words_of(text: str) -> list[bytes]:
 
 
 def features(texts: list[str], scores: WordScores) -> np.ndarray:
-    """The three differences of each text."""
-    out = np.zeros((len(texts), 3))
-    for i, values in enumerate(scores.of([words_of(t) for t in texts])):
-        x = np.array(values)
-        if len(x):
-            top = np.partition(x, len(x) - TOP)[-TOP:] if len(x) > TOP else x
-            out[i] = x.mean(), top.sum() / TOP, np.maximum(x - CLEAR, 0).mean()
+    """The three differences of each text, of its words each alone and of its words where they stand."""
+    out = np.zeros((len(texts), 6))
+    words = [words_of(t) for t in texts]
+    for k, each in ((0, scores.alone(words)), (3, scores.of(words))):
+        for i, values in enumerate(each):
+            x = np.array(values)
+            if len(x):
+                top = np.partition(x, len(x) - TOP)[-TOP:] if len(x) > TOP else x
+                out[i, k:k + 3] = x.mean(), top.sum() / TOP, np.maximum(x - CLEAR, 0).mean()
     return out
 
 
@@ -99,7 +101,7 @@ class Toxicity:
 
 
 def _models(rows: DataFrame) -> Toxicity:
-    counts = staged(count_grams(rows, ORDER, words_of, 2).withColumn("both", F.col("c0") + F.col("c1")))
+    counts = staged(count_grams(rows, ORDER, words_of, 2, True).withColumn("both", F.col("c0") + F.col("c1")))
     return Toxicity(fit(counts, "both", ORDER, False), Level(smoothed(counts, "c1", False)), Level(smoothed(counts, "c0", False)))
 
 
@@ -130,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable, max_rows: int = MAX_ROW
     if held["cls"].nunique() == 2:
         model.weights = fit_rising(np.array(held["x"].tolist()), held["cls"].to_numpy(float))
     else:                                                   # too few rows to fit a curve
-        model.weights = np.array([0.0, 1.0, 0.0, -6.0])
+        model.weights = np.array([0.0, 1.0, 0.0, 0.0, 0.0, 0.0, -6.0])
     final = _models(rows)                                   # the curve is fitted; counts now come from all rows
     final.weights = model.weights
     return final

@@ -1,12 +1,15 @@
-"""Byte n-gram models within words, with Kneser-Ney smoothing: counting and scoring.
+"""Byte n-gram models that run across blanks, with Kneser-Ney smoothing: counting and scoring.
 
-A word is a run of bytes other than ASCII blanks, closed by a blank.  An n-gram key packs the ``order`` bytes
-that end at a byte of the word (zero bytes before the word), so keys are exact integers.  Equal words
-have equal scores: a worker scores each new word once and remembers a bounded number.
+A text is its words (runs of bytes other than ASCII blanks), each closed by one blank, after zero bytes.  An n-gram key packs
+the ``order`` bytes that end at a byte, so keys are exact integers.  The first ``order - 1`` bytes of a word see bytes of the words
+before it, the others only their own word: a word's score is that of its head (with the bytes before it) and that of its rest.
+Equal heads and equal words have equal parts: a worker scores each new one once and remembers a bounded number.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,24 +18,41 @@ from pyspark.sql import functions as F
 from rubricon.llm.chunks import places_of_none, slices
 
 
-def keys_of(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram keys of the words, one after the other, and where each word's keys begin."""
-    pad = bytes(order - 1)
-    blob = np.frombuffer(pad + b"".join([w + b" " + pad for w in words]), np.uint8).astype(np.int64)
+def heads_of(words: list[bytes], order: int) -> list[bytes]:
+    """For each word its first ``order - 1`` bytes (with the closing blank, if among them) after the ``order - 1`` bytes before it."""
+    k = order - 1
+    blob = bytes(k) + b" ".join(words) + b" "
+    ends = accumulate([len(w) + 1 for w in words], initial=k)
+    return [blob[s - k:s + min(k, len(w) + 1)] for s, w in zip(ends, words, strict=False)]
+
+
+def head_alone(word: bytes, order: int) -> bytes:
+    """The head of a word without words before it."""
+    return bytes(order - 1) + (word + b" ")[:order - 1]
+
+
+def rest_of(word: bytes, order: int) -> bytes:
+    """The piece whose n-grams end behind the head of ``word``; empty when there are none."""
+    return word + b" " if len(word) >= order - 1 else b""
+
+
+def keys_of(pieces: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram keys that lie within the pieces, one piece after the other, and where each piece's keys begin."""
+    blob = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
     key = np.zeros(len(blob) - order + 1, np.int64)
     for j in range(order):
         key |= blob[j:len(blob) - order + 1 + j] << (8 * (order - 1 - j))
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.concatenate([[0], np.cumsum(lengths + order - 1)[:-1]])
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    starts, lengths = np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes - (order - 1)
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     take = np.repeat(starts - first, lengths) + np.arange(lengths.sum())
     return key[take], first
 
 
-def count_grams(texts: DataFrame, order: int, words_of, classes: int = 1) -> DataFrame:
+def count_grams(texts: DataFrame, order: int, words_of, classes: int = 1, alone: bool = False) -> DataFrame:
     """``(key, c0, c1, ...)``: how often each n-gram occurs in the texts of each class.
 
-    ``texts`` has ``(text, cls)``; every slice is counted in the task before anything is shuffled.
+    With ``alone`` the heads are also counted as if their words were texts of their own.  ``texts`` has ``(text, cls)``; every slice is counted in the task before anything is shuffled.
     """
     from collections import Counter
 
@@ -44,12 +64,20 @@ def count_grams(texts: DataFrame, order: int, words_of, classes: int = 1) -> Dat
             for i, j in slices(text):
                 parts = []
                 for k in range(classes):
-                    counted = Counter(w for t, c in zip(text[i:j], cls[i:j], strict=True) if c == k for w in words_of(t))
+                    counted = Counter()
+                    for t, c in zip(text[i:j], cls[i:j], strict=True):
+                        if c == k:
+                            words = words_of(t)
+                            counted.update(heads_of(words, order))
+                            counted.update(rest_of(w, order) for w in words)
+                            if alone:
+                                counted.update(head_alone(w, order) for w in words)
+                    del counted[b""]
                     if not counted:
                         continue
-                    words = list(counted)
-                    keys, first = keys_of(words, order)
-                    times = np.repeat(np.fromiter(counted.values(), np.int64, len(words)), np.diff(np.append(first, len(keys))))
+                    pieces = list(counted)
+                    keys, first = keys_of(pieces, order)
+                    times = np.repeat(np.fromiter(counted.values(), np.int64, len(pieces)), np.diff(np.append(first, len(keys))))
                     distinct, at = np.unique(keys, return_inverse=True)
                     n = np.zeros((len(distinct), classes), np.int64)
                     n[:, k] = np.bincount(at, times, len(distinct))
@@ -139,30 +167,50 @@ def fit(counts: DataFrame, col: str, order: int, modified: bool) -> Model:
     return Model(levels[::-1])
 
 
-class WordScores:
-    """Scores of words from ``score_keys(keys) -> value of each key``; a bounded table remembers them."""
+class PieceScores:
+    """Scores of pieces from ``score_keys(keys) -> value of each key``; a bounded table remembers them."""
 
-    def __init__(self, order: int, score_keys, remembered: int = 200_000):
+    def __init__(self, order: int, score_keys, remembered: int):
         self.order, self.score_keys, self.remembered, self.seen = order, score_keys, remembered, {}
 
-    def learn(self, new: list[bytes]) -> None:
+    def learn(self, new: list[bytes], pieces: list[bytes]) -> None:
         if len(self.seen) + len(new) > self.remembered:
             self.seen = {}
         for i in range(0, len(new), 200_000):
-            part = new[i:i + 200_000]
-            keys, first = keys_of(part, self.order)
-            distinct, at = np.unique(keys, return_inverse=True)
-            value = self.score_keys(distinct)[at]
-            self.seen.update(zip(part, np.add.reduceat(value, first).tolist(), strict=True))
-
-    def of(self, texts: list[list[bytes]]) -> list[list[float]]:
-        """The scores of the words of each text; words that are new to all of them are scored together."""
-        got = [list(map(self.seen.get, words)) for words in texts]
+            part, names = pieces[i:i + 200_000], new[i:i + 200_000]
+            whole = [p for p in part if p]
+            if whole:
+                keys, first = keys_of(whole, self.order)
+                distinct, at = np.unique(keys, return_inverse=True)
+                value = iter(np.add.reduceat(self.score_keys(distinct)[at], first).tolist())
+            self.seen.update((n, next(value) if p else 0.0) for n, p in zip(names, part, strict=True))
+
+    def of(self, texts: list[list[bytes]], piece_of=None) -> list[list[float]]:
+        """The scores of the names in each text; those that are new to all of them are scored together."""
+        got = [list(map(self.seen.get, names)) for names in texts]
         missing = [places_of_none(x) for x in got]
-        new = {words[i] for words, places in zip(texts, missing, strict=True) for i in places}
+        new = list({names[i] for names, places in zip(texts, missing, strict=True) for i in places})
         if new:
-            self.learn(list(new))
-            for words, x, places in zip(texts, got, missing, strict=True):
+            self.learn(new, [piece_of(n) for n in new] if piece_of else new)
+            for names, x, places in zip(texts, got, missing, strict=True):
                 for i in places:
-                    x[i] = self.seen[words[i]]
+                    x[i] = self.seen[names[i]]
         return got
+
+
+class WordScores:
+    """Scores of words in their texts: head and rest."""
+
+    def __init__(self, order: int, score_keys, remembered: int = 200_000):
+        self.order = order
+        self.heads, self.rests = PieceScores(order, score_keys, 2 * remembered), PieceScores(order, score_keys, remembered)
+        self.words = PieceScores(order, score_keys, remembered)
+
+    def of(self, texts: list[list[bytes]]) -> list[list[float]]:
+        heads = self.heads.of([heads_of(words, self.order) for words in texts])
+        rests = self.rests.of(texts, lambda w: rest_of(w, self.order))
+        return [list(map(float.__add__, h, r)) for h, r in zip(heads, rests, strict=True)]
+
+    def alone(self, texts: list[list[bytes]]) -> list[list[float]]:
+        """The scores of the words as if each were a text of its own."""
+        return self.words.of(texts, lambda w: bytes(self.order - 1) + w + b" ")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rubricon.llm import byte_bpe, embed_join, licenses, line_dedup, minhash, packing, pitman_yor, quality, simhash, toxicity
+from rubricon.llm import byte_bpe, embed_join, licenses, line_dedup, minhash, packing, pitman_yor, quality, simhash, toxicity, wordgrams
 from rubricon.llm.chunks import Encoder
 from rubricon.llm.common import components
 from rubricon.llm.queries import BYTE_VOCABULARY, WORD_VOCABULARY
@@ -197,6 +197,26 @@ def test_quality(spark, docs, none):
     assert quality.keep_good(every, nothing).count() == every.count() == quality.classify(every, nothing).where("kept").count()
 
 
+def test_word_order_counts(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["north wind", "green apple", "slow river"]) for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    fitted = quality.train(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    salad = " ".join(["apple wind river north slow green"] * 13)
+    ordered, mixed = fitted.perplexities([texts[0], salad], fitted.scores())
+    assert mixed > 1.1 * ordered and fitted.rejects("en", mixed) and not fitted.rejects("en", ordered)
+    marked = [(i, t + (" slow apple" * 3 if i % 2 else " slow river green apple"), i % 2) for i, t in enumerate(texts)]
+    rows = spark.createDataFrame(marked, "doc_id long, text string, toxic int")
+    model = toxicity.train(rows, rows, F.lit(True))
+    together, apart = model.score(["slow apple " * 5, "slow river green apple " * 5], model.words())
+    assert together > apart
+    words = [w.encode() for w in "a bc def ghij klmno a p".split()]
+    whole = b"\0" * 4 + b" ".join(words) + b" "
+    keys = [int.from_bytes(whole[i:i + 5], "big") for i in range(len(whole) - 4)]
+    pieces = [x for x in [*wordgrams.heads_of(words, 5), *(wordgrams.rest_of(w, 5) for w in words)] if x]
+    assert sorted(wordgrams.keys_of(pieces, 5)[0].tolist()) == sorted(keys)             # every byte of the text once, in its place
+
+
 def test_quality_probabilities_sum_to_one(spark, docs):
     every, labels = labelled(spark, docs)
     model = quality.train(every, labels).model
