@@ -4,7 +4,8 @@ A line with a license cue (or a run of such lines) is a candidate block; a long
 with cues and those that follow them.  Each block is compressed with every template as a raw zstandard dictionary: the more of a block a
 template explains, the smaller it gets.  Templates are ranked by the share of the block's own compressed size that they
 save, and winners are confirmed by exact wording: the words of the template and of the block are aligned, and the
-template counts as found when at most ``MAX_DIFFERENCE`` of its words were inserted, deleted or replaced.
+template counts as found when at most ``MAX_DIFFERENCE`` of its words were inserted, deleted or replaced and none of its
+distinguishing words: names of licenses, versions and clauses (``marks``) must be the same on both sides, in order.
 
 ``TEMPLATES`` is a parameter; these are short public notices, kept as fixed values.
 
@@ -27,6 +28,11 @@ from rubricon.llm.common import id_and_text
 #: Public license notices as their stewards word them.
 TEMPLATES = {
     "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-2.0-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
     "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -38,6 +44,24 @@ TEMPLATES = {
     "CC-BY-4.0-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-ND-4.0-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-SA-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-ND-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-3.0": "Licensed under CC BY 3.0.",
+    "CC-BY-3.0-long": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "CC-BY-SA-3.0": "Licensed under CC BY-SA 3.0.",
+    "CC-BY-SA-3.0-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    "CC-BY-NC-3.0": "Licensed under CC BY-NC 3.0.",
+    "CC-BY-NC-3.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.",
+    "CC-BY-ND-3.0": "Licensed under CC BY-ND 3.0.",
+    "CC-BY-ND-3.0-long": "This work is licensed under a Creative Commons Attribution-NoDerivs 3.0 Unported License.",
+    "CC-BY-NC-SA-3.0": "Licensed under CC BY-NC-SA 3.0.",
+    "CC-BY-NC-SA-3.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.",
+    "CC-BY-NC-ND-3.0": "Licensed under CC BY-NC-ND 3.0.",
+    "CC-BY-NC-ND-3.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -54,6 +78,10 @@ CUE = re.compile("|".join(map(re.escape, CUES)))
 SENTENCE_END = re.compile(r"(?<=[.!?:])\s+(?=[A-ZÀ-Ý(])|\n")
 WORD = re.compile(r"[\w.+-]*\w|\w")
 MAX_DIFFERENCE = 0.15
+#: What tells licenses apart: a wording with other ones, or without one, is another license.
+NAMES = frozenset("""affero agpl apache artistic attribution bsd cc0 clause eclipse epl gpl isc lesser lgpl mit mozilla mpl nc nd noncommercial
+noderivatives noderivs sa sharealike unlicense""".split())
+VERSION = re.compile(r"v?(\d{1,2}(?:\.\d+)*)")
 LEVEL = 3
 
 
@@ -63,6 +91,7 @@ class Templates:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.words = {n: words_of(templates[n]) for n in self.names}
+        self.marks = {n: marks(w) for n, w in self.words.items()}
         self.texts = {n: templates[n].lower().encode() for n in self.names}
         self.longest = max(map(len, self.words.values()))
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
@@ -94,6 +123,8 @@ class Templates:
             for size in range(max(1, len(want) - lead - allowed), len(want) - lead + allowed + 1):
                 if at + size > len(have):
                     break
+                if marks(have[at:at + size]) != self.marks[name]:
+                    continue
                 d = differing_words(want, have[at:at + size])
                 if best is None or d < best[0]:
                     best = (d, size)
@@ -110,6 +141,19 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+def marks(words: list[str]) -> list[str]:
+    """The distinguishing words among ``words``, in order; versions without trailing zeros."""
+    out = []
+    for word, after in zip(words, [*words[1:], ""], strict=True):
+        for part in word.split("-") if "." not in word or VERSION.fullmatch(word) else [word]:
+            version = VERSION.fullmatch(part)
+            if version:
+                out.append(re.sub(r"(\.0)+$", "", version[1]))
+            elif part in NAMES or (part == "library" and after == "general"):
+                out.append(part)
+    return out
+
+
 def differing_words(a: list[str], b: list[str]) -> int:
     """Words inserted, deleted or replaced between two wordings."""
     ops = SequenceMatcher(None, a, b, autojunk=False).get_opcodes()

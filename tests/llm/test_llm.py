@@ -296,6 +296,19 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_are_told_apart():
+    made = licenses.Templates(licenses.TEMPLATES)
+    scan = lambda text, m=made: [r[0] for r in licenses.scan_text(text, m.longest, lambda b: licenses.found_in_block(b, m))]
+    for name, text in licenses.TEMPLATES.items():                    # a license without its template is no other license
+        assert scan(f"Intro.\n{text}\nEnd.") == [name]
+        others = licenses.Templates({n: t for n, t in licenses.TEMPLATES.items() if n.removesuffix("-long") != name.removesuffix("-long")})
+        assert scan(text, others) in ([], ["Apache-2.0-notice"] if name == "Apache-2.0" else [])
+    header = licenses.TEMPLATES["LGPL-3.0-header"]
+    assert scan(header.replace("This program", "This tool")) == ["LGPL-3.0-header"]
+    assert scan(header.replace("version 3", "version 4")) == []
+    assert scan("This work is licensed under a Creative Commons Attribution-ShareAlike 2.5 Generic License.") == []
+
+
 def test_pitman_yor(docs, none, monkeypatch):
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
     got = pitman_yor.score(docs.withColumn("held", held), "held").collect()
