@@ -1,8 +1,8 @@
 """Line deduplication by winnowing over line hashes (DataFrame functions only).
 
-A document is its sequence of non-blank lines (trimmed; blank lines take no part, and
+A document is its sequence of non-blank lines (trimmed of ASCII blanks; blank lines take no part, and
 go only with a run around them).  A *run* is a stretch of consecutive lines; its length is counted in
-words (pieces between spaces).  A run of at least ``min_words`` words that occurred
+words (pieces between ASCII blanks; each character of a script without blanks between words is a word).  A run of at least ``min_words`` words that occurred
 earlier, in order of ``(doc_id, row key, line)``, is deleted; an overlapping earlier occurrence
 in the same document does not count, so one period of a repetition stays.
 
@@ -35,6 +35,13 @@ from rubricon.llm.common import id_and_text, row_key, staged, whole_text
 
 MIN_WORDS = 50
 LINE_BREAK = "\n"
+BLANK = r"\x20\x09-\x0D"
+UNSPACED = "".join(rf"\p{{Is{script}}}" for script in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+WORD = f"[{UNSPACED}]|[^{BLANK}{UNSPACED}]+"
+
+
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -42,9 +49,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     split = id_and_text(docs).select(
         row_key().alias("rid"), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id").alias("id_key"),
         F.posexplode(F.split("text", LINE_BREAK)).alias("pos", "line"))
-    line = F.trim("line")
+    line = _trimmed(F.col("line"))
     return (split.select("rid", "id_key", "pos", F.xxhash64(line).alias("h"), F.length(line).alias("n"),
-                         (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("long").alias("words"))
+                         F.regexp_count(line, F.lit(WORD)).cast("long").alias("words"))
             .where("n > 0").drop("n").dropDuplicates(["rid", "pos"]))
 
 
@@ -94,5 +101,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     name = lambda c: f"__{c}" if c in cols else c
     return cut.select(*[F.col("__new").alias("text") if c == "text" else F.col(c) for c in cols],
                       F.coalesce(F.size("__gone"), F.lit(0)).alias(name("lines_deleted")),
-                      F.when(F.col("__gone").isNotNull(), F.size(F.filter("__stay", lambda x: F.length(F.trim(x)) > 0)))
+                      F.when(F.col("__gone").isNotNull(), F.size(F.filter("__stay", lambda x: F.length(_trimmed(x)) > 0)))
                       .alias(name("lines_left")))

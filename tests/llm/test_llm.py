@@ -405,6 +405,18 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_counts_words(spark):
+    line = lambda sep, n, k=0: sep.join(f"w{k + i}" for i in range(n))
+    data = [(0, line("\t", 60)), (1, "own\n" + line("\t", 60) + "\t"),                    # tabs between words, a trailing one
+            (2, "two" + " " * 60 + "words"), (3, "other\ntwo" + " " * 60 + "words"),        # two words are no passage
+            (4, line(" ", 30, 100) + "\n" + line(" ", 30, 200)), (5, line(" ", 30, 100) + "\r\n" + line(" ", 30, 200) + "\r\nown"),
+            (6, "".join(map(chr, range(0x4e00, 0x4e00 + 60)))), (7, "own\n" + "".join(map(chr, range(0x4e00, 0x4e00 + 60)))),
+            (8, "short\n" + "漢字" * 10), (9, "漢字" * 10)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert {i: r["lines_deleted"] for i, r in got.items() if r["lines_deleted"]} == {1: 1, 5: 2, 7: 1}
+    assert got[1]["text"] == "own" and got[5]["text"] == "own" and got[7]["text"] == "own" and got[5]["lines_left"] == 1
+
+
 def test_byte_bpe(docs, none):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     tk = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
