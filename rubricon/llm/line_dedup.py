@@ -38,12 +38,18 @@ LINE_BREAK = "\n"
 BLANK = r"\x20\x09-\x0D"
 UNSPACED = "".join(rf"\p{{Is{script}}}" for script in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 WORD = f"[{UNSPACED}]|[^{BLANK}{UNSPACED}]+"
+UNEVEN = rf"[\x09-\x0D{UNSPACED}]|  "          # lines without any of these have one space between words
 
 
 def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
+def _words(line: Column) -> Column:
+    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(F.rlike(line, F.lit(UNEVEN)), F.regexp_count(line, F.lit(WORD))).otherwise(spaces + 1).cast("long")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """Non-blank lines: ``(rid, id_key, pos, h, words)``."""
     split = id_and_text(docs).select(
@@ -51,7 +57,7 @@ def _lines(docs: DataFrame) -> DataFrame:
         F.posexplode(F.split("text", LINE_BREAK)).alias("pos", "line"))
     line = _trimmed(F.col("line"))
     return (split.select("rid", "id_key", "pos", F.xxhash64(line).alias("h"), F.length(line).alias("n"),
-                         F.regexp_count(line, F.lit(WORD)).cast("long").alias("words"))
+                         _words(line).alias("words"))
             .where("n > 0").drop("n").dropDuplicates(["rid", "pos"]))
 
 
