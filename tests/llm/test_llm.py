@@ -217,6 +217,24 @@ def test_word_order_counts(spark):
     assert sorted(wordgrams.keys_of(pieces, 5)[0].tolist()) == sorted(keys)             # every byte of the text once, in its place
 
 
+def test_quality_thresholds_of_all_languages(spark):
+    rnd = random.Random(2)
+    data = [(i, " ".join(rnd.choice("aeiou") * 2 + rnd.choice("rst" if i % 9 else "bcdfghjklm") for _ in range(30)), "en" if i % 9 else "fr") for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    fitted = quality.train(docs, labels, max_rows=80)
+    smallest = labels.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(80).collect()
+    learnt = {r["doc_id"] for r in smallest if (r["h"] >> 20) % 4}
+    got = [r for r in quality.classify(docs, fitted).collect() if r["doc_id"] not in learnt]     # also those outside the sample
+    pooled = np.quantile([r["perplexity"] for r in got], quality.QUANTILE)
+    for lang in ("en", "fr"):
+        own = [r["perplexity"] for r in got if r["lang"] == lang]
+        n, m = len(own), quality.MIN_ROWS
+        want = quality.MARGIN * np.quantile(own, quality.QUANTILE) ** (n / (n + m)) * pooled ** (m / (n + m))
+        assert fitted.thresholds[lang] == pytest.approx(want)
+    assert fitted.thresholds[None] == pytest.approx(quality.MARGIN * pooled)
+
+
 def test_quality_probabilities_sum_to_one(spark, docs):
     every, labels = labelled(spark, docs)
     model = quality.train(every, labels).model
