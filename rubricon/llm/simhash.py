@@ -1,15 +1,14 @@
-"""SimHash near-duplicates by multi-index hashing.
+"""SimHash near-duplicates by a ball join of whole fingerprints.
 
 Fingerprints: the text's A-Z are lower-cased, words are runs of non-blank
 characters, every run of ``shingle_words`` words is hashed with XXH64 (seed 42), and
 a bit is 1 when it is set in over half of the hashes.
 
-Search: distinct fingerprints only.  The 64 bits are cut into ``segments``; inside
-each segment the Hamming ball of radius ``max_bits // 2`` is enumerated.  A table key
-is the probed segment together with the untouched other segments, so two
+Search: distinct fingerprints only.  The Hamming ball of radius ``max_bits // 2`` around the
+whole fingerprint is enumerated and a table key is the whole flipped fingerprint, so two
 fingerprints that differ in at most ``max_bits`` bits meet in at least one key (flip half
-of the differing bits of one, the rest of the other), also when the differing bits
-lie in different segments.  The number of fingerprints around one key is bounded by the
+of the differing bits of one, the rest of the other).  No segment is searched on its own: a segment
+shared by many fingerprints would be a hot bucket.  ``segments`` only orders the flips and must divide 64.  The number of fingerprints around one key is bounded by the
 ball, whatever the data: no hot bucket and no list of all pairs.  A key holds its smallest and
 largest fingerprint and their number; where there are more than two, the others are fetched by
 enumerating the key's own ball.  Every table match is verified by its complete distance
@@ -66,6 +65,8 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
 def flip_masks(segments: int, radius: int) -> list[int]:
     """Signed masks of all flips of up to ``radius`` bits within one segment or spread
     over several (each bit of a mask belongs to the ball of its own segment)."""
+    if segments < 1 or 64 % segments:
+        raise ValueError("segments must divide 64")
     width = 64 // segments
     bits = [1 << (s * width + i) for s in range(segments) for i in range(width)]
     masks = [0]

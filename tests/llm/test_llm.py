@@ -149,6 +149,12 @@ def test_simhash_links_lose_nothing(spark, max_bits):
             assert (label.get(a, a) == label.get(b, b)) == (group[i] == group[j])
 
 
+def test_simhash_segments_cover_all_bits():
+    assert len(simhash.flip_masks(4, 1)) == 65
+    with pytest.raises(ValueError):
+        simhash.flip_masks(3, 1)
+
+
 def labelled(spark, docs):
     """A fixture with clear labels: toxic words in some texts, junk in others."""
     rnd = random.Random(9)
