@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricon.llm import byte_bpe, embed_join, licenses, line_dedup, minhash, packing, pitman_yor, quality, simhash, toxicity
+from rubricon.llm import byte_bpe, embed_join, licenses, line_dedup, merkle, minhash, packing, pitman_yor, quality, simhash, toxicity, whitening
 from rubricon.llm.common import crc_fold, table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -74,9 +74,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof and check of every document."""
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First four whitened coordinates of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_simhash, op3_toxicity, op4_quality, op5_minhash, op6_embeddings, op7_licenses,
-                            op8_pitman_yor, op9_line_dedup, op10_byte_bpe)}
+                            op8_pitman_yor, op9_line_dedup, op10_byte_bpe, op11_merkle, op12_whitening)}
 
 # The line windows are compared by their content itself; winnowing only narrows the search.
 SQL: dict[str, str] = {"op9_line_dedup": f"""
@@ -103,4 +113,42 @@ counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT s.doc_id, CAST(coalesce(c.n, 0) AS INTEGER) AS lines_deleted,
        CASE WHEN s.text IS NULL THEN NULL ELSE md5(coalesce(k.new_text, '')) END AS text_md5
 FROM split s LEFT JOIN counts c ON s.doc_id = c.doc_id LEFT JOIN kept k ON s.doc_id = k.doc_id
+""",
+# Whole rows of every tree at a time; the CRC-32 is folded bit by bit over the digits.
+"op11_merkle": """
+WITH RECURSIVE
+lower_text AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+  list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) AS inverted_crc
+  FROM documents),
+fields AS (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+  || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM lower_text),
+leaves AS (SELECT doc_id, coalesce('+' || lang, '') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  CASE WHEN xor(inverted_crc, 4294967295) % 3 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS seen FROM fields),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, any_value(level) + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, pos // 8),
+subroots AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY pos // 8),
+depth AS (SELECT tree, max(level) AS levels FROM nodes GROUP BY tree),
+every AS (SELECT tree, level, pos, n, digest FROM nodes WHERE n > 1
+  UNION ALL SELECT d.tree, d.levels + t.level, t.pos, t.n, t.digest FROM tops t CROSS JOIN depth d WHERE t.n > 1),
+runs AS (SELECT tree, level, pos // 8 AS run, list(digest ORDER BY pos) AS members FROM every GROUP BY tree, level, pos // 8),
+fold AS (
+  SELECT p.tree, p.doc_id, p.leaf, p.pos AS leaf_pos, 0 AS level, p.pos, coalesce(seen, leaf) AS node, '' AS proof, d.levels, s.pos AS tree_pos
+  FROM placed p JOIN depth d USING (tree) JOIN subroots s USING (tree)
+  UNION ALL
+  SELECT f.tree, f.doc_id, f.leaf, f.leaf_pos, f.level + 1, f.at // 8,
+    sha256(array_to_string(r.members[1:f.at % 8], '') || f.node || array_to_string(r.members[f.at % 8 + 2:], '')),
+    f.proof || array_to_string(r.members[1:f.at % 8], '') || array_to_string(r.members[f.at % 8 + 2:], ''), f.levels, f.tree_pos
+  FROM (SELECT *, CASE WHEN level = levels THEN tree_pos ELSE pos END AS at FROM fold) f
+  JOIN runs r ON r.tree = f.tree AND r.level = f.level AND r.run = f.at // 8)
+SELECT f.doc_id, f.leaf, s.subroot, t.digest AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = t.digest AS verified
+FROM fold f JOIN subroots s USING (tree) CROSS JOIN (SELECT digest FROM tops WHERE n = 1) t
+WHERE f.level = f.levels + (SELECT max(level) FROM tops)
 """}
