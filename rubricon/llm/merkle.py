@@ -146,7 +146,7 @@ def manifest(docs: DataFrame, observed: Column | None = None, tree: str = "lang"
     seen = F.lit(None).cast("string") if observed is None else observed
     name = F.coalesce(F.concat(F.lit("+"), F.col(tree).cast("string")), F.lit(""))          # a null tree sorts first
     leaves = docs.select(name.alias("tree"), F.col(order).cast("long").alias("id"), F.unhex(own).alias("digest"), F.unhex(seen).alias("seen"))
-    tables = _tower(numbered(leaves, "tree", "id", "digest", "seen"))
+    tables = _tower(numbered(staged(leaves), "tree", "id", "digest", "seen"))      # the range sort samples its rows: hash texts once
     subroots = tables[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
     upper = _tower(staged(numbered(subroots, "tree", "name")))
     nothing = F.array().cast("array<binary>")
