@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricon.llm import byte_bpe, embed_join, licenses, line_dedup, merkle, minhash, packing, pitman_yor, quality, simhash, toxicity, whitening
+from rubricon.llm import byte_bpe, embed_join, extraction, licenses, line_dedup, merkle, minhash, packing, pitman_yor, quality, simhash, toxicity, whitening
 from rubricon.llm.common import crc_fold, table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -84,9 +84,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_simhash, op3_toxicity, op4_quality, op5_minhash, op6_embeddings, op7_licenses,
-                            op8_pitman_yor, op9_line_dedup, op10_byte_bpe, op11_merkle, op12_whitening)}
+                            op8_pitman_yor, op9_line_dedup, op10_byte_bpe, op11_merkle, op12_whitening, op13_extraction)}
 
 # The line windows are compared by their content itself; winnowing only narrows the search.
 SQL: dict[str, str] = {"op9_line_dedup": f"""
