@@ -203,6 +203,11 @@ def test_quality(spark, docs, none):
     assert quality.keep_good(every, nothing).count() == every.count() == quality.classify(every, nothing).where("kept").count()
 
 
+def limits(docs, fitted):
+    """Threshold of each language; None: the pooled one."""
+    return {r["lang"]: r["threshold"] for r in quality.thresholds(quality.classify(docs, fitted), fitted).collect()}
+
+
 def test_word_order_counts(spark):
     rnd = random.Random(3)
     texts = [" ".join(rnd.choice(["north wind", "green apple", "slow river"]) for _ in range(40)) for _ in range(60)]
@@ -210,7 +215,8 @@ def test_word_order_counts(spark):
     fitted = quality.train(docs, docs.select("doc_id", F.lit(1).alias("quality")))
     salad = " ".join(["apple wind river north slow green"] * 13)
     ordered, mixed = fitted.perplexities([texts[0], salad], fitted.scores())
-    assert mixed > 1.1 * ordered and fitted.rejects("en", mixed) and not fitted.rejects("en", ordered)
+    limit = limits(docs, fitted)["en"]
+    assert mixed > 1.1 * ordered and mixed > limit >= ordered
     marked = [(i, t + (" slow apple" * 3 if i % 2 else " slow river green apple"), i % 2) for i, t in enumerate(texts)]
     rows = spark.createDataFrame(marked, "doc_id long, text string, toxic int")
     model = toxicity.train(rows, rows, F.lit(True))
@@ -223,7 +229,7 @@ def test_word_order_counts(spark):
     assert sorted(wordgrams.keys_of(pieces, 5)[0].tolist()) == sorted(keys)             # every byte of the text once, in its place
 
 
-def test_quality_thresholds_of_all_languages(spark):
+def test_quality_thresholds_of_all_languages(spark, monkeypatch):
     rnd = random.Random(2)
     data = [(i, " ".join(rnd.choice("aeiou") * 2 + rnd.choice("rst" if i % 9 else "bcdfghjklm") for _ in range(30)), "en" if i % 9 else "fr") for i in range(400)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
@@ -232,13 +238,17 @@ def test_quality_thresholds_of_all_languages(spark):
     smallest = labels.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(80).collect()
     learnt = {r["doc_id"] for r in smallest if (r["h"] >> 20) % 4}
     got = [r for r in quality.classify(docs, fitted).collect() if r["doc_id"] not in learnt]     # also those outside the sample
+    found = limits(docs, fitted)
     pooled = np.quantile([r["perplexity"] for r in got], quality.QUANTILE)
     for lang in ("en", "fr"):
         own = [r["perplexity"] for r in got if r["lang"] == lang]
         n, m = len(own), quality.MIN_ROWS
         want = quality.MARGIN * np.quantile(own, quality.QUANTILE) ** (n / (n + m)) * pooled ** (m / (n + m))
-        assert fitted.thresholds[lang] == pytest.approx(want)
-    assert fitted.thresholds[None] == pytest.approx(quality.MARGIN * pooled)
+        assert found[lang] == pytest.approx(want)
+    assert found[None] == pytest.approx(quality.MARGIN * pooled)
+    monkeypatch.setattr(quality, "BRACKETED", 200)                      # ranks found between sketched ends
+    monkeypatch.setattr(quality, "SKETCH", 100)
+    assert limits(docs, fitted) == pytest.approx(found)
 
 
 def test_quality_probabilities_sum_to_one(spark, docs):
