@@ -227,14 +227,15 @@ def holders(nodes: Nodes) -> np.ndarray:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE, composed: int = COMPOSED) -> Trees | None:
-    """Trees fitted on ``composed`` pages set in the words of at most ``sample`` pages, chosen by a hash of their id; None if there
-    are no pages."""
+    """Trees fitted on ``composed`` pages set in the words of at most ``sample`` pages, chosen by a hash of their id and text
+    (of equal ones, one); None if there are no pages."""
     checkpoint_dir(pages.sparkSession)                        # the fit cuts its own lineage there
-    some = staged(pages.select("page_id", F.coalesce("html", F.lit("")).alias("html"))
-                  .orderBy(F.xxhash64(F.col("page_id").cast("string"), F.lit("compose")), F.xxhash64("html")).limit(sample).select("html"))
-    n = some.count()
-    if not n:
+    rows = pages.select(F.xxhash64(F.col("page_id").cast("string"), F.lit("compose"), "html").alias("h"), F.coalesce("html", F.lit("")).alias("html"))
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]      # hashes alone are put in order
+    if last is None:
         return None
+    some = staged(rows.where(F.col("h") <= last).dropDuplicates(["h"]).select("html"))
+    n = some.count()
     each = -(-composed // n)
     parts = max(1, min(sample // 100, 12))
 
