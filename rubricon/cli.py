@@ -47,6 +47,8 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--id-col", default="BMH")
     s.add_argument("--text-col", default="OCR文字结果")
     s.add_argument("--batch-size", type=int, default=16)
+    s.add_argument("--order", default=None, help="'input': the reference's batches, in the order of the input files; or a column name")
+    s.add_argument("--reference-layout", action="store_true", help="write the original score and status columns")
 
     p = sub.add_parser("profile", help="length and score profiles")
     p.add_argument("--input", required=True)
@@ -63,6 +65,7 @@ def main(argv: list[str] | None = None) -> int:
     f.add_argument("--tolerance", type=float, default=0.0)
     f.add_argument("--reg-param", type=float, default=1e-3)
     f.add_argument("--max-iter", type=int, default=100)
+    f.add_argument("--eval-every", type=int, default=None, help="validate after every so many passes and keep the best head")
 
     a = sub.add_parser("agree", help="agreement metrics between two score columns")
     a.add_argument("--input", required=True)
@@ -93,7 +96,8 @@ def main(argv: list[str] | None = None) -> int:
             from rubricon.sources.sinks import load_head
             factory = jobs.ordinal_text_scorer(factory, load_head(spark, args.head), spark)
         scored, counts = jobs.score_table(df, factory, args.output, args.id_col,
-                                          args.text_col, args.batch_size, args.format)
+                                          args.text_col, args.batch_size, args.format, args.order,
+                                          args.reference_layout)
         for r in counts.collect():
             print(f"{r['status']}={r['n']}")
     elif args.cmd == "profile":
@@ -107,7 +111,7 @@ def main(argv: list[str] | None = None) -> int:
         points = [r["label"] for r in pts.orderBy("label_idx").collect()]
         split = prepare.split_exact(labelled, ["BMH"], args.test_size, args.seed)
         head, metrics = jobs.fit_and_validate(split, points, args.vec_col, args.tolerance,
-                                              args.reg_param, args.max_iter, args.output)
+                                              args.reg_param, args.max_iter, args.output, args.eval_every)
         for r in metrics.collect():
             print(f"{r['metric']}={r['value']}")
     elif args.cmd == "agree":

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.operators import agree, batch, ordinal, pool, profile
+from rubricon.session import checkpoint_dir, materialize_small
 from rubricon.sources.answers import read_table, require_columns
-from rubricon.sources.sinks import OrdinalHead, save_head, write_metrics_json, write_scored
+from rubricon.sources.sinks import (
+    REFERENCE_SCORE_COL, OrdinalHead, from_reference_layout, save_head, to_reference_layout, write_metrics_json, write_scored,
+)
 
 
 def score_sequences(tokens: DataFrame, head: OrdinalHead, strategy: str = "mean",
@@ -62,44 +65,82 @@ def ordinal_text_scorer(embed_factory: Callable[[], Callable[[list[str]], "np.nd
 
 def fit_and_validate(vectors: DataFrame, score_points: Sequence[float], vec: str = "pooled",
                      tolerance: float = 0.0, reg_param: float = 1e-3, max_iter: int = 100,
-                     output: str | None = None) -> tuple[OrdinalHead, DataFrame]:
+                     output: str | None = None, eval_every: int | None = None) -> tuple[OrdinalHead, DataFrame]:
     """Train job (M4) on frozen vectors with a ``split`` column from ``split_exact``.
 
-    Fits the thresholds on ``split = 'train'``, validates on ``split = 'test'``
-    (D14; tolerance only when > 0) and, with ``output``, writes the head (A9) and
-    the metrics as JSON (A7).
+    Fits the thresholds on ``split = 'train'`` and validates on ``split = 'test'``
+    (D14; tolerance only when > 0): after every ``eval_every`` passes of the fit, if given, and at the end.  The head with the
+    highest exact accuracy above 0 so far is the best one, the earliest on ties; ``best_accuracy`` among the metrics is its accuracy (0 if there is none).
+    With ``output``, writes the final head to ``model``, the best one to ``best_model`` (A9) and the final metrics as JSON (A7).
+    The test rows are checkpointed once if they are validated more than once.
     """
     require_columns(vectors, [vec, "label", "label_idx", "split"], "vector table")
     train = vectors.filter(F.col("split") == "train")
     test = vectors.filter(F.col("split") == "test")
+    if eval_every:
+        checkpoint_dir(vectors.sparkSession)
+        test = test.select(vec, "label", "label_idx").checkpoint(eager=True)
+    best: list = [0.0, None]
+
+    def evaluated(head: OrdinalHead) -> DataFrame:
+        metrics, _ = materialize_small(ordinal.validate(ordinal.head_logits(test, head, vec), score_points, tolerance=tolerance))
+        accuracy = metrics.filter("metric = 'exact_accuracy'").first()
+        if accuracy is not None and accuracy["value"] > best[0]:
+            best[:] = accuracy["value"], head
+        return metrics
+
+    def on_pass(i: int, head: OrdinalHead) -> None:
+        if i % eval_every == 0:
+            evaluated(head)
+
     head = ordinal.fit_thresholds(train, vec, "label_idx", len(score_points), reg_param, max_iter,
-                                  score_points=score_points)
-    metrics = ordinal.validate(ordinal.head_logits(test, head, vec), score_points, tolerance=tolerance)
+                                  score_points=score_points, on_pass=on_pass if eval_every else None)
+    metrics = evaluated(head)
+    spark = vectors.sparkSession
+    metrics = metrics.unionByName(spark.createDataFrame([("best_accuracy", float(best[0]))], "metric string, value double"))
     if output:
-        save_head(vectors.sparkSession, head, f"{output}/model")
+        save_head(spark, head, f"{output}/model")
+        if best[1] is not None:
+            save_head(spark, best[1], f"{output}/best_model")
         write_metrics_json(metrics, f"{output}/metrics")
     return head, metrics
 
 
 def score_table(answers: DataFrame, scorer_factory: Callable, output: str | None = None,
                 id_col: str = "BMH", text_col: str = "text", batch_size: int = 16,
-                fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
+                fmt: str = "parquet", order: str | Sequence[str] | None = None,
+                reference_layout: bool = False) -> tuple[DataFrame, DataFrame]:
     """Infer job (M5): require columns, score every row with a status, optionally write.
 
-    Returns ``(scored, status_counts)``.
+    ``order`` decides which rows share a batch, and so fail together.  ``None``: consecutive rows of a partition.  ``"input"``:
+    the reference's batches, consecutive non-blank rows in the order of the input files (:func:`rubricon.operators.batch.score_in_scan_order`).  Column
+    names: consecutive non-blank rows in the order of these columns.  ``reference_layout`` writes and returns the original column names and
+    status texts (F4).  Returns ``(scored, status_counts)``; the counts always have the library's status names.
     """
     require_columns(answers, [id_col, text_col], "input table")
-    scored = batch.batch_score(answers, scorer_factory, text_col, batch_size)
+    if order is None:
+        scored = batch.batch_score(answers, scorer_factory, text_col, batch_size)
+    elif order == "input":
+        scored = batch.score_in_scan_order(answers, scorer_factory, text_col, batch_size)
+    else:
+        cols = [order] if isinstance(order, str) else list(order)
+        batched = batch.input_order_batches(answers, cols, text_col, batch_size, "_batch")
+        scored = batch.batch_score(batched, scorer_factory, text_col, batch_size, "_batch", cols).drop("_batch")
+    final = to_reference_layout(scored) if reference_layout else scored
     if output:
-        write_scored(scored, output, fmt)
-        scored = read_table(answers.sparkSession, output, fmt, schema=scored.schema)
-    return scored, batch.status_counts(scored)
+        write_scored(final, output, fmt)
+        final = read_table(answers.sparkSession, output, fmt, schema=final.schema)
+        scored = from_reference_layout(final) if reference_layout else final
+    return final, batch.status_counts(scored)
 
 
 def profile_table(df: DataFrame, text_col: str = "text", score_col: str = "pred_score") -> dict[str, DataFrame]:
     """Profile job (M6): length describe/histogram, and score describe/histogram and
-    length-vs-score pairs when the score column exists."""
+    length-vs-score pairs when the score column exists.  The score column of the reference's own layout is
+    taken when ``score_col`` is absent."""
     require_columns(df, [text_col], "profile input")
+    if score_col not in df.columns and REFERENCE_SCORE_COL in df.columns:
+        score_col = REFERENCE_SCORE_COL
     d, h = profile.length_profile(df, text_col)
     out = {"length_describe": d, "length_hist": h}
     sp = profile.score_profile(df, score_col)

@@ -245,9 +245,65 @@ def compute_metrics(df: DataFrame, pred: str = "pred", label: str = "label",
     return to_long(wide, group_cols, metric_names(tolerance))
 
 
+#: Metrics that need no order of values: each is made of sums over the pairs, so one lazy aggregation gives any choice of them.
+SUMMED = ("exact_accuracy", "mae", "rmse", "acc_0.5", "pearson", "kappa")
+
+
+def choose_metrics(df: DataFrame, names: Sequence[str], pred: str = "pred", label: str = "label",
+                   group_cols: Sequence[str] = ()) -> DataFrame:
+    """``(group..., name...)``: only what the named metrics need is computed (M1).
+
+    Metrics of :data:`SUMMED` run nothing while the plan is built: their sums are taken in one aggregation over the pairs
+    (kappa: over the pairs' counts, and its expected agreement over the values).  ``qwk`` and
+    ``spearman`` put the observed values in order, whose number decides how, so they checkpoint the contingency table first.
+    """
+    unknown = [n for n in names if n not in metric_names(None)]
+    if unknown or not names:
+        raise ValueError(f"no metric called {', '.join(unknown) or 'nothing'}; there are {', '.join(metric_names(None))}")
+    if any(n not in SUMMED for n in names):
+        wide = metrics_wide(contingency(df, pred, label, group_cols), group_cols)
+        return wide.select(*group_cols, *[F.col(f"`{n}`") for n in names])
+    keys = _keys(group_cols)
+    one = F.lit(1.0)
+    if "kappa" in names:
+        pairs, n = _ensure_key(contingency(df, pred, label, group_cols), group_cols), F.col("n").cast("double")
+    else:
+        p, l = F.col(pred).cast("double").alias("pred"), F.col(label).cast("double").alias("label")
+        pairs, n = _ensure_key(df.select(*group_cols, p, l).filter(F.col("pred").isNotNull() & F.col("label").isNotNull()), group_cols), one
+    err = F.abs(F.col("pred") - F.col("label"))
+    share = lambda hit: F.sum(F.when(hit, n).otherwise(0.0)) / F.sum(n)
+    aggs = {"exact_accuracy": share(F.col("pred") == F.col("label")), "mae": F.sum(n * err) / F.sum(n),
+            "rmse": F.sqrt(F.sum(n * err * err) / F.sum(n)), "acc_0.5": share(err <= WITHIN_HALF)}
+    wanted = [aggs[m].alias(m) for m in names if m in aggs]
+    if "kappa" in names:
+        wanted += [share(F.col("pred") == F.col("label")).alias("_po"), F.sum(n).alias("_N")]
+    if "pearson" in names:
+        wanted += _pearson_parts(n, "kappa" in names)
+    out = pairs.groupBy(*keys).agg(*wanted)
+    if "kappa" in names:
+        ends = pairs.select(*keys, F.inline(F.array(F.struct(F.col("pred").alias("v"), n.alias("p"), F.lit(0.0).alias("l")),
+                                                    F.struct(F.col("label").alias("v"), F.lit(0.0).alias("p"), n.alias("l")))))
+        by_value = ends.groupBy(*keys, "v").agg(F.sum("p").alias("p"), F.sum("l").alias("l"))
+        out = join_keys(out, by_value.groupBy(*keys).agg(F.sum(F.col("p") * F.col("l")).alias("_pe")), keys)
+        pe = F.col("_pe") / (F.col("_N") * F.col("_N"))
+        out = out.withColumn("kappa", _div(F.col("_po") - pe, F.when(one - pe != 0, one - pe)))
+    if "pearson" in names:
+        den = F.sqrt(F.col("_vx") * F.col("_vy"))
+        out = out.withColumn("pearson", _div(F.col("_cxy"), F.when(den != 0, den)))
+    return _drop_key(out.select(*keys, *[F.col(f"`{m}`") for m in names]), group_cols)
+
+
+def _pearson_parts(n: Column, weighted: bool) -> list[Column]:
+    """Population covariance and variances of the pairs; of weighted pairs from their moments."""
+    x, y = F.col("pred"), F.col("label")
+    if not weighted:
+        return [F.covar_pop(x, y).alias("_cxy"), F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy")]
+    mean = lambda c: F.sum(n * c) / F.sum(n)
+    return [(mean(x * y) - mean(x) * mean(y)).alias("_cxy"), (mean(x * x) - mean(x) * mean(x)).alias("_vx"), (mean(y * y) - mean(y) * mean(y)).alias("_vy")]
+
+
 def _one(df, pred, label, group_cols, name):
-    wide = metrics_wide(contingency(df, pred, label, group_cols), group_cols)
-    return wide.select(*group_cols, F.col(f"`{name}`"))
+    return choose_metrics(df, [name], pred, label, group_cols)
 
 
 def exact_accuracy(df, pred="pred", label="label", group_cols=()):

@@ -248,63 +248,42 @@ def validate(df: DataFrame, score_points: Sequence[float], logits: str = "logits
 
 def fit_thresholds(df: DataFrame, vec: str = "pooled", label_idx: str = "label_idx",
                    n_classes: int | None = None, reg_param: float = 1e-3, max_iter: int = 100,
-                   score_points: Sequence[float] | None = None, parallelism: int = 8) -> OrdinalHead:
+                   score_points: Sequence[float] | None = None, on_pass=None) -> OrdinalHead:
     """Fit a linear ordinal head on frozen vectors.
 
     Each threshold k has its own weight row and the loss is a plain mean over
-    (row, threshold), so the fit splits into K-1 independent logistic
-    regressions of ``label_idx > k``.  The vectors are checkpointed once to the
-    shared checkpoint folder (lineage cut, survives executor loss) and cached;
-    the K-1 distributed ``LogisticRegression`` fits run ``parallelism`` at a time
-    from driver threads, like ``OneVsRest(parallelism=...)``.  A threshold whose
+    (row, threshold).  All thresholds are fitted together by L-BFGS with L2 ``reg_param``
+    (:mod:`rubricon.operators.fit`): at most ``max_iter`` passes over the vectors, one job each, whatever the
+    number of classes.  The vectors are checkpointed once to the shared checkpoint folder
+    (lineage cut, survives executor loss) and cached.  A threshold whose
     side holds a single class gets zero weights and a smoothed log-odds intercept.
-    The optimiser is L-BFGS with L2 ``reg_param`` (the reference trains with
-    AdamW weight decay: same model family, different optimiser).
+    Rows without a label, without a vector or with a null element teach nothing; without any row left the fit raises.
+    ``on_pass(number, head)`` is called after every pass.
+    (The reference trains with AdamW weight decay: same model family, different optimiser.)
     """
-    from concurrent.futures import ThreadPoolExecutor
-
     from pyspark import StorageLevel
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.util import inheritable_thread_target
 
+    from rubricon.operators import fit
     from rubricon.session import checkpoint_dir
 
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(df.sparkSession)
     whole = F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull())
     data = df.filter(F.col(label_idx).isNotNull() & whole).select(
-        array_to_vector(F.col(vec).cast("array<double>")).alias("features"), F.col(label_idx).cast("int").alias("_y"))
+        F.col(vec).cast("array<double>").alias("vec"), F.col(label_idx).cast("int").alias("y"))
     data = data.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        dim = data.first()["features"].size
-        if n_classes is None:
-            n_classes = data.agg(F.max("_y")).first()[0] + 1
         # one row per class: as many as the head has thresholds
-        counts = {r["_y"]: r["n"] for r in data.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-        total = sum(counts.values())
-        coef = np.zeros((n_classes - 1, dim))
-        intercept = np.zeros(n_classes - 1)
-
-        def fit(k: int) -> None:
-            pos = sum(n for c, n in counts.items() if c > k)
-            if pos == 0 or pos == total:
-                intercept[k] = math.log((pos + 0.5) / (total - pos + 0.5))
-                return
-            lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg_param,
-                                    elasticNetParam=0.0, standardization=False, maxIter=max_iter,
-                                    family="binomial")
-            model = lr.fit(data.withColumn("label", (F.col("_y") > k).cast("double")))
-            coef[k] = model.coefficients.toArray()
-            intercept[k] = model.intercept
-
-        workers = max(1, min(parallelism, n_classes - 1))
-        with ThreadPoolExecutor(max_workers=workers) as pool:
-            list(pool.map(inheritable_thread_target(spark)(fit), range(n_classes - 1)))
+        counts = {r["y"]: r["n"] for r in data.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not counts:
+            raise ValueError("no labelled vector to fit")
+        if n_classes is None:
+            n_classes = max(counts) + 1
+        pts = list(score_points) if score_points is not None else [float(i) for i in range(n_classes)]
+        head = lambda coef, intercept: OrdinalHead(coef=coef, intercept=intercept, score_points=pts)
+        told = None if on_pass is None else lambda i, *weights: on_pass(i, head(*weights))
+        return head(*fit.thresholds(data, n_classes, counts, reg_param, max_iter, on_pass=told))
     finally:
         data.unpersist()
-    pts = list(score_points) if score_points is not None else [float(i) for i in range(n_classes)]
-    return OrdinalHead(coef=coef, intercept=intercept, score_points=pts)
 
 
 def head_table(spark, head: OrdinalHead) -> DataFrame:

@@ -5,7 +5,8 @@ points, a seeded train/test permutation, shuffled batches — is re-expressed so
 that no window ever runs over the facts without a partition key:
 
 * score points are indexed on the table of *distinct* labels;
-* exact splits and global shuffle ranks come from counts per 16-bit hash
+* exact splits come from the hash at the cut, found by narrow histograms of the hash, and a comparison with it;
+* global shuffle ranks come from counts per 16-bit hash
   bucket (at most 65,536 rows per group), cumulated on that small table, plus a
   row number inside each bucket (about n / 65,536 rows per window partition).
 """
@@ -13,9 +14,11 @@ that no window ever runs over the facts without a partition key:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rubricon.functions.arrays import pad_truncate as _pad_truncate
 from rubricon.operators.agree import dense_index
@@ -73,7 +76,7 @@ def score_points_preview(points: DataFrame, group_cols: Sequence[str] = (), head
     keys = g if g else ["_k"]
     p = points if g else points.withColumn("_k", F.lit(0))
     k = p.groupBy(*keys).agg((F.max("label_idx") + 1).cast("int").alias("K"))
-    out = p.join(k if g else F.broadcast(k), keys)      # one row per group
+    out = join_keys(p, k if g else F.broadcast(k), keys)      # one row per group
     out = out.withColumn("preview", (F.col("label_idx") < head) | (F.col("label_idx") >= F.col("K") - tail))
     return out if g else out.drop("_k")
 
@@ -116,7 +119,7 @@ def _orderable(df: DataFrame, exclude: Sequence[str]) -> list[str]:
 
 def exact_rank(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str],
                out: str = "_rank", n_parts: int | None = None, weight_col: str | None = None) -> DataFrame:
-    """1-based rank within ``partition_cols`` by ``order_cols``, balanced whatever the skew.
+    """1-based rank within ``partition_cols`` by ``order_cols``, balanced whatever the skew; null groups are groups.
 
     The rows are range-partitioned and sorted on (partition, order, unique id):
     the unique id splits even exact copies over many tasks (copies that tie on
@@ -146,7 +149,7 @@ def exact_rank(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequenc
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     if not p:   # at most n_parts rows
         stats = F.broadcast(stats)
-    ranked = pos.join(stats, ["_pid", *p])
+    ranked = join_keys(pos, stats, ["_pid", *p])
     if weight_col is None:
         local = F.col("_pos") - F.col("_p0") + 1
     else:
@@ -164,59 +167,100 @@ def _hot(table: DataFrame, cond: Column, cols: Sequence[str]) -> list | None:
     return None if len(rows) > MAX_HOT_BUCKETS else rows
 
 
+def among(df: DataFrame, listed: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi- or anti-join with a bounded list of keys, in which null keys match each other."""
+    names = {k: f"_l_{k}" for k in keys}
+    other = listed.select(*[F.col(f"`{k}`").alias(n) for k, n in names.items()])
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{n}`")) for k, n in names.items()])
+    return df.join(F.broadcast(other), same, how)
+
+
+def _state(rows: DataFrame, at: DataFrame, n_groups: int, g: list[str]) -> DataFrame:
+    """``rows`` with the columns of their group's row of ``at``; plain literals when there are no groups."""
+    if not g:
+        one = at.first()
+        return rows.withColumns({c: F.lit(one[c]).cast(at.schema[c].dataType) for c in at.columns})
+    return join_keys(rows, broadcast_if_small(at, n_groups), g)
+
+
+def cut_hashes(keys: DataFrame, test_size: float, group_cols: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """Where the first ``ceil(n * test_size)`` rows of each group end in the order of the hash column ``_h``.
+
+    Selection, not sorting: a histogram of the hash's first digits finds the bucket in which the cut lies, the next histogram
+    reads that bucket only and refines it, until it holds one hash.  Histograms read the group and hash alone and are counted
+    before the shuffle, at most 65,536 buckets a group.  Returns ``(group..., _ntest, _before, _ties, _cut)`` and its rows: ``_cut``
+    is the hash at the cut (null without test rows), ``_before`` the rows below it, ``_ties`` the rows that have it.
+    """
+    g = list(group_cols)
+    zero = F.lit(0).cast("long")
+    n_test = F.ceil(F.count(F.lit(1)).cast("double") * F.lit(float(test_size))).alias("_ntest")
+    at, n_groups = materialize_small(keys.groupBy(*g).agg(n_test).select(
+        *g, "_ntest", zero.alias("_before"), zero.alias("_ties"), F.lit("").alias("_prefix"), F.lit("").alias("_low"), F.lit("~").alias("_high")))
+    still = (F.col("_ntest") > 0) & (F.col("_low") < F.col("_high"))
+    for depth in range(HASH_BUCKET_HEX, 32 + 1, HASH_BUCKET_HEX):
+        if at.filter(still).isEmpty():
+            break
+        rows = _state(keys, at, n_groups, g).filter(still & F.col("_h").startswith(F.col("_prefix")))
+        counts = rows.groupBy(*g, F.substring("_h", 1, depth).alias("_b")).agg(
+            F.count(F.lit(1)).alias("_m"), F.first("_ntest").alias("_ntest"), F.first("_before").alias("_before"),
+            F.min("_h").alias("_low"), F.max("_h").alias("_high"))
+        upto = Window.partitionBy(*(g or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("_upto", F.col("_before") + F.sum("_m").over(upto))
+        found = counts.filter((F.col("_upto") >= F.col("_ntest")) & (F.col("_upto") - F.col("_m") < F.col("_ntest"))).select(
+            *g, "_ntest", (F.col("_upto") - F.col("_m")).alias("_before"), F.col("_m").alias("_ties"), F.col("_b").alias("_prefix"), "_low", "_high")
+        at, _ = materialize_small(at.filter(~still).unionByName(found))
+    cut = F.when(F.col("_ntest") > 0, F.col("_low")).alias("_cut")
+    return at.select(*g, "_ntest", "_before", "_ties", cut), n_groups
+
+
 def split_exact(df: DataFrame, key_cols: Sequence[str] = ("BMH",), test_size: float = 0.2,
                 seed: int = 42, group_cols: Sequence[str] = (),
                 tiebreak_cols: Sequence[str] = (), max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
     """Seeded train/test split with exactly ``ceil(n * test_size)`` test rows per group (K1).
 
     Rows are ordered by ``md5("seed:key")`` then the key and ``tiebreak_cols``; the
-    first ``ceil(n * test_size)`` are test.  Computed without a global sort:
-    counts per 16-bit hash bucket are cumulated on the small bucket table, whole
-    buckets fall on one side, and only the single boundary bucket is ranked.
-    If that bucket holds more than ``max_window_rows`` rows (a hot key or a
-    group of copies) it is ranked by :func:`exact_rank` instead of one window.
+    first ``ceil(n * test_size)`` are test.  The hash at the cut is found by selection (:func:`cut_hashes`:
+    narrow histograms of the hash, nothing else is read); then every row is labelled where it is, by comparing its hash with
+    the cut, a literal of the plan (with groups: one row a group, broadcast within the limit).  Facts are neither shuffled nor checkpointed.
+    Only rows that share the hash at the cut (copies of one key), and only if the cut goes through them, are ranked: by a
+    window, or above ``max_window_rows`` of them by :func:`exact_rank`.
     Remaining columns break ties after ``tiebreak_cols``, so the result does not
-    depend on partitioning and is repeatable for a seed.  One bounded action
-    collects the hot boundary buckets (usually none).
+    depend on partitioning and is repeatable for a seed.  Null groups are groups.
     """
     g = list(group_cols)
-    gk = g if g else ["_k"]
-    h = df.withColumn("_h", _hash(seed, key_cols)).withColumn("_b", _bucket(F.col("_h")))
-    if not g:
-        h = h.withColumn("_k", F.lit(0))
-    counts = h.groupBy(*gk, "_b").agg(F.count(F.lit(1)).alias("_m"))
-    w = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    n_all = F.sum("_m").over(Window.partitionBy(*gk))
-    buckets_all = (counts.withColumn("_cum", F.sum("_m").over(w))
-                         .withColumn("_ntest", F.ceil(n_all.cast("double") * F.lit(float(test_size))))
-                         .withColumn("_before", F.col("_cum") - F.col("_m"))
-                         .select(*gk, "_b", "_m", "_cum", "_before", "_ntest"))
-    buckets_all, n_buckets = materialize_small(buckets_all)
-    buckets = broadcast_if_small(buckets_all.drop("_m"), n_buckets)
-    j = join_keys(h, buckets, [*gk, "_b"])
-    whole = j.filter((F.col("_cum") <= F.col("_ntest")) | (F.col("_before") >= F.col("_ntest"))) \
-             .withColumn("split", F.when(F.col("_cum") <= F.col("_ntest"), "test").otherwise("train"))
+    h = df.withColumn("_h", _hash(seed, key_cols))
+    at, n_groups = cut_hashes(h.select(*g, "_h"), test_size, g)
+    through = F.col("_ntest") - F.col("_before") < F.col("_ties")           # some of the ties are test, some train
+    ties = at.filter(F.col("_cut").isNotNull() & through).agg(F.max("_ties").alias("most")).first()["most"]
+    test = (F.when(F.col("_cut").isNull(), False).when(F.col("_h") != F.col("_cut"), F.col("_h") < F.col("_cut"))
+             .when(~through, True))                                          # null: to be ranked
+    helpers = ["_h", "_ntest", "_before", "_ties", "_cut"]
+    names = F.when(F.col("_test"), "test").otherwise("train")
+    j = _state(h, at, n_groups, g).withColumn("_test", test)
+    if ties is None:
+        return j.withColumn("split", names).drop("_test", *helpers)
+    tied = _state(_rows_at_cut(h, at, key_cols, g), at, n_groups, g).withColumn("_test", test).filter(F.col("_test").isNull())
     tb = list(tiebreak_cols) + [c for c in _orderable(df, [*key_cols, *tiebreak_cols, *g])]
-    order = ["_h", *key_cols, *tb]
-    is_cut = (F.col("_before") < F.col("_ntest")) & (F.col("_cum") > F.col("_ntest"))
-    cut = j.filter(is_cut)
-    hot = _hot(buckets_all, is_cut & (F.col("_m") > max_window_rows), [*gk, "_b"])
-    rn = F.row_number().over(Window.partitionBy(*gk, "_b").orderBy(*order))
-    if hot is None:             # many large boundary buckets: one balanced sort of them all
-        ranked = [exact_rank(cut, [*gk, "_b"], order, "_rn")]
-    elif hot:
-        hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, buckets_all.select(*gk, "_b").schema))
-        ranked = [cut.join(hot_df, [*gk, "_b"], "left_anti").withColumn("_rn", rn),
-                  exact_rank(cut.join(hot_df, [*gk, "_b"], "left_semi"), [*gk, "_b"], order, "_rn")]
+    order = [*key_cols, *tb]
+    if ties <= max_window_rows:
+        tied = tied.withColumn("_rn", F.row_number().over(Window.partitionBy(*g, "_h").orderBy(*order)))
     else:
-        ranked = [cut.withColumn("_rn", rn)]
-    helper = ["_h", "_b", "_cum", "_before", "_ntest", "_rn"] + ([] if g else ["_k"])
-    out = whole.drop(*[c for c in helper if c in whole.columns])
-    for part in ranked:
-        labelled = part.withColumn(
-            "split", F.when(F.col("_before") + F.col("_rn") <= F.col("_ntest"), "test").otherwise("train"))
-        out = out.unionByName(labelled.drop(*helper))
-    return out
+        tied = exact_rank(tied, [*g, "_h"], order, "_rn")
+    tied = tied.withColumn("_test", F.col("_before") + F.col("_rn") <= F.col("_ntest")).drop("_rn")
+    return j.filter(F.col("_test").isNotNull()).unionByName(tied).withColumn("split", names).drop("_test", *helpers)
+
+
+def _rows_at_cut(h: DataFrame, at: DataFrame, key_cols: Sequence[str], g: list[str], most_keys: int = 16) -> DataFrame:
+    """The rows that may share the hash at the cut.  Without groups their keys (one, but for collisions) become a predicate
+    that the scans below can use."""
+    if g:
+        return h
+    keys = h.filter(F.col("_h") == F.lit(at.first()["_cut"])).select(*key_cols).distinct().limit(most_keys + 1).collect()
+    if len(keys) > most_keys:
+        return h
+    types = h.select(*key_cols).schema
+    same = [reduce(lambda a, b: a & b, [F.col(f.name).eqNullSafe(F.lit(r[f.name]).cast(f.dataType)) for f in types]) for r in keys]
+    return h.filter(reduce(lambda a, b: a | b, same))
 
 
 def split_hash(df: DataFrame, key_cols: Sequence[str] = ("BMH",), test_size: float = 0.2,
@@ -271,14 +315,14 @@ def global_rank(df: DataFrame, key_cols: Sequence[str], seed: int, salt: Column
     normal = h
     parts = []
     if hot:
-        hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, offs.select(*pk, "_b").schema))
-        parts.append(exact_rank(h.join(hot_df, [*pk, "_b"], "left_semi"), [*pk, "_b"], order, "_rn"))
-        normal = h.join(hot_df, [*pk, "_b"], "left_anti")
+        hot_df = df.sparkSession.createDataFrame(hot, offs.select(*pk, "_b").schema)
+        parts.append(exact_rank(among(h, hot_df, [*pk, "_b"], "left_semi"), [*pk, "_b"], order, "_rn"))
+        normal = among(h, hot_df, [*pk, "_b"], "left_anti")
     rn = F.row_number().over(Window.partitionBy(*pk, "_b").orderBy(*order))
     parts.insert(0, normal.withColumn("_rn", rn))
     out_df = None
     for part in parts:
-        r = (part.join(lookup, [*pk, "_b"]).withColumn(out, (F.col("_rn") + F.col("_off")).cast("long"))
+        r = (join_keys(part, lookup, [*pk, "_b"]).withColumn(out, (F.col("_rn") + F.col("_off")).cast("long"))
                  .drop("_h", "_b", "_rn", "_off", *([] if p else ["_k"])))
         out_df = r if out_df is None else out_df.unionByName(r)
     return out_df
@@ -289,8 +333,10 @@ def shuffled_batches(df: DataFrame, key_cols: Sequence[str] = ("BMH",), batch_si
     """Seeded per-epoch shuffle cut into fixed-size batches, last batch partial (K2, K3).
 
     Output adds ``epoch``, ``batch_id`` and ``batch_pos``; row order inside an epoch is
-    ``md5("seed:epoch:key")``.
+    ``md5("seed:epoch:key")``.  ``epochs`` and ``batch_size`` below 1 raise.
     """
+    if epochs < 1 or batch_size < 1:
+        raise ValueError(f"epochs and batch_size must be at least 1, got {epochs} and {batch_size}")
     per_epoch = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     ranked = global_rank(per_epoch, key_cols, seed, salt=F.col("epoch"), partition_cols=["epoch"],
                          max_window_rows=max_window_rows)
@@ -311,34 +357,90 @@ def pad_truncate(df: DataFrame, tokens: str, max_length: int = 1024, pad_id: int
 
     Without ``batch_col`` every row is padded to exactly ``max_length`` (training
     and single-text scoring); with it, rows are padded to the longest sequence of
-    their batch, capped at ``max_length`` (batch scoring).  That window is
-    partitioned by batch, so it is bounded by the batch size.
+    their batch, capped at ``max_length`` (batch scoring): rows of a batch are brought together by one shuffle, and the Arrow pass that reads
+    them pads each batch as a whole, holding one batch and one Arrow batch of rows.  Rows without a batch are padded to their own
+    length and stay spread over all tasks.  Null token arrays have null ids and masks, and no length.
     """
-    target = F.lit(max_length)
     if batch_col is not None:
-        longest = F.max(F.size(F.col(tokens))).over(Window.partitionBy(batch_col))
-        target = F.least(longest, F.lit(max_length))
-    ids, mask = _pad_truncate(F.col(tokens), target, pad_id, side)
+        return _pad_in_batches(df, tokens, max_length, pad_id, side, batch_col)
+    ids, mask = _pad_truncate(F.col(tokens), F.lit(max_length), pad_id, side)
     return df.withColumn("input_ids", ids).withColumn("attention_mask", mask)
 
 
+def _pad_in_batches(df: DataFrame, tokens: str, max_length: int, pad_id: int, side: str, batch_col: str) -> DataFrame:
+    if side not in ("right", "left"):
+        raise ValueError(f"side must be 'right' or 'left', got {side!r}")
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*df.schema.fields, T.StructField("input_ids", ints), T.StructField("attention_mask", ints)])
+    spread = F.when(F.col(batch_col).isNull(), F.monotonically_increasing_id())
+    clustered = (df.withColumn("_spread", spread).repartition(F.col(batch_col), F.col("_spread"))
+                   .sortWithinPartitions(batch_col, "_spread").drop("_spread"))
+    names = df.columns
+
+    def padded(rows):
+        """Whole batches, one after the other."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = rows.column(tokens).combine_chunks()
+        column = column if not isinstance(column, pa.ChunkedArray) else pa.concat_arrays(column.chunks)
+        null = column.is_null().to_numpy(zero_copy_only=False)
+        size = np.minimum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), max_length)
+        keys = rows.column(batch_col).combine_chunks()
+        codes = keys.dictionary_encode(null_encoding="encode")
+        codes = (codes if not isinstance(codes, pa.ChunkedArray) else codes.combine_chunks()).indices.to_numpy()
+        alone = keys.is_null().to_numpy(zero_copy_only=False)
+        longest = np.zeros(codes.max() + 1, np.int64)
+        np.maximum.at(longest, codes, size)
+        width = np.where(null, 0, np.where(alone, size, longest[codes]))
+        start = column.offsets.to_numpy()[:-1]
+        ends = np.concatenate([[0], np.cumsum(width)])
+        row = np.repeat(np.arange(len(width)), width)
+        place = np.arange(ends[-1]) - ends[row]
+        if side == "left":
+            place = place - (width - size)[row]
+        real = (place >= 0) & (place < size[row])
+        values = column.values.to_numpy(zero_copy_only=False)
+        ids = np.full(ends[-1], pad_id, np.int32)
+        ids[real] = values[start[row[real]] + place[real]]
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v.astype(np.int32)), mask=pa.array(null)) for v in (ids, real)]
+        out = rows.append_column("input_ids", lists[0]).append_column("attention_mask", lists[1])
+        return out.to_batches()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        carry = None
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            rows = pa.Table.from_batches([rb])
+            rows = rows if carry is None else pa.concat_tables([carry, rows])
+            keys = rows.column(batch_col).combine_chunks().dictionary_encode(null_encoding="encode")
+            codes = (keys if not isinstance(keys, pa.ChunkedArray) else keys.combine_chunks()).indices.to_numpy()
+            edges = np.flatnonzero(np.diff(codes))
+            done = int(edges[-1]) + 1 if len(edges) else 0                  # the last batch may go on
+            if done:
+                yield from padded(rows.slice(0, done))
+            carry = rows.slice(done)
+        if carry is not None and carry.num_rows:
+            yield from padded(carry)
+
+    return clustered.select(*names).mapInArrow(run, schema)
+
+
 def prepare_labelled(answers: DataFrame, calibration: DataFrame, test_size: float = 0.2,
                      seed: int = 42, group_cols: Sequence[str] = (),
-                     key_cols: Sequence[str] = ("BMH",), materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+                     key_cols: Sequence[str] = ("BMH",)) -> tuple[DataFrame, DataFrame]:
     """Whole prepare step (K5): join, ordinal-encode, split.
 
     Returns ``(labelled_with_split, points)``; filter ``split`` for the two sides.
-    With ``materialize`` the joined table is checkpointed once to the shared
-    checkpoint folder, so the score-point action and the split's three narrow
-    scans (bucket counts, whole buckets, boundary bucket) read it instead of
-    recomputing the join; none of them shuffles the facts.
+    Score points come from the labels alone and the cut from keys alone (their joins read no text), so the joined facts
+    are computed once, where the result is used, and never written or shuffled for the split.
     """
-    from rubricon.session import checkpoint_dir
-
     joined = join_labels(answers, calibration)
-    if materialize:
-        checkpoint_dir(joined.sparkSession)
-        joined = joined.checkpoint(eager=True)
     labelled, pts = encode_ordinal(joined, "label", group_cols)
     out = split_exact(labelled, key_cols, test_size, seed, group_cols,
                       tiebreak_cols=[c for c in ("text", "label") if c in labelled.columns])

@@ -1,12 +1,8 @@
 """Length and score profiles.
 
 ``describe`` with ``method="exact"`` computes exact, linearly interpolated
-percentiles (the pandas/numpy definition) from the table of *distinct values
-with counts*: one shuffle with partial aggregation, then a running count over
-the distinct values only.  That table is small for integer lengths and score
-points; for continuous data with unbounded distinct values use
-``method="approx"`` (``percentile_approx``); above ``MAX_WINDOW_ROWS`` distinct
-values the exact method switches to a range-partitioned running count.
+percentiles (the pandas/numpy definition) by selection: a sketch brackets each one,
+and only the distinct values inside the brackets are put in order.
 """
 
 from __future__ import annotations
@@ -15,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rubricon.functions.text import text_length
 from rubricon.operators.prepare import MAX_WINDOW_ROWS, exact_rank
@@ -25,6 +22,8 @@ PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 LENGTH_BINS = 80
 SCORE_BINS = 50
 
+BRACKET_ROWS = 10           # rows for each step of a sketch's accuracy from which percentiles are bracketed by it
+
 
 def pct_name(p: float) -> str:
     return f"p{round(p * 100):d}"
@@ -38,11 +37,10 @@ def describe(df: DataFrame, col: str, group_cols: Sequence[str] = (),
     Null and NaN values are missing; null group keys are a group; ``zeros`` names an
     extra column with the number of values equal to zero.
 
-    ``exact``: the distinct values with counts are checkpointed once (one
-    eager action); running counts come from a window over them when there are at
-    most ``max_window_rows`` of them, else from a range-partitioned sort
-    (:func:`exact_rank` with weights), so no task receives all distinct values.
-    ``approx``: ``percentile_approx``.
+    ``exact``: a first pass takes the moments and, from a sketch, a bracket around the two ranks that each percentile
+    lies between; a second counts the values below each bracket and the distinct values inside it, before the shuffle.
+    Only those are put in order (a share of ``4 / accuracy`` of the rows at most, besides ties): by a window, or above ``max_window_rows``
+    of them by a range-partitioned sort.  No table of all distinct values is made.  ``approx``: ``percentile_approx``.
     """
     g = list(group_cols)
     x = F.col(col).cast("double")
@@ -57,41 +55,48 @@ def describe(df: DataFrame, col: str, group_cols: Sequence[str] = (),
         return df.groupBy(*g).agg(*aggs)
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
-    gk = g if g else ["_k"]
     base = df.select(*g, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    if not g:
-        base = base.withColumn("_k", F.lit(0))
-    # distinct values with counts, materialised once; its size picks the running-count method
-    freq, n_freq = materialize_small(base.groupBy(*gk, "_x").agg(F.count(F.lit(1)).alias("_c")))
-    c = F.col("_c").cast("double")
-    totals = freq.groupBy(*gk).agg(F.sum("_c").alias("_n"), (F.sum(c * F.col("_x")) / F.sum(c)).alias("_mean"))
+    ends = [F.percentile_approx("_x", [min(max(float(p) + s * 2 / accuracy, 0.0), 1.0) for p in percentiles], accuracy).alias(n)
+            for s, n in ((-1, "_low"), (1, "_high"))]
+    stats = [F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max")]
+    if zeros:
+        stats.append(F.count_if(F.col("_x") == 0).cast("long").alias(zeros))
+    whole, n_groups = materialize_small(base.groupBy(*g).agg(*stats, *(ends if percentiles else [])))
+    whole = whole.filter("count > 0")
+    if not percentiles:
+        return whole.select(*g, "count", "mean", "std", "min", "max", *([zeros] if zeros else []))
+    # the sketch's rank error is far below the bracket's width where it is used; small groups are read whole
+    sketched = F.col("count") > BRACKET_ROWS * accuracy
+    at = [F.struct(F.lit(i).alias("p"), *[F.when(sketched, F.col(c)[i]).alias(n) for c, n in (("_low", "a"), ("_high", "b"))]) for i in range(len(percentiles))]
+    def beside(rows, table):
+        """The columns of a group's row of a small table: joined, or without groups literals of its one row."""
+        if g:
+            return join_keys(rows, broadcast_if_small(table, n_groups), g)
+        one = table.first()
+        return rows.withColumns({f.name: F.lit(one[f.name]).cast(f.dataType) for f in table.schema.fields})
+
+    if not g and whole.isEmpty():
+        return base.sparkSession.createDataFrame([], T.StructType([f for f in whole.schema.fields if f.name in ("count", "mean", "std", "min")]
+                                                 + [T.StructField(pct_name(p), T.DoubleType()) for p in percentiles]
+                                                 + [f for f in whole.schema.fields if f.name in ("max", zeros)]))
+    rows = beside(base, whole.select(*g, "count", "_low", "_high")).select(*g, "_x", F.explode(F.array(*at)).alias("_at"))
+    rows = rows.filter(F.col("_at.b").isNull() | (F.col("_x") <= F.col("_at.b")))
+    inside = F.when(F.col("_at.a").isNull() | (F.col("_x") >= F.col("_at.a")), F.col("_x")).alias("_v")        # null: below the bracket
+    freq, n_freq = materialize_small(rows.groupBy(*g, F.col("_at.p").alias("_p"), inside).agg(F.count(F.lit(1)).alias("_c")))
     if n_freq <= max_window_rows:
-        run = Window.partitionBy(*gk).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+        run = Window.partitionBy(*g, "_p").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
         freq = freq.withColumn("_cum", F.sum("_c").over(run))
     else:
-        freq = exact_rank(freq, gk, ["_x"], "_cum", weight_col="_c")
-    freq = join_keys(freq, broadcast_if_small(totals, n_freq if g else 1), gk)
-    aggs = [F.first("_n").alias("count"), F.first("_mean").alias("mean"),
-            F.sqrt(F.try_divide(F.sum(c * (F.col("_x") - F.col("_mean")) * (F.col("_x") - F.col("_mean"))),
-                                F.when(F.first("_n") > 1, F.first("_n") - 1).cast("double"))).alias("std"),
-            F.min("_x").alias("min")]
-    for p in percentiles:
-        h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        aggs += [F.min(F.when(F.col("_cum") > lo, F.col("_x"))).alias(f"_lo{pct_name(p)}"),
-                 F.min(F.when(F.col("_cum") > hi, F.col("_x"))).alias(f"_hi{pct_name(p)}"),
-                 F.first(h - lo).alias(f"_fr{pct_name(p)}")]
-    aggs.append(F.max("_x").alias("max"))
-    if zeros:
-        aggs.append(F.sum(F.when(F.col("_x") == 0, F.col("_c")).otherwise(0)).cast("long").alias(zeros))
-    s = freq.groupBy(*gk).agg(*aggs)
-    cols = [F.col("count").cast("long").alias("count"), "mean", "std", "min"]
-    for p in percentiles:
-        n = pct_name(p)
-        lo, hi, fr = F.col(f"_lo{n}"), F.col(f"_hi{n}"), F.col(f"_fr{n}")
-        cols.append((lo + (hi - lo) * fr).alias(n))
-    cols += ["max", *([zeros] if zeros else [])]
-    return s.select(*g, *cols)
+        freq = exact_rank(freq, [*g, "_p"], ["_v"], "_cum", weight_col="_c")
+    freq = beside(freq, whole.select(*g, "count"))
+    share = F.element_at(F.array(*[F.lit(float(p)) for p in percentiles]), F.col("_p") + 1)
+    h = (F.col("count") - 1).cast("double") * share
+    found = freq.groupBy(*g, "_p").agg(F.min(F.when(F.col("_cum") > F.floor(h), F.col("_v"))).alias("_lo"),
+                                       F.min(F.when(F.col("_cum") > F.ceil(h), F.col("_v"))).alias("_hi"), F.first(h - F.floor(h)).alias("_fr"))
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_fr")
+    found = found.groupBy(*g).agg(*[F.max(F.when(F.col("_p") == i, value)).alias(pct_name(p)) for i, p in enumerate(percentiles)])
+    out = beside(found, whole.drop("_low", "_high"))
+    return out.select(*g, "count", "mean", "std", "min", *[pct_name(p) for p in percentiles], "max", *([zeros] if zeros else []))
 
 
 def _edge(lo: Column, hi: Column, i: Column, bins: int) -> Column:

@@ -54,9 +54,9 @@ def chunked_row_number(df: DataFrame, by: Sequence[str], order: Sequence[str], c
     lookup = broadcast_if_small(offs.drop("_crn_n"), n_chunks)
     local = F.row_number().over(Window.partitionBy(*b, "_crn_chunk").orderBy(*order))
     if hot:
-        hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, offs.select(*b, "_crn_chunk").schema))
-        parts = [d.join(hot_df, [*b, "_crn_chunk"], "left_anti").withColumn("_crn_local", local),
-                 prepare.exact_rank(d.join(hot_df, [*b, "_crn_chunk"], "left_semi"), [*b, "_crn_chunk"],
+        hot_df = df.sparkSession.createDataFrame(hot, offs.select(*b, "_crn_chunk").schema)
+        parts = [prepare.among(d, hot_df, [*b, "_crn_chunk"], "left_anti").withColumn("_crn_local", local),
+                 prepare.exact_rank(prepare.among(d, hot_df, [*b, "_crn_chunk"], "left_semi"), [*b, "_crn_chunk"],
                                     list(order), "_crn_local")]
     else:
         parts = [d.withColumn("_crn_local", local)]

@@ -7,17 +7,20 @@ digits so the DuckDB oracle in :mod:`rubricon.plans.oracle` can match them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricon.operators import agree, batch, ordinal, pool, prepare, profile, track
-from rubricon.sources.sinks import OrdinalHead
+from rubricon import jobs
+from rubricon.operators import agree, batch, fit, ordinal, pool, prepare, profile, track
+from rubricon.session import checkpoint_dir
+from rubricon.sources.sinks import REFERENCE_SCORE_COL, REFERENCE_STATUS_COL, OrdinalHead, load_head, save_head
 from rubricon.sources import fixtures as fx
 from rubricon.sources.answers import load_answers
-from rubricon.sources.calibration import union_calibration
+from rubricon.sources.calibration import load_calibration, union_calibration
 
 ROUND = 6
 SEED = 42
@@ -29,6 +32,8 @@ RATE_TOLERANCE = 2.0
 VALIDATE_TOLERANCE = 1.0
 SCORE_BATCH = 16
 LOG_EVERY = 10
+FIT_REG = 1e-3
+POSITION_CHUNK = 5_000
 DEEP_SIZES = (16, 8)
 
 
@@ -95,6 +100,56 @@ def q_pad_truncate(spark, sf):
                          F.col("col.attention_mask").cast("int").alias("mask"))
 
 
+def q_pad_batches(spark, sf):
+    """Padding to the longest row of a batch of 16 documents; every 50th document has no batch."""
+    doc = F.col("BMH").cast("long")
+    a = answers(spark, sf).withColumn("tokens", prepare.word_lengths("text")).withColumn(
+        "batch", F.when(doc % 50 != 0, F.floor(doc / BATCH_SIZE)))
+    padded = prepare.pad_truncate(a.select("BMH", "batch", "tokens"), "tokens", PAD_LEN, pad_id=0, batch_col="batch")
+    return padded.select("BMH", F.size("input_ids").cast("long").alias("width"), *_sums())
+
+
+def _sums():
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)
+    return add("input_ids").alias("id_sum"), add("attention_mask").alias("n_real")
+
+
+def q_training_examples(spark, sf):
+    tokens = labelled(spark, sf, ()).withColumn("tokens", prepare.word_lengths("text"))
+    e = prepare.encode_examples(tokens, "tokens", PAD_LEN, side="left")
+    return e.select("BMH", "label", "label_idx", F.size("input_ids").cast("long").alias("width"), *_sums())
+
+
+def _marked_lines(spark, sf):
+    """Line items by return flag, the largest flag as the null group."""
+    li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    return li.select(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"),
+                     (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), F.col("l_extendedprice").cast("double").alias("price"))
+
+
+def q_ranked_null_groups(spark, sf):
+    """Shuffle ranks in groups of which one is null; buckets above two rows take the sorted path."""
+    r = prepare.global_rank(_marked_lines(spark, sf).select("flag", "line"), ["line"], SEED, partition_cols=["flag"], max_window_rows=2)
+    return r.select("flag", "line", "rank")
+
+
+def q_positions(spark, sf):
+    """Positions in sequences of which the null one holds half of the rows, in chunks cut at sketched quantiles."""
+    return pool.with_positions(_marked_lines(spark, sf).select("flag", "line"), "flag", "line", most_rows=POSITION_CHUNK)
+
+
+def q_calibration_files(spark, sf):
+    """The calibration parts as CSV files with their columns in different orders, read back by one pattern."""
+    folder = _folder(spark, "calibration")
+    for i, part in enumerate(fx.calibration_parts(spark, sf)):
+        part.withColumn(f"note{i}", F.lit("x, \"y\"")).repartition(3).write.option("header", "true").csv(f"{folder}/{i}")
+    return load_calibration(spark, f"{folder}/*/*.csv")
+
+
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def q_shuffled_batches(spark, sf):
     b = prepare.shuffled_batches(answers(spark, sf).select("BMH"), ["BMH"], BATCH_SIZE, EPOCHS, SEED)
     return b.select("epoch", "BMH", "batch_id", "batch_pos")
@@ -111,6 +166,12 @@ def q_agreement_metrics(spark, sf):
     return m.select("l_returnflag", "metric", _r("value").alias("value"))
 
 
+def q_summed_metrics(spark, sf):
+    """The metrics that need no order of values, asked for by name."""
+    wide = agree.choose_metrics(fx.ratings(spark, sf), agree.SUMMED, group_cols=["l_returnflag"])
+    return agree.to_long(wide, ["l_returnflag"], agree.SUMMED).select("l_returnflag", "metric", _r("value").alias("value"))
+
+
 def q_tolerance_curve(spark, sf):
     c = agree.tolerance_curve(fx.ratings(spark, sf))
     return c.select("op", "threshold", _r("share").alias("share"))
@@ -172,15 +233,51 @@ def q_linear_head(spark, sf):
     return _long_logits(v)
 
 
+def q_saved_head(spark, sf):
+    """The linear head written as tables, read back and applied."""
+    folder = _folder(spark, "head")
+    save_head(spark, rule_linear_head(), folder)
+    return _long_logits(ordinal.linear_head(_vectors(spark, sf), load_head(spark, folder), vec="vec", features="feat"))
+
+
+def q_score_sequences(spark, sf):
+    """Token vectors to pooled vectors, logits and scores."""
+    s = jobs.score_sequences(fx.token_vectors(spark, sf), rule_linear_head(64), strategy="mean")
+    return s.select("seq_id", "score", F.posexplode("logits").alias("k", "logit")).select(
+        "seq_id", "score", F.col("k").cast("int").alias("k"), _r("logit").alias("logit"))
+
+
+def q_fit_chain(spark, sf):
+    """Split, fit with evaluations, save, load: what must hold, as ``(item, value)``."""
+    v = prepare.split_exact(_vectors(spark, sf).withColumn("label", F.col("label_idx").cast("double")), ["vec_id"], TEST_SIZE, SEED)
+    folder = _folder(spark, "fit")
+    head, metrics = jobs.fit_and_validate(v, fx.prob_score_points(), vec="vec", reg_param=FIT_REG, output=folder, eval_every=5)
+    loaded, best = load_head(spark, f"{folder}/model"), load_head(spark, f"{folder}/best_model")
+    test = v.filter("split = 'test'")
+    again = {name: {r["metric"]: r["value"] for r in ordinal.validate(ordinal.head_logits(test, h, "vec"), h.score_points).collect()}
+             for name, h in (("final", loaded), ("best", best))}
+    said = {r["metric"]: r["value"] for r in spark.read.json(f"{folder}/metrics").collect()}
+    slope = fit.gradients(v.filter("split = 'train'"), loaded.coef, loaded.intercept, "vec", "label_idx", FIT_REG).agg(F.max("steepest")).first()[0]
+    sizes = v.groupBy().agg(F.count_if(F.col("split") == "train").cast("double").alias("train_rows"), F.count_if(F.col("split") == "test").cast("double").alias("test_rows"))
+    facts = {"steepest": round(slope, ROUND), "weights_changed_by_saving": float(np.abs(head.coef - loaded.coef).max()),
+             "metrics_changed_by_saving": round(max(abs(said[m] - x) for m, x in again["final"].items()), ROUND),
+             "best_head_misses_best_accuracy": round(said["best_accuracy"] - again["best"]["exact_accuracy"], ROUND),
+             "best_below_final": max(0.0, said["exact_accuracy"] - said["best_accuracy"])}
+    rows = sizes.select("*", *[F.lit(x).cast("double").alias(n) for n, x in facts.items()])
+    return agree.to_long(rows, [], ["train_rows", "test_rows", *facts], metric_col="item")
+
+
 def q_deep_head(spark, sf):
     v = ordinal.deep_head(_vectors(spark, sf), rule_deep_head(), vec="vec")
     return _long_logits(v)
 
 
 def q_fit_thresholds(spark, sf):
-    head = ordinal.fit_thresholds(_vectors(spark, sf), vec="vec", label_idx="label_idx",
-                                  n_classes=fx.PROB_THRESHOLDS + 1, reg_param=1e-3, max_iter=50)
-    return ordinal.head_table(spark, head)
+    """Positives of every threshold and the steepest slope that the fit leaves (zero at the minimum)."""
+    v = _vectors(spark, sf)
+    head = ordinal.fit_thresholds(v, vec="vec", n_classes=fx.PROB_THRESHOLDS + 1, reg_param=FIT_REG)
+    g = fit.gradients(v, head.coef, head.intercept, "vec", "label_idx", FIT_REG)
+    return g.select("threshold", "positives", "n_rows", _r("steepest").alias("steepest"))
 
 
 def q_validate_summary(spark, sf):
@@ -221,6 +318,13 @@ def q_batch_score(spark, sf):
     return scored(spark, sf).select("BMH", "text", "lang", "pred_score", "status", "error")
 
 
+def q_score_table(spark, sf):
+    """The infer job over the file as it lies: batches in scan order, written in the reference's layout and read back."""
+    out, _ = jobs.score_table(fx.raw_answers(spark, sf), batch.toy_factory(fx.TOY_MARKER), _folder(spark, "scored"), batch_size=SCORE_BATCH,
+                              order="input", reference_layout=True)
+    return out.select("BMH", "text", "lang", F.col(REFERENCE_SCORE_COL).alias("score"), F.col(REFERENCE_STATUS_COL).alias("status"))
+
+
 def q_status_counts(spark, sf):
     return batch.status_counts(scored(spark, sf))
 
@@ -239,6 +343,12 @@ def q_length_describe(spark, sf):
     return _round_cols(d, DESCRIBE_DOUBLES)
 
 
+def q_describe_values(spark, sf):
+    """Prices made unique, so that there are as many values as rows; the null group has half of them."""
+    d = profile.describe(_marked_lines(spark, sf).withColumn("x", F.col("price") + F.col("line") / 1e9), "x", ["flag"], accuracy=200)
+    return _round_cols(d, DESCRIBE_DOUBLES)
+
+
 def q_length_hist(spark, sf):
     lens = profile.with_length(fx.stored_answers(spark, sf), "text")
     return _round_cols(profile.histogram(lens, "length", profile.LENGTH_BINS), ["lo", "hi"])
@@ -328,6 +438,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "epoch_loss": q_epoch_loss,
     "logged_steps": q_logged_steps,
     "flagship_agreement": q_flagship_agreement,
+    "pad_batches": q_pad_batches,
+    "training_examples": q_training_examples,
+    "ranked_null_groups": q_ranked_null_groups,
+    "positions": q_positions,
+    "calibration_files": q_calibration_files,
+    "summed_metrics": q_summed_metrics,
+    "saved_head": q_saved_head,
+    "score_sequences": q_score_sequences,
+    "fit_chain": q_fit_chain,
+    "score_table": q_score_table,
+    "describe_values": q_describe_values,
 }
 
 

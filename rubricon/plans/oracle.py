@@ -417,3 +417,64 @@ FROM p, rr, range(80) t(i)
 WHERE x >= t.i * ((hi - lo) / CAST(80 AS DOUBLE)) + lo
   AND CASE WHEN t.i = 79 THEN x <= hi ELSE x < (t.i + 1) * ((hi - lo) / CAST(80 AS DOUBLE)) + lo END
 GROUP BY ALL"""
+
+# the regularised gradient of a minimum is zero, whatever the weights
+SQL["fit_thresholds"] = """
+SELECT CAST(k AS INTEGER) AS threshold, count(*) FILTER (WHERE label > k) AS positives, count(*) AS n_rows, 0.0::DOUBLE AS steepest
+FROM embeddings, range(9) t(k) WHERE label IS NOT NULL GROUP BY k"""
+
+SQL["fit_chain"] = """
+SELECT item, CAST(value AS DOUBLE) AS value FROM (
+  SELECT 'train_rows' AS item, count(*) - ceil(count(*) * 0.2) AS value FROM embeddings
+  UNION ALL SELECT 'test_rows', ceil(count(*) * 0.2) FROM embeddings
+  UNION ALL SELECT unnest(['steepest', 'weights_changed_by_saving', 'metrics_changed_by_saving', 'best_head_misses_best_accuracy',
+                           'best_below_final']), 0)"""
+
+SQL["saved_head"] = SQL["linear_head"]
+
+SQL["score_sequences"] = with_(TOK, """
+pooled AS (SELECT seq_id, dim, sum(v * mask) / greatest(sum(mask), 1) AS v FROM tokd GROUP BY seq_id, dim),
+lg AS (SELECT seq_id, CAST(k AS INTEGER) AS k, CAST(k - 4 AS DOUBLE) / CAST(4 AS DOUBLE)
+              + sum(v * (CAST(((7 * k + 3 * dim) % 11) - 5 AS DOUBLE) / CAST(10 AS DOUBLE))) AS logit
+       FROM pooled, range(9) t(k) GROUP BY seq_id, k),
+dist AS (SELECT seq_id, c, sum(abs(1.0 / (1.0 + exp(-logit)) - CASE WHEN c > k THEN 1.0 ELSE 0.0 END)) AS d
+         FROM lg, range(10) s(c) GROUP BY seq_id, c),
+best AS (SELECT seq_id, CAST(c AS DOUBLE) AS score FROM (
+           SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY d, c) AS rn FROM dist) WHERE rn = 1)""") + """
+SELECT seq_id, score, k, round(logit, 6) AS logit FROM lg JOIN best USING (seq_id)"""
+
+SQL["calibration_files"] = SQL["calibration_union"]
+
+SQL["summed_metrics"] = f"""
+SELECT * FROM ({SQL["agreement_metrics"]}) WHERE metric IN ('exact_accuracy', 'mae', 'rmse', 'acc_0.5', 'pearson', 'kappa')"""
+
+_LINES = """
+lines AS (SELECT nullif(l_returnflag, 'N') AS flag, l_orderkey * 8 + l_linenumber AS line, CAST(l_extendedprice AS DOUBLE) AS price FROM lineitem)"""
+
+SQL["ranked_null_groups"] = with_(_LINES) + """
+SELECT flag, line, row_number() OVER (PARTITION BY flag ORDER BY md5('42:' || line), line) AS rank FROM lines"""
+
+SQL["positions"] = with_(_LINES) + """
+SELECT flag, line, CAST(row_number() OVER (PARTITION BY flag ORDER BY line) - 1 AS INTEGER) AS pos FROM lines"""
+
+SQL["describe_values"] = with_(_LINES, """
+x AS (SELECT flag, price + line / CAST(1e9 AS DOUBLE) AS x FROM lines)""") + \
+    _describe_sql("x").replace("SELECT count(*)", "SELECT flag, count(*)").replace("FROM x", "FROM x GROUP BY flag")
+
+_TOKENS = """
+tok AS (SELECT BMH, list_transform(string_split(text, ' '), lambda w: length(w)) AS tokens FROM ans),
+cut AS (SELECT BMH, tokens[1:32] AS ids FROM tok)"""
+
+SQL["pad_batches"] = with_(STORED, _TOKENS, """
+b AS (SELECT BMH, ids, CASE WHEN CAST(BMH AS BIGINT) % 50 <> 0 THEN CAST(BMH AS BIGINT) // 16 END AS batch FROM cut)""") + """
+SELECT BMH, CAST(CASE WHEN batch IS NULL THEN len(ids) ELSE max(len(ids)) OVER (PARTITION BY batch) END AS BIGINT) AS width,
+       CAST(list_sum(ids) AS BIGINT) AS id_sum, CAST(len(ids) AS BIGINT) AS n_real FROM b"""
+
+SQL["training_examples"] = with_(STORED, CAL, LABELLED, _TOKENS, """
+lab AS (SELECT BMH, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx FROM j)""") + """
+SELECT lab.BMH, label, label_idx, CAST(32 AS BIGINT) AS width, CAST(list_sum(ids) AS BIGINT) AS id_sum, CAST(len(ids) AS BIGINT) AS n_real
+FROM lab JOIN (SELECT DISTINCT * FROM cut) c ON lab.BMH = c.BMH"""
+
+SQL["score_table"] = with_(ANS, SCORED) + """
+SELECT BMH, text, lang, pred_score AS score,
+       CASE status WHEN 'success' THEN '成功' WHEN 'skipped' THEN '跳过(空文本)' ELSE '失败: ' || error END AS status FROM scored"""

@@ -58,6 +58,16 @@ def to_reference_layout(scored: DataFrame) -> DataFrame:
     return scored.select(*keep, F.col("pred_score").alias(REFERENCE_SCORE_COL), status.alias(REFERENCE_STATUS_COL))
 
 
+def from_reference_layout(table: DataFrame) -> DataFrame:
+    """A scored file in the reference's layout with the library's ``pred_score``, ``status`` and ``error`` columns."""
+    text = F.col(REFERENCE_STATUS_COL)
+    status = (F.when(text == REFERENCE_SUCCESS, "success").when(text == REFERENCE_SKIPPED, "skipped")
+               .when(text.startswith(REFERENCE_FAILED_PREFIX), "failed"))
+    error = F.when(text.startswith(REFERENCE_FAILED_PREFIX), F.expr(f"substring(`{REFERENCE_STATUS_COL}`, {len(REFERENCE_FAILED_PREFIX) + 1})"))
+    keep = [c for c in table.columns if c not in (REFERENCE_SCORE_COL, REFERENCE_STATUS_COL)]
+    return table.select(*keep, F.col(REFERENCE_SCORE_COL).cast("double").alias("pred_score"), status.alias("status"), error.alias("error"))
+
+
 def write_metrics_json(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Long-form metrics ``(group..., metric, value)`` as JSON lines."""
     metrics.write.mode(mode).json(path)

@@ -32,7 +32,7 @@ def test_methods_agree(spark):
     b = {k: np.array(v) for k, v in _get(pool.pool_mean(t, method="explode")).items()}
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
     q = [0.3, -0.2, 0.1, 0.0, 1.0]
-    a = {k: np.array(v) for k, v in _get(pool.pool_attention(t, q, method="summarizer")).items()}
+    a = {k: np.array(v) for k, v in _get(pool.pool_attention(t, q, method="states")).items()}
     b = {k: np.array(v) for k, v in _get(pool.pool_attention(t, q, method="explode")).items()}
     assert all(np.allclose(a[k], b[k]) for k in a)
 
