@@ -32,7 +32,7 @@ TOP = 3
 CLEAR = 2.0
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
-STRETCH = 3_000_000             # bytes of text scored together
+STRETCH = 1_200_000             # bytes of text scored together
 
 
 def words_of(text: str) -> list[bytes]:
