@@ -3,10 +3,11 @@
 Two models of the bytes of words and of the bytes before them across the blank, one fitted on toxic and one on ordinary labelled texts, share all their
 backoff counts: each interpolates its own highest-order counts with one Kneser-Ney model of both classes
 together.  A rare expression that neither class has seen therefore gets the same probability from both.  A word's
-score is the difference of its two log-likelihoods, once alone and once where it stands.  A document is described by differences that are normalised
-by length: the mean over all its words, the mean over its ``TOP`` most toxic words, and the
-mean of what exceeds ``CLEAR``, for both kinds of score; a logistic curve, fitted on labelled rows that no count has seen, turns
-them into a score between 0 and 1.
+score is the difference of its two log-likelihoods, alone and where it stands.  A document is described by differences that are normalised
+by length: the mean over all its words, the means over its most toxic words (one, three and ten), and the
+means of what exceeds the levels ``CLEAR``; a logistic curve, fitted on labelled rows that no count has seen, turns
+them into a score between 0 and 1.  Differences of words where they stand are part of the curve, and computed at all, only if they raise the
+likelihood of those rows by ``GAIN``, that is, if expressions of several words tell more than their words do.
 
 The labelled sample is bounded: the ``max_rows`` learnable rows with the smallest hashed ids.  So the model
 is bounded too and is broadcast.  Nothing but the text is an input of a score.
@@ -28,8 +29,10 @@ from rubricon.llm.common import crc_fold, id_and_text, shipped, staged
 from rubricon.llm.wordgrams import Level, WordScores, count_grams, fit, smoothed
 
 ORDER = 5
-TOP = 3
-CLEAR = 2.0
+TOPS = (1, 3, 10)
+CLEAR = (2.0, 4.0)
+KIND = 1 + len(TOPS) + len(CLEAR)       # numbers for each kind of score
+GAIN = 0.02                     # share of the log-likelihood that the second kind must win
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
 STRETCH = 1_200_000             # bytes of text scored together
@@ -39,16 +42,18 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def features(texts: list[str], scores: WordScores) -> np.ndarray:
-    """The three differences of each text, of its words each alone and of its words where they stand."""
-    out = np.zeros((len(texts), 6))
+def features(texts: list[str], scores: WordScores, in_place: bool = True) -> np.ndarray:
+    """The differences of each text, of its words each alone and, if asked for, of its words where they stand."""
     words = [words_of(t) for t in texts]
-    for k, each in ((0, scores.alone(words)), (3, scores.of(words))):
+    kinds = [scores.alone(words)] + ([scores.of(words)] if in_place else [])
+    out = np.zeros((len(texts), KIND * len(kinds)))
+    for k, each in enumerate(kinds):
         for i, values in enumerate(each):
             x = np.array(values)
             if len(x):
-                top = np.partition(x, len(x) - TOP)[-TOP:] if len(x) > TOP else x
-                out[i, k:k + 3] = x.mean(), top.sum() / TOP, np.maximum(x - CLEAR, 0).mean()
+                most = max(TOPS)
+                top = np.sort(np.partition(x, len(x) - most)[-most:] if len(x) > most else x)[::-1]
+                out[i, KIND * k:KIND * (k + 1)] = (x.mean(), *[top[:t].sum() / t for t in TOPS], *[np.maximum(x - c, 0).mean() for c in CLEAR])
     return out
 
 
@@ -80,6 +85,18 @@ def fit_rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         use[np.argmin(out[:-1])] = False
 
 
+def log_likelihood(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    z = np.clip(x @ w[:-1] + w[-1], -35, 35)
+    return float((y * z - np.logaddexp(0, z)).sum())
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The curve of the first kind of scores, or of both if the second is worth it."""
+    alone, both = fit_rising(x[:, :KIND], y), fit_rising(x, y)
+    worth = log_likelihood(x, y, both) > (1 - GAIN) * log_likelihood(x[:, :KIND], y, alone)
+    return both if worth else alone
+
+
 class Toxicity:
     """The fitted model; picklable, bounded by the labelled sample."""
 
@@ -96,7 +113,7 @@ class Toxicity:
     def score(self, texts: list[str], scores: WordScores | None) -> np.ndarray:
         if scores is None:
             return np.full(len(texts), self.share)
-        z = features(texts, scores) @ self.weights[:-1] + self.weights[-1]
+        z = features(texts, scores, len(self.weights) > KIND + 1) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
@@ -130,9 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, learnable, max_rows: int = MAX_ROW
 
     held = rows.where("fold = 0").select("text", "cls").mapInArrow(describe, "x array<double>, cls int").toPandas()
     if held["cls"].nunique() == 2:
-        model.weights = fit_rising(np.array(held["x"].tolist()), held["cls"].to_numpy(float))
+        model.weights = fit_curve(np.array(held["x"].tolist()), held["cls"].to_numpy(float))
     else:                                                   # too few rows to fit a curve
-        model.weights = np.array([0.0, 1.0, 0.0, 0.0, 0.0, 0.0, -6.0])
+        model.weights = np.array([0.0, *[float(t == 3) for t in TOPS], *[0.0] * len(CLEAR), -6.0])
     final = _models(rows)                                   # the curve is fitted; counts now come from all rows
     final.weights = model.weights
     return final
