@@ -31,6 +31,8 @@ contexts by 48 bits of it and their exact last two bytes.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,6 +45,7 @@ from pyspark.sql.types import StructType
 
 from rubricon.llm.chunks import slices
 from rubricon.llm.common import shipped, staged, whole_text
+from rubricon.session import checkpoint_dir
 
 BLOCK = 1_500_000
 SWEEPS = 3
@@ -65,6 +68,24 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
+def pack_rising(a: np.ndarray) -> bytes:
+    """An array of rising unsigned 64-bit numbers as compressed differences."""
+    return pack(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def unpack_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, "<u8"), dtype=np.uint64)
+
+
+def bucketed(df: DataFrame, n: int, key: str) -> DataFrame:
+    """Writes ``df`` once into ``n`` buckets of ``key`` in the shared checkpoint folder; grouping the result by ``key`` moves no row of it."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).sortBy(key).option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")             # the files stay
+    return out
+
+
 class Vocabulary(dict):
     """Numbers words in the order they are first asked for."""
 
@@ -131,15 +152,16 @@ class Block:
         pair_owner = np.repeat(owner, n_ctx)
         for s in np.unique(owner):
             w, p = owner == s, pair_owner == s
-            yield {"block": block, "shard": int(s), "words": pack(sorted_hashes[w]), "n_ctx": pack(n_ctx[w].astype("<u4")),
-                   "ctx": pack(context[pairs[p] % len(words)]), "count": pack(count[p].astype("<u4"))}
+            used, of_used = np.unique(pairs[p] % len(words), return_inverse=True)
+            yield {"block": block, "shard": int(s), "words": pack_rising(sorted_hashes[w]), "n_ctx": pack(n_ctx[w].astype("<u4")),
+                   "keys": pack(context[used]), "ctx": pack(of_used.astype("<u4")), "count": pack(count[p].astype("<u4"))}
 
 
 SCHEMA = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("tokens", pa.binary()), ("uid", pa.list_(pa.int64())),
                     ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("length", pa.list_(pa.int64())),
-                    ("words", pa.binary()), ("n_ctx", pa.binary()), ("ctx", pa.binary()), ("count", pa.binary())])
+                    ("words", pa.binary()), ("n_ctx", pa.binary()), ("keys", pa.binary()), ("ctx", pa.binary()), ("count", pa.binary())])
 SPARK_SCHEMA = ("block long, shard int, tokens binary, uid array<long>, doc_id array<long>, held array<boolean>, length array<long>, "
-                "words binary, n_ctx binary, ctx binary, count binary")
+                "words binary, n_ctx binary, keys binary, ctx binary, count binary")
 
 
 def blocks_of(docs: DataFrame, held: str, shards: int) -> DataFrame:
@@ -182,12 +204,11 @@ def gather_shard(group):
     import pandas as pd
 
     group = group.sort_values("block")
-    words, key_hash, ctx, count = [], [], [], []
+    key_hash, ctx, count = [], [], []
     for r in group.itertuples():
-        w, n = unpack(r.words, "<u8"), unpack(r.n_ctx, "<u4")
-        words.append(w)
+        w, n = unpack_rising(r.words), unpack(r.n_ctx, "<u4")
         key_hash.append(np.repeat(w, n))
-        ctx.append(unpack(r.ctx, "<u8"))
+        ctx.append(unpack(r.keys, "<u8")[unpack(r.ctx, "<u4")])
         count.append(unpack(r.count, "<u4"))
     sizes = np.cumsum([len(c) for c in ctx])[:-1]
     h, n = np.concatenate(key_hash), np.concatenate(count)
@@ -195,7 +216,7 @@ def gather_shard(group):
     known = np.unique(h[n > 0])
     pair, at = np.unique(np.searchsorted(known, h[n > 0]) * len(contexts) + c[n > 0], return_inverse=True)
     total = np.bincount(at, n[n > 0], len(pair)).astype(np.int64)
-    return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "known": [pack(known)], "contexts": [pack(contexts)],
+    return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "known": [pack_rising(known)], "contexts": [pack_rising(contexts)],
                          "n_pairs": [pack(np.bincount(pair // len(contexts), minlength=len(known)).astype("<u4"))],
                          "pair_ctx": [pack((pair % len(contexts)).astype("<u4"))], "total": [pack(total.astype("<u8"))],
                          "blocks": [group["block"].tolist()], "req_words": [group["words"].tolist()], "req_n": [group["n_ctx"].tolist()],
@@ -247,7 +268,7 @@ class Shard:
     """The dishes of the class restaurants that one shard owns, with their seating."""
 
     def __init__(self, number: int, known: bytes, pair: bytes, total: bytes):
-        self.number, self.known = number, unpack(known, "<u8")
+        self.number, self.known = number, unpack_rising(known)
         self.pair = unpack(pair, "<u8").astype(np.int64)
         self.count = unpack(total, "<u8").astype(np.int64)
         self.word, self.ctx = self.pair // CONTEXTS, self.pair % CONTEXTS
@@ -280,7 +301,7 @@ class Words:
     """The dishes of the word restaurants that one shard owns; their parents are the class restaurants ``classes``."""
 
     def __init__(self, r):
-        self.number, self.known, self.contexts = int(r["shard"]), unpack(r["known"], "<u8"), unpack(r["contexts"], "<u8")
+        self.number, self.known, self.contexts = int(r["shard"]), unpack_rising(r["known"]), unpack_rising(r["contexts"])
         self.word = np.repeat(np.arange(len(self.known)), unpack(r["n_pairs"], "<u4"))
         self.ctx = unpack(r["pair_ctx"], "<u4").astype(np.int64)
         self.count = unpack(r["total"], "<u8").astype(np.int64)
@@ -345,15 +366,15 @@ def routes_of(shards: DataFrame, owners: int) -> DataFrame:
     def split(batches):
         for b in batches:
             for r in b.to_pylist():
-                contexts = unpack(r["contexts"], "<u8")
+                contexts = unpack_rising(r["contexts"])
                 for owner, i, j in ranges(contexts, owners):
-                    yield pa.RecordBatch.from_pylist([{"owner": owner, "shard": r["shard"], "ctx": pack(contexts[i:j])}],
+                    yield pa.RecordBatch.from_pylist([{"owner": owner, "shard": r["shard"], "ctx": pack_rising(contexts[i:j])}],
                                                      pa.schema([("owner", pa.int32()), ("shard", pa.int32()), ("ctx", pa.binary())]))
 
     def number(group):
         import pandas as pd
 
-        ctx = [unpack(x, "<u8") for x in group["ctx"]]
+        ctx = [unpack_rising(x) for x in group["ctx"]]
         at = np.split(np.unique(np.concatenate(ctx), return_inverse=True)[1], np.cumsum([len(x) for x in ctx])[:-1])
         return pd.DataFrame({"owner": group["owner"], "shard": group["shard"], "at": [pack(x.astype("<u4")) for x in at]})
 
@@ -471,7 +492,7 @@ def answer(shards: DataFrame, totals: Totals, told: DataFrame, sweeps: int = SWE
         per_word = np.bincount(x.word, x.count, len(x.known)).astype(np.int64)
         out = []
         for block, words, n, ctx in zip(r["blocks"], r["req_words"], r["req_n"], r["req_ctx"], strict=True):
-            w, k, u = unpack(words, "<u8"), unpack(n, "<u4"), unpack(ctx, "<u4").astype(np.int64)
+            w, k, u = unpack_rising(words), unpack(n, "<u4"), unpack(ctx, "<u4").astype(np.int64)
             at, is_known = find(x.known, w)
             c = pick(per_word, at, is_known)
             word, known, classes = np.repeat(at, k), np.repeat(is_known, k), x.class_of[u]
@@ -523,8 +544,8 @@ def score(docs: DataFrame, held: str, sweeps: int = SWEEPS, seed: int = 8) -> Da
     spark = docs.sparkSession
     n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = staged(blocks_of(docs, held, n_shards))
-    requests = table.where("shard >= 0").select("shard", "block", "words", "n_ctx", "ctx", "count")
-    shards = staged(requests.groupBy("shard").applyInPandas(gather_shard, SHARD_SCHEMA))
+    requests = table.where("shard >= 0").select("shard", "block", "words", "n_ctx", "keys", "ctx", "count")
+    shards = bucketed(requests.groupBy("shard").applyInPandas(gather_shard, SHARD_SCHEMA), n_shards, "shard")
     totals, told = fit(shards, sweeps, seed=seed)
     n_tokens = tokens_learnt(table)
     own = table.where("shard = -1").select("block", "tokens", "uid", "doc_id", "held", "length")

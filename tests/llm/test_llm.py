@@ -367,7 +367,7 @@ def test_pitman_yor_is_a_distribution():
     pair = np.unique(rnd.integers(0, 30, 200) * pitman_yor.CONTEXTS + rnd.integers(0, 5, 200))
     pair = np.union1d(pair, np.arange(30) * pitman_yor.CONTEXTS)
     count = rnd.integers(1, 200, len(pair))
-    x = pitman_yor.Shard(0, pitman_yor.pack(known), pitman_yor.pack(pair.astype("<u8")), pitman_yor.pack(count.astype("<u8")))
+    x = pitman_yor.Shard(0, pitman_yor.pack_rising(known), pitman_yor.pack(pair.astype("<u8")), pitman_yor.pack(count.astype("<u8")))
     customers = np.bincount(x.ctx, x.count, pitman_yor.CONTEXTS).astype(np.int64)
     totals = pitman_yor.Totals(30, customers, np.bincount(x.ctx, minlength=pitman_yor.CONTEXTS), 0.6, 0.7)
     *_, (_, tables) = x.sweeps(totals, 1, 3)
@@ -392,12 +392,12 @@ def test_pitman_yor_context_is_the_whole_word(spark):
     got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, "held").collect()}
     assert got[100] > got[101] + 0.3                # both contexts end alike, only one was ever followed by "left"
     table = pitman_yor.blocks_of(docs, "held", 8).where("shard >= 0").cache()
-    shards = table.select("shard", "block", "words", "n_ctx", "ctx", "count").groupBy("shard").applyInPandas(pitman_yor.gather_shard, pitman_yor.SHARD_SCHEMA).cache()
+    shards = table.select("shard", "block", "words", "n_ctx", "keys", "ctx", "count").groupBy("shard").applyInPandas(pitman_yor.gather_shard, pitman_yor.SHARD_SCHEMA).cache()
     answers = {(r["block"], r["shard"]): pitman_yor.unpack(r["p"], "<f4") for r in pitman_yor.answer(shards, *pitman_yor.fit(shards)).collect()}
     key = pitman_yor.context_keys(np.array([xxhash.xxh64_intdigest(b"redab")], np.uint64), np.array([pitman_yor.class_of(b"redab")], np.uint64))[0]
     p = {}
     for r in table.collect():
-        words, ctx = np.repeat(pitman_yor.unpack(r["words"], "<u8"), pitman_yor.unpack(r["n_ctx"], "<u4")), pitman_yor.unpack(r["ctx"], "<u8")
+        words, ctx = np.repeat(pitman_yor.unpack_rising(r["words"]), pitman_yor.unpack(r["n_ctx"], "<u4")), pitman_yor.unpack(r["keys"], "<u8")[pitman_yor.unpack(r["ctx"], "<u4")]
         p |= {w: v for w, c, v in zip(words.tolist(), ctx, answers[r["block"], r["shard"]].tolist(), strict=True) if c == key}
     assert len(p) == len(known) + 2 and sum(p.values()) == pytest.approx(1, abs=1e-5)
 
