@@ -246,24 +246,3 @@ def score_one(text: str, scorer_factory: Callable) -> float | None:
     """Score a single text (I10): the one-row case of :func:`batch_score`, without Spark."""
     scorer = scorer_factory()
     return float(scorer([text])[0])
-
-
-# ------------------------------------------------------------------ toy scorer used by tests and queries
-
-class ToyScorer:
-    """score = (length in code points mod 9) / 2; raises on texts holding ``marker``."""
-
-    def __init__(self, marker: str = "@"):
-        self.marker = marker
-
-    def __call__(self, texts: list[str]) -> list[float]:
-        for t in texts:
-            if self.marker in t:
-                raise ValueError(f"marker {self.marker} found in text")
-        return [(len(t) % 9) / 2 for t in texts]
-
-
-def toy_factory(marker: str = "@") -> Callable[[], ToyScorer]:
-    def make():
-        return ToyScorer(marker)
-    return make

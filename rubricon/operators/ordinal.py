@@ -42,7 +42,7 @@ def erf(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, dtype=float)
     a = np.minimum(np.abs(x), _ERF_MAX)
     u = a / _ERF_STEP
-    i = np.minimum(u.astype(np.int64), _ERF_GRID.size - 2)
+    i = np.minimum(np.nan_to_num(u).astype(np.int64), _ERF_GRID.size - 2)       # NaN stays NaN through t
     t = u - i
     t2 = t * t
     t3 = t2 * t
@@ -112,12 +112,15 @@ def head_logits(df: DataFrame, head: OrdinalHead, vec: str = "pooled", features:
                 out: str = "logits", method: str = "numpy") -> DataFrame:
     """Add the K-1 logits of ``head`` applied to ``vec`` (optionally ``concat(vec, features)``).
 
-    ``method``: ``"numpy"`` (Arrow record batches) or ``"expr"`` (JVM expression, linear
+    A head of more than ``MAX_HEAD_VALUES`` values is not broadcast but multiplied block by block
+    (:mod:`rubricon.operators.blocks`).  ``method``: ``"numpy"`` (Arrow record batches) or ``"expr"`` (JVM expression, linear
     heads only).  In both a null vector, or one with a null element, has null logits, and a
     vector of another length than the head's input fails the job.
     """
-    _check_size(head)
     x = _features(df, vec, features)
+    if method in ("expr", "numpy") and head.n_values() > MAX_HEAD_VALUES:
+        from rubricon.operators.blocks import blocked_logits
+        return blocked_logits(df.withColumn("_x", x), head, "_x", out)
     if method == "expr":
         if head.blocks:
             raise ValueError("expression form covers linear heads only")
@@ -165,6 +168,7 @@ def _numpy_logits(df: DataFrame, head: OrdinalHead, out: str) -> DataFrame:
                 if flat.null_count:
                     holes = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, dim).any(axis=1)
                     valid[np.flatnonzero(valid)[holes]] = False
+                    mat[~valid] = 0.0
             logits = head_forward(mat, h)
             offsets = pa.array(np.arange(0, (n + 1) * k_out, k_out, dtype=np.int32))
             arr = pa.ListArray.from_arrays(offsets, pa.array(logits.ravel()), mask=pa.array(~valid))

@@ -309,7 +309,7 @@ def scored(spark, sf):
     # input order = document id; batches are consecutive non-blank rows, as in the reference
     raw = fx.raw_answers(spark, sf).withColumn("row_id", F.col("BMH").cast("long"))
     batched = batch.input_order_batches(raw, ["row_id"], "text", SCORE_BATCH)
-    out = batch.batch_score(batched, batch.toy_factory(fx.TOY_MARKER), "text", SCORE_BATCH,
+    out = batch.batch_score(batched, fx.toy_factory(fx.TOY_MARKER), "text", SCORE_BATCH,
                             batch_col="batch", order_cols=["row_id"])
     return out.drop("batch", "row_id")
 
@@ -320,7 +320,7 @@ def q_batch_score(spark, sf):
 
 def q_score_table(spark, sf):
     """The infer job over the file as it lies: batches in scan order, written in the reference's layout and read back."""
-    out, _ = jobs.score_table(fx.raw_answers(spark, sf), batch.toy_factory(fx.TOY_MARKER), _folder(spark, "scored"), batch_size=SCORE_BATCH,
+    out, _ = jobs.score_table(fx.raw_answers(spark, sf), fx.toy_factory(fx.TOY_MARKER), _folder(spark, "scored"), batch_size=SCORE_BATCH,
                               order="input", reference_layout=True)
     return out.select("BMH", "text", "lang", F.col(REFERENCE_SCORE_COL).alias("score"), F.col(REFERENCE_STATUS_COL).alias("status"))
 

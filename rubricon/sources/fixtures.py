@@ -7,6 +7,8 @@ so the Parquet scans are pruned.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,3 +133,22 @@ def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor((F.col("step") - 1) / LOG_EPOCH_STEPS).cast("long").alias("epoch"),
         F.col("value").alias("metric"), F.col("value").alias("batch_loss"),
         (F.lit(1) + F.col("event_id") % 4).cast("long").alias("batch_size"))
+
+
+class ToyScorer:
+    """score = (length in code points mod 9) / 2; raises on texts holding ``marker``."""
+
+    def __init__(self, marker: str = "@"):
+        self.marker = marker
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        for t in texts:
+            if self.marker in t:
+                raise ValueError(f"marker {self.marker} found in text")
+        return [(len(t) % 9) / 2 for t in texts]
+
+
+def toy_factory(marker: str = "@") -> Callable[[], ToyScorer]:
+    def make():
+        return ToyScorer(marker)
+    return make

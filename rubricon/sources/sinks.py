@@ -23,8 +23,9 @@ REFERENCE_SUCCESS = "成功"
 REFERENCE_SKIPPED = "跳过(空文本)"
 REFERENCE_FAILED_PREFIX = "失败: "
 
-# Refuse to broadcast heads larger than this many doubles (~256 MiB).
+# Heads larger than this many doubles (~256 MiB) are not broadcast; the driver loads up to 16 times as many.
 MAX_HEAD_VALUES = 32 * 1024 * 1024
+MAX_LOADED_VALUES = 16 * MAX_HEAD_VALUES
 
 
 def write_scored(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -127,12 +128,12 @@ def load_head(spark: SparkSession, path: str) -> OrdinalHead:
     """Read a head written by :func:`save_head`.
 
     The weight table has one row per output unit, so it is bounded by the head's
-    size; it is checked against ``MAX_HEAD_VALUES`` before being collected.
+    size; it is checked against ``MAX_LOADED_VALUES`` before being collected.
     """
     w = spark.read.parquet(f"{path}/weights")
     n_values = w.select(F.sum(F.size("coef") + 1).alias("n")).first()["n"] or 0
-    if n_values > MAX_HEAD_VALUES:
-        raise ValueError(f"head has {n_values} values; above the broadcast limit {MAX_HEAD_VALUES}")
+    if n_values > MAX_LOADED_VALUES:
+        raise ValueError(f"head has {n_values} values; above the driver's limit {MAX_LOADED_VALUES}")
     rows = w.collect()
     by_layer: dict[str, list] = {}
     for r in rows:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rubricon import jobs
 from rubricon.operators import agree, batch, fit, ordinal, pool
 from rubricon.sources.sinks import from_reference_layout, load_head, to_reference_layout
+from rubricon.sources.fixtures import toy_factory
 
 
 def jobs_started(spark, f):
@@ -91,7 +92,7 @@ def test_scan_order_batches(spark, tmp_path, fmt):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
     try:
         read = spark.read.format(fmt).option("header", "true").schema("BMH string, text string").load(str(tmp_path / "in"))
-        scored, counts = jobs.score_table(read.withColumn("extra", F.lit(1)), batch.toy_factory(), order="input")
+        scored, counts = jobs.score_table(read.withColumn("extra", F.lit(1)), toy_factory(), order="input")
         got = {r["BMH"]: r["status"] for r in scored.collect()}
         assert read.rdd.getNumPartitions() > 3
     finally:
@@ -103,21 +104,21 @@ def test_scan_order_batches(spark, tmp_path, fmt):
         want |= {b: "failed" if any("@" in t for _, t in part) else "success" for b, _ in part}
     assert got == want
     assert {r["status"]: r["n"] for r in counts.collect()} == {s: list(want.values()).count(s) for s in set(want.values())}
-    by_column, _ = jobs.score_table(read, batch.toy_factory(), order="BMH")
+    by_column, _ = jobs.score_table(read, toy_factory(), order="BMH")
     assert {r["BMH"]: r["status"] for r in by_column.collect()} == want
 
 
 def test_scan_order_needs_files(spark):
     with pytest.raises(ValueError):
-        jobs.score_table(spark.createDataFrame([("1", "a")], "BMH string, text string"), batch.toy_factory(), order="input")
+        jobs.score_table(spark.createDataFrame([("1", "a")], "BMH string, text string"), toy_factory(), order="input")
 
 
 def test_reference_layout_and_back(spark, tmp_path):
     df = spark.createDataFrame([("1", "abc"), ("2", " "), ("3", "@")], "BMH string, text string").repartition(3)
-    scored = batch.batch_score(df, batch.toy_factory(), batch_size=1)
+    scored = batch.batch_score(df, toy_factory(), batch_size=1)
     back = from_reference_layout(to_reference_layout(scored))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, scored.collect()))
-    out, counts = jobs.score_table(df, batch.toy_factory(), str(tmp_path / "s"), batch_size=1, fmt="csv", reference_layout=True)
+    out, counts = jobs.score_table(df, toy_factory(), str(tmp_path / "s"), batch_size=1, fmt="csv", reference_layout=True)
     assert {r["status"]: r["n"] for r in counts.collect()} == {"success": 1, "skipped": 1, "failed": 1}
     assert set(jobs.profile_table(out)) >= {"score_describe", "length_vs_score"}
 
@@ -152,3 +153,24 @@ def test_no_exchange_carries_a_token_vector(spark):
     assert "Exchange hashpartitioning" not in plan
     plan = pool.pool_attention(t, [1.0, 0.0])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("RepartitionByExpression") < plan.index("MapInArrow", plan.index("RepartitionByExpression"))
+
+
+def test_heads_beyond_the_broadcast_limit(spark, monkeypatch):
+    from rubricon.operators import blocks
+    from rubricon.plans.catalog import rule_deep_head, rule_linear_head
+
+    rng = np.random.default_rng(7)
+    data = [(i % 50, None if i == 3 else [None] * 21 if i == 4 else rng.normal(size=21).tolist()) for i in range(60)]
+    df = spark.createDataFrame(data, "id int, vec array<double>").repartition(4)
+    for head in (rule_linear_head(21), rule_deep_head(21, (10, 10, 4))):
+        want = sorted(repr((r["id"], None if r["logits"] is None else np.round(r["logits"], 9).tolist())) for r in ordinal.head_logits(df, head, "vec").collect())
+        with monkeypatch.context() as m:
+            m.setattr(ordinal, "MAX_HEAD_VALUES", 5)
+            for side, panel in ((4, 7), (1000, 1000)):
+                m.setattr(blocks, "SIDE", side)
+                m.setattr(blocks, "PANEL", panel)
+                got = ordinal.head_logits(df, head, "vec")
+                assert got.columns == ["id", "vec", "logits"]
+                assert sorted(repr((r["id"], None if r["logits"] is None else np.round(r["logits"], 9).tolist())) for r in got.collect()) == want
+            with pytest.raises(Exception):
+                ordinal.head_logits(df.limit(2).withColumn("vec", F.array(F.lit(1.0))), head, "vec").collect()

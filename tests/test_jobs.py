@@ -7,6 +7,7 @@ from rubricon import jobs
 from rubricon.operators import batch, prepare
 from rubricon.sources.answers import read_question, write_by_question
 from rubricon.sources.sinks import OrdinalHead, load_head
+from rubricon.sources.fixtures import toy_factory
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,7 +38,7 @@ def test_score_sequences_with_features(spark):
 
 def test_score_table_writes_and_counts(spark, tmp_path):
     df = spark.createDataFrame([("1", "abc"), ("2", None), ("3", "a@b")], "BMH string, text string").coalesce(1)
-    scored, counts = jobs.score_table(df, batch.toy_factory(), str(tmp_path / "scored"), batch_size=1)
+    scored, counts = jobs.score_table(df, toy_factory(), str(tmp_path / "scored"), batch_size=1)
     assert {r["status"]: r["n"] for r in counts.collect()} == {"success": 1, "skipped": 1, "failed": 1}
     assert scored.count() == 3
 
@@ -95,7 +96,7 @@ def test_cli_agree_and_score(spark, tmp_path):
     a = spark.createDataFrame([("1", "abc"), ("2", None)], "BMH string, text string")
     a.write.parquet(str(tmp_path / "ans"))
     assert cli.main(["score", "--input", str(tmp_path / "ans"), "--output", str(tmp_path / "out"),
-                     "--scorer", "rubricon.operators.batch:ToyScorer", "--text-col", "text"]) == 0
+                     "--scorer", "rubricon.sources.fixtures:ToyScorer", "--text-col", "text"]) == 0
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rubricon.operators import batch, track
+from rubricon.sources.fixtures import toy_factory
 
 
 def _log(spark, n_runs=3, n=40, seed=0):
@@ -61,7 +62,7 @@ def _answers(spark):
 
 def test_batch_score_keyed_batches(spark):
     df = _answers(spark).withColumn("b", (F.col("BMH").cast("int") / 4).cast("int"))
-    out = {r["BMH"]: r for r in batch.batch_score(df, batch.toy_factory(), "text", 4, batch_col="b",
+    out = {r["BMH"]: r for r in batch.batch_score(df, toy_factory(), "text", 4, batch_col="b",
                                                   order_cols=["BMH"]).collect()}
     assert len(out) == 9
     assert out["1"]["status"] == "skipped" and out["2"]["status"] == "skipped" and out["5"]["status"] == "skipped"
@@ -74,23 +75,23 @@ def test_batch_score_keyed_batches(spark):
 def test_batch_score_isolate_failures(spark):
     df = _answers(spark).coalesce(1)
     out = {r["BMH"]: r["status"] for r in
-           batch.batch_score(df, batch.toy_factory(), "text", 16, isolate_failures=True).collect()}
+           batch.batch_score(df, toy_factory(), "text", 16, isolate_failures=True).collect()}
     assert out["3"] == "failed" and out["0"] == "success"
     counts = {r["status"]: r["n"] for r in batch.status_counts(
-        batch.batch_score(df, batch.toy_factory(), "text", 16, isolate_failures=True)).collect()}
+        batch.batch_score(df, toy_factory(), "text", 16, isolate_failures=True)).collect()}
     assert counts == {"success": 5, "skipped": 3, "failed": 1}
 
 
 def test_batch_score_default_keeps_every_row(spark):
     df = spark.range(200).select(F.col("id").cast("string").alias("BMH"),
                                  F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.lit("abcd")).alias("text"))
-    out = batch.batch_score(df.repartition(3), batch.toy_factory(), "text", 16)
+    out = batch.batch_score(df.repartition(3), toy_factory(), "text", 16)
     assert out.count() == 200
     assert out.filter("status = 'success'").count() == 200 - 29
 
 
 def test_score_one():
-    assert batch.score_one("abcdefghij", batch.toy_factory()) == 0.5
+    assert batch.score_one("abcdefghij", toy_factory()) == 0.5
 
 
 def test_batch_score_keyed_large_group_is_chunked(spark):
@@ -99,7 +100,7 @@ def test_batch_score_keyed_large_group_is_chunked(spark):
         df = spark.range(50).select(F.col("id").cast("string").alias("BMH"), F.lit(1).alias("b"),
                                     F.when(F.col("id") == 20, F.lit("x@")).otherwise(F.lit("abc")).alias("text"))
         out = {int(r["BMH"]): r["status"] for r in
-               batch.batch_score(df, batch.toy_factory(), "text", 16, batch_col="b", order_cols=["BMH"]).collect()}
+               batch.batch_score(df, toy_factory(), "text", 16, batch_col="b", order_cols=["BMH"]).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(out) == 50
@@ -144,7 +145,7 @@ def test_batch_score_returns_columns_untouched(spark):
     big = 9007199254740993
     df = spark.createDataFrame([(big, "abc", [1, None]), (None, "de", None), (big + 2, " ", [3]), (4, None, [])],
                                "id long, text string, more array<int>")
-    got = batch.batch_score(df, batch.toy_factory(), batch_size=2).collect()
+    got = batch.batch_score(df, toy_factory(), batch_size=2).collect()
     assert sorted((str(r["id"]), r["text"], str(r["more"]), r["status"]) for r in got if r["text"]) == [
         (str(big), "abc", "[1, None]", "success"), (str(big + 2), " ", "[3]", "skipped"), ("None", "de", "None", "success")]
     assert len(got) == 4
@@ -153,7 +154,7 @@ def test_batch_score_returns_columns_untouched(spark):
 def test_batch_score_spreads_rows_without_batch(spark):
     df = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, " ").otherwise("abc").alias("text"),
                                   F.when(F.col("id") % 2 == 0, F.floor(F.col("id") / 8)).alias("batch"))
-    out = batch.batch_score(df, batch.toy_factory(), batch_size=16, batch_col="batch", order_cols=["id"])
+    out = batch.batch_score(df, toy_factory(), batch_size=16, batch_col="batch", order_cols=["id"])
     assert {r["status"]: r["count"] for r in out.groupBy("status").count().collect()} == {"skipped": 1334, "success": 2666}
     coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
     before = spark.conf.get(coalesce)
