@@ -28,8 +28,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of lines that occurred earlier; a document of which nothing is left goes."""
-    left = line_dedup.dedup_lines(docs).where("lines_left is null or lines_left > 0")
-    return left.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    left = line_dedup.dedup_lines(docs)
+    deleted, remain = left.columns[-2:]                     # under other names where the documents have such columns
+    left = left.where(F.col(remain).isNull() | (F.col(remain) > 0))
+    return left.withColumn("n_chars", F.when(F.col(deleted) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
