@@ -27,6 +27,14 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores before it as keep it apart from ``columns`` (whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"__{name}"
+    return name
+
+
 def row_key() -> Column:
     """64-bit key of a document row from its id and text.
 

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubricon.llm.common import id_and_text, row_key, staged, whole_text
+from rubricon.llm.common import free_name, id_and_text, row_key, staged, whole_text
 
 MIN_WORDS = 50
 LINE_BREAK = "\n"
@@ -96,16 +96,16 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated runs deleted from ``text``, and ``lines_deleted``, ``lines_left`` (the
-    non-blank lines that remain) as last columns, under a double underscore when they clash."""
+    non-blank lines that remain) as last columns, with underscores before them when they clash."""
     cols = docs.columns
-    gone = repeated_lines(docs, min_words).select(F.col("rid").alias("__rid"), F.col("deleted").alias("__gone"))
-    joined = docs.withColumn("__rid", row_key()).join(gone, "__rid", "left")
-    split = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split(whole_text(), LINE_BREAK)))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    cut = (split.withColumn("__stay", F.when(F.size("__lines") > 0, F.transform(stay, lambda i: F.get("__lines", i))))
-           .withColumn("__new", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__stay", LINE_BREAK))))
-    name = lambda c: f"__{c}" if c in cols else c
-    return cut.select(*[F.col("__new").alias("text") if c == "text" else F.col(c) for c in cols],
-                      F.coalesce(F.size("__gone"), F.lit(0)).alias(name("lines_deleted")),
-                      F.when(F.col("__gone").isNotNull(), F.size(F.filter("__stay", lambda x: F.length(_trimmed(x)) > 0)))
-                      .alias(name("lines_left")))
+    rid, deleted, lines, stay, new = (free_name(cols, n) for n in ("__rid", "__gone", "__lines", "__stay", "__new"))
+    gone = repeated_lines(docs, min_words).select(F.col("rid").alias(rid), F.col("deleted").alias(deleted))
+    joined = docs.withColumn(rid, row_key()).join(gone, rid, "left")
+    split = joined.withColumn(lines, F.when(F.col(deleted).isNotNull(), F.split(whole_text(), LINE_BREAK)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(deleted))
+    cut = (split.withColumn(stay, F.when(F.size(lines) > 0, F.transform(left, lambda i: F.get(lines, i))))
+           .withColumn(new, F.when(F.col(deleted).isNull(), F.col("text")).otherwise(F.array_join(stay, LINE_BREAK))))
+    return cut.select(*[F.col(new).alias("text") if c == "text" else F.col(c) for c in cols],
+                      F.coalesce(F.size(deleted), F.lit(0)).alias(free_name(cols, "lines_deleted")),
+                      F.when(F.col(deleted).isNotNull(), F.size(F.filter(stay, lambda x: F.length(_trimmed(x)) > 0)))
+                      .alias(free_name(cols, "lines_left")))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.llm.chunks import text_stretches
-from rubricon.llm.common import components, id_and_text, row_key, staged
+from rubricon.llm.common import components, free_name, id_and_text, row_key, staged
 
 SEED = 42
 
@@ -113,12 +113,13 @@ def keep_one(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2) -> Data
     from pyspark.sql import Window
 
     cols = docs.columns
-    keyed = docs.withColumn("__rid", row_key())
-    ids = keyed.select("doc_id", "text", "__rid")
-    narrow = near_duplicates(ids.select(F.col("__rid").alias("doc_id"), "text"), shingle_words, max_bits)
-    best = (narrow.withColumnRenamed("doc_id", "__rid").join(ids.select("__rid", "doc_id").distinct(), "__rid")
-            .groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid")).alias("m")))
-    keep = best.select(F.col("m")["__rid"].alias("__rid"))
-    once = Window.partitionBy("__rid").orderBy("__rid")
-    kept = keyed.join(keep, "__rid", "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1")
+    rid, n = free_name(cols, "__rid"), free_name(cols, "__n")
+    keyed = docs.withColumn(rid, row_key())
+    ids = keyed.select("doc_id", "text", rid)
+    narrow = near_duplicates(ids.select(F.col(rid).alias("doc_id"), "text"), shingle_words, max_bits)
+    best = (narrow.withColumnRenamed("doc_id", rid).join(ids.select(rid, "doc_id").distinct(), rid)
+            .groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", rid)).alias("m")))
+    keep = best.select(F.col("m")[rid].alias(rid))
+    once = Window.partitionBy(rid).orderBy(rid)
+    kept = keyed.join(keep, rid, "left_semi").withColumn(n, F.row_number().over(once)).where(F.col(n) == 1)
     return kept.select(*cols)

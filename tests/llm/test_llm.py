@@ -492,3 +492,36 @@ def test_pipeline(spark):
     for r in pieces:
         total[r["doc_id"]] += r["length"]
     assert all(total[r["doc_id"]] == r["doc_tokens"] for r in pieces)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null, empty, repeated and long texts, rows without id, no labels, and columns named like the stages' own."""
+    import corpus_pipeline
+
+    extra = "__rid long, lines_deleted string, lines_left int, perplexity double, __gone int, LINES string"
+    data = [(*r[:5], 7, "x", 3, 0.5, 1, "y") for r in rows()]
+    for name, given in (("some", data), ("none", [])):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(given, f"doc_id long, text string, lang string, source string, n_chars long, {extra}").repartition(3).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, docs, sf)
+            assert out.columns == docs.columns, stage
+            kept = out.collect()
+            assert len(kept) <= docs.count() and all((r["__rid"], r["lines_deleted"], r["lines_left"], r["perplexity"], r["LINES"]) == (7, "x", 3, 0.5, "y") for r in kept), stage
+            if stage in ("quality", "toxicity"):
+                assert len(kept) == docs.count()
+            docs = spark.createDataFrame(kept, docs.schema)
+        texts = [r["text"] for r in docs.collect()]
+        assert len(texts) == len(set(texts))                                # one of each group of copies
+        pieces = corpus_pipeline.run(spark, sf).collect()
+        assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_own_columns_survive(docs):
+    for f in (line_dedup.dedup_lines, simhash.keep_one):
+        marked = docs.withColumn("__rid", F.lit(7)).withColumn("__n", F.lit(8)).withColumn("lines_deleted", F.lit("a")).withColumn("__lines_deleted", F.lit("b"))
+        out = f(marked)
+        assert len(set(out.columns)) == len(out.columns) and out.columns[:len(marked.columns)] == marked.columns
+        assert {(r["__rid"], r["__n"], r["lines_deleted"], r["__lines_deleted"]) for r in out.collect()} == {(7, 8, "a", "b")}
