@@ -5,9 +5,10 @@ join strategies, windows, Python nodes, and what reaches the Parquet scans.
 """
 import re
 import sys
+from collections import Counter
 
 from rubricon.session import build_session
-import __spark_entry__ as E
+from rubricon.plans.catalog import QUERIES
 
 
 def final_part(plan: str) -> str:
@@ -35,10 +36,10 @@ def summarize(plan: str) -> dict:
         "bhj": plan.count("BroadcastHashJoin"),
         "smj": plan.count("SortMergeJoin"),
         "windows": len(re.findall(r"\bWindow\b", plan)),
-        "python": len(re.findall(r"MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas", plan)),
+        "python": len(re.findall(r"MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas|FlatMapCoGroupsInPandas", plan)),
         "ckpt": plan.count("Scan ExistingRDD"),
         "codegen": len(re.findall(r"WholeStageCodegen|\*\(\d+\)", plan)),
-        "scans": sorted(set(scans)),
+        "scans": [f"{n} x {s}" if n > 1 else s for s, n in sorted(Counter(scans).items())],
     }
 
 
@@ -50,10 +51,10 @@ def main():
     print("counts exchange nodes (reused ones excluded) over *all* inputs, most of which are small derived")
     print("tables (contingency cells, bucket counts, per-sequence targets). `checkpoint reads` are scans of")
     print("tables materialised earlier by the query's bounded action (contingency, bucket counts); the work")
-    print("behind them, including their scans, is not repeated in the plan shown.\n")
+    print("behind them, including their scans, is not repeated in the plan shown. `n x` marks a table that the plan scans n times.\n")
     print("| query | shuffles | BHJ | SMJ | windows | python | checkpoint reads | scans (columns read, pushed filters) |")
     print("|---|---|---|---|---|---|---|---|")
-    for k, f in E.queries().items():
+    for k, f in QUERIES.items():
         df = f(spark, sf)
         df.collect()                 # runs this DataFrame's own plan, so the adaptive plan is final
         s = summarize(df._jdf.queryExecution().executedPlan().toString())
@@ -61,7 +62,7 @@ def main():
               f"{'; '.join(s['scans'])} |")
     print("\n## Appendix: final physical plans of three representative queries\n")
     for k in APPENDIX:
-        df = E.queries()[k](spark, sf)
+        df = QUERIES[k](spark, sf)
         df.collect()
         tree = final_part(df._jdf.queryExecution().executedPlan().toString())
         lines = [re.sub(r"#\d+L?", "", ln)[:160] for ln in tree.splitlines() if ln.strip(" +-")]

@@ -19,7 +19,7 @@ from rubricon.operators import agree, batch, fit, ordinal, pool, prepare, profil
 from rubricon.session import checkpoint_dir
 from rubricon.sources.sinks import REFERENCE_SCORE_COL, REFERENCE_STATUS_COL, OrdinalHead, load_head, save_head
 from rubricon.sources import fixtures as fx
-from rubricon.sources.answers import load_answers
+from rubricon.sources.answers import load_answers, read_question, require_columns, write_by_question
 from rubricon.sources.calibration import load_calibration, union_calibration
 
 ROUND = 6
@@ -295,6 +295,11 @@ def q_pool_mean(spark, sf):
     return _pooled_long(pool.pool_mean(fx.token_vectors(spark, sf)))
 
 
+def q_pool_unmasked(spark, sf):
+    """Mean pooling of token vectors that come without a mask."""
+    return _pooled_long(pool.pool(fx.token_vectors(spark, sf).drop("mask"), "mean", mask=None))
+
+
 def q_pool_last(spark, sf):
     return _pooled_long(pool.pool_last(fx.token_vectors(spark, sf)))
 
@@ -325,6 +330,22 @@ def q_score_table(spark, sf):
     return out.select("BMH", "text", "lang", F.col(REFERENCE_SCORE_COL).alias("score"), F.col(REFERENCE_STATUS_COL).alias("status"))
 
 
+def q_profile_job(spark, sf):
+    """The profile job over the infer job's own file: scores under the reference's column name."""
+    out, _ = jobs.score_table(fx.raw_answers(spark, sf), fx.toy_factory(fx.TOY_MARKER), _folder(spark, "scored"), batch_size=SCORE_BATCH,
+                              order="input", reference_layout=True)
+    return _round_cols(jobs.profile_table(out)["score_describe"], DESCRIBE_DOUBLES)
+
+
+def q_question_files(spark, sf):
+    """Answers written by subject and question; one question read back."""
+    folder = _folder(spark, "questions")
+    d = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("BMH"), "text", F.col("lang").alias("subject_id"), F.col("source").alias("question_id"))
+    write_by_question(d, folder)
+    one = d.agg(F.min("question_id")).first()[0]
+    return require_columns(read_question(spark, folder, "en", one), ["BMH", "text"]).select("BMH", "text")
+
+
 def q_status_counts(spark, sf):
     return batch.status_counts(scored(spark, sf))
 
@@ -448,6 +469,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_sequences": q_score_sequences,
     "fit_chain": q_fit_chain,
     "score_table": q_score_table,
+    "profile_job": q_profile_job,
+    "question_files": q_question_files,
+    "pool_unmasked": q_pool_unmasked,
     "describe_values": q_describe_values,
 }
 

@@ -478,3 +478,10 @@ FROM lab JOIN (SELECT DISTINCT * FROM cut) c ON lab.BMH = c.BMH"""
 SQL["score_table"] = with_(ANS, SCORED) + """
 SELECT BMH, text, lang, pred_score AS score,
        CASE status WHEN 'success' THEN '成功' WHEN 'skipped' THEN '跳过(空文本)' ELSE '失败: ' || error END AS status FROM scored"""
+
+SQL["profile_job"] = with_(ANS, SCORED, "given AS (SELECT pred_score AS x FROM scored WHERE pred_score IS NOT NULL)") + _describe_sql("given")
+
+SQL["question_files"] = """
+SELECT CAST(doc_id AS VARCHAR) AS BMH, text FROM documents WHERE lang = 'en' AND source = (SELECT min(source) FROM documents)"""
+
+SQL["pool_unmasked"] = with_(TOK) + "\nSELECT seq_id, dim, round(avg(v), 6) AS value FROM tokd GROUP BY seq_id, dim"
