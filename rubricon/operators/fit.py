@@ -3,8 +3,9 @@
 Every threshold has its own weights and the loss is a mean over rows and thresholds, so the thresholds are
 independent logistic regressions over the same vectors.  One pass over the data serves all of them: a task multiplies its
 blocks of vectors with the weights of every threshold that is still moving and returns one loss and gradient for
-each; Spark adds these up in two levels (a square root of the tasks' results each), and L-BFGS takes a step for
-every threshold on the driver.  A pass costs one read of the cached vectors, whatever the number of classes.
+each; Spark adds these up in two levels (a square root of the tasks' results each), and the driver takes a step for
+every threshold.  A pass costs one read of the cached vectors, whatever the number of classes.  Short vectors
+come with the second derivatives, so that a few Newton steps do; long ones take L-BFGS steps.  Both end at the one minimum of the convex loss.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 MEMORY = 12                     # pairs of steps and gradients that L-BFGS remembers
 ARMIJO = 1e-4
 MAX_HALVINGS = 30
+FEW_TASKS = 256                 # results of so many tasks are added up in one level
+NEWTON_VALUES = 2_000_000       # second derivatives of all thresholds up to which a pass sums them (16 MB a task)
 
 
 class Descent:
-    """L-BFGS of one threshold, driven from outside: ``at`` is the point whose loss and gradient are wanted next."""
+    """Newton or L-BFGS steps of one threshold, driven from outside: ``at`` is the point whose loss and gradient are wanted next."""
 
     def __init__(self, start: np.ndarray, curvature: float, tolerance: float):
         self.at, self.curvature, self.tolerance = start, curvature, tolerance
@@ -33,8 +36,10 @@ class Descent:
         self.step, self.halvings, self.done = 1.0, 0, False
         self.pairs: deque = deque(maxlen=MEMORY)
 
-    def _towards(self) -> np.ndarray:
-        """Minus the inverse-Hessian estimate times the gradient (two-loop recursion)."""
+    def _towards(self, hessian: np.ndarray | None) -> np.ndarray:
+        """Minus the inverse Hessian, or its estimate by the two-loop recursion, times the gradient."""
+        if hessian is not None:
+            return -np.linalg.solve(hessian + 1e-12 * np.eye(len(hessian)), self.g)
         q, used = self.g.copy(), []
         for s, y, rho in reversed(self.pairs):
             a = rho * (s @ q)
@@ -49,8 +54,8 @@ class Descent:
             q += (a - rho * (y @ q)) * s
         return -q
 
-    def report(self, f: float, g: np.ndarray) -> None:
-        """Takes the loss and gradient at ``at`` and moves on."""
+    def report(self, f: float, g: np.ndarray, hessian: np.ndarray | None = None) -> None:
+        """Takes the loss and its derivatives at ``at`` and moves on."""
         if self.x is not None:
             slope = self.g @ self.direction
             if not f <= self.f + ARMIJO * self.step * slope + 1e-15 * abs(self.f):
@@ -70,7 +75,7 @@ class Descent:
         if np.abs(g).max() <= self.tolerance:
             self.done = True
             return
-        self.direction = self._towards()
+        self.direction = self._towards(hessian)
         self.at = self.x + self.direction
 
 
@@ -85,8 +90,8 @@ def _blocks(column, dim: int) -> np.ndarray:
 
 
 def pass_over(data: DataFrame, weights: np.ndarray, bias: np.ndarray, cuts: list[int], mean: np.ndarray,
-              scale: np.ndarray) -> dict[int, np.ndarray]:
-    """Summed gradient (weights, then bias) and loss of each threshold in ``cuts`` at standardised vectors; one job.
+              scale: np.ndarray, second: bool = False) -> dict[int, np.ndarray]:
+    """Summed gradient (weights, then bias), loss and, if ``second``, second derivatives of each threshold in ``cuts`` at standardised vectors; one job.
 
     ``data`` has ``(vec array<double>, y int)``.
     """
@@ -99,44 +104,50 @@ def pass_over(data: DataFrame, weights: np.ndarray, bias: np.ndarray, cuts: list
         from pyspark import TaskContext
 
         w, b, cut, mu, sd = sent.value
-        total = np.zeros((len(cut), dim + 2))
+        total = np.zeros((len(cut), dim + 2 + second * (dim + 1) ** 2))
         for rb in batches:
             if not rb.num_rows:
                 continue
             x = (_blocks(rb.column(0), dim) - mu) / sd
             z = x @ w.T + b
             target = rb.column(1).to_numpy()[:, None] > cut
-            residual = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700))) - target
+            p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
+            residual = p - target
             total[:, :dim] += residual.T @ x
             total[:, dim] += residual.sum(axis=0)
             total[:, dim + 1] += (np.maximum(z, 0) - z * target + np.log1p(np.exp(-np.abs(z)))).sum(axis=0)
+            if second:
+                x1 = np.c_[x, np.ones(len(x))]
+                for i, curve in enumerate((p * (1 - p)).T):
+                    total[i, dim + 2:] += (x1.T @ (curve[:, None] * x1)).ravel()
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array(cut, pa.int32()), pa.array(np.full(len(cut), part), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))],
                                          names=["k", "part", "row"])
 
-    width = max(1, math.isqrt(data.rdd.getNumPartitions()))
-    added = Summarizer.sum(F.col("row"))
-    rows = (data.select("vec", "y").mapInArrow(sums, "k int, part int, row array<double>")
-            .select("k", (F.col("part") % width).alias("part"), array_to_vector("row").alias("row"))
-            .groupBy("k", "part").agg(added.alias("row")).groupBy("k").agg(added.alias("row"))
-            .select("k", vector_to_array("row").alias("row")).collect())
+    tasks = data.rdd.getNumPartitions()
+    added = Summarizer.sum(F.col("row")).alias("row")
+    parts = data.select("vec", "y").mapInArrow(sums, "k int, part int, row array<double>").select("k", "part", array_to_vector("row").alias("row"))
+    if tasks > FEW_TASKS:
+        parts = parts.groupBy("k", F.col("part") % math.isqrt(tasks)).agg(added)
+    rows = parts.groupBy("k").agg(added).select("k", vector_to_array("row").alias("row")).collect()
     sent.unpersist()
     return {r["k"]: np.array(r["row"]) for r in rows}
 
 
 def thresholds(data: DataFrame, n_classes: int, counts: dict[int, int], reg_param: float, max_iter: int,
-               tolerance: float = 1e-8, on_pass: Callable[[int, np.ndarray, np.ndarray], None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+               tolerance: float = 1e-7, on_pass: Callable[[int, np.ndarray, np.ndarray], None] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and intercepts minimising, for every threshold k, the mean logistic loss of ``y > k`` plus
     ``reg_param / 2`` times the squared weights.
 
     ``on_pass`` is called after every pass with its number and the weights and intercepts so far.
-    ``counts`` has the rows of every class.  The driver holds some ``MEMORY`` copies of the head, no data.  A threshold with rows on one side only gets
+    ``counts`` has the rows of every class.  The driver holds some ``MEMORY`` copies of the head or one of the second derivatives, no data.  A threshold with rows on one side only gets
     zero weights and a smoothed log-odds intercept.
     """
     stats = data.agg(Summarizer.mean(array_to_vector("vec")).alias("m"), Summarizer.std(array_to_vector("vec")).alias("s")).first()
     mean, scale = stats["m"].toArray(), stats["s"].toArray()
     scale = np.where(scale > 0, scale, 1.0)
     dim, n = len(mean), sum(counts.values())
+    tolerance /= max(1.0, float((np.abs(mean) + scale).max()))       # it holds for the gradient at the vectors as they are
     coef, intercept = np.zeros((n_classes - 1, dim)), np.zeros(n_classes - 1)
     moving: dict[int, Descent] = {}
     for k in range(n_classes - 1):
@@ -147,6 +158,7 @@ def thresholds(data: DataFrame, n_classes: int, counts: dict[int, int], reg_para
         p = pos / n
         moving[k] = Descent(np.r_[np.zeros(dim), math.log(p / (1 - p))], p * (1 - p), tolerance)
     every = dict(moving)
+    second = len(moving) * (dim + 1) ** 2 <= NEWTON_VALUES
 
     def so_far() -> tuple[np.ndarray, np.ndarray]:
         for k, d in every.items():
@@ -160,12 +172,15 @@ def thresholds(data: DataFrame, n_classes: int, counts: dict[int, int], reg_para
             break
         cuts = sorted(moving)
         at = np.array([moving[k].at for k in cuts])
-        sums = pass_over(data, at[:, :dim], at[:, dim], cuts, mean, scale)
+        sums = pass_over(data, at[:, :dim], at[:, dim], cuts, mean, scale, second)
         for k in cuts:
             d, u = moving[k], moving[k].at[:dim]
             gradient = sums[k][:dim + 1] / n
             gradient[:dim] += reg_param * u / scale ** 2
-            d.report(sums[k][dim + 1] / n + reg_param / 2 * float(((u / scale) ** 2).sum()), gradient)
+            hessian = None
+            if second:
+                hessian = sums[k][dim + 2:].reshape(dim + 1, dim + 1) / n + np.diag(np.r_[reg_param / scale ** 2, 0.0])
+            d.report(sums[k][dim + 1] / n + reg_param / 2 * float(((u / scale) ** 2).sum()), gradient, hessian)
             if d.done:
                 del moving[k]
         if on_pass is not None:

@@ -26,7 +26,10 @@ def vectors(spark):
     return spark.createDataFrame([(i, r.tolist(), int(c)) for i, (r, c) in enumerate(zip(x, y))], "id long, vec array<double>, label_idx int").repartition(4)
 
 
-def test_every_threshold_is_at_its_minimum(spark, vectors):
+@pytest.mark.parametrize("newton_values, few_tasks", [(2_000_000, 256), (0, 1)])
+def test_every_threshold_is_at_its_minimum(spark, vectors, monkeypatch, newton_values, few_tasks):
+    monkeypatch.setattr(fit, "NEWTON_VALUES", newton_values)
+    monkeypatch.setattr(fit, "FEW_TASKS", few_tasks)
     head = ordinal.fit_thresholds(vectors, "vec", n_classes=5, reg_param=1e-2)
     got = {r["threshold"]: r for r in fit.gradients(vectors, head.coef, head.intercept, "vec", "label_idx", 1e-2).collect()}
     counts = {r["label_idx"]: r["count"] for r in vectors.groupBy("label_idx").count().collect()}
@@ -48,6 +51,21 @@ def test_descent_reaches_a_quadratic_minimum():
     assert d.done and np.abs(d.x - best).max() < 1e-5
 
 
+def test_newton_steps_reach_a_logistic_minimum():
+    rng = np.random.default_rng(4)
+    x = np.c_[rng.normal(size=(300, 5)) * [1, 30, 1, 1, 0.1], np.ones(300)]
+    y = (x[:, 0] + rng.normal(size=300) > 1).astype(float)
+    d, steps = fit.Descent(np.zeros(6), 0.25, 1e-10), 0
+    while not d.done and steps < 40:
+        z = x @ d.at
+        p = 1 / (1 + np.exp(-z))
+        reg = np.array([1e-3] * 5 + [0.0])
+        d.report(float((np.logaddexp(0, z) - y * z).mean() + (reg * d.at ** 2).sum() / 2), x.T @ (p - y) / 300 + reg * d.at,
+                 (x * (p * (1 - p))[:, None]).T @ x / 300 + np.diag(reg))
+        steps += 1
+    assert d.done and steps < 20
+
+
 def test_fit_without_rows_raises(spark, vectors):
     with pytest.raises(ValueError):
         ordinal.fit_thresholds(vectors.filter("false"), "vec")
