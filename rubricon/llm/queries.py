@@ -156,4 +156,14 @@ fold AS (
 SELECT f.doc_id, f.leaf, s.subroot, t.digest AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = t.digest AS verified
 FROM fold f JOIN subroots s USING (tree) CROSS JOIN (SELECT digest FROM tops WHERE n = 1) t
 WHERE f.level = f.levels + (SELECT max(level) FROM tops)
-"""}
+""",
+# Every pair of vectors, and the transitive closure of its links.
+"op6_embeddings": """
+WITH RECURSIVE
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+          WHERE list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT c.vec_id, (SELECT count(*) FROM links l WHERE l.a = c.vec_id) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM component c"""}
