@@ -15,7 +15,7 @@ over the sweeps after ``BURN_IN``.
 Where the work happens:
 
 1. Texts become blocks of about ``BLOCK`` tokens.  A block keeps its distinct ``(word, context)`` pairs, sorted by word hash,
-   and its tokens as pair numbers; a long text may span blocks.
+   and its tokens as pair numbers; a long text may span blocks.  Shards and blocks are written once, into buckets, so that no later step shuffles them.
 2. Pairs with their training counts go to the shard that owns the range of the word's hash: one row for each block and
    shard, so a frequent word arrives once from each block and no key is hot.  A shard holds all counts of its words, in all contexts.
 3. Sweeps run over shards in parallel.  Each context has an owner (a range of its key); after a sweep every shard sends its
@@ -223,6 +223,32 @@ def gather_shard(group):
                          "req_ctx": [[pack(x.astype("<u4")) for x in np.split(c, sizes)]]})
 
 
+OWN = ["block", "tokens", "uid", "doc_id", "held", "length"]
+OWN_SCHEMA = "block long, tokens binary, uid array<long>, doc_id array<long>, held array<boolean>, length array<long>"
+
+
+def gathered(rows: DataFrame, n_shards: int) -> DataFrame:
+    """The shards, with their numbers, and the blocks' own rows, under negative ones, as a table in buckets of ``shard``.
+
+    Requests are shuffled to their shards straight from the texts, without a copy of them on disk besides; a block's own row goes along.
+    """
+    asked = ["block", "words", "n_ctx", "keys", "ctx", "count"]
+    schema = to_arrow_schema(StructType.fromDDL(f"{SHARD_SCHEMA}, {OWN_SCHEMA}"))
+
+    def gather(key, group):
+        if key[0].as_py() < 0:
+            some = {c: group.column(c) for c in ["shard", *OWN]}
+        else:
+            done = gather_shard(group.select(["shard", *asked]).to_pandas()).iloc[0]
+            some = {c: pa.array([done[c]], schema.field(c).type) for c in done.index}
+        n = len(some["shard"])
+        return pa.table([some[f.name].cast(f.type) if f.name in some else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    own = (-1 - F.pmod(F.xxhash64("block"), F.lit(2 ** 31 - 1))).cast("int")         # several blocks may share a number
+    cells = rows.withColumn("shard", F.when(F.col("shard") >= 0, F.col("shard")).otherwise(own))
+    return bucketed(cells.groupBy("shard").applyInArrow(gather, f"{SHARD_SCHEMA}, {OWN_SCHEMA}"), n_shards, "shard")
+
+
 STATE = ["shard", "known", "contexts", "n_pairs", "pair_ctx", "total"]
 SHARD_SCHEMA = ("shard int, known binary, contexts binary, n_pairs binary, pair_ctx binary, total binary, blocks array<long>, "
                 "req_words array<binary>, req_n array<binary>, req_ctx array<binary>")
@@ -534,7 +560,7 @@ def add_up(blocks: DataFrame, answers: DataFrame, n_tokens: int, n_words: int) -
 
 
 def tokens_learnt(blocks: DataFrame) -> int:
-    learnt = blocks.where("shard = -1").select(F.explode(F.arrays_zip("held", "length")).alias("x"))
+    learnt = blocks.select(F.explode(F.arrays_zip("held", "length")).alias("x"))
     return learnt.where("not x.held").agg(F.sum("x.length")).first()[0] or 0
 
 
@@ -543,12 +569,10 @@ def score(docs: DataFrame, held: str, sweeps: int = SWEEPS, seed: int = 8) -> Da
     ``held`` holds teach nothing.  Scores are log10 probabilities."""
     spark = docs.sparkSession
     n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = staged(blocks_of(docs, held, n_shards))
-    requests = table.where("shard >= 0").select("shard", "block", "words", "n_ctx", "keys", "ctx", "count")
-    shards = bucketed(requests.groupBy("shard").applyInPandas(gather_shard, SHARD_SCHEMA), n_shards, "shard")
+    table = gathered(blocks_of(docs, held, n_shards), n_shards)
+    shards, own = table.where("shard >= 0").drop(*OWN), table.where("shard < 0").select(*OWN)
     totals, told = fit(shards, sweeps, seed=seed)
-    n_tokens = tokens_learnt(table)
-    own = table.where("shard = -1").select("block", "tokens", "uid", "doc_id", "held", "length")
+    n_tokens = tokens_learnt(own)
     parts = add_up(own, answer(shards, totals, told, sweeps), n_tokens, totals.n_words)
     whole = parts.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.sum("n").alias("n_tokens"),
                                      F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
