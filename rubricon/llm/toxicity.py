@@ -32,7 +32,7 @@ ORDER = 5
 TOPS = (1, 3, 10)
 CLEAR = (2.0, 4.0)
 KIND = 1 + len(TOPS) + len(CLEAR)       # numbers for each kind of score
-GAIN = 0.02                     # share of the log-likelihood that the second kind must win
+GAIN = 0.15                     # share of the log-likelihood that the second kind must win: it costs more than twice the first
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
 STRETCH = 1_200_000             # bytes of text scored together
