@@ -62,7 +62,31 @@ def staged(df: DataFrame) -> DataFrame:
 def shipped(spark: SparkSession, value):
     """Broadcasts a bounded object with its class, so workers need not have this package; returns its reader."""
     data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(data.value)
+
+    def read():
+        got = pickle.loads(data.value)
+        vars(data).pop("_value", None)          # the worker's copy of the bytes; its file stays
+        return got
+
+    return read
+
+
+def tidied(run):
+    """``run`` for ``mapInArrow``, after which the reused worker gives the memory that it freed back to the system."""
+    def whole(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.llm.chunks import slices, text_stretches
-from rubricon.llm.common import crc_fold, id_and_text, shipped, staged
+from rubricon.llm.common import crc_fold, id_and_text, shipped, staged, tidied
 from rubricon.llm.wordgrams import Level, WordScores, count_grams, fit, smoothed
 
 ORDER = 5
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
                 texts = b.column(1).slice(i, j - i).to_pylist()
                 yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(model.score(texts, scores))], names=["doc_id", "score"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, score double")
+    return id_and_text(docs).mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def keep_ordinary(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD) -> DataFrame:
@@ -183,7 +183,7 @@ def keep_ordinary(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD
                 texts = [t or "" for t in b.column(at).slice(i, j - i).to_pylist()]
                 yield b.slice(i, j - i).filter(pa.array(model.score(texts, scores) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def held_out(mod: int = 4, remainder: int = 2):

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.llm.chunks import places_of_none, slices
+from rubricon.llm.common import tidied
 
 
 def heads_of(words: list[bytes], order: int) -> list[bytes]:
@@ -88,7 +89,7 @@ def count_grams(texts: DataFrame, order: int, words_of, classes: int = 1, alone:
                                                      names=["key", *names])
 
     schema = ", ".join(["key long", *[f"{n} long" for n in names]])
-    return texts.select("text", "cls").mapInArrow(run, schema).groupBy("key").agg(*[F.sum(n).alias(n) for n in names])
+    return texts.select("text", "cls").mapInArrow(tidied(run), schema).groupBy("key").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def discounts(counts: DataFrame, col: str, modified: bool) -> list[float]:
