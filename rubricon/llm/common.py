@@ -71,24 +71,46 @@ def shipped(spark: SparkSession, value):
     return read
 
 
-def tidied(run):
-    """``run`` for ``mapInArrow``, after which the reused worker gives the memory that it freed back to the system."""
-    def whole(batches):
-        import ctypes
-        import gc
+def give_back() -> None:
+    """Returns the memory that a reused worker has freed to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
 
-        import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
+
+def tidied(run):
+    """``run`` for ``mapInArrow``, after which the worker gives freed memory back."""
+    def whole(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return whole
 
 
+def tidied_group(f, sides: int = 1):
+    """``f`` of a group, or of the two ``sides`` of a cogroup, after which the worker gives freed memory back."""
+    def one(group):
+        try:
+            return f(group)
+        finally:
+            give_back()
+
+    def two(left, right):
+        try:
+            return f(left, right)
+        finally:
+            give_back()
+
+    return one if sides == 1 else two
+
+
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Connected components of an undirected edge list ``(a, b)`` of longs.
 

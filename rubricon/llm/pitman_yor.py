@@ -44,7 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from rubricon.llm.chunks import slices
-from rubricon.llm.common import shipped, staged, whole_text
+from rubricon.llm.common import give_back, shipped, staged, tidied, tidied_group, whole_text
 from rubricon.session import checkpoint_dir
 
 BLOCK = 1_500_000
@@ -196,7 +196,7 @@ def blocks_of(docs: DataFrame, held: str, shards: int) -> DataFrame:
         yield from flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(held), F.lit(False)).alias("held"), whole_text().alias("text"))
-    return rows.mapInArrow(run, SPARK_SCHEMA)
+    return rows.mapInArrow(tidied(run), SPARK_SCHEMA)
 
 
 def gather_shard(group):
@@ -242,6 +242,7 @@ def gathered(rows: DataFrame, n_shards: int) -> DataFrame:
             done = gather_shard(group.select(["shard", *asked]).to_pandas()).iloc[0]
             some = {c: pa.array([done[c]], schema.field(c).type) for c in done.index}
         n = len(some["shard"])
+        give_back()
         return pa.table([some[f.name].cast(f.type) if f.name in some else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     own = (-1 - F.pmod(F.xxhash64("block"), F.lit(2 ** 31 - 1))).cast("int")         # several blocks may share a number
@@ -534,7 +535,7 @@ def answer(shards: DataFrame, totals: Totals, told: DataFrame, sweeps: int = SWE
             out.append({"block": block, "shard": int(r["shard"]), "p": pack((p / len(samples)).astype("<f4")), "n_ctx": n, "c": pack(c.astype("<u8"))})
         return pd.DataFrame(out)
 
-    return shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInPandas(run, "block long, shard int, p binary, n_ctx binary, c binary")
+    return shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInPandas(tidied_group(run, 2), "block long, shard int, p binary, n_ctx binary, c binary")
 
 
 def add_up(blocks: DataFrame, answers: DataFrame, n_tokens: int, n_words: int) -> DataFrame:
@@ -556,7 +557,7 @@ def add_up(blocks: DataFrame, answers: DataFrame, n_tokens: int, n_words: int) -
                              "known": sums(np.repeat((c > 0).astype(np.int64), n_ctx)), "base": sums(np.repeat(base, n_ctx)), "score": sums(p)})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        run, "uid long, doc_id long, held_out boolean, n long, known long, base double, score double")
+        tidied_group(run, 2), "uid long, doc_id long, held_out boolean, n long, known long, base double, score double")
 
 
 def tokens_learnt(blocks: DataFrame) -> int:
