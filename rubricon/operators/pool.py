@@ -42,6 +42,19 @@ def _vector_sum(df: DataFrame, seq: str, weighted_vec: Column, extra: Sequence[C
     raise ValueError(f"unknown method {method!r}")
 
 
+def _borders_below(df: DataFrame, borders: str, order: str, n: int, out: str) -> DataFrame:
+    """``df`` with ``out``: how many of the at most ``n`` ascending values in the array column ``borders`` lie below ``order`` (none for null).
+
+    A bisection with a column for each of its steps: Spark compiles them and reads the array where it lies, while a lambda over the array is
+    interpreted, tests every border and copies the array for every row.
+    """
+    df = df.withColumn(out, F.lit(0))
+    for step in (1 << k for k in reversed(range(n.bit_length()))):
+        below = F.get(F.col(borders), F.col(out) + step - 1) < F.col(order)
+        df = df.withColumn(out, F.col(out) + F.when(below, step).otherwise(0))
+    return df
+
+
 def with_positions(df: DataFrame, seq: str = "seq_id", order: str = "token_order",
                    out: str = "pos", chunk: Column | None = None, most_rows: int = POSITION_ROWS) -> DataFrame:
     """0-based position inside each sequence when it is not stored (E5).
@@ -73,7 +86,7 @@ def with_positions(df: DataFrame, seq: str = "seq_id", order: str = "token_order
         shares = [i / steps for i in range(1, steps)]
         borders, _ = materialize_small(hot.groupBy(seq).agg(F.percentile_approx(order, shares, 20 * steps).alias("_borders")))
         cut = join_keys(hot, broadcast_if_small(borders, n_long * steps), [seq])
-        cut = cut.withColumn("_part", F.size(F.filter("_borders", lambda b: b < F.col(order)))).drop("_borders")
+        cut = _borders_below(cut, "_borders", order, steps - 1, "_part").drop("_borders")
         placed = chunked_row_number(cut, [seq], [order], F.col("_part"), out).drop("_part")
     return rest.unionByName(placed.withColumn(out, (F.col(out) - 1).cast("int")))
 

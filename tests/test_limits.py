@@ -132,3 +132,14 @@ def test_padding_in_batches(spark):
             one = [1] * len(kept)
             want.append((str(b), str(t), kept + pad if side == "right" else pad + kept, one + no if side == "right" else no + one))
         assert got == sorted(want)
+
+
+def test_borders_below(spark):
+    """Chunks are found by bisection in compiled code: no lambda tests every border for every row."""
+    cuts = [1.0, 2.0, 2.0, 5.0, 8.0]
+    df = spark.createDataFrame([(x, cuts[:n]) for n in range(6) for x in (0.0, 1.0, 1.5, 2.0, 3.0, 8.0, 9.0, float("nan"), None)], "x double, b array<double>")
+    got = pool._borders_below(df, "b", "x", 5, "n").collect()
+    assert all(r["n"] == sum(c < r["x"] or r["x"] != r["x"] for c in r["b"]) if r["x"] is not None else r["n"] == 0 for r in got)
+    placed = pool.with_positions(spark.range(300).select(F.lit(None).cast("string").alias("g"), F.col("id").alias("x")), "g", "x", most_rows=7)
+    assert sorted((r["x"], r["pos"]) for r in placed.collect()) == [(i, i) for i in range(300)]
+    assert "lambda" not in placed._jdf.queryExecution().toString()
