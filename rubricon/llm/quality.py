@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from rubricon.llm.chunks import text_stretches
 from rubricon.llm.common import shipped, staged, tidied, whole_text
-from rubricon.llm.wordgrams import Model, WordScores, count_grams, fit
+from rubricon.llm.wordgrams import Model, Words, WordScores, count_grams, fit
 
 ORDER = 5
 QUANTILE = 0.99
@@ -40,13 +40,6 @@ MAX_LANGUAGES = 100_000         # thresholds that are broadcast
 STRETCH = 1_200_000             # bytes of text scored together
 
 
-def first_words(text: str) -> tuple[list[bytes], int]:
-    """The words that differ from the one before them, and how many do not."""
-    words = text.encode().split()
-    first = [w for w, before in zip(words, [None, *words], strict=False) if w != before]
-    return first, len(words) - len(first)
-
-
 class Quality:
     """The fitted model with its thresholds; picklable, bounded by the trusted sample."""
 
@@ -60,13 +53,14 @@ class Quality:
     def scores(self) -> WordScores:
         return WordScores(ORDER, lambda keys: np.log(self.model.prob(keys)))
 
-    def perplexities(self, texts: list[str], scores: WordScores) -> list[float | None]:
-        cut = [first_words(t) for t in texts]
-        out = []
-        for (first, same), values in zip(cut, scores.of([f for f, _ in cut]), strict=True):
-            total = sum(values) + same * np.log(self.p_same) + len(first) * np.log1p(-self.p_same)
-            out.append(float(np.exp(-total / (sum(map(len, first)) + len(first) + same))) if first else None)
-        return out
+    def perplexities(self, texts, scores: WordScores) -> list[float | None]:
+        """Of a list or an Arrow array of texts; None without a word."""
+        words = Words(texts, ORDER, once=True)
+        first = np.bincount(words.text, minlength=words.n)
+        total = np.bincount(words.text, scores.of(words), words.n) + words.same * np.log(self.p_same) + first * np.log1p(-self.p_same)
+        symbols = np.bincount(words.text, words.size, words.n) + first + words.same
+        value = np.exp(-total / np.maximum(symbols, 1)).tolist()
+        return [v if f else None for v, f in zip(value, first.tolist(), strict=True)]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Quality:
@@ -76,16 +70,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Quali
     learners = staged(sample.where(F.pmod(F.shiftright("h", 20), F.lit(4)) > 0).select("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     learn = staged(texts.join(F.broadcast(learners), "doc_id", "left_semi").select("text", F.lit(0).alias("cls")))
-    counts = staged(count_grams(learn, ORDER, lambda t: first_words(t)[0]))
+    counts = staged(count_grams(learn, ORDER, once=True))
     if counts.isEmpty():
         return Quality(None, 0.5)
 
     def repeats(batches):
         for b in batches:
-            n = [(len(f), s) for f, s in map(first_words, b.column(0).to_pylist())]
-            yield pa.record_batch([pa.array([x[0] for x in n], pa.int64()), pa.array([x[1] for x in n], pa.int64())], names=["first", "same"])
+            for i, j in text_stretches(b.column(0), STRETCH):
+                words = Words(b.column(0).slice(i, j - i), ORDER, once=True)
+                yield pa.record_batch([pa.array([len(words.text)], pa.int64()), pa.array([int(words.same.sum())], pa.int64())], names=["first", "same"])
 
-    r = learn.select("text").mapInArrow(repeats, "first long, same long").agg(F.sum("first").alias("f"), F.sum("same").alias("s")).first()
+    r = learn.select("text").mapInArrow(tidied(repeats), "first long, same long").agg(F.sum("first").alias("f"), F.sum("same").alias("s")).first()
     return Quality(fit(counts, "c0", ORDER, True), (r["s"] + 0.5) / (r["f"] + r["s"] + 1.0),
                    trusted.join(F.broadcast(learners), "doc_id", "left_anti"))
 
@@ -141,7 +136,7 @@ def _perplexities(rows: DataFrame, fitted: Quality, keep: list[str]) -> DataFram
         scores = fitted.scores()
         for b in batches:
             for i, j in text_stretches(b.column(k), STRETCH):
-                got = fitted.perplexities(b.column(k).slice(i, j - i).to_pylist(), scores)
+                got = fitted.perplexities(b.column(k).slice(i, j - i), scores)
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, j - i) for c in range(k)], pa.array(got, pa.float64())], names=[*keep, "perplexity"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:k])
@@ -173,9 +168,8 @@ def keep_good(docs: DataFrame, fitted: Quality) -> DataFrame:
         scores = fitted.scores()
         for b in batches:
             for i, j in text_stretches(b.column(at), STRETCH):
-                texts = [t or "" for t in b.column(at).slice(i, j - i).to_pylist()]
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fitted.perplexities(texts, scores), pa.float64())], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fitted.perplexities(part.column(at), scores), pa.float64())], names=[*part.schema.names, name])
 
     kept = staged(docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])))
     narrow = kept.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col(name).alias("perplexity"))

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubricon.llm.chunks import slices, text_stretches
+from rubricon.llm.chunks import text_stretches
 from rubricon.llm.common import crc_fold, id_and_text, shipped, staged, tidied
-from rubricon.llm.wordgrams import Level, WordScores, count_grams, fit, smoothed
+from rubricon.llm.wordgrams import Level, Words, WordScores, count_grams, fit, smoothed
 
 ORDER = 5
 TOPS = (1, 3, 10)
@@ -38,22 +38,21 @@ THRESHOLD = 0.3
 STRETCH = 1_200_000             # bytes of text scored together
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()
-
-
-def features(texts: list[str], scores: WordScores, in_place: bool = True) -> np.ndarray:
+def features(texts, scores: WordScores, in_place: bool = True) -> np.ndarray:
     """The differences of each text, of its words each alone and, if asked for, of its words where they stand."""
-    words = [words_of(t) for t in texts]
+    words = Words(texts, ORDER, lower=True)
     kinds = [scores.alone(words)] + ([scores.of(words)] if in_place else [])
-    out = np.zeros((len(texts), KIND * len(kinds)))
+    out = np.zeros((words.n, KIND * len(kinds)))
+    n = np.bincount(words.text, minlength=words.n)
+    ends = np.cumsum(n)
+    mean = lambda x: np.bincount(words.text, x, words.n) / np.maximum(n, 1)
     for k, each in enumerate(kinds):
-        for i, values in enumerate(each):
-            x = np.array(values)
-            if len(x):
-                most = max(TOPS)
-                top = np.sort(np.partition(x, len(x) - most)[-most:] if len(x) > most else x)[::-1]
-                out[i, KIND * k:KIND * (k + 1)] = (x.mean(), *[top[:t].sum() / t for t in TOPS], *[np.maximum(x - c, 0).mean() for c in CLEAR])
+        most = np.zeros((words.n, max(TOPS)))
+        for i in np.flatnonzero(n).tolist():
+            x = each[ends[i] - n[i]:ends[i]]
+            top = np.sort(np.partition(x, len(x) - most.shape[1])[-most.shape[1]:] if len(x) > most.shape[1] else x)[::-1]
+            most[i, :len(top)] = top
+        out[:, KIND * k:KIND * (k + 1)] = np.column_stack([mean(each), *[most[:, :t].sum(1) / t for t in TOPS], *[mean(np.maximum(each - c, 0)) for c in CLEAR]])
     return out
 
 
@@ -110,7 +109,7 @@ class Toxicity:
     def words(self) -> WordScores | None:
         return WordScores(ORDER, self.differences) if self.shared is not None else None
 
-    def score(self, texts: list[str], scores: WordScores | None) -> np.ndarray:
+    def score(self, texts, scores: WordScores | None) -> np.ndarray:
         if scores is None:
             return np.full(len(texts), self.share)
         z = features(texts, scores, len(self.weights) > KIND + 1) @ self.weights[:-1] + self.weights[-1]
@@ -118,7 +117,7 @@ class Toxicity:
 
 
 def _models(rows: DataFrame) -> Toxicity:
-    counts = staged(count_grams(rows, ORDER, words_of, 2, True).withColumn("both", F.col("c0") + F.col("c1")))
+    counts = staged(count_grams(rows, ORDER, 2, alone=True, lower=True).withColumn("both", F.col("c0") + F.col("c1")))
     return Toxicity(fit(counts, "both", ORDER, False), Level(smoothed(counts, "c1", False)), Level(smoothed(counts, "c0", False)))
 
 
@@ -140,9 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable, max_rows: int = MAX_ROW
     def describe(batches):
         scores = shared().words()
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for i, j in slices(texts):
-                got = features(texts[i:j], scores).tolist()
+            for i, j in text_stretches(b.column(0), STRETCH):
+                got = features(b.column(0).slice(i, j - i), scores).tolist()
                 yield pa.record_batch([pa.array(got, pa.list_(pa.float64())), b.column(1).slice(i, j - i)], names=["x", "cls"])
 
     held = rows.where("fold = 0").select("text", "cls").mapInArrow(describe, "x array<double>, cls int").toPandas()
@@ -164,7 +162,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
         scores = model.words()
         for b in batches:
             for i, j in text_stretches(b.column(1), STRETCH):
-                texts = b.column(1).slice(i, j - i).to_pylist()
+                texts = b.column(1).slice(i, j - i)
                 yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(model.score(texts, scores))], names=["doc_id", "score"])
 
     return id_and_text(docs).mapInArrow(tidied(run), "doc_id long, score double")
@@ -180,7 +178,7 @@ def keep_ordinary(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD
         scores = model.words()
         for b in batches:
             for i, j in text_stretches(b.column(at), STRETCH):
-                texts = [t or "" for t in b.column(at).slice(i, j - i).to_pylist()]
+                texts = b.column(at).slice(i, j - i)
                 yield b.slice(i, j - i).filter(pa.array(model.score(texts, scores) < threshold))
 
     return docs.mapInArrow(tidied(run), docs.schema)

@@ -3,7 +3,8 @@
 A text is its words (runs of bytes other than ASCII blanks), each closed by one blank, after zero bytes.  An n-gram key packs
 the ``order`` bytes that end at a byte, so keys are exact integers.  The first ``order - 1`` bytes of a word see bytes of the words
 before it, the others only their own word: a word's score is that of its head (with the bytes before it) and that of its rest.
-Equal heads and equal words have equal parts: a worker scores each new one once and remembers a bounded number.
+Equal heads and equal words have equal parts: a worker scores each new one once and remembers a bounded number.  Texts are cut, and heads packed into
+whole numbers, by array operations over a stretch of texts.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubricon.llm.chunks import places_of_none, slices
+from rubricon.llm.chunks import places_of_none, text_stretches
 from rubricon.llm.common import tidied
 
+COUNTED = 2_000_000             # bytes of text counted together
+
 
 def heads_of(words: list[bytes], order: int) -> list[bytes]:
     """For each word its first ``order - 1`` bytes (with the closing blank, if among them) after the ``order - 1`` bytes before it."""
@@ -50,43 +53,99 @@ def keys_of(pieces: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return key[take], first
 
 
-def count_grams(texts: DataFrame, order: int, words_of, classes: int = 1, alone: bool = False) -> DataFrame:
-    """``(key, c0, c1, ...)``: how often each n-gram occurs in the texts of each class.
+LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
+
 
-    With ``alone`` the heads are also counted as if their words were texts of their own.  ``texts`` has ``(text, cls)``; every slice is counted in the task before anything is shuffled.
+class Words:
+    """The words of texts as arrays, in order.
+
+    ``text`` has the place of each word's text, ``size`` its bytes, ``code`` its place among the ``distinct`` ones and ``head`` the bytes of its head as
+    one number (zero bytes behind a short one).  ``lower``: A-Z in lower case.  ``once``: words that repeat the one before are left out and counted in ``same``.
     """
-    from collections import Counter
 
+    def __init__(self, texts, order: int, lower: bool = False, once: bool = False):
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        k, self.n = order - 1, len(texts)
+        if 2 * k > 8:
+            raise ValueError("a head of more than eight bytes")
+        offsets = np.frombuffer(texts.buffers()[1] or bytes(4), np.int32)[texts.offset:texts.offset + self.n + 1].astype(np.int64)
+        data, edges = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
+        data = LOWER[data] if lower else data
+        solid = (data != 32) & ((data < 9) | (data > 13))
+        within = edges[(edges > 0) & (edges < len(data))]
+        begins, ends = solid.copy(), solid.copy()
+        begins[1:] &= ~solid[:-1]
+        begins[within] = solid[within]
+        ends[:-1] &= ~solid[1:]
+        ends[within - 1] = solid[within - 1]
+        start = np.flatnonzero(begins)
+        size = np.flatnonzero(ends) + 1 - start
+        text = np.searchsorted(edges, start, "right") - 1
+        letters = data[solid]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(letters.tobytes())])
+        coded = words.dictionary_encode()
+        code = coded.indices.to_numpy()
+        self.distinct: list[bytes] = coded.dictionary.to_pylist()
+        self.same = np.zeros(self.n, np.int64)
+        if once:
+            keep = np.ones(len(size), bool)
+            keep[1:] = (code[1:] != code[:-1]) | (text[1:] != text[:-1])
+            self.same = np.bincount(text[~keep], minlength=self.n)
+            letters = letters[np.repeat(keep, size)]
+            size, text, code = size[keep], text[keep], code[keep]
+        self.text, self.size, self.code = text, size, code
+        before = np.cumsum(size) - size                             # letters before each word
+        firsts = np.cumsum(np.diff(text, prepend=-1) > 0)           # texts up to it
+        at = before + np.arange(len(size)) + k * firsts             # words and blanks, after k zero bytes for each text
+        run = np.zeros(len(letters) + len(size) + k * (self.n + 2), np.uint8)
+        run[np.repeat(at - before, size) + np.arange(len(letters))] = letters
+        run[at + size] = 32
+        self.head = np.zeros(len(size), np.int64)
+        for j in range(-k, k):
+            self.head = (self.head << 8) | np.where(j <= size, run[at + j], 0)
+
+
+def grams_of_heads(heads: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each head the keys of its ``order - 1`` n-grams, and which of them it has."""
+    k = order - 1
+    shifts = 8 * np.arange(k - 1, -1, -1)
+    keys = (heads[:, None] >> shifts) & ((1 << (8 * order)) - 1)
+    inner = ((heads[:, None] >> shifts) & 255) == 32                # the word ends here
+    return keys, np.cumsum(inner, axis=1) - inner == 0
+
+
+def count_grams(texts: DataFrame, order: int, classes: int = 1, alone: bool = False, lower: bool = False, once: bool = False) -> DataFrame:
+    """``(key, c0, c1, ...)``: how often each n-gram occurs in the texts of each class, cut into ``Words``.
+
+    With ``alone`` the heads are also counted as if their words were texts of their own.  ``texts`` has ``(text, cls)``; every stretch is counted in the task before anything is shuffled.
+    """
     names = [f"c{k}" for k in range(classes)]
 
+    def counted(texts):
+        words = Words(texts, order, lower, once)
+        heads, n = np.unique(words.head, return_counts=True)
+        keys, real = grams_of_heads(heads, order)
+        found = [(keys[real], np.repeat(n, real.sum(1)))]
+        n = np.bincount(words.code, minlength=len(words.distinct))
+        for piece_of in [rest_of] + ([head_alone] if alone else []):
+            pieces = [piece_of(w, order) for w in words.distinct]
+            whole = [p for p in pieces if p]
+            if whole:
+                keys, first = keys_of(whole, order)
+                found.append((keys, np.repeat(n[[len(p) > 0 for p in pieces]], np.diff(np.append(first, len(keys))))))
+        distinct, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        return distinct, np.bincount(at, np.concatenate([f[1] for f in found]), len(distinct)).astype(np.int64)
+
     def run(batches):
         for b in batches:
-            text, cls = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in slices(text):
-                parts = []
+            for i, j in text_stretches(b.column(0), COUNTED):
+                text, cls = b.column(0).slice(i, j - i), b.column(1).slice(i, j - i).to_numpy()
                 for k in range(classes):
-                    counted = Counter()
-                    for t, c in zip(text[i:j], cls[i:j], strict=True):
-                        if c == k:
-                            words = words_of(t)
-                            counted.update(heads_of(words, order))
-                            counted.update(rest_of(w, order) for w in words)
-                            if alone:
-                                counted.update(head_alone(w, order) for w in words)
-                    del counted[b""]
-                    if not counted:
-                        continue
-                    pieces = list(counted)
-                    keys, first = keys_of(pieces, order)
-                    times = np.repeat(np.fromiter(counted.values(), np.int64, len(pieces)), np.diff(np.append(first, len(keys))))
-                    distinct, at = np.unique(keys, return_inverse=True)
-                    n = np.zeros((len(distinct), classes), np.int64)
-                    n[:, k] = np.bincount(at, times, len(distinct))
-                    parts.append((distinct, n))
-                if parts:
-                    n = np.concatenate([p[1] for p in parts])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[0] for p in parts])), *[pa.array(n[:, k]) for k in range(classes)]],
-                                                     names=["key", *names])
+                    keys, n = counted(text.filter(pa.array(cls == k)))
+                    if len(keys):
+                        none = np.zeros(len(keys), np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(n if c == k else none) for c in range(classes)]], names=["key", *names])
 
     schema = ", ".join(["key long", *[f"{n} long" for n in names]])
     return texts.select("text", "cls").mapInArrow(tidied(run), schema).groupBy("key").agg(*[F.sum(n).alias(n) for n in names])
@@ -186,17 +245,52 @@ class PieceScores:
                 value = iter(np.add.reduceat(self.score_keys(distinct)[at], first).tolist())
             self.seen.update((n, next(value) if p else 0.0) for n, p in zip(names, part, strict=True))
 
-    def of(self, texts: list[list[bytes]], piece_of=None) -> list[list[float]]:
-        """The scores of the names in each text; those that are new to all of them are scored together."""
-        got = [list(map(self.seen.get, names)) for names in texts]
-        missing = [places_of_none(x) for x in got]
-        new = list({names[i] for names, places in zip(texts, missing, strict=True) for i in places})
-        if new:
-            self.learn(new, [piece_of(n) for n in new] if piece_of else new)
-            for names, x, places in zip(texts, got, missing, strict=True):
-                for i in places:
-                    x[i] = self.seen[names[i]]
-        return got
+    def of(self, names: list[bytes], piece_of) -> np.ndarray:
+        """The scores of the distinct ``names``; those that are new are scored together."""
+        got = list(map(self.seen.get, names))
+        places = places_of_none(got)
+        if places:
+            new = [names[i] for i in places]
+            self.learn(new, [piece_of(n) for n in new])
+            for i, n in zip(places, new, strict=True):
+                got[i] = self.seen[n]
+        return np.array(got, float)
+
+
+class HeadScores:
+    """Scores of heads from ``score_keys(keys) -> value of each key``; a bounded sorted table remembers them."""
+
+    def __init__(self, order: int, score_keys, remembered: int):
+        self.order, self.score_keys, self.remembered = order, score_keys, remembered
+        self.known, self.value = np.zeros(0, np.int64), np.zeros(0)
+
+    def _score(self, heads: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(heads))
+        for i in range(0, len(heads), 100_000):
+            keys, real = grams_of_heads(heads[i:i + 100_000], self.order)
+            distinct, at = np.unique(keys[real], return_inverse=True)
+            each = np.zeros(keys.shape)
+            each[real] = self.score_keys(distinct)[at]
+            out[i:i + 100_000] = each.sum(1)
+        return out
+
+    def of(self, heads: np.ndarray) -> np.ndarray:
+        coded = pa.array(heads).dictionary_encode()
+        distinct = np.sort(coded.dictionary.to_numpy())
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        if len(self.known):
+            new = self.known[np.minimum(at, len(self.known) - 1)] != distinct
+        value = np.zeros(len(distinct))
+        value[~new] = self.value[at[~new]]
+        if new.any():
+            value[new] = self._score(distinct[new])
+            if len(self.known) + new.sum() > self.remembered:
+                self.known, self.value = distinct, value
+            else:
+                self.known, self.value = np.insert(self.known, at[new], distinct[new]), np.insert(self.value, at[new], value[new])
+        place = np.searchsorted(distinct, coded.dictionary.to_numpy())
+        return value[place][coded.indices.to_numpy()]
 
 
 class WordScores:
@@ -204,14 +298,12 @@ class WordScores:
 
     def __init__(self, order: int, score_keys, remembered: int = 200_000):
         self.order = order
-        self.heads, self.rests = PieceScores(order, score_keys, 2 * remembered), PieceScores(order, score_keys, remembered)
+        self.heads, self.rests = HeadScores(order, score_keys, 5 * remembered), PieceScores(order, score_keys, remembered)
         self.words = PieceScores(order, score_keys, remembered)
 
-    def of(self, texts: list[list[bytes]]) -> list[list[float]]:
-        heads = self.heads.of([heads_of(words, self.order) for words in texts])
-        rests = self.rests.of(texts, lambda w: rest_of(w, self.order))
-        return [list(map(float.__add__, h, r)) for h, r in zip(heads, rests, strict=True)]
+    def of(self, words: Words) -> np.ndarray:
+        return self.heads.of(words.head) + self.rests.of(words.distinct, lambda w: rest_of(w, self.order))[words.code]
 
-    def alone(self, texts: list[list[bytes]]) -> list[list[float]]:
+    def alone(self, words: Words) -> np.ndarray:
         """The scores of the words as if each were a text of its own."""
-        return self.words.of(texts, lambda w: bytes(self.order - 1) + w + b" ")
+        return self.words.of(words.distinct, lambda w: bytes(self.order - 1) + w + b" ")[words.code]

@@ -525,3 +525,22 @@ def test_own_columns_survive(docs):
         out = f(marked)
         assert len(set(out.columns)) == len(out.columns) and out.columns[:len(marked.columns)] == marked.columns
         assert {(r["__rid"], r["__n"], r["lines_deleted"], r["__lines_deleted"]) for r in out.collect()} == {(7, 8, "a", "b")}
+
+
+def test_words_as_arrays():
+    texts = ["Ab a\x0bbcd  EFGHI  x xx éß é", "", None, " \t ", "a a a b", "b", "na\0ïve q\r\n", "i"] * 2
+    for lower, once in ((False, True), (True, False)):
+        got = wordgrams.Words(pa.array(["cut", *texts]).slice(1), 5, lower, once)
+        each = [(t or "").encode().lower().split() if lower else (t or "").encode().split() for t in texts]
+        first = [[w for i, w in enumerate(ws) if not once or i == 0 or w != ws[i - 1]] for ws in each]
+        assert got.same.tolist() == [len(a) - len(b) for a, b in zip(each, first, strict=True)]
+        assert [(t, got.distinct[c], n) for t, c, n in zip(got.text, got.code, got.size, strict=True)] == [(i, w, len(w)) for i, ws in enumerate(first) for w in ws]
+        heads = [h for ws in first for h in wordgrams.heads_of(ws, 5)]
+        keys, real = wordgrams.grams_of_heads(got.head, 5)
+        assert keys[real].tolist() == wordgrams.keys_of(heads, 5)[0].tolist()
+        value = lambda keys: (keys % 1009).astype(float)
+        want = [value(wordgrams.keys_of([h], 5)[0]).sum() for h in heads]
+        for remembered in (3, 1000):
+            scores = wordgrams.HeadScores(5, value, remembered)
+            assert [scores.of(got.head[i:]).tolist() for i in (8, 0, 3, 0)] == [want[i:] for i in (8, 0, 3, 0)]
+    assert wordgrams.Words([], 5).n == 0 == len(wordgrams.Words([None], 5).head)
