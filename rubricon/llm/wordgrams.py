@@ -13,7 +13,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.llm.chunks import places_of_none, text_stretches
@@ -218,13 +218,31 @@ class Model:
         return p
 
 
-def fit(counts: DataFrame, col: str, order: int, modified: bool) -> Model:
-    levels, table = [], counts.select("key", col)
+def tables(counts: DataFrame, col: str, order: int, modified: bool) -> list[DataFrame]:
+    """``smoothed`` of each order from 1 to ``order``."""
+    out, table = [], counts.select("key", col)
     for k in range(order, 0, -1):
-        levels.append(Level(smoothed(table, col, modified)))
+        out.append(smoothed(table, col, modified))
         if k > 1:
             table = lower_order(table, col, k)
-    return Model(levels[::-1])
+    return out[::-1]
+
+
+def fit(counts: DataFrame, col: str, order: int, modified: bool) -> Model:
+    return Model([Level(t) for t in tables(counts, col, order, modified)])
+
+
+def part_of(key, parts: int):
+    """The part of a model that scores an n-gram (a whole number, an array or a Spark column), by the two bytes before its last one: all that
+    ``prob`` looks up for the n-gram from order 3 on, contexts too, has the same two bytes there."""
+    if isinstance(key, Column):
+        return F.pmod((F.shiftright(key, 8).bitwiseAND(0xFFFF) * 40503).bitwiseAND(0xFFFF), F.lit(parts))
+    return (((key >> 8) & 0xFFFF) * 40503 & 0xFFFF) % parts
+
+
+def fit_part(levels: list[DataFrame], part: int, parts: int) -> Model:
+    """One part of the model of ``tables``; the orders 1 and 2 (at most 65,536 n-grams) are whole in each."""
+    return Model([Level(t if k < 3 else t.where(part_of(F.col("key"), parts) == part)) for k, t in enumerate(levels, 1)])
 
 
 class PieceScores:

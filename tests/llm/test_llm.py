@@ -544,3 +544,23 @@ def test_words_as_arrays():
             scores = wordgrams.HeadScores(5, value, remembered)
             assert [scores.of(got.head[i:]).tolist() for i in (8, 0, 3, 0)] == [want[i:] for i in (8, 0, 3, 0)]
     assert wordgrams.Words([], 5).n == 0 == len(wordgrams.Words([None], 5).head)
+
+
+def test_quality_counts_all_trusted(spark, docs, monkeypatch):
+    """Counts come from every trusted text of three quarters, however many there are, and a model in parts scores the same."""
+    rnd = random.Random(5)
+    texts = spark.createDataFrame([(i, " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 7) for _ in range(4)), "en") for i in range(21_000)], "doc_id long, text string, lang string")
+    fitted = quality.train(texts, texts.select("doc_id", F.lit(1).alias("quality")))
+    seen = texts.where(F.pmod(F.shiftright(F.xxhash64("doc_id"), 20), F.lit(4)) > 0)
+    assert fitted.unseen.count() == texts.count() - seen.count()
+    assert sorted(r[0] for r in texts.join(fitted.unseen, "doc_id", "left_anti").select("doc_id").collect()) == sorted(r[0] for r in seen.select("doc_id").collect())
+    every, labels = labelled(spark, docs)
+    extra = every.withColumn("ROW", F.lit(1))
+    whole = quality.train(every, labels)
+    outcome = lambda fitted: sorted(repr((r["doc_id"], r["lang"], r["kept"], r["perplexity"] and round(r["perplexity"], 6), r["threshold"] and round(r["threshold"], 6)))
+                                    for r in quality.classify(every, fitted).collect())
+    want, left = outcome(whole), sorted(map(repr, quality.keep_good(extra, whole).collect()))
+    monkeypatch.setattr(quality, "MAX_GRAMS", 200)
+    cut = quality.train(every, labels)
+    assert cut.parts > 2 and len(cut.model.levels[-1].key) < len(whole.model.levels[-1].key)
+    assert outcome(cut) == want and sorted(map(repr, quality.keep_good(extra, cut).collect())) == left
