@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubricon.llm.chunks import encoder, text_stretches
-from rubricon.llm.common import id_and_text, staged
+from rubricon.llm.common import id_and_text, staged, tidied
 
 WINDOW = 2048
 UNIT = 4
 DEPTH = 3
 END_ID = 1
+STRETCH = 1_500_000             # bytes of text encoded together
 
 
 def cut_tokens(docs: DataFrame, vocabulary: str, window: int = WINDOW, unit: int = UNIT, end_id: int = END_ID) -> DataFrame:
@@ -47,7 +48,7 @@ def cut_tokens(docs: DataFrame, vocabulary: str, window: int = WINDOW, unit: int
         seen = np.zeros(-(-window // unit) + 1, np.int64)
         for b in batches:
             texts, doc_ids = b.column(1), b.column(0).to_pylist()
-            for i, j in text_stretches(texts):
+            for i, j in text_stretches(texts, STRETCH):
                 rows = []
                 for doc_id, found in zip(doc_ids[i:j], enc.encode(texts.slice(i, j - i)), strict=True):
                     ids = found.tobytes() + end
@@ -65,7 +66,7 @@ def cut_tokens(docs: DataFrame, vocabulary: str, window: int = WINDOW, unit: int
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                         ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("cls", pa.int32()), ("num", pa.int64())])
     return id_and_text(docs).mapInArrow(
-        run, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, cls int, num long")
+        tidied(run), "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, cls int, num long")
 
 
 def combinations_filling(classes: int, depth: int) -> np.ndarray:

@@ -564,3 +564,12 @@ def test_quality_counts_all_trusted(spark, docs, monkeypatch):
     cut = quality.train(every, labels)
     assert cut.parts > 2 and len(cut.model.levels[-1].key) < len(whole.model.levels[-1].key)
     assert outcome(cut) == want and sorted(map(repr, quality.keep_good(extra, cut).collect())) == left
+
+
+def test_packing_workers_give_memory_back(docs, monkeypatch):
+    tidied = []
+    monkeypatch.setattr(packing, "tidied", lambda run: tidied.append(run) or run)
+    few = docs.limit(20)
+    got = sorted(map(repr, packing.cut_tokens(few, WORD_VOCABULARY).drop("num").collect()))
+    monkeypatch.setattr(packing, "STRETCH", 10)
+    assert sorted(map(repr, packing.cut_tokens(few, WORD_VOCABULARY).drop("num").collect())) == got and len(tidied) == 2
