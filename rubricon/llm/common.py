@@ -71,20 +71,33 @@ def shipped(spark: SparkSession, value):
     return read
 
 
-def give_back() -> None:
-    """Returns the memory that a reused worker has freed to the system."""
+def release_freed() -> None:
+    """Returns the memory that Arrow and the C library hold for later use to the system."""
     import ctypes
-    import gc
 
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+def give_back() -> None:
+    """Returns the memory that a reused worker has freed to the system."""
+    import gc
+
+    gc.collect()
+    release_freed()
+
+
+def releasing(stretches):
+    """``stretches``, one at a time; freed memory is given back after each, so a task never holds that of several."""
+    for each in stretches:
+        yield each
+        release_freed()
+
+
 def tidied(run):
     """``run`` for ``mapInArrow``, after which the worker gives freed memory back."""
     def whole(batches):

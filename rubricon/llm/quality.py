@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rubricon.llm.chunks import text_stretches
-from rubricon.llm.common import free_name, shipped, staged, tidied, whole_text
+from rubricon.llm.common import free_name, releasing, shipped, staged, tidied, whole_text
 from rubricon.llm.wordgrams import Model, Words, WordScores, count_grams, fit, fit_part, part_of, tables
 from rubricon.session import broadcast_if_small
 
@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int | None = None) -> Qu
 
     def repeats(batches):
         for b in batches:
-            for i, j in text_stretches(b.column(0), STRETCH):
+            for i, j in releasing(text_stretches(b.column(0), STRETCH)):
                 words = Words(b.column(0).slice(i, j - i), ORDER, once=True)
                 yield pa.record_batch([pa.array([len(words.text)], pa.int64()), pa.array([int(words.same.sum())], pa.int64())], names=["first", "same"])
 
@@ -164,7 +164,7 @@ def _perplexities(rows: DataFrame, fitted: Quality, keep: list[str]) -> DataFram
         fitted = shared()
         scores = fitted.scores()
         for b in batches:
-            for i, j in text_stretches(b.column(k), STRETCH):
+            for i, j in releasing(text_stretches(b.column(k), STRETCH)):
                 got = fitted.perplexities(b.column(k).slice(i, j - i), scores)
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, j - i) for c in range(k)], pa.array(got, pa.float64())], names=[*keep, "perplexity"])
 
@@ -185,7 +185,7 @@ def _by_parts(rows: DataFrame, fitted: Quality, name: str) -> DataFrame:
             one = shared()
             scores = one.scores()
             for b in batches:
-                for i, j in text_stretches(b.column(1), STRETCH):
+                for i, j in releasing(text_stretches(b.column(1), STRETCH)):
                     got, n = one.sums(b.column(1).slice(i, j - i), scores)
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(got), pa.array(n)], names=[key, total, symbols])
 
@@ -222,7 +222,7 @@ def keep_good(docs: DataFrame, fitted: Quality) -> DataFrame:
         fitted = shared()
         scores = fitted.scores()
         for b in batches:
-            for i, j in text_stretches(b.column(at), STRETCH):
+            for i, j in releasing(text_stretches(b.column(at), STRETCH)):
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fitted.perplexities(part.column(at), scores), pa.float64())], names=[*part.schema.names, name])
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.llm.chunks import text_stretches
-from rubricon.llm.common import components, free_name, id_and_text, row_key, staged
+from rubricon.llm.common import components, free_name, id_and_text, releasing, row_key, staged, tidied
 
 SEED = 42
 
@@ -55,11 +55,11 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     """``(doc_id, fp)``: the fingerprint as a signed long, one row per input row."""
     def run(batches):
         for b in batches:
-            for i, j in text_stretches(b.column(1)):
+            for i, j in releasing(text_stretches(b.column(1))):
                 fps = [fingerprint(t, shingle_words) for t in b.column(1).slice(i, j - i).to_pylist()]
                 yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def flip_masks(segments: int, radius: int) -> list[int]:

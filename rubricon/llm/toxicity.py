@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.llm.chunks import text_stretches
-from rubricon.llm.common import crc_fold, id_and_text, shipped, staged, tidied
+from rubricon.llm.common import crc_fold, id_and_text, releasing, shipped, staged, tidied
 from rubricon.llm.wordgrams import Level, Words, WordScores, count_grams, fit, smoothed
 
 ORDER = 5
@@ -139,11 +139,11 @@ def train(docs: DataFrame, labels: DataFrame, learnable, max_rows: int = MAX_ROW
     def describe(batches):
         scores = shared().words()
         for b in batches:
-            for i, j in text_stretches(b.column(0), STRETCH):
+            for i, j in releasing(text_stretches(b.column(0), STRETCH)):
                 got = features(b.column(0).slice(i, j - i), scores).tolist()
                 yield pa.record_batch([pa.array(got, pa.list_(pa.float64())), b.column(1).slice(i, j - i)], names=["x", "cls"])
 
-    held = rows.where("fold = 0").select("text", "cls").mapInArrow(describe, "x array<double>, cls int").toPandas()
+    held = rows.where("fold = 0").select("text", "cls").mapInArrow(tidied(describe), "x array<double>, cls int").toPandas()
     if held["cls"].nunique() == 2:
         model.weights = fit_curve(np.array(held["x"].tolist()), held["cls"].to_numpy(float))
     else:                                                   # too few rows to fit a curve
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
         model = shared()
         scores = model.words()
         for b in batches:
-            for i, j in text_stretches(b.column(1), STRETCH):
+            for i, j in releasing(text_stretches(b.column(1), STRETCH)):
                 texts = b.column(1).slice(i, j - i)
                 yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(model.score(texts, scores))], names=["doc_id", "score"])
 
@@ -177,7 +177,7 @@ def keep_ordinary(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD
         model = shared()
         scores = model.words()
         for b in batches:
-            for i, j in text_stretches(b.column(at), STRETCH):
+            for i, j in releasing(text_stretches(b.column(at), STRETCH)):
                 texts = b.column(at).slice(i, j - i)
                 yield b.slice(i, j - i).filter(pa.array(model.score(texts, scores) < threshold))
 

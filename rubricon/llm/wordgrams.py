@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.llm.chunks import places_of_none, text_stretches
-from rubricon.llm.common import tidied
+from rubricon.llm.common import releasing, tidied
 
 COUNTED = 2_000_000             # bytes of text counted together
 
@@ -139,7 +139,7 @@ def count_grams(texts: DataFrame, order: int, classes: int = 1, alone: bool = Fa
 
     def run(batches):
         for b in batches:
-            for i, j in text_stretches(b.column(0), COUNTED):
+            for i, j in releasing(text_stretches(b.column(0), COUNTED)):
                 text, cls = b.column(0).slice(i, j - i), b.column(1).slice(i, j - i).to_numpy()
                 for k in range(classes):
                     keys, n = counted(text.filter(pa.array(cls == k)))

@@ -573,3 +573,34 @@ def test_packing_workers_give_memory_back(docs, monkeypatch):
     got = sorted(map(repr, packing.cut_tokens(few, WORD_VOCABULARY).drop("num").collect()))
     monkeypatch.setattr(packing, "STRETCH", 10)
     assert sorted(map(repr, packing.cut_tokens(few, WORD_VOCABULARY).drop("num").collect())) == got and len(tidied) == 2
+
+
+def test_workers_give_memory_back_after_every_stretch(spark, monkeypatch):
+    """Scoring, counting and fingerprinting release freed memory between stretches and at the end of a task, also where the toxicity curve is described."""
+    from rubricon.llm import common
+
+    frame = type(spark.range(1))
+    calls, runs, real = [], [], frame.mapInArrow
+
+    def mapped(self, run, schema, *more, **named):
+        runs.append((run, self.schema))
+        return real(self, run, schema, *more, **named)
+
+    monkeypatch.setattr(frame, "mapInArrow", mapped)
+    docs = spark.createDataFrame([(i, f"good words number {i} of {'vile ' * (i % 2)}texts") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    toxicity.score(docs, model)
+    toxicity.keep_ordinary(docs, model)
+    simhash.fingerprints(docs)
+    assert len(runs) == 6                               # two counts, the description, score, filter, fingerprints
+    monkeypatch.setattr(common, "release_freed", lambda: calls.append(1))
+    monkeypatch.setattr(toxicity, "STRETCH", 20)
+    monkeypatch.setattr(wordgrams, "COUNTED", 20)
+    text = [f"good words number {i}" for i in range(5)]
+    columns = {"doc_id": pa.array(range(5)), "text": pa.array(text), "cls": pa.array([0, 1, 0, 1, 0], pa.int32())}
+    for run, schema in runs:
+        calls.clear()
+        assert list(run(iter([pa.record_batch([columns[c] for c in schema.names], names=schema.names)])))
+        stretches = 1 if run is runs[-1][0] else 5      # simhash takes longer stretches
+        assert len(calls) == stretches + 1
