@@ -2,13 +2,17 @@
 repeated rows and clashing extra columns."""
 
 import base64
+import contextlib
 import hashlib
+import pathlib
 import random
 import re
+import threading
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
@@ -21,6 +25,7 @@ from rubricon.llm import byte_bpe, embed_join, licenses, line_dedup, minhash, pa
 from rubricon.llm.chunks import Encoder
 from rubricon.llm.common import components
 from rubricon.llm.queries import BYTE_VOCABULARY, WORD_VOCABULARY
+from rubricon.session import checkpoint_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, start int, node int, piece string"
 
@@ -317,6 +322,68 @@ def test_embeddings(spark, tile):
     assert embed_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_links(x):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    label = np.arange(len(x))
+    while True:
+        low = np.where(linked, label[None, :], len(x)).min(axis=1)
+        if (low == label).all():
+            return linked.sum(axis=1) - 1, label
+        label = low
+
+
+def test_embeddings_over_many_blobs(spark):
+    """Clusters wider than the threshold, repeated vectors in many places, and three lengths at once."""
+    rnd = np.random.default_rng(11)
+    tables = []
+    for dim in (3, 32, 64):
+        base = rnd.standard_normal((400, dim))
+        wide = base[:20].repeat(20, axis=0) + rnd.standard_normal((400, dim)) * 0.2
+        x = np.concatenate([base, wide, base[:50], base[:50], np.abs(rnd.standard_normal((30, 1))) * base[0]]).astype(np.float32)
+        x[-1, dim // 2:] = 0
+        tables.append(x[rnd.permutation(len(x))])
+    data = [(1_000_000 * k + i, [float(c) for c in v], 0) for k, x in enumerate(tables) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(7)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_join.near_duplicates(df, tile=300).collect()}
+    assert len(got) == len(data)
+    for k, x in enumerate(tables):
+        count, label = brute_links(x.astype(np.float64))
+        assert [got[1_000_000 * k + i] for i in range(len(x))] == [(c, 1_000_000 * k + m, m == i) for i, (c, m) in enumerate(zip(count, label, strict=True))]
+
+
+def test_embeddings_disk(spark, tmp_path):
+    """Shuffled and staged bytes held at any time stay within four times those of the vectors, whatever the number of blobs."""
+    def size(folder):
+        total = 0
+        for f in pathlib.Path(folder).rglob("*"):
+            with contextlib.suppress(OSError):                  # a file may go meanwhile
+                total += f.stat().st_size if f.is_file() else 0
+        return total
+
+    rnd = np.random.default_rng(12)
+    x = rnd.standard_normal((30_000, 64)).astype(np.float32)
+    x[6000:7000] = x[:1000] + rnd.standard_normal((1000, 64)).astype(np.float32) * np.float32(0.05)
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": list(x)})).write.option("parquet.enable.dictionary", "false").parquet(path)
+    folders = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), checkpoint_dir(spark)]
+    before, most, over = sum(map(size, folders)), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            most[0] = max(most[0], sum(map(size, folders)))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = embed_join.near_duplicates(spark.read.parquet(path), tile=4000).agg({"n_links": "sum", "vec_id": "count"}).first()
+    finally:
+        over.set()
+        watcher.join()
+    assert got["count(vec_id)"] == len(x) and got["sum(n_links)"] == 2000
+    assert most[0] - before < 4 * size(path), (most[0] - before, size(path))
+
+
 def test_licenses(docs, none):
     got = licenses.scan(docs).collect()
     assert [(r["license"], r["start"], r["differing_words"]) for r in got] == [("MIT-notice", 5, 0)]
