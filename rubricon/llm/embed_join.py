@@ -34,8 +34,8 @@ from rubricon.llm.common import components, shipped, staged, tidied
 from rubricon.session import checkpoint_dir
 
 COSINE = 0.95
-TILE = 131_072                        # vectors of a blob
-BLOB_BYTES = 32 * 2 ** 20             # of its vectors
+TILE = 65_536                         # vectors of a blob
+BLOB_BYTES = 16 * 2 ** 20             # of its vectors
 HALVES = 2
 CENTRE_BYTES = 16 * 2 ** 20           # of all vectors that centres are taken from, in single precision
 SAME_HALF = 1e-9                      # a half counts as found from this below the threshold on
